@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .shared import ID, TEXT, id_text, slices, small_arrow_batches
 
-#: Words remembered by a worker before it starts afresh.
+#: Words that a worker remembers.
 CACHED_WORDS = 700_000
 #: Text that shares one pair index.
 SLICE_BYTES = 8 << 20
@@ -185,12 +185,14 @@ class PairIndexBpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [spaced(text) for text in texts]
         new = {w for words in split for w in words}.difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = {w for words in split for w in words}
+        full = len(self.words) + len(new) > CACHED_WORDS
         self.learn(sorted(new))
         known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        out = [b"".join(map(known, words)) for words in split]
+        if full:  # what was met first stays; the rest is forgotten at once
+            for word in new:
+                del self.words[word]
+        return out
 
     # ---- decoding -------------------------------------------------------------
 

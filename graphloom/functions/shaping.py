@@ -19,12 +19,11 @@ def percent(part: Column, whole: Column) -> Column:
 def size_label(size: Column) -> Column:
     """Bytes below 1024, else one decimal with the largest fitting unit."""
     size = size.cast("double")
-    return (
-        F.when(size < 1024, F.format_string("%.0f B", size))
-        .when(size < 1024**2, F.format_string("%.1f KB", size / 1024))
-        .when(size < 1024**3, F.format_string("%.1f MB", size / 1024**2))
-        .otherwise(F.format_string("%.1f GB", size / 1024**3))
-    )
+
+    def scaled(power: int, unit: str) -> Column:
+        return F.concat(F.round((size / 1024**power).cast("decimal(20,6)"), 1).cast("string"), F.lit(f" {unit}"))
+
+    return F.when(size < 1024, F.format_string("%.0f B", size)).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
 def stem(name: Column) -> Column:

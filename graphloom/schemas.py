@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "map<string,double>": T.MapType(T.StringType(), T.DoubleType()),
+}
 
 
-def _schema(text: str) -> StructType:
-    return StructType.fromDDL(text)
+def _schema(text: str) -> T.StructType:
+    """A schema from "name type" pairs, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (pair.split(" ") for pair in text.split(", "))])
 
 
 PROJECTS = _schema("id string, name string, description string, status string, created_at timestamp, updated_at timestamp")

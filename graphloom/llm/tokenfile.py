@@ -17,6 +17,7 @@ ids each shard holds, so the place of every document in the whole is known.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ BLOCK = 1 << 16
 MAX_SHARDS = 10_000
 CACHED_WORDS = 700_000
 NUL = "\x00"
+FINAL_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
@@ -164,18 +166,42 @@ class LibraryEncoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         probe = [[*self.library.encode(t, add_special_tokens=False).ids] for t in ("ab, Cd e", "ab,", "Cd", "e")]
         self.by_word = probe[0] == probe[1] + probe[2] + probe[3]
+        self.lowers = self.library.encode("ÀB cd", add_special_tokens=False).ids == self.library.encode("àb cd", add_special_tokens=False).ids
+        tokenize = self.library.model.tokenize
+        #: whether lower-case ASCII words go to the model as they are
+        self.direct = self.lowers and all([t.id for t in tokenize(w)] == self.library.encode(w, add_special_tokens=False).ids for w in ("a", "the", "wordlike", "qzxv"))
         mark = self.library.encode(NUL, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.words: dict[str, bytes] = {}
 
+    def parts(self, text: str) -> list[str]:
+        """A text cut where no token can cross: at ASCII white space and, in Latin-1 text, before a
+        single full stop or comma that follows a letter.  Case is dropped early if the file drops it."""
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if self.lowers and "<" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split(" ")
+            text = FINAL_STOP.sub(r" \1", text.lower())
+        return text.split(" ")
+
     def learn(self, words: list[str]) -> None:
         """Encode many words in few calls: a NUL, one token of its own, marks where each ends."""
+        if self.direct:
+            tokenize, rest = self.library.model.tokenize, []
+            for w in words:
+                if w.isascii() and w.isalpha() and w.islower():
+                    self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(w)])
+                else:
+                    rest.append(w)
+            words = rest
         odd = [w for w in words if self.mark is None or NUL in w]
         for word, coded in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.words[word] = np.array(coded.ids, "<u4").tobytes()
         plain = [w for w in words if self.mark is not None and NUL not in w]
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
+        for at in range(0, len(plain), 128):
+            part = plain[at : at + 128]
             ids = np.array(self.library.encode_batch_fast([f" {NUL} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             marks = np.flatnonzero(ids == self.mark)
             if len(marks) != len(part) - 1:
@@ -187,10 +213,10 @@ class LibraryEncoder:
         """Ids of each text as little-endian uint32."""
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words}.difference(self.words)
+        split = [self.parts(t) for t in texts]
+        new = list(set().union(*split).difference(self.words))
         full = len(self.words) + len(new) > CACHED_WORDS
-        self.learn(sorted(new))
+        self.learn(new)
         known = self.words.__getitem__
         out = [b"".join(map(known, words)) for words in split]
         if full:  # what was met first stays; the rest is forgotten at once

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,35 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ID, TEXT = "__id", "__text"
-CHECKPOINT = "spark.checkpoint.dir"
-#: Text handled at once inside a Python worker, so that memory is bounded.
-CHUNK_BYTES = 4 << 20
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a folder of our own only in local mode."""
-    root = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError(f"set {CHECKPOINT} to a folder that driver and executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    spark.conf.set(CHECKPOINT, root)
-    return root
+from ..scratch import scratch, stored
 
+__all__ = ["CHUNK_BYTES", "ID", "TEXT", "attach", "crc_bucket", "id_text", "scratch", "slices", "small_arrow_batches", "stored", "text_buffers"]
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends
-    there, and a lost executor costs nothing that was finished before."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ID, TEXT = "__id", "__text"
+#: Text handled at once inside a Python worker, so that memory is bounded.
+CHUNK_BYTES = 2 << 20
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str, null_as: str | None = "") -> DataFrame:
@@ -53,21 +29,32 @@ def id_text(docs: DataFrame, id_col: str, text_col: str, null_as: str | None = "
 
 def small_arrow_batches(spark: SparkSession) -> None:
     """Batches sent to Python are bounded in bytes, not only in rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, text_at: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each slice holds at most `limit` bytes of text, or one row."""
+    """Rows dealt anew, in order: each slice holds at most `limit` bytes of text, or one row."""
+    waiting: list[pa.RecordBatch] = []
+    held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         _, ends = text_buffers(batch.column(text_at))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
-            yield batch.slice(at, min(to, batch.num_rows) - at)
-            at = min(to, batch.num_rows)
+            to = min(int(np.searchsorted(ends, ends[at] + limit - held, side="right")) - 1, batch.num_rows)
+            if to <= at and not waiting:
+                to = at + 1
+            if to > at:
+                waiting.append(batch.slice(at, to - at))
+                held += int(ends[to] - ends[at])
+                at = to
+            if at < batch.num_rows or held >= limit:
+                yield pa.concat_batches(waiting) if len(waiting) > 1 else waiting[0]
+                waiting, held = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting) if len(waiting) > 1 else waiting[0]
 
 
 def text_buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 
 #: Odd multiplier of the polynomial hash, and the final mixing multipliers.
 BASE, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 #: Byte tables: A-Z lowered; bytes of words made of digits, letters and non-ASCII; non-space bytes.
 LOWER = np.arange(256, dtype=np.uint8)

@@ -509,7 +509,7 @@ def suffix_match(spark, sf_dir):
 # ---- scalar operators -----------------------------------------------------------------------
 
 
-@query(r"""SELECT url, regexp_replace(regexp_replace(url, '/+', '/', 'g'), '^[./]+', '') AS normal,
+@query(r"""SELECT url, regexp_replace(regexp_replace(regexp_replace(url, '/+', '/', 'g'), '/$', ''), '^[./]+', '') AS normal,
   CASE WHEN url LIKE '%/%' THEN regexp_replace(url, '/[^/]*$', '') ELSE '.' END AS parent,
   lower(regexp_extract(url, '[^/.][^/]*(\.[^./]+)$', 1)) AS suffix, len(regexp_extract_all(url, '[^/]+')) AS segments FROM (SELECT DISTINCT url FROM pages)""")
 def path_normalize(spark, sf_dir):

@@ -29,17 +29,16 @@ def repaired(text: str) -> tuple[ast.Module | None, str, bool]:
             return ast.parse("\n".join(lines)), "\n".join(lines), attempt > 0
         except (SyntaxError, ValueError) as problem:
             at = min(max((getattr(problem, "lineno", None) or 1) - 1, 0), len(lines) - 1)
-            while at > 0 and lines[at].strip() in ("", "pass"):
-                at -= 1
-            indent = lines[at][: len(lines[at]) - len(lines[at].lstrip())]
-            head = lines[at].strip()
-            # a header without a body gets one; anything else makes way
-            if isinstance(problem, IndentationError) and head.endswith(":"):
-                lines[at] += " pass"
-            elif head == "pass":
-                break
+            said = getattr(problem, "msg", "") or ""
+            if "expected an indented block" in said:  # the header above gets a body
+                at = next((k for k in range(at, -1, -1) if lines[k].rstrip().endswith(":")), at)
+                lines[at] = f"{lines[at].rstrip()} pass" if lines[at].rstrip().endswith(":") else ""
+            elif "indent" in said or lines[at].strip() == "pass":
+                lines[at] = ""
             else:
-                lines[at] = f"{indent}pass"
+                while at > 0 and not lines[at].strip():
+                    at -= 1
+                lines[at] = lines[at][: len(lines[at]) - len(lines[at].lstrip())] + "pass"
         except RecursionError:
             break
     return None, text, True

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, tokenfile, toxicity
+from . import lengths, pii, quality, tokenfile, toxicity
 from .bpe import bpe_round_trip
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
@@ -61,6 +61,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     held_out = crc_bucket(F.col("doc_id"), 5) == 0
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
+    "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,

@@ -20,8 +20,9 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ BLOCK = 1 << 16
 MAX_SHARDS = 10_000
 CACHED_WORDS = 700_000
 NUL = "\x00"
+T_ = TypeVar("T_")
 FINAL_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
@@ -213,12 +215,22 @@ class LibraryEncoder:
         """Ids of each text as little-endian uint32."""
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.over_words(texts, b"".join)
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text."""
+        if not self.by_word:
+            return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.over_words(texts, lambda coded: sum(map(len, coded)) // 4)
+
+    def over_words(self, texts: list[str], combine: Callable[[Iterable[bytes]], T_]) -> list[T_]:
+        """combine() over the ids of each text's words."""
         split = [self.parts(t) for t in texts]
         new = list(set().union(*split).difference(self.words))
         full = len(self.words) + len(new) > CACHED_WORDS
         self.learn(new)
         known = self.words.__getitem__
-        out = [b"".join(map(known, words)) for words in split]
+        out = [combine(map(known, words)) for words in split]
         if full:  # what was met first stays; the rest is forgotten at once
             for word in new:
                 del self.words[word]

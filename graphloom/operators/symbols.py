@@ -121,8 +121,10 @@ def resolve_calls(scope: Scope, calls: DataFrame) -> DataFrame:
     instance = F.startswith("name", F.lit("self.")) | F.startswith("name", F.lit("this."))
     dotted = F.contains(F.col("name"), F.lit("."))
     own = calls.where(instance)
-    by_class = instance_names(scope, own.select("file_id", "parent_symbol_id", "name").distinct()).withColumnRenamed("parent_symbol_id", "its_parent")
-    out = own.join(by_class, (own.file_id == by_class.file_id) & own.parent_symbol_id.eqNullSafe(by_class.its_parent) & (own.name == by_class.name)).select(*[own[c] for c in own.columns], "result")
+    by_class = instance_names(scope, own.select("file_id", "parent_symbol_id", "name").distinct())
+    by_class = by_class.select(F.col("file_id").alias("its_file"), F.col("parent_symbol_id").alias("its_parent"), F.col("name").alias("its_name"), "result")
+    same = (F.col("file_id") == F.col("its_file")) & F.col("parent_symbol_id").eqNullSafe(F.col("its_parent")) & (F.col("name") == F.col("its_name"))
+    out = own.join(by_class, same).select(*calls.columns, "result")
     for mask, resolver in ((~instance & dotted, lambda r: qualified_names(scope, r, "function")), (~instance & ~dotted, lambda r: call_names(scope, r))):
         rows = calls.where(mask)
         out = out.unionByName(rows.join(resolver(rows.select("file_id", "name").distinct()), ["file_id", "name"]).select(*calls.columns, "result"))

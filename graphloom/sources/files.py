@@ -68,13 +68,16 @@ def discovered(spark: SparkSession, root: str | Path, max_bytes: int) -> DataFra
     Executors read the contents; links cannot enter since only listed paths survive the
     join.  Oversized files are pruned before their contents are read."""
     base = Path(root).resolve()
-    known = listing(spark, base).where(~F.col("is_dir")).select("relative_path", F.col("error").alias("unlisted"))
+    known = listing(spark, base).where(~F.col("is_dir")).select("relative_path", F.col("error").alias("unlisted"), (F.col("length") == 0).alias("empty"))
     read = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(f"file://{base}")
         .withColumn("relative_path", F.substring(F.regexp_replace("path", "^file:/*", "/"), len(f"{base}/") + 1, 1 << 20))
     )
     sized = read.select("relative_path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
     both = known.join(sized, "relative_path", "left")
+    # a scan passes over files without bytes; they are candidates all the same
+    hollow = F.col("empty") & F.col("length").isNull()
+    both = both.withColumns({"length": F.when(hollow, F.lit(0)).otherwise(F.col("length")), "content": F.when(hollow, F.lit(b"")).otherwise(F.col("content"))})
     too_long = F.col("length") > max_bytes
     reason = (
         F.when(F.col("unlisted").isNotNull(), F.col("unlisted"))

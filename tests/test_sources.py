@@ -89,7 +89,7 @@ def test_discovery(spark, tmp_path):
     found = {r.relative_path: r for r in files.discovered(spark, workspace(tmp_path), 200).collect()}
     assert set(found) == {"a.py", "b.py", "c.py", "d.ts", "README.md", "bin.py", "big.py", "sub/e.JS"}
     assert "binary" in found["bin.py"].reason and "exceeding" in found["big.py"].reason and found["big.py"].stage is None
-    assert bytes(found["a.py"].content) == b"x = 1\n" and found["a.py"].reason is None
+    assert bytes(found["a.py"].content) == b"x = 1\n" and found["a.py"].reason is None and bytes(found["b.py"].content) == b"" and found["b.py"].reason is None
 
 
 def test_metadata(spark, tmp_path):

@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,10 +155,9 @@ def train(docs: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str
     languages = sorted(r[0] for r in counts.select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    kept: list[tuple[str, str, int]] = []
-    for language in languages:
-        best = counts.where(F.col("label") == language).orderBy(F.desc("n"), "word").limit(max_words)
-        kept += [(r["word"], language, r["n"]) for r in best.select("word", "n").collect()]
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= max_words).orderBy("label", "rank")
+    kept = [(r["word"], r["label"], r["n"]) for r in best.select("word", "label", "n").collect()]  # bounded by both limits
     return BackoffModel(kept, languages, longest)
 
 

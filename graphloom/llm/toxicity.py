@@ -108,9 +108,10 @@ def train_batches(epochs: int):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int, seed: int) -> DataFrame:
     """(text, label) of a bounded hash sample of labelled rows, in a fixed order, as a stored table."""
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias(ID), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias(ID), F.col(label_col).cast("int").alias("label")).distinct()
     chosen = F.broadcast(bounded_sample(known, ID, max_rows, seed))  # about max_rows rows of two numbers
     rows = docs.select(F.col(id_col).alias(ID), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT)).join(chosen, ID)
+    rows = rows.groupBy(ID, "label").agg(F.min(TEXT).alias(TEXT)).select(ID, TEXT, "label")  # an id that repeats counts once
     return stored(rows, "labelled")
 
 

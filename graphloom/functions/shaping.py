@@ -17,15 +17,23 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes below 1024, else one decimal with the largest fitting unit."""
+    """Bytes with the largest fitting unit up to GB, one decimal, without a trailing zero."""
     size = size.cast("double")
 
     def scaled(power: int, unit: str) -> Column:
-        return F.concat(F.round((size / 1024**power).cast("decimal(20,6)"), 1).cast("string"), F.lit(f" {unit}"))
+        value = F.round((size / 1024**power).cast("decimal(20,6)"), 1).cast("string")
+        return F.concat(F.regexp_replace(value, r"\.0$", ""), F.lit(f" {unit}"))
 
     return F.when(size < 1024, F.format_string("%.0f B", size)).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
+def shares_label(stats: Column) -> Column:
+    """A language map as text, largest share first, ties by name."""
+    entries = F.array_sort(F.map_entries(stats), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1))
+    shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit(" "), F.regexp_replace(F.round(e["value"], 1).cast("string"), r"\.0$", ""), F.lit("%")))
+    return F.when(F.size(entries) == 0, F.lit("No languages detected")).otherwise(F.array_join(shown, ", "))
+
+
 def stem(name: Column) -> Column:
     """A file name without folder and last suffix."""
     base = F.regexp_extract(name, r"([^/]*)/*$", 1)
@@ -36,6 +44,12 @@ def clamped(value: Column, low: int, high: int) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def depth_within(value: Column, most: int) -> Column:
+    """A requested depth cut to whole numbers from 1 to most; 1 for anything that is no number."""
+    whole = F.when(F.isnan(value) | value.isNull() | (F.abs(value) == float("inf")), F.lit(1.0)).otherwise(F.least(F.greatest(F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double"), F.lit(1.0)), F.lit(float(most))))
+    return whole.cast("int")
+
+
 def properties(columns: list[str]) -> Column:
     """A map of the non-null columns, values as text."""
     bag = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, shaping
 from ..operators import edges as edge_ops
-from ..operators import graph, listings
+from ..operators import graph, listings, views
 from ..operators.imports import resolve_imports
-from ..operators.symbols import Scope, bare_names, qualified_names
+from ..operators.symbols import Scope, bare_names, call_names, instance_names, qualified_names, resolve_bases
 from ..schemas import GRAPH_EDGES, GRAPH_NODES
+from ..settings import Settings
 from ..sources import archives, clones, files
-from .project import attached, derived, fitted, layout
+from .project import attached, derived, fitted, layout, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -419,11 +420,13 @@ def language_percent(spark, sf_dir):
     return counts.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("total")))).where("lang is not null").select("lang", shaping.percent(F.col("n"), F.col("total")).alias("percent"))
 
 
-@query(f"""WITH {NODES}, parts AS (SELECT 'P' || p_partkey AS id, row_number() OVER (ORDER BY p_brand, p_size, p_name, 'P' || p_partkey) - 1 AS place FROM part)
-  SELECT id, CAST(place % 14 * 220 AS BIGINT) AS x, CAST(place // 14 * 90 AS BIGINT) AS y FROM parts""")
+@query("""WITH parts AS (SELECT 'P' || p_partkey AS id, row_number() OVER (ORDER BY p_brand, p_size, p_name, 'P' || p_partkey) - 1 AS place, count(*) OVER () AS n FROM part),
+    nations AS (SELECT 'N' || n_nationkey AS id, row_number() OVER (ORDER BY n_name, 'N' || n_nationkey) - 1 AS place, count(*) OVER () AS n FROM nation),
+    wide AS (SELECT CAST(ceil(count(*) / 14.0) * 250 + 90 AS BIGINT) AS w FROM nation)
+  SELECT id, CAST(w + place // 14 * 250 AS BIGINT) AS x, CAST(place % 14 * 58 AS DOUBLE) AS y FROM parts, wide
+  UNION ALL SELECT id, CAST(place // 14 * 250 AS BIGINT), CAST(place % 14 * 58 AS DOUBLE) FROM nations""")
 def layout_places(spark, sf_dir):
-    placed = layout(Tables(spark, sf_dir).nodes.where("kind = 'symbol'"))
-    return placed.select("id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    return layout(Tables(spark, sf_dir).nodes.where("kind <> 'repository'")).select("id", "x", "y")
 
 
 # ---- resolution ---------------------------------------------------------------------------
@@ -567,7 +570,7 @@ def sniff_prefix(spark, sf_dir):
     return docs.select("doc_id", F.contains(F.substring(F.col("text").cast("binary"), 1, files.SNIFFED), F.lit(b"Th")).alias("sniffed"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN printf('%.0f B', o_totalprice) ELSE round(CAST(o_totalprice / 1024 AS DECIMAL(20, 6)), 1) || ' KB' END AS label FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN printf('%.0f B', o_totalprice) ELSE regexp_replace(CAST(round(CAST(o_totalprice / 1024 AS DECIMAL(20, 6)), 1) AS VARCHAR), '\\.0$', '') || ' KB' END AS label FROM orders""")
 def size_labels(spark, sf_dir):
     return Tables(spark, sf_dir).orders.select("o_orderkey", shaping.size_label(F.col("o_totalprice")).alias("label"))
 
@@ -590,3 +593,137 @@ def workspace_metadata(spark, sf_dir):
     entries = pages.select(name.alias("relative_path"), F.lit(False).alias("is_dir"), F.octet_length("html").cast("long").alias("length"))
     share = F.col("language_stats")["HTML"] / 100 * F.col("file_count")
     return files.metadata(entries, False).select(F.col("file_count").cast("long").alias("file_count"), "directory_count", "total_size_bytes", "has_readme", "has_git", F.round(share).cast("long").alias("html_files"))
+
+
+# ---- more resolution: instances, call order, bases, whole edges ---------------------------------
+
+
+@query("""WITH m AS (SELECT p_brand, p_size, replace(p_name, ' ', '_') AS name, count(*) AS n, min('P' || p_partkey) AS id FROM part GROUP BY 1, 2, 3)
+  SELECT p_brand AS file_id, CAST(p_size AS VARCHAR) AS parent, 'self.' || name AS name, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS target_symbol_id FROM m""")
+def resolve_instance(spark, sf_dir):
+    """Methods of one class: brand is the file, size the class, name the method."""
+    t = Tables(spark, sf_dir)
+    methods = t.part.select(part_id("p_partkey").alias("id"), F.col("p_brand").alias("file_id"), F.col("p_size").cast("string").alias("parent_symbol_id"), F.lit("method").alias("kind"), F.translate("p_name", " ", "_").alias("name"))
+    none = t.part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file_id"), F.lit(None).cast("string").alias("alias"), F.expr("cast(array() as array<string>)").alias("imported_names")).limit(0)
+    scope = Scope(methods, none, none.select(F.col("id").alias("import_id"), "file_id", F.lit("resolved").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id")))
+    refs = methods.select("file_id", "parent_symbol_id", F.concat(F.lit("self."), "name").alias("name")).distinct()
+    return instance_names(scope, refs).select("file_id", F.col("parent_symbol_id").alias("parent"), "name", "result.status", "result.target_symbol_id")
+
+
+def two_kinds(t: Tables) -> DataFrame:
+    """Parts as functions, parts of odd size as classes, in the file of their brand."""
+    kind = F.when(F.pmod("p_size", F.lit(2)) == 1, "class").otherwise("function")
+    return t.part.select(part_id("p_partkey").alias("id"), F.col("p_brand").alias("file_id"), F.lit(None).cast("string").alias("parent_symbol_id"), kind.alias("kind"), F.translate("p_name", " ", "_").alias("name"))
+
+
+def without_imports(t: Tables, symbols: DataFrame) -> Scope:
+    none = t.part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file_id"), F.lit(None).cast("string").alias("alias"), F.expr("cast(array() as array<string>)").alias("imported_names")).limit(0)
+    return Scope(symbols, none, none.select(F.col("id").alias("import_id"), "file_id", F.lit("resolved").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id")))
+
+
+KINDS = """s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name, count(*) FILTER (p_size % 2 = 0) AS nf, count(*) FILTER (p_size % 2 = 1) AS nc,
+    min('P' || p_partkey) FILTER (p_size % 2 = 0) AS f, min('P' || p_partkey) FILTER (p_size % 2 = 1) AS c FROM part GROUP BY 1, 2),
+  refs AS (SELECT file_id, name FROM (SELECT DISTINCT p_brand AS file_id FROM part), (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)),
+  found AS (SELECT refs.file_id, refs.name, coalesce(nf, 0) AS nf, coalesce(nc, 0) AS nc, f, c FROM refs LEFT JOIN s USING (file_id, name))"""
+
+
+@query(f"""WITH {KINDS} SELECT file_id, name, CASE WHEN nf = 1 OR nc = 1 THEN 'resolved' WHEN nf > 1 OR nc > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status,
+  CASE WHEN nf = 1 THEN f WHEN nc = 1 THEN c END AS target_symbol_id FROM found""")
+def resolve_call_order(spark, sf_dir):
+    """A bare call is a function, else a class, else ambiguous if either is."""
+    t = Tables(spark, sf_dir)
+    return call_names(without_imports(t, two_kinds(t)), every_name(t)).select("file_id", "name", "result.status", "result.target_symbol_id")
+
+
+@query(f"""WITH {KINDS} SELECT file_id, name, CASE WHEN nc = 1 THEN 'resolved' WHEN nc > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN nc = 1 THEN c END AS target_symbol_id FROM found""")
+def resolve_inheritance(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return resolve_bases(without_imports(t, two_kinds(t)), every_name(t)).select("file_id", "name", "result.status", "result.target_symbol_id")
+
+
+@query(f"""WITH {SUCCESSIONS}, pairs AS (SELECT DISTINCT l_partkey AS a, next_part AS b FROM successions WHERE l_quantity >= 49)
+  SELECT 'P' || a AS file_id, './' || lower(y.p_type) || '_' || b AS module, CASE WHEN x.p_brand = y.p_brand THEN 'resolved' ELSE 'unresolved' END AS resolution_status,
+    CASE WHEN x.p_brand = y.p_brand THEN 'P' || b END AS target_file_id FROM pairs JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b
+  UNION ALL SELECT 'P' || p_partkey, 'react', 'unresolved', NULL FROM part WHERE p_size = 1""")
+def ecmascript_imports(spark, sf_dir):
+    """Relative specifiers resolve beside the importing file; bare ones never do."""
+    t = Tables(spark, sf_dir)
+    scripts = module_files(t).withColumns({"path": F.regexp_replace("path", "py$", "tsx"), "language": F.lit("typescript")})
+    pairs = t.successions.where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
+    its = t.part.select(F.col("p_partkey").alias("b"), F.concat(F.lit("./"), F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string")).alias("module"))
+    relative = pairs.join(its, "b").select(F.concat_ws("-", "a", "b").alias("id"), part_id("a").alias("file_id"), "module")
+    bare = t.part.where("p_size = 1").select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("id"), part_id("p_partkey").alias("file_id"), F.lit("react").alias("module"))
+    imports = relative.unionByName(bare).select("id", F.lit("R0").alias("repository_id"), "file_id", "module", F.expr("cast(array() as array<string>)").alias("imported_names"))
+    found = resolve_imports(scripts, imports).select("import_id", "resolution_status", "target_file_id")
+    return found.join(imports.select(F.col("id").alias("import_id"), "file_id", "module"), "import_id").select("file_id", "module", "resolution_status", "target_file_id")
+
+
+@query("""WITH b AS (SELECT p_brand, min(p_partkey) AS base FROM part GROUP BY 1)
+  SELECT 'P' || p_partkey AS source_symbol_id, 'inherits' AS kind, 'resolved' AS resolution_status, 'P' || base AS target_symbol_id FROM part JOIN b USING (p_brand) WHERE p_partkey <> base""")
+def inheritance_edges(spark, sf_dir):
+    """Edges of classes that name the first class of their file as base."""
+    t = Tables(spark, sf_dir)
+    first = t.part.groupBy("p_brand").agg(F.min("p_partkey").alias("base"))
+    name = F.concat(F.lit("C"), F.col("p_partkey").cast("string"))
+    classes = t.part.join(first, "p_brand").select(
+        part_id("p_partkey").alias("id"), F.col("p_brand").alias("file_id"), F.lit("R0").alias("repository_id"), F.lit(None).cast("string").alias("parent_symbol_id"), F.lit("class").alias("kind"), name.alias("name"),
+        F.col("p_size").alias("start_line"), F.col("p_size").alias("end_line"), F.lit(0).alias("start_column"), F.lit(0).alias("end_column"),
+        F.when(F.col("p_partkey") != F.col("base"), F.array(F.concat(F.lit("C"), F.col("base").cast("string")))).alias("base_class_names"),
+    )
+    return edge_ops.inheritance_edges(without_imports(t, classes), classes).select("source_symbol_id", "kind", "resolution_status", "target_symbol_id")
+
+
+# ---- projection, properties, client-side values -------------------------------------------------
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT 'contains' AS kind FROM nation UNION ALL SELECT 'defines' FROM part UNION ALL SELECT 'contains' FROM part WHERE p_size > 25) GROUP BY 1""")
+def structure_edges(spark, sf_dir):
+    """contains and defines of files and (nested) symbols."""
+    t = Tables(spark, sf_dir)
+    nations = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("R0").alias("repository_id"))
+    parts = t.part.select(part_id("p_partkey").alias("id"), F.lit("N0").alias("file_id"), F.lit("R0").alias("repository_id"), F.when(F.col("p_size") > 25, F.lit("P0")).alias("parent_symbol_id"))
+    return structure(nations, parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NODES} SELECT id, kind, CASE WHEN kind = 'symbol' THEN name END AS name, CASE WHEN kind = 'file' THEN name END AS path, CASE WHEN kind = 'repository' THEN name END AS display_name FROM nodes")
+def typed_nodes(spark, sf_dir):
+    """Property bags written and read back by kind."""
+    bags = views.node_properties(Tables(spark, sf_dir).nodes)
+    return views.typed_nodes(bags).select("id", "kind", "name", "path", "display_name")
+
+
+@query("""SELECT conv_id, count(*) = 4 AS has_next, count(*) < 6 AS truncated FROM conversations GROUP BY 1""")
+def paging_flags(spark, sf_dir):
+    turns = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return turns.select("conv_id", views.has_next_page(F.col("n"), 4).alias("has_next"), views.is_truncated(F.lit(6), F.col("n")).alias("truncated"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 'done' ELSE 'failed' END AS import_state,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'locked' WHEN o_orderkey % 3 = 0 THEN 'running' WHEN o_orderkey % 5 = 0 THEN 'done' ELSE 'ready' END AS parse_state,
+    CASE WHEN o_orderkey % 5 <> 0 THEN 'locked' ELSE 'ready' END AS analyze_state, 'locked' AS project_state FROM orders""")
+def pipeline_states(spark, sf_dir):
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    rows = Tables(spark, sf_dir).orders.select(
+        "o_orderkey",
+        (k % 2 == 1).alias("import_done"), F.lit(False).alias("import_pending"), F.lit("failed").alias("import_error"),
+        (k % 5 == 0).alias("parse_done"), (k % 3 == 0).alias("parse_pending"), none.alias("parse_error"),
+        F.lit(False).alias("analyze_done"), F.lit(False).alias("analyze_pending"), F.lit("").alias("analyze_error"),
+        F.lit(False).alias("project_done"), F.lit(False).alias("project_pending"), none.alias("project_error"),
+    )
+    return views.pipeline_states(rows).select("o_orderkey", "import_state", "parse_state", "analyze_state", "project_state")
+
+
+@query("""SELECT count(*) AS entries, CAST(sum(o_custkey) AS BIGINT) AS bytes, count(*) FILTER (o_custkey > 1000) AS oversize, count(*) FILTER (o_custkey <= 1000 AND o_custkey > 50 * (1 + o_orderkey % 30)) AS suspicious FROM orders""")
+def archive_limits(spark, sf_dir):
+    """Totals of an archive's entries, and entries over a limit of their own."""
+    entries = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("size"), (1 + F.pmod("o_orderkey", F.lit(30))).alias("packed"), F.lit(0).cast("long").alias("attributes"))
+    found = archives.problems(entries, Settings(max_archive_entry_bytes=1000, max_archive_ratio=50)).agg(F.count_if(F.col("problem").contains("per-file")).alias("oversize"), F.count_if(F.col("problem").contains("ratio")).alias("suspicious"))
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes")).join(found)
+
+
+@query("""SELECT lang AS key, count(*) > 0 AS shown FROM documents WHERE lang IS NOT NULL GROUP BY 1""")
+def shares_labels(spark, sf_dir):
+    docs = Tables(spark, sf_dir).documents.where("lang is not null")
+    stats = docs.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("stats"))
+    text = stats.select(shaping.shares_label(F.col("stats")).alias("text"))
+    return docs.select(F.col("lang").alias("key")).distinct().join(F.broadcast(text)).select("key", F.contains(F.col("text"), F.col("key")).alias("shown"))

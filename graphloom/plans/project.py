@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import GRAPH_EDGES, GRAPH_NODES
@@ -61,14 +61,29 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.dropDuplicates(["id"])
 
 
-def layout(nodes: DataFrame, per_row: int = 14, dx: int = 220, dy: int = 90) -> DataFrame:
-    """Places for drawing: a band per kind, rows of per_row inside it.
-
-    Symbols are ordered by file, line, label and id, other nodes by label and id."""
-    from pyspark.sql import Window
-
-    label = F.coalesce("name", "path", "display_name", "id")
-    order = Window.partitionBy("kind").orderBy(F.when(F.col("kind") == "symbol", F.col("file_id")), F.when(F.col("kind") == "symbol", F.col("start_line")), label, "id")
-    place = F.row_number().over(order) - 1
-    placed = nodes.select("id", "kind", place.alias("place"))
-    return placed.select("id", "kind", (F.pmod("place", F.lit(per_row)) * dx).alias("x"), (F.floor(F.col("place") / per_row) * dy).alias("y"))
+# fixed values: rows before a column wraps, row height, width of a sub-column, gap between kinds
+ROWS, ROW_HEIGHT, COLUMN_WIDTH, KIND_GAP = 14, 58, 250, 90
+KIND_ORDER = ("repository", "file", "symbol", "unknown")
+
+
+def layout(nodes: DataFrame) -> DataFrame:
+    """(id, kind, x, y) for drawing: kinds left to right, each in columns of ROWS nodes, centred.
+
+    Symbols are ordered by file, line, label and id, other nodes by label and id.  Unknown
+    kinds come last.  The same nodes always get the same places."""
+    known = F.when(F.col("kind").isin(*KIND_ORDER[:-1]), F.col("kind")).otherwise(F.lit("unknown"))
+    symbol = known == "symbol"
+    label = F.coalesce(F.when(symbol, F.coalesce("qualified_name", "name")), F.col("path"), F.col("display_name"), F.col("name"), F.col("id"))
+    keyed = nodes.select("id", known.alias("kind"), F.when(symbol, F.coalesce("file_id", F.lit(""))).alias("f"), F.when(symbol, F.coalesce("start_line", F.lit(0))).alias("l"), label.alias("label"))
+    placed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("f", "l", "label", "id")) - 1)
+    # at most one row for each of the four kinds
+    sizes = keyed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
+    width = F.ceil(F.col("n") / ROWS) * COLUMN_WIDTH + KIND_GAP
+    before = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = F.least("n", F.lit(ROWS))
+    bands = sizes.withColumn("order", order).select("kind", F.coalesce(F.sum(width).over(before), F.lit(0)).alias("left"), ((F.max(rows).over(everywhere) - rows) * ROW_HEIGHT / 2).alias("top"))
+    x = F.col("left") + F.floor(F.col("place") / ROWS) * COLUMN_WIDTH
+    y = F.col("top") + F.pmod("place", F.lit(ROWS)) * ROW_HEIGHT
+    return placed.join(F.broadcast(bands), "kind").select("id", "kind", x.cast("long").alias("x"), y.cast("double").alias("y"))

@@ -46,9 +46,18 @@ def test_proper_suffixes(spark):
 
 def test_shares_and_sizes(spark):
     row = spark.range(1).select(shaping.percent(F.lit(1), F.lit(16)).alias("tie"), shaping.percent(F.lit(1), F.lit(0)).alias("none"), shaping.size_label(F.lit(512)).alias("b"), shaping.size_label(F.lit(1536)).alias("k"), shaping.size_label(F.lit(5 << 30)).alias("g")).first()
-    assert (row.tie, row.none, row.b, row.k, row.g) == (6.2, None, "512 B", "1.5 KB", "5.0 GB")
+    assert (row.tie, row.none, row.b, row.k, row.g) == (6.2, None, "512 B", "1.5 KB", "5 GB")
 
 
 def test_property_bag_leaves_out_nulls(spark):
     df = spark.createDataFrame([("a", None)], "x string, y string")
     assert df.select(shaping.properties(["x", "y"])).first()[0] == {"x": "a"}
+
+
+def test_labels_and_depths(spark):
+    row = spark.range(1).select(
+        shaping.shares_label(F.create_map(F.lit("B"), F.lit(12.5), F.lit("A"), F.lit(87.5))).alias("two"),
+        shaping.shares_label(F.expr("cast(map() as map<string,double>)")).alias("none"),
+        *[shaping.depth_within(F.lit(v).cast("double"), 10).alias(f"d{i}") for i, v in enumerate((2.9, -3.0, 99.0, float("nan")))],
+    ).first()
+    assert tuple(row) == ("A 87.5%, B 12.5%", "No languages detected", 2, 1, 10, 1)

@@ -105,8 +105,10 @@ def test_projection_uses_state_not_target(spark):
 
 
 def test_layout_rows(spark):
-    nodes, _ = made(spark, [], [f"n{i:02d}" for i in range(16)], "file")
-    assert [(r.x, r.y) for r in layout(nodes).orderBy("id").collect()][13:] == [(13 * 220, 0), (0, 90), (220, 90)]
+    files = made(spark, [], [f"n{i:02d}" for i in range(16)], "file")[0]
+    one = made(spark, [], ["R"], "repository")[0]
+    placed = {r.id: (r.x, r.y) for r in layout(files.unionByName(one)).collect()}
+    assert placed["R"] == (0, 13 * 58 / 2) and placed["n00"] == (340, 0) and placed["n13"] == (340, 13 * 58) and placed["n15"] == (590, 58)
 
 
 def test_store_replaces_one_partition(spark, tmp_path):

@@ -143,8 +143,8 @@ def renderable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def omitted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: edges shown and edges left out because an end is not loaded."""
-    total = edges.agg(F.count(F.lit(1)).alias("total"))
-    return renderable(nodes, edges).agg(F.count(F.lit(1)).alias("shown")).join(total).select("shown", (F.col("total") - F.col("shown")).alias("omitted"))
+    marks = renderable(nodes, edges).select(F.lit(True).alias("kept")).unionByName(edges.select(F.lit(False).alias("kept")))
+    return marks.agg(F.count_if("kept").alias("shown"), (F.count_if(~F.col("kept")) - F.count_if("kept")).alias("omitted"))
 
 
 # ---- traversal --------------------------------------------------------------------

@@ -77,12 +77,10 @@ def last_parsed_at(files: DataFrame) -> DataFrame:
 
 
 def parse_summary(files: DataFrame, errors: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """One row of counts."""
-
-    def one(rows: DataFrame, name: str) -> DataFrame:
-        return rows.agg(F.count(F.lit(1)).alias(name))
-
-    out = one(files, "files_parsed")
-    for rows, name in ((errors, "errors"), (symbols, "symbols"), (imports, "imports")):
-        out = out.join(one(rows, name))  # one row beside one row
-    return out
+    """One row of counts, all tables counted in one aggregation."""
+    tables = {"files_parsed": files, "errors": errors, "symbols": symbols, "imports": imports}
+    marks = None
+    for name, rows in tables.items():
+        marked = rows.select(F.lit(name).alias("of"))
+        marks = marked if marks is None else marks.unionByName(marked)
+    return marks.agg(*[F.count_if(F.col("of") == name).alias(name) for name in tables])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, shaping
@@ -417,7 +417,8 @@ def freshness(spark, sf_dir):
 def language_percent(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("total")))).where("lang is not null").select("lang", shaping.percent(F.col("n"), F.col("total")).alias("percent"))
+    total = F.sum("n").over(Window.partitionBy())  # over one row per language
+    return counts.select("lang", shaping.percent(F.col("n"), total).alias("percent")).where("lang is not null")
 
 
 @query("""WITH parts AS (SELECT 'P' || p_partkey AS id, row_number() OVER (ORDER BY p_brand, p_size, p_name, 'P' || p_partkey) - 1 AS place, count(*) OVER () AS n FROM part),
@@ -718,12 +719,12 @@ def archive_limits(spark, sf_dir):
     """Totals of an archive's entries, and entries over a limit of their own."""
     entries = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("size"), (1 + F.pmod("o_orderkey", F.lit(30))).alias("packed"), F.lit(0).cast("long").alias("attributes"))
     found = archives.problems(entries, Settings(max_archive_entry_bytes=1000, max_archive_ratio=50)).agg(F.count_if(F.col("problem").contains("per-file")).alias("oversize"), F.count_if(F.col("problem").contains("ratio")).alias("suspicious"))
-    return entries.agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes")).join(found)
+    whole = entries.agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes")).withColumn("one", F.lit(1))
+    return whole.join(found.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 @query("""SELECT lang AS key, count(*) > 0 AS shown FROM documents WHERE lang IS NOT NULL GROUP BY 1""")
 def shares_labels(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.where("lang is not null")
     stats = docs.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("stats"))
-    text = stats.select(shaping.shares_label(F.col("stats")).alias("text"))
-    return docs.select(F.col("lang").alias("key")).distinct().join(F.broadcast(text)).select("key", F.contains(F.col("text"), F.col("key")).alias("shown"))
+    return stats.select(F.explode(F.map_keys("stats")).alias("key"), shaping.shares_label(F.col("stats")).alias("text")).select("key", F.contains(F.col("text"), F.col("key")).alias("shown"))

@@ -258,9 +258,10 @@ class Engine:
     def statistics(self, repository_id: str, limit: int = 10) -> dict:
         self._checked(limit)
         nodes, edges = self._graph(repository_id)
-        parsed_at = listings.last_parsed_at(self._t("parsed_files", repository_id))
-        projected = nodes.where("kind = 'repository'").agg(F.max("projected_at").alias("projected_at")).join(parsed_at)
-        state = projected.withColumn("freshness", graph.freshness(F.col("projected_at"), F.col("last_parsed_at")))
+        parsed = self._t("parsed_files", repository_id).select(F.lit(None).cast("timestamp").alias("p"), F.col("parsed_at").alias("q"))
+        times = nodes.where("kind = 'repository'").select(F.col("projected_at").alias("p"), F.lit(None).cast("timestamp").alias("q")).unionByName(parsed)
+        latest = times.agg(F.max("p").alias("projected_at"), F.max("q").alias("last_parsed_at"))
+        state = latest.withColumn("freshness", graph.freshness(F.col("projected_at"), F.col("last_parsed_at")))
         by_node = {r["kind"]: r["n"] for r in self._limited(lambda: graph.nodes_by_kind(nodes))}
         by_edge = {r["kind"]: r["n"] for r in self._limited(lambda: graph.relationships_by_kind(edges))}
         return {

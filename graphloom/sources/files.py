@@ -93,17 +93,19 @@ def metadata(entries: DataFrame, has_git: bool, scanned_at: datetime | None = No
     """One row: counts, bytes, language shares over all files, readme and git flags."""
     counted = F.create_map(*[F.lit(x) for pair in COUNTED_SUFFIXES.items() for x in pair])
     name = F.regexp_extract("relative_path", "[^/]*$", 0)
-    files = entries.where(~F.col("is_dir")).withColumn("language", counted[suffix(F.col("relative_path"))])
-    totals = entries.agg(
-        F.count_if(~F.col("is_dir")).cast("int").alias("file_count"),
-        F.count_if("is_dir").cast("int").alias("directory_count"),
-        F.coalesce(F.sum("length"), F.lit(0)).alias("total_size_bytes"),
-        F.coalesce(F.bool_or(~F.col("is_dir") & F.startswith(F.upper(name), F.lit("README"))), F.lit(False)).alias("has_readme"),
-    )
-    shares = files.where("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    listed = shares.agg(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("language"))), asc=False).alias("by_count"))
-    stats = F.map_from_entries(F.transform("by_count", lambda e: F.struct(e["language"], percent(e["n"], F.col("file_count")))))
-    return totals.crossJoin(F.broadcast(listed)).select(  # one row beside one row
+    language = F.when(~F.col("is_dir"), counted[suffix(F.col("relative_path"))])
+    readme = ~F.col("is_dir") & F.startswith(F.upper(name), F.lit("README"))
+    # first per language (a row for each known one, and one for the rest), then over those few rows
+    each = entries.withColumn("language", language).groupBy("language").agg(
+        F.count_if(~F.col("is_dir")).alias("files"), F.count_if("is_dir").alias("folders"), F.sum("length").alias("bytes"), F.bool_or(readme).alias("readme")
+    )
+    by_count = F.sort_array(F.collect_list(F.when(F.col("language").isNotNull(), F.struct(F.col("files"), F.col("language")))), asc=False)
+    whole = each.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).cast("int").alias("file_count"), F.coalesce(F.sum("folders"), F.lit(0)).cast("int").alias("directory_count"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_size_bytes"), F.coalesce(F.bool_or("readme"), F.lit(False)).alias("has_readme"), by_count.alias("by_count"),
+    )
+    stats = F.map_from_entries(F.transform("by_count", lambda e: F.struct(e["language"], percent(e["files"], F.col("file_count")))))
+    return whole.select(
         "file_count", "directory_count", "total_size_bytes", stats.alias("language_stats"), "has_readme",
         F.lit(has_git).alias("has_git"), F.lit(scanned_at or datetime.now(UTC)).alias("scanned_at"),
     )

@@ -71,7 +71,7 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 def length_quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
     """For each share q: the least length that at least a share q of the documents do not exceed."""
-    total = histogram.agg(F.sum("documents").alias("total"))
-    at_most = histogram.crossJoin(F.broadcast(total)).withColumn("at_most", F.col("total") - F.col("documents_at_least") + F.col("documents"))  # one row beside each
+    total = F.lit(histogram.agg(F.sum("documents")).first()[0] or 0)
+    at_most = histogram.withColumn("at_most", total - F.col("documents_at_least") + F.col("documents"))
     asked = at_most.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
-    return asked.where(F.col("at_most") >= F.ceil(F.col("share") * F.col("total"))).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    return asked.where(F.col("at_most") >= F.ceil(F.col("share") * total)).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))

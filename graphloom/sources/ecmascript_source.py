@@ -119,6 +119,16 @@ class Reader:
         self.record = FileRecord(has_syntax_errors=not fine)
         self.lines = [0] + [m.end() for m in re.finditer("\n", self.text)]
         self.scopes: list[tuple[int, int, int]] = []  # first token, last token, symbol
+        self.members: dict[int, bool] = {}  # opening brace to whether its body holds members
+        #: the innermost bracket group around each token, -1 at top level
+        self.around: list[int] = []
+        open_: list[int] = []
+        for i, token in enumerate(self.tokens):
+            if open_ and token.pair == open_[-1]:
+                open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            if token.pair > i:
+                open_.append(i)
 
     # ---- helpers ----------------------------------------------------------------
 
@@ -261,18 +271,12 @@ class Reader:
 
     def in_members(self, i: int) -> bool:
         """Whether token i stands directly in a class body or an object literal."""
-        j = i - 1
-        while j >= 0 and not self.is_(j, "{"):
-            if self.is_(j, "(", "["):
-                return False
-            j = self.tokens[j].pair - 1 if self.is_(j, "}", ")", "]") and self.tokens[j].pair >= 0 else j - 1
-        if j < 0:
+        j = self.around[i]
+        if not self.is_(j, "{"):
             return False
-        if j in self.members:
-            return self.members[j]
-        before = j - 1
-        literal = self.is_(before, "(", ",", "=", ":", "[", "return", "?", "&", "|", "default", "=>") and not (self.is_(before, "=>"))
-        self.members[j] = literal or self.class_brace(j)
+        if j not in self.members:
+            literal = self.is_(j - 1, "(", ",", "=", ":", "[", "return", "?", "&", "|", "default")
+            self.members[j] = literal or self.class_brace(j)
         return self.members[j]
 
     def class_brace(self, j: int) -> bool:
@@ -291,12 +295,6 @@ class Reader:
             k -= 1
         return False
 
-    @property
-    def members(self) -> dict[int, bool]:
-        if not hasattr(self, "_members"):
-            self._members: dict[int, bool] = {}
-        return self._members
-
     def add(self, kind: str, name: int | tuple[int, int], first: int, last: int, opening: int | None, enclosing: int | None, brace: int | None = None) -> tuple[int, int, int]:
         low, high = name if isinstance(name, tuple) else (name, name)
         label = self.code(low, high)
@@ -392,17 +390,19 @@ class Reader:
             found = self.call_at(i)
             if found:
                 calls.append(found)
-        calls.sort(key=lambda c: (c[0], -c[1]))
-        owners = sorted(self.scopes, key=lambda s: (s[0], -s[1]))
+        calls.sort(key=lambda c: c[3])
+        waiting = sorted(self.scopes, key=lambda s: (s[0], -s[1]), reverse=True)
+        inside: list[tuple[int, int, int]] = []
+        owned = []
         for start, end, callee, token in calls:
-            owner = None
-            for first, last, symbol in owners:
-                if first > token:
-                    break
-                if last >= token:
-                    owner = symbol
-            if owner is not None and self.record.symbols[owner].kind != "class":
-                self.record.symbols[owner].calls.append(CallRecord(callee, self.line(start), self.line(end)))
+            while waiting and waiting[-1][0] <= token:
+                inside.append(waiting.pop())
+            while inside and inside[-1][1] < token:
+                inside.pop()
+            if inside and self.record.symbols[inside[-1][2]].kind != "class":
+                owned.append((start, -end, callee, inside[-1][2]))
+        for start, end, callee, owner in sorted(owned):
+            self.record.symbols[owner].calls.append(CallRecord(callee, self.line(start), self.line(-end)))
 
     def call_at(self, i: int) -> tuple[int, int, str, int] | None:
         """(start, end, callee, token) if token i opens a call's arguments or is a tagged template."""
@@ -424,7 +424,7 @@ class Reader:
             head = self.tokens[last].pair - 1
             if self.is_(head, *HEADS) and not self.is_(head - 1, "."):
                 return None
-        if any(opening == i for opening in self.heads):
+        if i in self.heads:
             return None
         if tagged and "\n" in self.text[before.end : self.tokens[i].start]:
             return None
@@ -465,10 +465,7 @@ class Reader:
         return self.is_(follows, ":") and self.is_(i - 2, "{", ";", "}") and self.in_members_or_interface(i - 1)
 
     def in_members_or_interface(self, i: int) -> bool:
-        j = i - 1
-        while j >= 0 and not self.is_(j, "{"):
-            j = self.tokens[j].pair - 1 if self.is_(j, "}", ")", "]") and self.tokens[j].pair >= 0 else j - 1
-        k = j - 1
+        k = self.around[i] - 1
         while k >= 0 and not self.is_(k, ";", "{", "}"):
             if self.is_(k, "interface", "class", "type"):
                 return True

@@ -46,10 +46,13 @@ def repaired(text: str) -> tuple[ast.Module | None, str, bool]:
 
 class Collector:
     def __init__(self, text: str, record: FileRecord):
-        self.text, self.record = text, record
+        self.raw, self.record = text.encode(), record
+        #: byte at which each line begins; columns of the tree are bytes too
+        self.lines = [0, *[i + 1 for i, b in enumerate(self.raw) if b == 10]]
 
     def source(self, node: ast.AST) -> str:
-        return ast.get_source_segment(self.text, node) or ast.unparse(node)
+        start = self.lines[node.lineno - 1] + node.col_offset
+        return self.raw[start : self.lines[node.end_lineno - 1] + node.end_col_offset].decode()
 
     def collect(self, tree: ast.Module) -> None:
         # an explicit stack, in source order, so that deep nesting cannot overflow

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 from .shared import ID, TEXT, id_text, slices, small_arrow_batches
 
 #: Words that a worker remembers.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 200_000
+FINAL_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
 #: Text that shares one pair index.
 SLICE_BYTES = 8 << 20
 
@@ -44,6 +46,9 @@ class PairIndexBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if not splits_at_spaces(self.library):
+            raise ValueError("a vocabulary whose tokens never cross white space is needed")
+        self.lowers = drops_case(self.library)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -183,8 +188,8 @@ class PairIndexBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [spaced(text) for text in texts]
-        new = {w for words in split for w in words}.difference(self.words)
+        split = [word_parts(text, self.lowers) for text in texts]
+        new = set().union(*split).difference(self.words)
         full = len(self.words) + len(new) > CACHED_WORDS
         self.learn(sorted(new))
         known = self.words.__getitem__
@@ -205,9 +210,27 @@ class PairIndexBpe:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def spaced(text: str) -> list[str]:
-    """Parts between ASCII white space, which every pre-tokenizer rule here splits at and drops."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def splits_at_spaces(library) -> bool:
+    """Whether a file's ids of a text are those of its words, and of a full stop or comma by itself."""
+    probe = [list(library.encode(t, add_special_tokens=False).ids) for t in ("ab, Cd e.", "ab", ",", "Cd", "e", ".")]
+    return probe[0] == sum(probe[1:], [])
+
+
+def drops_case(library) -> bool:
+    return library.encode("ÀB cd", add_special_tokens=False).ids == library.encode("àb cd", add_special_tokens=False).ids
+
+
+def word_parts(text: str, lowers: bool) -> list[str]:
+    """A text cut where no token can cross: at ASCII white space and, in Latin-1 text, before a
+    single full stop or comma that follows a letter.  Case is dropped early if the file drops it."""
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if lowers and "<" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        text = FINAL_STOP.sub(r" \1", text.lower())
+    return text.split(" ")
 
 
 def apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:

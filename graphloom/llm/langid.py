@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ MAX_ROWS, MAX_WORDS, LONGEST = 8_000, 20_000, 4
 MAX_LANGUAGES = 512
 #: Log penalty for each n-gram length given up.
 BACKOFF = math.log(0.4)
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 150_000
 UNDETERMINED = "und"
 WORDS = regex.compile(r"\p{L}+")
 
@@ -116,17 +116,19 @@ class Scorer:
 
     def totals(self, texts: list[str]) -> np.ndarray:
         split = [text.split() for text in texts]
-        new = {w for words in split for w in words}.difference(self.known)
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known, self.table = {}, self.table[:0]
-            new = {w for words in split for w in words}
+        new = list(set().union(*split).difference(self.known))
+        full, kept = len(self.known) + len(new) > CACHED_CHUNKS, len(self.table)
         if new:
-            self.learn(sorted(new))
+            self.learn(new)
         at = self.known.__getitem__
         out = np.zeros((len(texts), self.width + 1))
         for i, words in enumerate(split):
             if words:
                 out[i] = self.table[np.fromiter(map(at, words), np.int64, len(words))].sum(0, dtype=np.float64)
+        if full:  # what was met first stays; the rest is forgotten at once
+            for word in new:
+                del self.known[word]
+            self.table = self.table[:kept].copy()
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -155,9 +157,10 @@ def train(docs: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str
     languages = sorted(r[0] for r in counts.select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))
-    best = counts.withColumn("rank", rank).where(F.col("rank") <= max_words).orderBy("label", "rank")
-    kept = [(r["word"], r["label"], r["n"]) for r in best.select("word", "label", "n").collect()]  # bounded by both limits
+    kept: list[tuple[str, str, int]] = []
+    for language in languages:
+        best = counts.where(F.col("label") == language).orderBy(F.desc("n"), "word").limit(max_words)
+        kept += [(r["word"], language, r["n"]) for r in best.select("word", "n").collect()]
     return BackoffModel(kept, languages, longest)
 
 

@@ -17,7 +17,6 @@ ids each shard holds, so the place of every document in the whole is known.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import drops_case, splits_at_spaces, word_parts
 from .shared import ID, id_text, scratch, slices, small_arrow_batches, stored
 
 MAGIC, FOOTER = b"GLIDPK01", struct.Struct("<6Q")
@@ -41,7 +41,6 @@ MAX_SHARDS = 10_000
 CACHED_WORDS = 700_000
 NUL = "\x00"
 T_ = TypeVar("T_")
-FINAL_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
@@ -166,9 +165,7 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        probe = [[*self.library.encode(t, add_special_tokens=False).ids] for t in ("ab, Cd e", "ab,", "Cd", "e")]
-        self.by_word = probe[0] == probe[1] + probe[2] + probe[3]
-        self.lowers = self.library.encode("ÀB cd", add_special_tokens=False).ids == self.library.encode("àb cd", add_special_tokens=False).ids
+        self.by_word, self.lowers = splits_at_spaces(self.library), drops_case(self.library)
         tokenize = self.library.model.tokenize
         #: whether lower-case ASCII words go to the model as they are
         self.direct = self.lowers and all([t.id for t in tokenize(w)] == self.library.encode(w, add_special_tokens=False).ids for w in ("a", "the", "wordlike", "qzxv"))
@@ -176,18 +173,6 @@ class LibraryEncoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.words: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
-        """A text cut where no token can cross: at ASCII white space and, in Latin-1 text, before a
-        single full stop or comma that follows a letter.  Case is dropped early if the file drops it."""
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if self.lowers and "<" not in text:
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text.split(" ")
-            text = FINAL_STOP.sub(r" \1", text.lower())
-        return text.split(" ")
-
     def learn(self, words: list[str]) -> None:
         """Encode many words in few calls: a NUL, one token of its own, marks where each ends."""
         if self.direct:
@@ -225,7 +210,7 @@ class LibraryEncoder:
 
     def over_words(self, texts: list[str], combine: Callable[[Iterable[bytes]], T_]) -> list[T_]:
         """combine() over the ids of each text's words."""
-        split = [self.parts(t) for t in texts]
+        split = [word_parts(t, self.lowers) for t in texts]
         new = list(set().union(*split).difference(self.words))
         full = len(self.words) + len(new) > CACHED_WORDS
         self.learn(new)

@@ -28,9 +28,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends
-    there, and a lost executor costs nothing that was finished before."""
+    there, and a lost executor costs nothing that was finished before.
+
+    files: most files to write, for tables whose size is known to be small."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

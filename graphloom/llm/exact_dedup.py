@@ -63,8 +63,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("digest").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "digest").limit(counters).select("digest")
     )
-    frequent = stored(frequent, "frequent")
-    winners = stored(groups(rows.join(F.broadcast(frequent), "digest", "left_semi")).where("group_size > 1"), "winners")
+    frequent = stored(frequent, "frequent", 1)
+    winners = stored(groups(rows.join(F.broadcast(frequent), "digest", "left_semi")).where("group_size > 1"), "winners", 1)
     heavy = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     light = rest.join(groups(rest), "digest")

@@ -35,6 +35,8 @@ SHINGLE, BITS, SEED = 4, 4, 42
 #: Nodes of one key that a task takes together; larger keys are dealt out in pairs of chunks.
 KEY_ROWS = 8192
 FANOUT = 8
+#: Short rows in a file of a stored table.
+FILE_ROWS = 100_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Byte value to eight lanes of a 64-bit word, lane i holding bit i.
 LANES = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) @ (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8)))
@@ -242,12 +244,18 @@ def connect_partition(bits: int):
     return run
 
 
+def files_for(rows: int) -> int:
+    """Files for a table of so many short rows."""
+    return 1 + rows // FILE_ROWS
+
+
 def pointers(nodes: DataFrame, bits: int = BITS, key_rows: int = KEY_ROWS) -> DataFrame:
     """(x, p) pointers that connect exactly the fingerprints linked through steps of at most `bits`."""
     spark = nodes.sparkSession
-    keys = block_keys(F.col("fp"), bits, shared_blocks(nodes.count()))
+    count = nodes.count()
+    keys = block_keys(F.col("fp"), bits, shared_blocks(count))
     routed = stored(nodes.select("fp", F.explode(keys).alias("key")), "routed")
-    sizes = stored(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    sizes = stored(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes", files_for(8 * count))
     # a key beyond key_rows is cut into chunks; a chunk meets each other chunk in a key of its own
     routed = routed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / F.lit(key_rows)).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
@@ -268,15 +276,16 @@ def roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
     flip = F.lit(-(1 << 63))
     edges = stored(edges.select(F.col("x").bitwiseXOR(flip).alias("x"), F.col("p").bitwiseXOR(flip).alias("p")).distinct(), "edges")
     for _ in range(rounds):
-        least = stored(edges.groupBy("x").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        files = files_for(edges.count())
+        least = stored(edges.groupBy("x").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n")), "least", files)
         many = least.where("n > 1").select("x", "m")
         side = edges.join(many, "x").where("p <> m").select(F.col("p").alias("x"), F.col("m").alias("p"))
         up = least.select(F.col("x").alias("p"), F.col("m").alias("up"))
         jumped = least.select("x", F.col("m").alias("p")).join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p"), F.col("up").isNotNull().alias("moved"))
-        step = stored(jumped.unionByName(side.withColumn("moved", F.lit(True))), "step")
+        step = stored(jumped.unionByName(side.withColumn("moved", F.lit(True))), "step", files)
         if step.where("moved").isEmpty():
             return step.select(F.col("x").bitwiseXOR(flip).alias("x"), F.col("p").bitwiseXOR(flip).alias("root"))
-        edges = stored(step.select("x", "p").distinct(), "edges")
+        edges = stored(step.select("x", "p").distinct(), "edges", files)
     raise RuntimeError("components did not settle")
 
 
@@ -289,9 +298,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other.  Repeated rows share a component.  An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min(ID).alias("rep")), "nodes")
-    root = stored(roots(pointers(nodes.select("fp"), bits)), "roots")
+    files = files_for(rows.count())
+    nodes = stored(rows.groupBy("fp").agg(F.min(ID).alias("rep")), "nodes", files)
+    root = roots(pointers(nodes.select("fp"), bits))
     rooted = nodes.join(root, nodes.fp == root.x, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
+    named = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named", files)
     return rows.join(named, "fp").select(F.col(ID).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

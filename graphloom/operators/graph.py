@@ -162,7 +162,8 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "ups
     Breadth first, a level at a time: the frontier is joined to the edges, what was seen
     is taken away, and the new level is stored.  kind is the least relationship kind among
     the edges that first reach the node.  The start is never part of the result."""
-    walk = oriented(of_kind(here(edges, repository_id), kind, DEPENDING), direction).select("near", "far", "kind").where("near <> far").distinct()
+    # each level reads the edges again, so they are narrowed and stored once
+    walk = stored(oriented(of_kind(here(edges, repository_id), kind, DEPENDING), direction).select("near", "far", "kind").where("near <> far").distinct(), "walk")
     spark = nodes.sparkSession
     levels = spark.createDataFrame([(start, 0, None)], "id string, depth int, kind string")
     frontier = levels
@@ -186,7 +187,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     spark = nodes.sparkSession
     if source == target:
         return spark.createDataFrame([(True, 0, [source], [], [])], schema)
-    walk = oriented(of_kind(here(edges, repository_id), kind, DEPENDING), "downstream").where("near <> far")
+    walk = stored(oriented(of_kind(here(edges, repository_id), kind, DEPENDING), "downstream").where("near <> far"), "walk")
     seen = frontier = spark.createDataFrame([(source,)], "id string")
     levels: list[DataFrame] = []
     for _ in range(max_depth):

@@ -1,20 +1,27 @@
 """Personal data by patterns and by information theory, in native Spark expressions only.
 
-Patterns give the protected entities.  Around each entity stand context terms; over
-the whole corpus we count the documents of each entity (n_e), of each term (n_t) and of
-the two together in a context (n_et).  Pointwise mutual information against the
-entity's information content,
+Patterns give the protected entities.  An entity has several keys: its value, its parts
+(an e-mail's domain and the words of its local part, the leading numbers of an IP, a card
+or a phone) and its kind.  Most values stand in one document only, so that nothing can be
+learnt about them alone; their parts and kinds are shared.  Around each entity stand
+context terms; over the whole corpus we count the documents of each key (n_e), of each
+term (n_t) and of the two together in a context (n_et).  Pointwise mutual information
+against the key's information content,
 
     disclosure = log2(N n_et / (n_e n_t)) / log2(N / n_e)   (1: the term gives it away),
 
-says how strongly a term reveals the entity.  Terms at or over `generalise_at` are
-generalised, those at or over `remove_at` removed, wherever they stand in that entity's
-context.  Terms need `support` documents with the entity, so that one chance meeting
-is no evidence.
+says how strongly a term reveals the key.  Terms at or over `generalise_at` are
+generalised, those at or over `remove_at` removed, wherever they stand in the context of
+an entity with that key.  Terms need `support` documents with the key, so that one chance
+meeting is no evidence.  Parts and kinds meet many terms by chance, so theirs must also be
+significant: with p = n_et / n_t and q = n_e / N the chance of so many meetings is at most
+exp(-n_t KL(p || q)) (Chernoff), and this, times the number of pairs that were tested
+(Bonferroni), may not exceed `ALPHA`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +45,8 @@ CONTEXT = 48
 #: Array items handled before their output is set aside.
 CHUNK = 256
 SUPPORT, GENERALISE_AT, REMOVE_AT = 2, 0.9, 0.999
+#: The chance that any term of a part or kind is marked by coincidence.
+ALPHA = 0.01
 EMPTY = "cast(array() as array<struct<start:int,end:int,value:string>>)"
 
 
@@ -120,8 +129,36 @@ def of_kind(parts: Column, rank: int, kind: str) -> Column:
     return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), h["end"].alias("end"), h["value"].alias("value")))
 
 
+def parts_of_value(kind: Column, value: Column) -> Column:
+    """What an entity shares with others of its kind, as an array of strings."""
+    number = digits(value)
+    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    email = F.concat(F.array(domain), F.regexp_extract_all(local, F.lit(TERM), 0))
+    ip = F.array(F.substring_index(value, ".", 2), F.substring_index(value, ".", 3))
+    phone = F.array(F.left(number, F.length(number) - 7), F.left(number, F.length(number) - 4))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).otherwise(F.array(F.left(number, F.lit(6))))
+
+
+def keys(span: Column) -> Column:
+    """Array of (key, whole) of an entity: hashes of its value (whole), its parts and its kind."""
+    kind, value = span["kind"], F.lower(span["value"])
+    parts = F.transform(F.array_distinct(parts_of_value(kind, value)), lambda p: F.struct(F.xxhash64(F.lit("part"), kind, p).alias("key"), F.lit(False).alias("whole")))
+    return F.concat(F.array(F.struct(F.xxhash64(kind, value).alias("key"), F.lit(True).alias("whole")), F.struct(F.xxhash64(kind).alias("key"), F.lit(False).alias("whole"))), parts)
+
+
+def keys_of(spans: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(spans, keys)))
+
+
+def significant(n_et: Column, n_t: Column, n_e: Column, total: float, tests: int) -> Column:
+    """Whether n_et meetings among n_t are too many to be chance among `tests` pairs."""
+    p, q = n_et / n_t, n_e / F.lit(total)
+    rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    return n_t * (p * F.log(p / q) + rest) >= math.log(max(tests, 1) / ALPHA)
+
+
 def contexts(text: Column, spans: Column) -> Column:
-    """Array of (entity, term, start, end): the whole words beside each entity, as hashes."""
+    """Array of (entity, whole, term, start, end): the whole words beside each entity, as hashes, with each key of the entity."""
 
     def around(span: Column) -> Column:
         low = F.greatest(span["start"] - CONTEXT, F.lit(0))
@@ -131,8 +168,8 @@ def contexts(text: Column, spans: Column) -> Column:
             words,
             lambda w: ~((w["start"] == 0) & (low > 0)) & ~((w["end"] == high - low) & (high < F.length(text))) & ((w["end"] + low <= span["start"]) | (w["start"] + low >= span["end"])),
         )
-        entity = F.xxhash64(span["kind"], F.lower(span["value"]))
-        return F.transform(whole, lambda w: F.struct(entity.alias("entity"), F.xxhash64(F.lower(w["value"])).alias("term"), (w["start"] + low).alias("start"), (w["end"] + low).alias("end")))
+        placed = F.transform(whole, lambda w: F.struct(F.xxhash64(F.lower(w["value"])).alias("term"), (w["start"] + low).alias("start"), (w["end"] + low).alias("end")))
+        return F.flatten(F.transform(keys(span), lambda k: F.transform(placed, lambda w: F.struct(k["key"].alias("entity"), k["whole"].alias("whole"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
 
     return F.flatten(F.transform(spans, around))
 
@@ -149,20 +186,20 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # entities, then their contexts, are computed once each and stored without the texts
     cut = rows.withColumns({f"__{kind}": parts_of(F.col(TEXT), kind) for kind in PATTERNS})
     marked = cut.withColumn("spans", entities({kind: F.col(f"__{kind}") for kind in PATTERNS}))
-    near = F.when(F.size("spans") > 0, contexts(F.col(TEXT), F.col("spans"))).otherwise(F.expr("cast(array() as array<struct<entity:bigint,term:bigint,start:int,end:int>>)"))
+    near = F.when(F.size("spans") > 0, contexts(F.col(TEXT), F.col("spans"))).otherwise(F.expr("cast(array() as array<struct<entity:bigint,whole:boolean,term:bigint,start:int,end:int>>)"))
     base = stored(marked.select(ID, F.xxhash64(TEXT).alias("body"), "spans", near.alias("near")), "entities")
     total = base.count()
     beside = base.where(F.size("near") > 0)
-    names = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    n_e = base.where(F.size("spans") > 0).select(F.explode(names).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    together = F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))
-    n_et = beside.select(F.explode(together).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    n_e = base.where(F.size("spans") > 0).select(F.explode(keys_of(F.col("spans"))["key"]).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    together = F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"].alias("entity"), c["whole"].alias("whole"), c["term"].alias("term"))))
+    n_et = beside.select(F.explode(together).alias("p")).groupBy("p.entity", "p.whole", "p.term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
     met = stored(n_et.join(n_e, "entity"), "together")
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col(TEXT)), F.lit(TERM), 0), lambda w: F.xxhash64(w)))
     n_t = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     shared = F.log2(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    revealing = met.join(n_t, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where(F.col("disclosure") >= generalise_at)
+    evident = F.col("whole") | significant(F.col("n_et"), F.col("n_t"), F.col("n_e"), float(max(total, 1)), met.count())
+    revealing = met.join(n_t, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where((F.col("disclosure") >= generalise_at) & evident)
     revealing = stored(revealing.select("entity", "term", "disclosure"), "revealing")
     # back to the places: only rows with context terms take part
     places = beside.select(ID, "body", F.explode("near").alias("c")).select(ID, "body", "c.*").distinct()

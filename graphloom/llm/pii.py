@@ -3,16 +3,16 @@
 Patterns give the protected entities.  An entity has several keys: its value, its parts
 (an e-mail's domain and the words of its local part, the leading numbers of an IP, a card
 or a phone) and its kind.  Most values stand in one document only, so that nothing can be
-learnt about them alone; their parts and kinds are shared.  Around each entity stand
-context terms; over the whole corpus we count the documents of each key (n_e), of each
-term (n_t) and of the two together in a context (n_et).  Pointwise mutual information
-against the key's information content,
+learnt about them alone; their parts and kinds are shared.  Terms are the words of a text
+once its entities are blanked; over the whole corpus we count the documents of each key
+(n_e), of each term (n_t) and of the two together (n_et), at whatever distance.  Pointwise
+mutual information against the key's information content,
 
     disclosure = log2(N n_et / (n_e n_t)) / log2(N / n_e)   (1: the term gives it away),
 
 says how strongly a term reveals the key.  Terms at or over `generalise_at` are
-generalised, those at or over `remove_at` removed, wherever they stand in the context of
-an entity with that key.  Terms need `support` documents with the key, so that one chance
+generalised, those at or over `remove_at` removed, wherever they stand in a document that
+holds an entity with that key.  Terms need `support` documents with the key, so that one chance
 meeting is no evidence.  Parts and kinds meet many terms by chance, so theirs must also be
 significant: with p = n_et / n_t and q = n_e / N the chance of so many meetings is at most
 exp(-n_t KL(p || q)) (Chernoff), and this, times the number of pairs that were tested
@@ -40,8 +40,6 @@ PATTERNS = {
 #: A character that each kind cannot do without; texts that lack it are skipped.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"\p{L}{3,}"
-#: Code points of context on either side of an entity.
-CONTEXT = 48
 #: Array items handled before their output is set aside.
 CHUNK = 256
 SUPPORT, GENERALISE_AT, REMOVE_AT = 2, 0.9, 0.999
@@ -157,21 +155,22 @@ def significant(n_et: Column, n_t: Column, n_e: Column, total: float, tests: int
     return n_t * (p * F.log(p / q) + rest) >= math.log(max(tests, 1) / ALPHA)
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """Array of (entity, whole, term, start, end): the whole words beside each entity, as hashes, with each key of the entity."""
+def left_of(text: Column, spans: Column) -> Column:
+    """The text with every entity blanked, at the same length in code points."""
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        kept = F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0)))
+        blank = F.repeat(F.lit("\x02"), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+        return F.greatest(s["end"], at), F.array(F.concat(kept, blank))
+
+    pieces = collected(spans, F.lit(0), step, F.expr("cast(array() as array<string>)"))
+    end = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
 
-    def around(span: Column) -> Column:
-        low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        high = F.least(span["end"] + CONTEXT, F.length(text))
-        words = matches(fenced(F.substring(text, low + 1, high - low), TERM))
-        whole = F.filter(
-            words,
-            lambda w: ~((w["start"] == 0) & (low > 0)) & ~((w["end"] == high - low) & (high < F.length(text))) & ((w["end"] + low <= span["start"]) | (w["start"] + low >= span["end"])),
-        )
-        placed = F.transform(whole, lambda w: F.struct(F.xxhash64(F.lower(w["value"])).alias("term"), (w["start"] + low).alias("start"), (w["end"] + low).alias("end")))
-        return F.flatten(F.transform(keys(span), lambda k: F.transform(placed, lambda w: F.struct(k["key"].alias("entity"), k["whole"].alias("whole"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
 
-    return F.flatten(F.transform(spans, around))
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text, as hashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w))))
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
@@ -183,33 +182,36 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     units of all counts, repeated rows included.  An empty table gives an empty result.
     """
     rows = id_text(docs, id_col, text_col)
-    # entities, then their contexts, are computed once each and stored without the texts
+    # entities are found once; words and keys are stored, without texts, for rows that hold any
     cut = rows.withColumns({f"__{kind}": parts_of(F.col(TEXT), kind) for kind in PATTERNS})
-    marked = cut.withColumn("spans", entities({kind: F.col(f"__{kind}") for kind in PATTERNS}))
-    near = F.when(F.size("spans") > 0, contexts(F.col(TEXT), F.col("spans"))).otherwise(F.expr("cast(array() as array<struct<entity:bigint,whole:boolean,term:bigint,start:int,end:int>>)"))
-    base = stored(marked.select(ID, F.xxhash64(TEXT).alias("body"), "spans", near.alias("near")), "entities")
+    marked = cut.withColumn("spans", entities({kind: F.col(f"__{kind}") for kind in PATTERNS})).withColumn("holds", F.size("spans") > 0)
+    left = marked.withColumn("left", F.when(F.col("holds"), left_of(F.col(TEXT), F.col("spans"))))
+    words = F.transform(matches(fenced(F.col("left"), TERM)), lambda w: F.struct(F.xxhash64(F.lower(w["value"])).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    base = left.select(ID, F.xxhash64(TEXT).alias("body"), "spans", "holds", F.when(F.col("holds"), words).alias("words"), F.when(F.col("holds"), terms_of(F.col(TEXT))).alias("all_terms"))
+    base = stored(base, "entities")
     total = base.count()
-    beside = base.where(F.size("near") > 0)
-    n_e = base.where(F.size("spans") > 0).select(F.explode(keys_of(F.col("spans"))["key"]).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    together = F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"].alias("entity"), c["whole"].alias("whole"), c["term"].alias("term"))))
-    n_et = beside.select(F.explode(together).alias("p")).groupBy("p.entity", "p.whole", "p.term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    holders = base.where("holds").select(ID, "body", "words", "all_terms", keys_of(F.col("spans")).alias("keys"), F.array_distinct(F.col("words")["term"]).alias("terms"))
+    n_e = holders.select(F.explode(F.col("keys")["key"]).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    pairs = holders.select(ID, "body", "terms", F.explode("keys").alias("k")).select(ID, "body", F.col("k.key").alias("entity"), F.col("k.whole").alias("whole"), F.explode("terms").alias("term"))
+    n_et = pairs.groupBy("entity", "whole", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
     met = stored(n_et.join(n_e, "entity"), "together")
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col(TEXT)), F.lit(TERM), 0), lambda w: F.xxhash64(w)))
-    n_t = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # words of whole texts, put right for the rows whose entities are blanked
+    counted = [rows.select(F.explode(terms_of(F.col(TEXT))).alias("term"), F.lit(1).alias("n")), holders.select(F.explode("all_terms").alias("term"), F.lit(-1).alias("n")), holders.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))]
+    n_t = counted[0].unionAll(counted[1]).unionAll(counted[2]).groupBy("term").agg(F.sum("n").alias("n_t"))
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     shared = F.log2(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     evident = F.col("whole") | significant(F.col("n_et"), F.col("n_t"), F.col("n_e"), float(max(total, 1)), met.count())
     revealing = met.join(n_t, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where((F.col("disclosure") >= generalise_at) & evident)
     revealing = stored(revealing.select("entity", "term", "disclosure"), "revealing")
-    # back to the places: only rows with context terms take part
-    places = beside.select(ID, "body", F.explode("near").alias("c")).select(ID, "body", "c.*").distinct()
-    hits = places.join(revealing, ["entity", "term"])
+    # back to the places: every occurrence in the rows that hold an entity with the key
     action = F.when(F.max("disclosure") >= remove_at, "remove").otherwise("generalise")
-    terms = hits.groupBy(ID, "body", "start", "end").agg(action.alias("action"))
+    hits = pairs.join(revealing, ["entity", "term"]).groupBy(F.col(ID).alias("its"), F.col("body").alias("its_body"), F.col("term").alias("its_term")).agg(action.alias("action"))
+    places = holders.select(ID, "body", F.explode("words").alias("c")).select(ID, "body", "c.*").distinct()
+    terms = places.join(hits, F.col(ID).eqNullSafe(F.col("its")) & (F.col("body") == F.col("its_body")) & (F.col("term") == F.col("its_term"))).select(ID, "body", "start", "end", "action")
     struct = F.struct("start", F.lit(len(PATTERNS)).alias("rank"), F.lit("term").alias("kind"), "end", "action")
     per_row = terms.groupBy(F.col(ID).alias("its"), F.col("body").alias("its_body")).agg(F.collect_list(struct).alias("terms"))
     masked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("mask").alias("action")))
-    kept = base.select(ID, "body", masked.alias("spans"), (F.size("near") > 0).alias("open"))
+    kept = base.select(ID, "body", masked.alias("spans"))
     joined = kept.join(stored(per_row, "terms"), F.col(ID).eqNullSafe(F.col("its")) & (F.col("body") == F.col("its_body")), "left")
     return joined.select(F.col(ID).alias(id_col), F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "terms"))).alias("spans"))
 

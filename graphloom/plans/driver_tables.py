@@ -7,6 +7,7 @@ supplier; parts inherit from the first part of their brand.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import datetime
 
@@ -41,8 +42,9 @@ def query(sql: str):
 class Tables:
     """The driver's tables as the model's tables.  Columns are pruned by what is used."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, least: float = 45):
+        """Calls whose first line has a quantity below least are left out of edges."""
+        self.spark, self.dir, self.least = spark, sf_dir, least
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -84,7 +86,7 @@ class Tables:
 
     @property
     def edges(self) -> DataFrame:
-        return self.contains.unionByName(self.imports).unionByName(self.calls(45)).unionByName(self.inherits)
+        return self.contains.unionByName(self.imports).unionByName(self.calls(self.least)).unionByName(self.inherits)
 
     @property
     def dependency_edges(self) -> DataFrame:
@@ -167,8 +169,8 @@ def nodes_page(spark, sf_dir):
 
 
 @query(f"WITH {EDGES} SELECT source_id, target_id, kind FROM edges WHERE repository_id = 'R0' AND kind = 'inherits' ORDER BY 1, 2, 3 LIMIT 100 OFFSET 30")
-def relationships_page(spark, sf_dir):
-    return listings.relationships_page(Tables(spark, sf_dir).edges, "R0", kind="inherits", offset=30).select("source_id", "target_id", "kind")
+def relationships_page(spark, sf_dir, least=45):
+    return listings.relationships_page(Tables(spark, sf_dir, least).edges, "R0", kind="inherits", offset=30).select("source_id", "target_id", "kind")
 
 
 @query("""SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id""")
@@ -232,8 +234,8 @@ def dangling_dropped(spark, sf_dir):
 
 
 @query(f"""WITH {EDGES} SELECT source_id, target_id, kind, count(*) AS n FROM edges WHERE source_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size <= 10) AND target_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size <= 10) GROUP BY 1, 2, 3""")
-def renderable(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def renderable(spark, sf_dir, least=45):
+    t = Tables(spark, sf_dir, least)
     shown = t.part.where("p_size <= 10").select(part_id("p_partkey").alias("id"))
     return graph.renderable(shown, t.edges).groupBy("source_id", "target_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -241,8 +243,8 @@ def renderable(spark, sf_dir):
 @query(f"""WITH {EDGES}, few AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_size <= 10),
   s AS (SELECT count(*) AS shown FROM edges WHERE source_id IN (SELECT id FROM few) AND target_id IN (SELECT id FROM few))
   SELECT shown, (SELECT count(*) FROM edges) - shown AS omitted FROM s""")
-def omitted_edges(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def omitted_edges(spark, sf_dir, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.omitted(t.part.where("p_size <= 10").select(part_id("p_partkey").alias("id")), t.edges)
 
 
@@ -256,34 +258,34 @@ def neighbours_sql(where: str, kind: str = "", limit: str = "") -> str:
       SELECT id, nodes.kind AS node_kind, name, relationship_kind, direction FROM met JOIN nodes USING (id) WHERE {where} {limit}"""
 
 
-def neighbours(spark, sf_dir, direction, kind=None, limit=None):
-    t = Tables(spark, sf_dir)
+def neighbours(spark, sf_dir, direction, kind=None, limit=None, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.neighbors(t.nodes, t.edges, "P1", direction, kind, limit).select("id", "node_kind", "name", "relationship_kind", "direction")
 
 
 @query(neighbours_sql("direction = 'outgoing'"))
-def neighbors_out(spark, sf_dir):
-    return neighbours(spark, sf_dir, "outgoing")
+def neighbors_out(spark, sf_dir, least=45):
+    return neighbours(spark, sf_dir, "outgoing", least=least)
 
 
 @query(neighbours_sql("direction = 'incoming'"))
-def neighbors_in(spark, sf_dir):
-    return neighbours(spark, sf_dir, "incoming")
+def neighbors_in(spark, sf_dir, least=45):
+    return neighbours(spark, sf_dir, "incoming", least=least)
 
 
 @query(neighbours_sql("NOT (direction = 'incoming' AND id = 'P1')"))
-def neighbors_both(spark, sf_dir):
-    return neighbours(spark, sf_dir, "both")
+def neighbors_both(spark, sf_dir, least=45):
+    return neighbours(spark, sf_dir, "both", least=least)
 
 
 @query(neighbours_sql("direction = 'outgoing'", "AND kind = 'calls'", "ORDER BY id, relationship_kind LIMIT 5"))
-def dependencies(spark, sf_dir):
-    return neighbours(spark, sf_dir, "outgoing", "calls", 5)
+def dependencies(spark, sf_dir, least=45):
+    return neighbours(spark, sf_dir, "outgoing", "calls", 5, least=least)
 
 
 @query(neighbours_sql("direction = 'incoming'", "AND kind = 'calls'", "ORDER BY id, relationship_kind LIMIT 5"))
-def dependents(spark, sf_dir):
-    return neighbours(spark, sf_dir, "incoming", "calls", 5)
+def dependents(spark, sf_dir, least=45):
+    return neighbours(spark, sf_dir, "incoming", "calls", 5, least=least)
 
 
 # ---- traversal ------------------------------------------------------------------------
@@ -298,20 +300,20 @@ def impact_sql(near: str, far: str, depth: int, kinds: str, limit: str) -> str:
 
 
 @query(impact_sql("target_id", "source_id", 3, "'calls', 'imports', 'inherits'", "LIMIT 100"))
-def impact_upstream(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def impact_upstream(spark, sf_dir, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.impact(t.nodes, t.edges, "P1", "upstream", 3)
 
 
 @query(impact_sql("source_id", "target_id", 3, "'calls', 'imports', 'inherits'", ""))
-def impact_downstream(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def impact_downstream(spark, sf_dir, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.impact(t.nodes, t.edges, "P1", "downstream", 3, limit=None)
 
 
 @query(impact_sql("source_id", "target_id", 2, "'calls'", ""))
-def impact_kind(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def impact_kind(spark, sf_dir, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.impact(t.nodes, t.edges, "P1", "downstream", 2, "calls", None)
 
 
@@ -321,24 +323,24 @@ def path_sql(target: str, depth: int) -> str:
       SELECT count(*) > 0 AS found, CAST(min(depth) AS INTEGER) AS length FROM bfs WHERE id = '{target}'"""
 
 
-def path(spark, sf_dir, target, depth):
-    t = Tables(spark, sf_dir)
+def path(spark, sf_dir, target, depth, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.shortest_path(t.nodes, t.edges, "P1", target, depth).select("found", "length")
 
 
 @query(path_sql("P77", 4))
-def path_found(spark, sf_dir):
-    return path(spark, sf_dir, "P77", 4)
+def path_found(spark, sf_dir, least=45):
+    return path(spark, sf_dir, "P77", 4, least=least)
 
 
 @query(path_sql("N3", 3))
-def path_not_found(spark, sf_dir):
-    return path(spark, sf_dir, "N3", 3)
+def path_not_found(spark, sf_dir, least=45):
+    return path(spark, sf_dir, "N3", 3, least=least)
 
 
 @query("SELECT true AS found, 0 AS length")
-def path_self(spark, sf_dir):
-    return path(spark, sf_dir, "P1", 6)
+def path_self(spark, sf_dir, least=45):
+    return path(spark, sf_dir, "P1", 6, least=least)
 
 
 @query(f"WITH {NODES} SELECT count(DISTINCT id) = 3 AS all_found FROM nodes WHERE id IN ('P1', 'N3', 'nowhere')")
@@ -355,8 +357,8 @@ def stats_nodes_by_kind(spark, sf_dir):
 
 
 @query(f"WITH {EDGES} SELECT k.kind, count(source_id) AS n FROM (VALUES ('contains'), ('defines'), ('imports'), ('calls'), ('inherits')) k(kind) LEFT JOIN edges USING (kind) GROUP BY 1")
-def stats_rels_by_kind(spark, sf_dir):
-    return graph.relationships_by_kind(Tables(spark, sf_dir).edges)
+def stats_rels_by_kind(spark, sf_dir, least=45):
+    return graph.relationships_by_kind(Tables(spark, sf_dir, least).edges)
 
 
 def degree_sql(column: str) -> str:
@@ -364,14 +366,14 @@ def degree_sql(column: str) -> str:
 
 
 @query(degree_sql("target_id"))
-def in_degree_topk(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def in_degree_topk(spark, sf_dir, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.in_degrees(t.nodes, t.edges)
 
 
 @query(degree_sql("source_id"))
-def out_degree_topk(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def out_degree_topk(spark, sf_dir, least=45):
+    t = Tables(spark, sf_dir, least)
     return graph.out_degrees(t.nodes, t.edges)
 
 
@@ -728,3 +730,21 @@ def shares_labels(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.where("lang is not null")
     stats = docs.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("stats"))
     return stats.select(F.explode(F.map_keys("stats")).alias("key"), shaping.shares_label(F.col("stats")).alias("text")).select("key", F.contains(F.col("text"), F.col("key")).alias("shown"))
+
+
+# ---- the same over whole tables ------------------------------------------------------------------
+
+ON_EDGES = [
+    relationships_page, renderable, omitted_edges, neighbors_out, neighbors_in, neighbors_both, dependencies, dependents, impact_upstream, impact_downstream, impact_kind,
+    path_found, path_not_found, path_self, stats_rels_by_kind, in_degree_topk, out_degree_topk,
+]
+
+
+def whole(make: Callable[..., DataFrame], sql: str, **options) -> None:
+    """Register a query under its name and `_all`, with options that leave nothing out."""
+    QUERIES[f"{make.__name__}_all"] = functools.partial(make, **options)
+    SQL[f"{make.__name__}_all"] = sql
+
+
+for _make in ON_EDGES:
+    whole(_make, SQL[_make.__name__].replace(SPARSE, CALLS), least=0)

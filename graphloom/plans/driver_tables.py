@@ -500,10 +500,10 @@ def module_files(t: Tables) -> DataFrame:
   SELECT 'P' || a AS file_id, CASE how WHEN 0 THEN brand || '.' || module WHEN 1 THEN '.' || module WHEN 2 THEN '..' || brand || '.' || module ELSE 'external.' || module END AS module,
     CASE WHEN how IN (0, 2) OR how = 1 AND mine = its THEN 'resolved' ELSE 'unresolved' END AS resolution_status,
     CASE WHEN how IN (0, 2) OR how = 1 AND mine = its THEN 'P' || b END AS target_file_id FROM refs""")
-def suffix_match(spark, sf_dir):
+def suffix_match(spark, sf_dir, least=48):
     """Python imports between parts: below a source root, relative, climbing, and external."""
     t = Tables(spark, sf_dir)
-    pairs = t.successions.where("l_quantity >= 48").select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
+    pairs = t.successions.where(F.col("l_quantity") >= least).select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
     its = t.part.select(F.col("p_partkey").alias("b"), F.lower(F.translate("p_brand", "#", "_")).alias("brand"), F.concat(F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string")).alias("m"))
     how = (F.col("a") + F.col("b")) % 4
     module = F.when(how == 0, F.concat("brand", F.lit("."), "m")).when(how == 1, F.concat(F.lit("."), "m")).when(how == 2, F.concat(F.lit(".."), "brand", F.lit("."), "m")).otherwise(F.concat(F.lit("external."), "m"))
@@ -648,14 +648,14 @@ def resolve_inheritance(spark, sf_dir):
   SELECT 'P' || a AS file_id, './' || lower(y.p_type) || '_' || b AS module, CASE WHEN x.p_brand = y.p_brand THEN 'resolved' ELSE 'unresolved' END AS resolution_status,
     CASE WHEN x.p_brand = y.p_brand THEN 'P' || b END AS target_file_id FROM pairs JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b
   UNION ALL SELECT 'P' || p_partkey, 'react', 'unresolved', NULL FROM part WHERE p_size = 1""")
-def ecmascript_imports(spark, sf_dir):
+def ecmascript_imports(spark, sf_dir, least=49, bare_where="p_size = 1"):
     """Relative specifiers resolve beside the importing file; bare ones never do."""
     t = Tables(spark, sf_dir)
     scripts = module_files(t).withColumns({"path": F.regexp_replace("path", "py$", "tsx"), "language": F.lit("typescript")})
-    pairs = t.successions.where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
+    pairs = t.successions.where(F.col("l_quantity") >= least).select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
     its = t.part.select(F.col("p_partkey").alias("b"), F.concat(F.lit("./"), F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string")).alias("module"))
     relative = pairs.join(its, "b").select(F.concat_ws("-", "a", "b").alias("id"), part_id("a").alias("file_id"), "module")
-    bare = t.part.where("p_size = 1").select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("id"), part_id("p_partkey").alias("file_id"), F.lit("react").alias("module"))
+    bare = t.part.where(bare_where).select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("id"), part_id("p_partkey").alias("file_id"), F.lit("react").alias("module"))
     imports = relative.unionByName(bare).select("id", F.lit("R0").alias("repository_id"), "file_id", "module", F.expr("cast(array() as array<string>)").alias("imported_names"))
     found = resolve_imports(scripts, imports).select("import_id", "resolution_status", "target_file_id")
     return found.join(imports.select(F.col("id").alias("import_id"), "file_id", "module"), "import_id").select("file_id", "module", "resolution_status", "target_file_id")
@@ -748,3 +748,6 @@ def whole(make: Callable[..., DataFrame], sql: str, **options) -> None:
 
 for _make in ON_EDGES:
     whole(_make, SQL[_make.__name__].replace(SPARSE, CALLS), least=0)
+
+whole(suffix_match, SQL["suffix_match"].replace(" WHERE l_quantity >= 48", ""), least=0)
+whole(ecmascript_imports, SQL["ecmascript_imports"].replace(" WHERE l_quantity >= 49", "").replace(" WHERE p_size = 1", ""), least=0, bare_where="true")

@@ -751,3 +751,10 @@ for _make in ON_EDGES:
 
 whole(suffix_match, SQL["suffix_match"].replace(" WHERE l_quantity >= 48", ""), least=0)
 whole(ecmascript_imports, SQL["ecmascript_imports"].replace(" WHERE l_quantity >= 49", "").replace(" WHERE p_size = 1", ""), least=0, bare_where="true")
+
+
+@query("""SELECT doc_id, coalesce(contains(text, 'Th') AND strlen(split_part(text, 'Th', 1)) + 2 <= 8192, false) AS sniffed FROM documents""")
+def sniff_prefix_all(spark, sf_dir):
+    """The binary sniff itself over every document, with another marker; null texts are empty."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return Tables(spark, sf_dir).documents.select("doc_id", files.looks_binary(content, b"Th").alias("sniffed"))

@@ -58,8 +58,8 @@ def is_tsx(path: Column) -> Column:
     return suffix(path) == ".tsx"
 
 
-def looks_binary(content: Column) -> Column:
-    return F.contains(F.substring(content, 1, SNIFFED), F.lit(b"\x00"))
+def looks_binary(content: Column, marker: bytes = b"\x00") -> Column:
+    return F.contains(F.substring(content, 1, SNIFFED), F.lit(marker))
 
 
 def discovered(spark: SparkSession, root: str | Path, max_bytes: int) -> DataFrame:

@@ -15,3 +15,9 @@ def test_all_successions_are_imports(spark, duck):
     parts = duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
     assert QUERIES["suffix_match_all"](spark, str(DATA)).count() == len(pairs)
     assert QUERIES["ecmascript_imports_all"](spark, str(DATA)).count() == len(pairs) + parts
+
+
+def test_every_document_is_sniffed(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: b"Th" in (r.text or "").encode()[:8192] for r in docs}
+    assert {r.doc_id: r.sniffed for r in QUERIES["sniff_prefix_all"](spark, str(DATA)).collect()} == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import EDGE_NAMESPACE, uuid5
 from ..schemas import DEPENDENCY_EDGES
+from ..scratch import stored
 from .imports import resolve_imports
 from .symbols import Scope, resolve_bases, resolve_calls
 
@@ -24,11 +25,11 @@ def shaped(rows: DataFrame, kind: str, owner: str) -> DataFrame:
     return rows.withColumn("kind", F.lit(kind)).withColumn("id", uuid5(EDGE_NAMESPACE, *parts)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DEPENDENCY_EDGES])
 
 
-def import_edges(imports: DataFrame, resolved: DataFrame) -> DataFrame:
-    numbered = imports.withColumn("occurrence", occurrence("file_id", "id")).withColumnRenamed("id", "import_id")
-    joined = numbered.drop("repository_id").join(resolved, ["import_id", "file_id"])
+def import_edges(resolved: DataFrame) -> DataFrame:
+    """One edge per import.  Imports of a file that share an id are told apart by their occurrence."""
+    numbered = resolved.withColumn("occurrence", occurrence("file_id", "id", "alias", "imported_names"))
     return shaped(
-        joined.select("repository_id", "resolution_status", F.col("file_id").alias("source_file_id"), F.lit(None).alias("source_symbol_id"), "target_file_id", F.lit(None).alias("target_symbol_id"), F.col("module").alias("raw_target_expression"), "start_line", "end_line", F.lit(None).alias("start_column"), F.lit(None).alias("end_column"), "detail", "occurrence"),
+        numbered.select("repository_id", "resolution_status", F.col("file_id").alias("source_file_id"), F.lit(None).alias("source_symbol_id"), "target_file_id", F.lit(None).alias("target_symbol_id"), F.col("module").alias("raw_target_expression"), "start_line", "end_line", F.lit(None).alias("start_column"), F.lit(None).alias("end_column"), "detail", "occurrence"),
         "imports", "source_file_id",
     )
 
@@ -54,9 +55,9 @@ def inheritance_edges(scope: Scope, symbols: DataFrame) -> DataFrame:
 
 def dependency_edges(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """All edges of the given tables.  Bad references become unresolved rows, never failures."""
-    resolved = resolve_imports(files, imports)
-    scope = Scope(symbols, imports, resolved)
-    return import_edges(imports, resolved).unionByName(call_edges(scope, symbols, calls)).unionByName(inheritance_edges(scope, symbols))
+    resolved = stored(resolve_imports(files, imports), "resolved-imports")  # read by the import edges and by both kinds of names
+    scope = Scope(symbols, resolved)
+    return import_edges(resolved).unionByName(call_edges(scope, symbols, calls)).unionByName(inheritance_edges(scope, symbols))
 
 
 def status_counts(edges: DataFrame) -> DataFrame:

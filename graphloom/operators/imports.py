@@ -1,7 +1,7 @@
 """Import resolution: which file of the repository an import names.
 
-Inputs are the tables parsed_files and imports; the result has one row per import:
-import_id, repository_id, file_id, resolution_status, target_file_id, detail.
+Inputs are the tables parsed_files and imports; the result is the imports with
+resolution_status, target_file_id and detail.
 All imports are resolved at once by equi joins on candidate paths.
 """
 
@@ -12,27 +12,39 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import climb, collapsed, join, normalized, parent, proper_suffixes, segments, slashed
 from ..functions.shaping import quoted
+from ..scratch import stored
 
 #: In order of preference.
 PYTHON_ENDINGS = (".py", "/__init__.py")
 ECMASCRIPT_ENDINGS = (".ts", "/index.ts", ".tsx", "/index.tsx", ".js", "/index.js", ".jsx", "/index.jsx")
-RESULT = ["import_id", "repository_id", "file_id", "resolution_status", "target_file_id", "detail"]
-
-
-def with_source(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """Imports with the path and language of the file they stand in."""
-    source = files.select(F.col("id").alias("file_id"), F.col("path").alias("source_path"), "language")
-    return imports.select(F.col("id").alias("import_id"), "repository_id", "file_id", "module", "imported_names").join(source, "file_id")
+#: What an import's target depends on.  Ids of imports may repeat; these are resolved once each.
+KEY = ["repository_id", "file_id", "module", "names"]
+NO_NAMES = "cast(array() as array<string>)"
 
 
 def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """Every import by the rule of its file's language; unknown languages stay unresolved."""
-    refs = with_source(files, imports)
+    """imports with resolution_status, target_file_id and detail, row by row, by the rule of each file's language.
+
+    Distinct (file, module, names) are resolved once and joined back, so rows that share an
+    id stay apart.  Unknown languages stay unresolved; imports of unknown files are left out."""
+    named = imports.withColumn("names", F.coalesce("imported_names", F.expr(NO_NAMES)))
+    source = files.select(F.col("id").alias("file_id"), F.col("path").alias("source_path"), "language")
+    refs = stored(named.select(KEY).distinct().join(source, "file_id"), "references")
     python = refs.where("language = 'python'")
     ecmascript = refs.where("language in ('javascript', 'typescript')")
     other = refs.where("language not in ('python', 'javascript', 'typescript') or language is null")
-    none = other.select("import_id", "repository_id", "file_id", F.lit("unresolved").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"), F.concat(F.lit("no module resolver for language "), quoted(F.coalesce("language", F.lit("None")))).alias("detail"))
-    return resolve_python(files, python).unionByName(resolve_ecmascript(files, ecmascript)).unionByName(none)
+    none = outcome(other, F.concat(F.lit("there is no rule for files of language "), quoted(F.coalesce("language", F.lit("None")))))
+    results = resolve_python(files, python).unionByName(resolve_ecmascript(files, ecmascript)).unionByName(none)
+    return named.join(results, KEY).drop("names")
+
+
+def outcome(refs: DataFrame, detail: Column, status: str = "unresolved") -> DataFrame:
+    """refs that have no target, with the reason."""
+    return refs.select(*KEY, F.lit(status).alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"), detail.alias("detail"))
+
+
+def endings(kinds: tuple[str, ...]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("text")) for i, e in enumerate(kinds)]))
 
 
 # ---- Python ---------------------------------------------------------------------
@@ -48,48 +60,46 @@ def python_target(source_path: Column, module: Column, names: Column) -> Column:
 
 
 def resolve_python(files: DataFrame, refs: DataFrame) -> DataFrame:
-    target = python_target(F.col("source_path"), F.col("module"), F.col("imported_names"))
+    target = python_target(F.col("source_path"), F.col("module"), F.col("names"))
     bare = F.rlike(F.col("module"), F.lit(r"^\.+$"))
-    shown = F.when(bare, F.concat("module", F.get("imported_names", F.lit(0)))).otherwise(F.col("module"))
+    shown = F.when(bare, F.concat("module", F.get("names", F.lit(0)))).otherwise(F.col("module"))
     aimed = refs.withColumn("target", target).withColumn("shown", shown)
-    many = aimed.where("target is null").select(
-        "import_id", "repository_id", "file_id", F.lit("ambiguous").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"),
-        F.concat(F.lit("bare relative import "), quoted(F.col("module")), F.lit(" names "), F.size("imported_names").cast("string"), F.lit(" submodules at once: no single target file")).alias("detail"),
+    many = outcome(aimed.where("target is null"), F.concat(quoted(F.col("module")), F.lit(" stands for as many files as it has names: "), F.size("names").cast("string")), "ambiguous")
+    one = aimed.where("target is not null").select(*KEY, "shown", F.regexp_replace("target", r"^[./]+", "").alias("target"), (segments(F.col("target")) > 1).alias("deep"))
+    wanted = one.withColumn("ending", endings(PYTHON_ENDINGS)).select(*KEY, "deep", F.concat("target", "ending.text").alias("path"), F.col("ending.rank").cast("string").alias("rank"))
+    # a file can be named by its whole path or, for targets of several parts, by a tail of it that begins below some source root
+    known = files.where("language = 'python'").select("repository_id", F.col("id").alias("hit"), normalized(F.col("path")).alias("whole"))
+    tails = F.filter(proper_suffixes(F.col("whole")), lambda t: F.contains(t, F.lit("/")))
+    places = known.withColumn("path", F.explode(F.concat(F.array("whole"), tails)))
+    hits = wanted.join(places, ["repository_id", "path"]).withColumn("exact", F.col("path") == F.col("whole")).where("exact or deep")
+    # tails count only where there is no exact hit; a file meets a reference once at most
+    some = hits.groupBy(KEY).agg(
+        F.count_if("exact").alias("n_exact"), F.min_by("hit", F.when(F.col("exact"), F.col("rank"))).alias("exact_hit"),
+        F.count_if(~F.col("exact")).alias("n_tail"), F.min_by("hit", F.when(~F.col("exact"), F.col("whole"))).alias("tail_hit"),
     )
-    one = aimed.where("target is not null").select("import_id", "repository_id", "file_id", "shown", F.regexp_replace("target", r"^[./]+", "").alias("target"), (segments(F.col("target")) > 1).alias("deep"))
-    known = files.where("language = 'python'").select("repository_id", F.col("id").alias("hit"), normalized(F.col("path")).alias("path"))
-    wanted = one.withColumn("ending", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("text")) for i, e in enumerate(PYTHON_ENDINGS)])))
-    wanted = wanted.withColumn("path", F.concat("target", "ending.text")).withColumn("rank", F.col("ending.rank")).drop("ending")
-    exact = wanted.join(known, ["repository_id", "path"])
-    # a path below some source root: its tail equals the candidate; only for targets of several parts without an exact hit
-    tails = known.select("repository_id", "hit", F.col("path").alias("whole"), F.explode(proper_suffixes(F.col("path"))).alias("path"))
-    missed = wanted.where("deep").join(exact.select("import_id", "file_id").distinct(), ["import_id", "file_id"], "left_anti")
-    below = missed.join(tails, ["repository_id", "path"])
-    hits = exact.select("import_id", "file_id", "hit", F.col("rank").cast("string").alias("order")).unionByName(below.select("import_id", "file_id", "hit", F.col("whole").alias("order")))
-    return counted(one, hits, F.concat(F.lit("no matching file in repository for "), quoted(F.col("shown")), F.lit(" (likely an external or standard-library module)"))).unionByName(many)
+    exact = F.col("n_exact") > 0
+    found = some.select(*KEY, F.when(exact, F.col("n_exact")).otherwise(F.col("n_tail")).alias("n"), F.when(exact, F.col("exact_hit")).otherwise(F.col("tail_hit")).alias("target_file_id"))
+    return counted(one, found, F.concat(F.lit("no file here fits "), quoted(F.col("shown")), F.lit("; it may come from elsewhere"))).unionByName(many)
 
 
 # ---- JavaScript and TypeScript ----------------------------------------------------
 
 
 def resolve_ecmascript(files: DataFrame, refs: DataFrame) -> DataFrame:
-    bare = refs.where(~F.startswith("module", F.lit("."))).select(
-        "import_id", "repository_id", "file_id", F.lit("unresolved").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"),
-        F.concat(quoted(F.col("module")), F.lit(" is a bare package specifier: always external, never a repository file")).alias("detail"),
-    )
+    relative = F.startswith("module", F.lit("."))
+    bare = outcome(refs.where(~relative), F.concat(quoted(F.col("module")), F.lit(" names a package, and packages lie outside")))
     target = collapsed(join(parent(slashed(F.col("source_path"))), F.col("module")))
-    one = refs.where(F.startswith("module", F.lit("."))).select("import_id", "repository_id", "file_id", F.col("module").alias("shown"), target.alias("target"))
+    one = refs.where(relative).select(*KEY, F.col("module").alias("shown"), target.alias("target"))
     known = files.where("language in ('javascript', 'typescript')").select("repository_id", F.col("id").alias("hit"), "path")
-    wanted = one.withColumn("ending", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("text")) for i, e in enumerate(ECMASCRIPT_ENDINGS)])))
-    hits = wanted.withColumn("path", F.concat("target", "ending.text")).join(known, ["repository_id", "path"]).select("import_id", "file_id", "hit", F.col("ending.rank").cast("string").alias("order"))
-    return counted(one, hits, F.concat(F.lit("no matching file in repository for "), quoted(F.col("shown")))).unionByName(bare)
+    wanted = one.withColumn("ending", endings(ECMASCRIPT_ENDINGS)).withColumn("path", F.concat("target", "ending.text"))
+    hits = wanted.join(known, ["repository_id", "path"]).groupBy(KEY).agg(F.count_distinct("hit").alias("n"), F.min_by("hit", "ending.rank").alias("target_file_id"))
+    return counted(one, hits, F.concat(F.lit("no file here fits "), quoted(F.col("shown")))).unionByName(bare)
 
 
-def counted(refs: DataFrame, hits: DataFrame, nothing: Column) -> DataFrame:
+def counted(refs: DataFrame, found: DataFrame, nothing: Column) -> DataFrame:
     """No hit: unresolved.  One file: resolved.  Several: ambiguous, the first in order is kept."""
-    found = hits.groupBy("import_id", "file_id").agg(F.count_distinct("hit").alias("n"), F.min_by("hit", "order").alias("target_file_id"))
     n = F.coalesce("n", F.lit(0))
     status = F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
-    several = F.concat(F.lit("multiple files in the repository could satisfy "), quoted(F.col("shown")))
-    joined = refs.join(found, ["import_id", "file_id"], "left")
-    return joined.select("import_id", "repository_id", "file_id", status.alias("resolution_status"), "target_file_id", F.when(n == 0, nothing).when(n > 1, several).alias("detail"))
+    several = F.concat(n.cast("string"), F.lit(" files here fit "), quoted(F.col("shown")))
+    joined = refs.join(found, KEY, "left")
+    return joined.select(*KEY, status.alias("resolution_status"), "target_file_id", F.when(n == 0, nothing).when(n > 1, several).alias("detail"))

@@ -15,14 +15,14 @@ from ..functions.shaping import quoted
 class Scope:
     """What the files of a repository define at top level and bind by imports."""
 
-    def __init__(self, symbols: DataFrame, imports: DataFrame, resolved: DataFrame):
+    def __init__(self, symbols: DataFrame, imports: DataFrame):
+        """imports: as resolve_imports() returns them."""
         top = symbols.where("parent_symbol_id is null").groupBy("file_id", "name", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("symbol_id"))
         self.top = top
         #: a name defined twice in a file counts as not defined there when seen from elsewhere
         self.unique = top.where("n = 1").select(F.col("file_id").alias("target_file_id"), "name", "kind", "symbol_id")
         self.methods = symbols.where("kind = 'method'").groupBy("file_id", "parent_symbol_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("symbol_id"))
-        targets = resolved.select("import_id", "file_id", F.when(F.col("resolution_status") == "resolved", F.col("target_file_id")).alias("target_file_id"))
-        bound = imports.select(F.col("id").alias("import_id"), "file_id", "alias", "imported_names").join(targets, ["import_id", "file_id"])
+        bound = imports.select("file_id", "alias", "imported_names", F.when(F.col("resolution_status") == "resolved", F.col("target_file_id")).alias("target_file_id"))
         names = F.array_compact(F.array_union(F.array("alias"), F.coalesce("imported_names", F.expr("cast(array() as array<string>)"))))
         self.bindings = bound.select("file_id", "target_file_id", F.explode(names).alias("bound")).distinct()
         self.wildcards = bound.where(F.array_contains("imported_names", "*") & F.col("target_file_id").isNotNull()).select("file_id", "target_file_id").distinct()
@@ -38,27 +38,38 @@ def outcome(status: str | Column, file_id: Column | None = None, symbol_id: Colu
     )
 
 
-def bare_names(scope: Scope, refs: DataFrame, kind: str) -> DataFrame:
-    """refs: distinct (file_id, name).  Adds `result`.
+def candidates(scope: Scope, refs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """refs with, for each kind: n_own and own (the file's top level), n_from and from (distinct imported definitions).
 
-    First the file's own top level; only if that has nothing, imported definitions, bound
-    by name or by wildcard and counted as distinct symbols."""
-    local = scope.top.where(F.col("kind") == kind).select("file_id", "name", F.col("n").alias("n_local"), F.col("symbol_id").alias("local_id"))
-    unique = scope.unique.where(F.col("kind") == kind).drop("kind")
+    All kinds are looked up in the same joins."""
+    some = F.col("kind").isin(*kinds)
+    of = {k: F.col("kind") == k for k in kinds}
+    own = scope.top.where(some).groupBy("file_id", "name").agg(*[c for k in kinds for c in (F.max(F.when(of[k], F.col("n"))).alias(f"n_own_{k}"), F.max(F.when(of[k], F.col("symbol_id"))).alias(f"own_{k}"))])
+    unique = scope.unique.where(some)
     bound = scope.bindings.where("target_file_id is not null").withColumnRenamed("bound", "name")
-    explicit = refs.join(bound, ["file_id", "name"]).join(unique, ["target_file_id", "name"])
-    wild = refs.join(scope.wildcards, "file_id").join(unique, ["target_file_id", "name"])
-    columns = ["file_id", "name", "target_file_id", "symbol_id"]
-    found = explicit.select(columns).unionByName(wild.select(columns)).groupBy("file_id", "name").agg(F.count_distinct("symbol_id").alias("n"), F.min(F.struct("symbol_id", "target_file_id")).alias("first"))
-    name, n = quoted(F.col("name")), F.coalesce("n", F.lit(0))
-    result = (
-        F.when(F.col("n_local") == 1, outcome("resolved", F.col("file_id"), F.col("local_id")))
-        .when(F.col("n_local") > 1, outcome("ambiguous", F.col("file_id"), None, F.concat(F.lit("multiple same-file definitions named "), name)))
-        .when(n == 1, outcome("resolved", F.col("first.target_file_id"), F.col("first.symbol_id")))
-        .when(n > 1, outcome("ambiguous", None, None, F.concat(n.cast("string"), F.lit(" imported modules define "), name)))
-        .otherwise(outcome("unresolved", None, None, F.concat(F.lit("no definition found for "), name, F.lit(" (likely external, or defined dynamically)"))))
+    columns = ["file_id", "name", "kind", "symbol_id", "target_file_id"]
+    explicit = refs.join(bound, ["file_id", "name"]).join(unique, ["target_file_id", "name"]).select(columns)
+    wild = refs.join(scope.wildcards, "file_id").join(unique, ["target_file_id", "name"]).select(columns)
+    first = F.struct("symbol_id", "target_file_id")
+    brought = explicit.unionByName(wild).distinct().groupBy("file_id", "name").agg(*[c for k in kinds for c in (F.count_if(of[k]).alias(f"n_from_{k}"), F.min(F.when(of[k], first)).alias(f"from_{k}"))])
+    return refs.join(own, ["file_id", "name"], "left").join(brought, ["file_id", "name"], "left")
+
+
+def choice(kind: str) -> Column:
+    """First the file's own top level; only if that has nothing, imported definitions, by name or by wildcard."""
+    name, own, n = quoted(F.col("name")), F.coalesce(f"n_own_{kind}", F.lit(0)), F.coalesce(f"n_from_{kind}", F.lit(0))
+    return (
+        F.when(own == 1, outcome("resolved", F.col("file_id"), F.col(f"own_{kind}")))
+        .when(own > 1, outcome("ambiguous", F.col("file_id"), None, F.concat(F.lit("this file defines "), name, F.lit(" more than once"))))
+        .when(n == 1, outcome("resolved", F.col(f"from_{kind}.target_file_id"), F.col(f"from_{kind}.symbol_id")))
+        .when(n > 1, outcome("ambiguous", None, None, F.concat(F.lit("imports bring "), n.cast("string"), F.lit(" definitions of "), name)))
+        .otherwise(outcome("unresolved", None, None, F.concat(F.lit("nothing in reach is called "), name)))
     )
-    return refs.join(local, ["file_id", "name"], "left").join(found, ["file_id", "name"], "left").select("file_id", "name", result.alias("result"))
+
+
+def bare_names(scope: Scope, refs: DataFrame, kind: str) -> DataFrame:
+    """refs: distinct (file_id, name).  Adds `result`."""
+    return candidates(scope, refs, (kind,)).select("file_id", "name", choice(kind).alias("result"))
 
 
 def qualified_names(scope: Scope, refs: DataFrame, kind: str) -> DataFrame:
@@ -75,12 +86,12 @@ def qualified_names(scope: Scope, refs: DataFrame, kind: str) -> DataFrame:
     found = seen.groupBy("file_id", "name").agg(F.count_distinct("symbol_id").alias("n"), F.min(F.when(F.col("symbol_id").isNotNull(), F.struct("symbol_id", "target_file_id"))).alias("first"))
     q, m = quoted(F.col("qualifier")), quoted(F.col("member"))
     result = (
-        F.when(F.col("dots") != 1, outcome("unresolved", None, None, F.lit("receiver/qualifier type is not statically known")))
-        .when((F.col("qualifier") == "") | (F.col("member") == ""), outcome("unresolved", None, None, F.lit("invalid qualified expression")))
+        F.when(F.col("dots") != 1, outcome("unresolved", None, None, F.lit("more than one dot: the owner's type is unknown")))
+        .when((F.col("qualifier") == "") | (F.col("member") == ""), outcome("unresolved", None, None, F.lit("one side of the dot is empty")))
         .when(F.col("n") == 1, outcome("resolved", F.col("first.target_file_id"), F.col("first.symbol_id")))
-        .when(F.col("n") > 1, outcome("ambiguous", None, None, F.concat(F.lit("multiple imported modules define "), m, F.lit(" for "), q)))
-        .when(F.col("n") == 0, outcome("unresolved", None, None, F.concat(m, F.lit(" not found in the module bound to "), q)))
-        .otherwise(outcome("unresolved", None, None, F.concat(q, F.lit(" is not a known import binding in this file"))))
+        .when(F.col("n") > 1, outcome("ambiguous", None, None, F.concat(F.lit("several files known as "), q, F.lit(" have "), m)))
+        .when(F.col("n") == 0, outcome("unresolved", None, None, F.concat(F.lit("the file known as "), q, F.lit(" lacks "), m)))
+        .otherwise(outcome("unresolved", None, None, F.concat(F.lit("no import is known as "), q)))
     )
     return split.join(found, ["file_id", "name"], "left").select("file_id", "name", result.alias("result"))
 
@@ -94,26 +105,25 @@ def instance_names(scope: Scope, refs: DataFrame) -> DataFrame:
     own = scope.methods.select("file_id", "parent_symbol_id", F.col("name").alias("method"), "n", "symbol_id")
     m = quoted(F.col("method"))
     result = (
-        F.when(F.col("parent_symbol_id").isNull(), outcome("unresolved", None, None, F.lit("call has no enclosing class to resolve against")))
+        F.when(F.col("parent_symbol_id").isNull(), outcome("unresolved", None, None, F.lit("the caller belongs to no class")))
         .when(F.col("n") == 1, outcome("resolved", F.col("file_id"), F.col("symbol_id")))
-        .when(F.col("n") > 1, outcome("ambiguous", F.col("file_id"), None, F.concat(F.lit("multiple methods named "), m, F.lit(" on the same class"))))
-        .otherwise(outcome("unresolved", None, None, F.concat(m, F.lit(" not found on the immediate class: inherited methods are not resolved"))))
+        .when(F.col("n") > 1, outcome("ambiguous", F.col("file_id"), None, F.concat(F.lit("the class has several "), m)))
+        .otherwise(outcome("unresolved", None, None, F.concat(F.lit("the class itself has no "), m)))
     )
     return asked.join(own, ["file_id", "parent_symbol_id", "method"], "left").select("file_id", "parent_symbol_id", "name", result.alias("result"))
 
 
 def call_names(scope: Scope, refs: DataFrame) -> DataFrame:
     """refs: distinct (file_id, name) of bare calls: a function, else a class, else ambiguity, else nothing."""
-    functions = bare_names(scope, refs, "function").withColumnRenamed("result", "f")
-    classes = bare_names(scope, refs, "class").withColumnRenamed("result", "c")
+    both = candidates(scope, refs, ("function", "class")).select("file_id", "name", choice("function").alias("f"), choice("class").alias("c"))
     either = (F.col("f.status") == "ambiguous") | (F.col("c.status") == "ambiguous")
     result = (
         F.when(F.col("f.status") == "resolved", F.col("f"))
         .when(F.col("c.status") == "resolved", F.col("c"))
-        .when(either, outcome("ambiguous", None, None, F.concat(F.lit("multiple possible definitions for "), quoted(F.col("name")))))
+        .when(either, outcome("ambiguous", None, None, F.concat(quoted(F.col("name")), F.lit(" could be one of several definitions"))))
         .otherwise(F.col("f"))
     )
-    return functions.join(classes, ["file_id", "name"]).select("file_id", "name", result.alias("result"))
+    return both.select("file_id", "name", result.alias("result"))
 
 
 def resolve_calls(scope: Scope, calls: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def entries(spark: SparkSession, archive: str | Path) -> DataFrame:
         with zipfile.ZipFile(archive) as opened:
             rows = [(i.filename, i.file_size, i.compress_size, i.external_attr) for i in opened.infolist()]
     except zipfile.BadZipFile as problem:
-        raise UnsafeArchive("File is not a valid ZIP archive") from problem
+        raise UnsafeArchive("this is no ZIP file") from problem
     return spark.createDataFrame(rows, ENTRY)
 
 
@@ -32,10 +32,10 @@ def name_problem(name: Column) -> Column:
     turned = F.translate(name, "\\", "/")
     parts = F.split(turned, "/")
     return (
-        F.when(F.btrim(name).isin("", ".", "/"), F.lit("Archive contains an empty entry name"))
-        .when(F.startswith(turned, F.lit("/")), F.concat(F.lit("Archive entry has an absolute path: "), quoted(name)))
-        .when(F.contains(F.get(parts, F.lit(0)), F.lit(":")), F.concat(F.lit("Archive entry has an unsafe path: "), quoted(name)))
-        .when(F.array_contains(parts, ".."), F.concat(F.lit("Archive entry escapes the archive root: "), quoted(name)))
+        F.when(F.btrim(name).isin("", ".", "/"), F.lit("a member has no name"))
+        .when(F.startswith(turned, F.lit("/")), F.concat(F.lit("member path begins at the root: "), quoted(name)))
+        .when(F.contains(F.get(parts, F.lit(0)), F.lit(":")), F.concat(F.lit("member path begins with a drive or scheme: "), quoted(name)))
+        .when(F.array_contains(parts, ".."), F.concat(F.lit("member path climbs above its folder: "), quoted(name)))
     )
 
 
@@ -48,9 +48,9 @@ def problems(table: DataFrame, limits: Settings) -> DataFrame:
     ratio = F.try_divide(F.col("size"), F.col("packed"))
     problem = F.coalesce(
         name_problem(F.col("name")),
-        F.when(is_link(F.col("attributes")), F.concat(F.lit("Archive entry is a symlink: "), quoted(F.col("name")))),
-        F.when(F.col("size") > limits.max_archive_entry_bytes, F.concat(F.lit("Entry is over the per-file limit: "), quoted(F.col("name")))),
-        F.when(ratio > limits.max_archive_ratio, F.concat(F.lit("Entry has a suspicious compression ratio: "), quoted(F.col("name")))),
+        F.when(is_link(F.col("attributes")), F.concat(F.lit("member is a link: "), quoted(F.col("name")))),
+        F.when(F.col("size") > limits.max_archive_entry_bytes, F.concat(F.lit("member too large: "), quoted(F.col("name")))),
+        F.when(ratio > limits.max_archive_ratio, F.concat(F.lit("member packed too tightly: "), quoted(F.col("name")))),
     )
     return table.select("name", problem.alias("problem")).where("problem is not null")
 
@@ -60,20 +60,20 @@ def validate(spark: SparkSession, archive: str | Path, limits: Settings) -> None
     table = entries(spark, archive)
     totals = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     if totals["n"] == 0:
-        raise UnsafeArchive("Archive contains no entries")
+        raise UnsafeArchive("the ZIP has no members")
     if totals["n"] > limits.max_archive_entries:
-        raise UnsafeArchive(f"Archive contains {totals['n']} entries, exceeding the limit of {limits.max_archive_entries}")
+        raise UnsafeArchive(f"the ZIP has {totals['n']} members; {limits.max_archive_entries} are allowed")
     first = problems(table, limits).first()
     if first:
         raise UnsafeArchive(first["problem"])
     if totals["bytes"] > limits.max_archive_bytes:
-        raise UnsafeArchive(f"Archive would extract to {totals['bytes']} bytes, exceeding the limit of {limits.max_archive_bytes}")
+        raise UnsafeArchive(f"unpacked, the ZIP would take {totals['bytes']} bytes; {limits.max_archive_bytes} are allowed")
 
 
 def inside(workspace: Path, name: str) -> Path:
     target = (workspace / name).resolve()
     if not target.is_relative_to(workspace):
-        raise UnsafeArchive(f"Archive entry resolves outside the workspace: {name!r}")
+        raise UnsafeArchive(f"member {name!r} would land outside its folder")
     return target
 
 
@@ -93,10 +93,10 @@ def extract(archive: str | Path, workspace: str | Path, limits: Settings) -> Non
                     while part := packed.read(CHUNK):
                         left -= len(part)
                         if left < 0:
-                            raise UnsafeArchive("Entry exceeded its declared size during extraction")
+                            raise UnsafeArchive("a member holds more bytes than any may have")
                         out.write(part)
     except zipfile.BadZipFile as problem:
-        raise ImportFailed("Archive became unreadable during extraction") from problem
+        raise ImportFailed("the ZIP broke off while it was unpacked") from problem
 
 
 def save_upload(stream, target: str | Path, max_bytes: int) -> int:
@@ -110,5 +110,5 @@ def save_upload(stream, target: str | Path, max_bytes: int) -> int:
             out.write(part)
     if written > max_bytes:
         Path(target).unlink(missing_ok=True)
-        raise UnsafeArchive(f"Upload exceeds the limit of {max_bytes} bytes")
+        raise UnsafeArchive(f"the upload has more than {max_bytes} bytes")
     return written

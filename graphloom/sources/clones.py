@@ -28,10 +28,10 @@ def url_problem(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     user = F.regexp_extract(authority, r"^([^@]*)@", 1)
     return (
-        F.when(url.isNull() | (F.lower(scheme) != "https"), F.lit("Only HTTPS git URLs are supported"))
-        .when(~F.rlike(host, F.lit(HOST)), F.lit("Git URL has an invalid or missing host"))
-        .when(~user.isin("", ":"), F.lit("Embedded credentials in the git URL are not supported"))
-        .when(path.isin("", "/"), F.lit("Git URL is missing a repository path"))
+        F.when(url.isNull() | (F.lower(scheme) != "https"), F.lit("the scheme must be https"))
+        .when(~F.rlike(host, F.lit(HOST)), F.lit("the host is missing or malformed"))
+        .when(~user.isin("", ":"), F.lit("the URL carries a user or a password"))
+        .when(path.isin("", "/"), F.lit("the URL names no repository"))
     )
 
 
@@ -48,7 +48,7 @@ def clone(url: str, workspace: str | Path, limits: Settings) -> None:
     try:
         child = subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"}, start_new_session=True)
     except OSError as problem:
-        raise ImportFailed(f"Failed to start git: {problem}") from problem
+        raise ImportFailed(f"git could not be run: {problem}") from problem
     try:
         _, said = child.communicate(timeout=limits.clone_timeout_seconds)
     except subprocess.TimeoutExpired:
@@ -57,14 +57,14 @@ def clone(url: str, workspace: str | Path, limits: Settings) -> None:
         with suppress(subprocess.TimeoutExpired, ValueError):
             child.communicate(timeout=REAP_SECONDS)
         remove(workspace)
-        raise ImportFailed(f"Git clone exceeded the timeout of {limits.clone_timeout_seconds}s and was terminated") from None
+        raise ImportFailed(f"git was stopped after {limits.clone_timeout_seconds} s") from None
     if child.returncode:
         remove(workspace)
-        raise ImportFailed(f"Git clone failed: {said.decode(errors='replace').strip() or child.returncode}")
+        raise ImportFailed(f"git gave up: {said.decode(errors='replace').strip() or child.returncode}")
     size = sum(f.stat().st_size for f in workspace.rglob("*") if f.is_file())
     if size > limits.max_clone_bytes:
         remove(workspace)
-        raise ImportFailed(f"Cloned repository is {size} bytes, exceeding the limit of {limits.max_clone_bytes}")
+        raise ImportFailed(f"the clone has {size} bytes; {limits.max_clone_bytes} are allowed")
 
 
 def remove(folder: Path) -> None:

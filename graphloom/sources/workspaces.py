@@ -11,14 +11,14 @@ from ..errors import WorkspaceProblem
 def contained(root: str | Path, path: str | Path) -> Path:
     base, target = Path(root).resolve(), Path(path).resolve()
     if not target.is_relative_to(base):
-        raise WorkspaceProblem("Refusing to touch a path outside the workspace root")
+        raise WorkspaceProblem("the path lies outside the workspaces")
     return target
 
 
 def create_workspace(root: str | Path, project_id: str, repository_id: str) -> Path:
     target = contained(root, Path(root) / project_id / repository_id)
     if target.exists():
-        raise WorkspaceProblem(f"Workspace already exists: {target}")
+        raise WorkspaceProblem(f"{target} is in use")
     target.mkdir(parents=True)
     return target
 

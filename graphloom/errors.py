@@ -10,11 +10,19 @@ class NotFound(EngineError):
 
 
 class Invalid(EngineError):
+    """A request that breaks a rule of ours, such as a limit above its ceiling."""
+
+    status = 400
+
+
+class Malformed(Invalid):
+    """A value that no request may hold, such as a limit below one or an empty name."""
+
     status = 422
 
 
 class InvalidSource(Invalid):
-    status = 400
+    pass
 
 
 class UnsafeArchive(InvalidSource):
@@ -26,7 +34,7 @@ class WorkspaceProblem(EngineError):
 
 
 class ImportFailed(EngineError):
-    status = 400
+    status = 422
 
 
 class ParseFailed(EngineError):
@@ -37,5 +45,9 @@ class WrongState(EngineError):
     status = 409
 
 
+class Conflict(WrongState):
+    """Another writer was faster."""
+
+
 class QueryTimeout(EngineError):
     status = 503

@@ -50,7 +50,14 @@ def depth_within(value: Column, most: int) -> Column:
     return whole.cast("int")
 
 
-def properties(columns: list[str]) -> Column:
-    """A map of the non-null columns, values as text."""
-    bag = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))
+def iso_time(time: Column) -> Column:
+    """A time as ISO 8601 text in UTC, with microseconds only where there are any."""
+    utc = F.to_utc_timestamp(time, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(F.when(F.unix_micros(time) % 1_000_000 == 0, whole).otherwise(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit("+00:00"))
+
+
+def properties(columns: list[str], times: tuple[str, ...] = ()) -> Column:
+    """A map of the non-null columns, values as text; those named in times as ISO 8601."""
+    bag = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[iso_time(F.col(c)) if c in times else F.col(c).cast("string") for c in columns]))
     return F.map_filter(bag, lambda _, v: v.isNotNull())

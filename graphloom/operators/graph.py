@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import NODE_KINDS, RELATIONSHIP_KINDS
-from ..scratch import stored
+from ..scratch import stored, temporary
 
 #: Kinds that carry dependencies, as against mere structure.
 DEPENDING = ("calls", "imports", "inherits")
@@ -149,63 +149,94 @@ def omitted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- traversal --------------------------------------------------------------------
 
+#: A frontier of at most so many ids is broadcast to the edges (some MB); a larger one is shuffled with them.
+BROADCAST_IDS = 100_000
+
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
-    """Edges as (near, far, kind, dependency_edge_id), walked from near to far."""
+    """Edges as (near, far, kind, dependency_edge_id), walked from near to far, without self-loops."""
     near, far = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
-    return edges.select(F.col(near).alias("near"), F.col(far).alias("far"), "kind", "dependency_edge_id")
+    return edges.where("source_id <> target_id").select(F.col(near).alias("near"), F.col(far).alias("far"), "kind", "dependency_edge_id")
+
+
+def stepped(walk: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
+    """The edges that begin in the frontier, which has `size` distinct ids.
+
+    The edges are read as they lie: only a frontier beyond BROADCAST_IDS makes them move."""
+    ids = frontier.select(F.col("id").alias("near"))
+    return walk.join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "near", "left_semi")
+
+
+def unseen(step: DataFrame, levels: list[DataFrame], size: int) -> DataFrame:
+    """Rows of step whose id is in none of the levels, which have `size` ids together."""
+    known = levels[0].select("id")
+    for level in levels[1:]:
+        known = known.unionByName(level.select("id"))
+    return step.join(F.broadcast(known) if size <= BROADCAST_IDS else known, "id", "left_anti")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "upstream", max_depth: int = 3, kind: str | None = None, limit: int | None = 100, repository_id: str | None = None) -> DataFrame:
     """Nodes reached from start, each once at its least depth: id, depth, kind.
 
-    Breadth first, a level at a time: the frontier is joined to the edges, what was seen
-    is taken away, and the new level is stored.  kind is the least relationship kind among
-    the edges that first reach the node.  The start is never part of the result."""
-    # each level reads the edges again, so they are narrowed and stored once
-    walk = stored(oriented(of_kind(here(edges, repository_id), kind, DEPENDING), direction).select("near", "far", "kind").where("near <> far").distinct(), "walk")
+    Breadth first, a level at a time: edges that begin in the frontier are picked out, grouped
+    by where they lead, what was seen is taken away, and the new level is stored.  Every level
+    reads the edges, so they should be a stored table (graph_edges, or stored(...)).  kind is the
+    least relationship kind among the edges that first reach the node.  The start is never part
+    of the result."""
     spark = nodes.sparkSession
-    levels = spark.createDataFrame([(start, 0, None)], "id string, depth int, kind string")
-    frontier = levels
-    for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("id").alias("near")).join(walk, "near").groupBy(F.col("far").alias("id")).agg(F.min("kind").alias("kind"))
-        fresh = stored(step.join(levels, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "kind"), "level")
-        if fresh.isEmpty():
-            break
-        levels, frontier = levels.unionByName(fresh), fresh
-    found = levels.where("depth > 0").join(here(nodes, repository_id).select("id"), "id", "left_semi").orderBy("depth", "id")
-    return found if limit is None else found.limit(limit)
+    walk = oriented(of_kind(here(edges, repository_id), kind, DEPENDING), direction)
+    with temporary(spark):
+        levels = [spark.createDataFrame([(start, 0, None)], "id string, depth int, kind string")]
+        step, seen = walk.where(F.col("near") == start), 1  # pushed down to the scan
+        for depth in range(1, max_depth + 1):
+            met = step.groupBy(F.col("far").alias("id")).agg(F.min("kind").alias("kind"))
+            fresh = stored(unseen(met, levels, seen).select("id", F.lit(depth).alias("depth"), "kind"), "level")
+            size = fresh.count()
+            if not size:
+                break
+            levels.append(fresh)
+            seen += size
+            step = stepped(walk, fresh, size)
+        whole = levels[0]
+        for level in levels[1:]:
+            whole = whole.unionByName(level)
+        found = whole.where("depth > 0").join(here(nodes, repository_id).select("id"), "id", "left_semi")
+        if limit is not None:
+            found = found.orderBy("depth", "id").limit(limit)
+        return stored(found, "impact", outlives=True).orderBy("depth", "id")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_depth: int = 6, kind: str | None = None, repository_id: str | None = None) -> DataFrame:
     """One row: found, length, node_ids, kinds, dependency_edge_ids, along directed edges.
 
     source = target is found with length 0; without a path length and lists are null.  Ties
-    go to the smallest predecessor, then the smallest kind and dependency edge.  At most
-    max_depth rows come to the driver."""
+    go to the smallest predecessor, then the smallest kind and dependency edge.  Every level
+    reads the edges, as in impact().  At most max_depth rows come to the driver."""
     schema = "found boolean, length int, node_ids array<string>, kinds array<string>, dependency_edge_ids array<string>"
     spark = nodes.sparkSession
     if source == target:
         return spark.createDataFrame([(True, 0, [source], [], [])], schema)
-    walk = stored(oriented(of_kind(here(edges, repository_id), kind, DEPENDING), "downstream").where("near <> far"), "walk")
-    seen = frontier = spark.createDataFrame([(source,)], "id string")
-    levels: list[DataFrame] = []
-    for _ in range(max_depth):
-        best = F.min(F.struct("near", "kind", F.coalesce("dependency_edge_id", F.lit("")).alias("edge"))).alias("via")
-        step = frontier.select(F.col("id").alias("near")).join(walk, "near").groupBy(F.col("far").alias("id")).agg(best)
-        fresh = stored(step.join(seen, "id", "left_anti").select("id", "via.*"), "level")
-        if fresh.isEmpty():
-            break
-        levels.append(fresh)
-        if not fresh.where(F.col("id") == target).isEmpty():
-            at, ids, kinds, via = target, [target], [], []
-            for level in reversed(levels):
-                row = level.where(F.col("id") == at).first()
-                at = row["near"]
-                ids.append(at)
-                kinds.append(row["kind"])
-                via.append(row["edge"] or None)
-            return spark.createDataFrame([(True, len(levels), ids[::-1], kinds[::-1], via[::-1])], schema)
-        frontier = fresh.select("id")
-        seen = seen.unionByName(frontier)
+    walk = oriented(of_kind(here(edges, repository_id), kind, DEPENDING), "downstream")
+    best = F.min(F.struct("near", "kind", F.coalesce("dependency_edge_id", F.lit("")).alias("edge"))).alias("via")
+    with temporary(spark):
+        levels = [spark.createDataFrame([(source,)], "id string")]
+        step, seen = walk.where(F.col("near") == source), 1
+        for _ in range(max_depth):
+            met = step.groupBy(F.col("far").alias("id")).agg(best)
+            fresh = stored(unseen(met, levels, seen).select("id", "via.*"), "level")
+            levels.append(fresh)
+            size, hits = fresh.agg(F.count(F.lit(1)), F.count_if(F.col("id") == target)).first()
+            if hits:
+                at, ids, kinds, via = target, [target], [], []
+                for level in reversed(levels[1:]):
+                    row = level.where(F.col("id") == at).first()
+                    at = row["near"]
+                    ids.append(at)
+                    kinds.append(row["kind"])
+                    via.append(row["edge"] or None)
+                return spark.createDataFrame([(True, len(kinds), ids[::-1], kinds[::-1], via[::-1])], schema)
+            if not size:
+                break
+            seen += size
+            step = stepped(walk, fresh, size)
     return spark.createDataFrame([(False, None, None, None, None)], schema)

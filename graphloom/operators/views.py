@@ -53,6 +53,6 @@ def node_properties(nodes: DataFrame) -> DataFrame:
     from ..functions.shaping import properties
 
     columns = [c for c in nodes.columns if c not in ("id", "kind", "repository_id", "symbol_kind")]
-    bag = properties(columns)
+    bag = properties(columns, tuple(f.name for f in nodes.schema if f.dataType.typeName() == "timestamp"))
     own = F.when(F.col("symbol_kind").isNotNull(), F.map_concat(bag, F.create_map(F.lit("kind"), F.col("symbol_kind")))).otherwise(bag)
     return nodes.select("id", "kind", "repository_id", own.alias("properties"))

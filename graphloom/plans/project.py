@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import GRAPH_EDGES, GRAPH_NODES
+from ..scratch import stored
 
 EDGE_KEY = ["source_id", "target_id", "kind", "dependency_edge_id"]
 
@@ -66,6 +67,24 @@ ROWS, ROW_HEIGHT, COLUMN_WIDTH, KIND_GAP = 14, 58, 250, 90
 KIND_ORDER = ("repository", "file", "symbol", "unknown")
 
 
+#: Rows of one range of numbered().
+RANGE_ROWS = 250_000
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with their place, from 0, in the order of their group, without a task for each whole group.
+
+    Rows are split by ranges of (group, order) and numbered inside each range; the counts of the
+    ranges before it in the group, a row for each range and group, are added."""
+    ranges = 1 + rows.count() // RANGE_ROWS
+    split = rows if ranges == 1 else rows.repartitionByRange(ranges, group, *order)
+    split = stored(split.withColumn("range", F.spark_partition_id() if ranges > 1 else F.lit(0)), "ranges")
+    inside = F.row_number().over(Window.partitionBy("range", group).orderBy(*order))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = split.groupBy("range", group).agg(F.count(F.lit(1)).alias("n")).select("range", group, F.coalesce(before, F.lit(0)).alias("offset"))
+    return split.withColumn("inside", inside).join(F.broadcast(offsets), ["range", group]).withColumn(name, F.col("inside") - 1 + F.col("offset")).drop("range", "inside", "offset")
+
+
 def layout(nodes: DataFrame) -> DataFrame:
     """(id, kind, x, y) for drawing: kinds left to right, each in columns of ROWS nodes, centred.
 
@@ -75,7 +94,7 @@ def layout(nodes: DataFrame) -> DataFrame:
     symbol = known == "symbol"
     label = F.coalesce(F.when(symbol, F.coalesce("qualified_name", "name")), F.col("path"), F.col("display_name"), F.col("name"), F.col("id"))
     keyed = nodes.select("id", known.alias("kind"), F.when(symbol, F.coalesce("file_id", F.lit(""))).alias("f"), F.when(symbol, F.coalesce("start_line", F.lit(0))).alias("l"), label.alias("label"))
-    placed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("f", "l", "label", "id")) - 1)
+    placed = numbered(keyed, "kind", ["f", "l", "label", "id"], "place")
     # at most one row for each of the four kinds
     sizes = keyed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import UTC, datetime
 from pathlib import Path
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import EngineError, Invalid, NotFound, QueryTimeout, WrongState
+from ..errors import EngineError, Invalid, Malformed, NotFound, QueryTimeout, WrongState
 from ..functions.shaping import stem
 from ..operators import edges as edge_ops
 from ..operators import graph, listings
@@ -24,26 +26,35 @@ from .project import attached, graph_edges, graph_nodes, merged_nodes
 
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float):
-    """Cancel the jobs started inside once the time is up, and raise QueryTimeout."""
-    group, expired = f"limited-{uuid.uuid4().hex}", threading.Event()
+    """Cancel the jobs started inside once the time is up, and raise QueryTimeout.
+
+    Cancelling is repeated until the block is left, so jobs that start later end as well; it is
+    also raised if the time ran out between two jobs, or after the last."""
+    group, expired, left = f"limited-{uuid.uuid4().hex}", threading.Event(), threading.Event()
     context = spark.sparkContext
     context.setJobGroup(group, "time limit", interruptOnCancel=True)
 
-    def cancel() -> None:
+    def watch() -> None:
+        if left.wait(seconds):
+            return
         expired.set()
-        context.cancelJobGroup(group)
+        while not left.wait(0.1):
+            context.cancelJobGroup(group)
 
-    timer = threading.Timer(seconds, cancel)
-    timer.daemon = True
-    timer.start()
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
         yield
     except Exception as problem:
         if expired.is_set():
             raise QueryTimeout(f"query exceeded {seconds:g} s") from problem
         raise
+    else:
+        if expired.is_set():
+            raise QueryTimeout(f"query exceeded {seconds:g} s")
     finally:
-        timer.cancel()
+        left.set()
+        watcher.join()
         context.setLocalProperty("spark.jobGroup.id", None)
 
 
@@ -65,9 +76,9 @@ class Engine:
 
     def create_project(self, name: str, description: str | None = None) -> dict:
         if not 1 <= len(name or "") <= 200:
-            raise Invalid("a project name has 1 to 200 characters")
+            raise Malformed("a project name has 1 to 200 characters")
         if description is not None and len(description) > 2000:
-            raise Invalid("a project description has at most 2000 characters")
+            raise Malformed("a project description has at most 2000 characters")
         now = datetime.now(UTC)
         row = {"id": str(uuid.uuid4()), "name": name, "description": description, "status": "active", "created_at": now, "updated_at": now}
         self.store.upsert("projects", row)
@@ -92,6 +103,13 @@ class Engine:
             lambda: archives.validate(self.spark, archive, limits), lambda workspace: archives.extract(archive, workspace, limits),
         )
 
+    def upload_zip(self, project_id: str, name: str, stream: BinaryIO, display_name: str | None = None) -> dict:
+        """import_zip() of an uploaded file, copied to disk in chunks up to max_upload_bytes."""
+        with tempfile.TemporaryDirectory(prefix="graphloom-upload-") as folder:
+            archive = Path(folder) / "upload.zip"
+            archives.save_upload(stream, archive, self.settings.max_upload_bytes)
+            return self.import_zip(project_id, archive, display_name or self._stem(name))
+
     def import_git(self, project_id: str, url: str) -> dict:
         limits = self.settings
 
@@ -142,20 +160,24 @@ class Engine:
         found = files.discovered(self.spark, row["workspace_path"], self.settings.max_source_bytes)
         rows = parsing.parsed(found).persist()
         try:
-            for name, table in parsing.relational(repository_id, found, rows).items():
-                self.store.replace(name, repository_id, table)
+            self.store.replace_all(repository_id, parsing.relational(repository_id, found, rows))
         finally:
             rows.unpersist()
         t = lambda name: self._t(name, repository_id)
         return listings.parse_summary(t("parsed_files"), t("parse_errors"), t("symbols"), t("imports")).first().asDict()
 
+    def load_files(self, repository_id: str) -> DataFrame:
+        """All files of a repository with everything parsed from them, nested."""
+        self.get_repository(repository_id)
+        return listings.assembled_files(*[self._t(n, repository_id) for n in ("parsed_files", "symbols", "imports", "parameters", "call_sites")])
+
     def list_files(self, repository_id: str) -> DataFrame:
         self.get_repository(repository_id)
         return listings.file_summaries(*[self._t(n, repository_id) for n in ("parsed_files", "symbols", "imports")])
 
     def list_symbols(self, repository_id: str, kind: str | None = None, file_id: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         self.get_repository(repository_id)
-        return listings.symbols_page(self.store.table("symbols"), repository_id, kind, file_id, limit, offset)
+        return listings.symbols_page(self._t("symbols", repository_id), repository_id, kind, file_id, limit, offset)
 
     def get_symbol(self, symbol_id: str) -> dict:
         one = listings.by_id(self.store.table("symbols"), symbol_id)
@@ -166,7 +188,7 @@ class Engine:
 
     def list_parse_errors(self, repository_id: str) -> DataFrame:
         self.get_repository(repository_id)
-        return listings.parse_errors(self.store.table("parse_errors"), repository_id)
+        return listings.parse_errors(self._t("parse_errors", repository_id), repository_id)
 
     # ---- dependencies ---------------------------------------------------------------
 
@@ -183,7 +205,7 @@ class Engine:
 
     def list_dependencies(self, repository_id: str, kind: str | None = None, source_symbol_id: str | None = None, target_symbol_id: str | None = None, resolution_status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         self.get_repository(repository_id)
-        return listings.edges_page(self.store.table("dependency_edges"), repository_id, kind, source_symbol_id, target_symbol_id, resolution_status, limit, offset)
+        return listings.edges_page(self._t("dependency_edges", repository_id), repository_id, kind, source_symbol_id, target_symbol_id, resolution_status, limit, offset)
 
     def get_dependency(self, dependency_id: str) -> dict:
         found = listings.by_id(self.store.table("dependency_edges"), dependency_id).first()
@@ -201,27 +223,29 @@ class Engine:
         nodes = graph_nodes(repository, parsed, symbols, datetime.now(UTC))
         edges = graph_edges(parsed, symbols, found)
         counts = {"nodes": nodes.count(), "relationships": edges.count()}
-        self.store.replace("graph_nodes", repository_id, merged_nodes(nodes))
-        self.store.replace("graph_edges", repository_id, attached(nodes, edges))
+        # walks read the edges again and again: they lie in the order of their sources, so that a lookup skips most of a file
+        ordered = attached(nodes, edges).repartitionByRange("source_id", "target_id").sortWithinPartitions("source_id", "target_id")
+        self.store.replace_all(repository_id, {"graph_nodes": merged_nodes(nodes), "graph_edges": ordered})
         return counts
 
     def list_nodes(self, repository_id: str, kind: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         self.get_repository(repository_id)
-        return listings.nodes_page(self.store.table("graph_nodes"), repository_id, kind, limit, offset)
+        return listings.nodes_page(self._t("graph_nodes", repository_id), repository_id, kind, limit, offset)
 
     def list_relationships(self, repository_id: str, kind: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         self.get_repository(repository_id)
-        return listings.relationships_page(self.store.table("graph_edges"), repository_id, kind, limit, offset)
+        return listings.relationships_page(self._t("graph_edges", repository_id), repository_id, kind, limit, offset)
 
     def _graph(self, repository_id: str) -> tuple[DataFrame, DataFrame]:
         self.get_repository(repository_id)
         return self._t("graph_nodes", repository_id), self._t("graph_edges", repository_id)
 
     def _checked(self, limit: int | None = None, depth: int | None = None, most: int | None = None) -> None:
-        if limit is not None and not 1 <= limit <= self.settings.max_limit:
-            raise Invalid(f"limit must be between 1 and {self.settings.max_limit}")
-        if depth is not None and not 1 <= depth <= most:
-            raise Invalid(f"depth must be between 1 and {most}")
+        for name, value, ceiling in (("limit", limit, self.settings.max_limit), ("depth", depth, most)):
+            if value is not None and value < 1:
+                raise Malformed(f"{name} must be 1 or more")
+            if value is not None and value > ceiling:
+                raise Invalid(f"{name} may be {ceiling} at most")
 
     def _with_node(self, repository_id: str, *ids: str) -> tuple[DataFrame, DataFrame]:
         nodes, edges = self._graph(repository_id)

@@ -41,11 +41,14 @@ def walk(root: Path, below: str = "") -> Iterator[tuple[str, bool, int | None, s
             try:
                 yield path, False, entry.stat(follow_symlinks=False).st_size, None
             except OSError as problem:
-                yield path, False, None, f"could not stat file: {problem}"
+                yield path, False, None, f"size unknown: {problem}"
 
 
 def listing(spark: SparkSession, root: str | Path) -> DataFrame:
-    """The driver's listing of a workspace (names and sizes only, no contents)."""
+    """The driver's listing of a workspace (names and sizes only, no contents).
+
+    A workspace is one repository: an archive's entries are limited before it is unpacked
+    (max_archive_entries), a clone's bytes after it was made (max_clone_bytes)."""
     return spark.createDataFrame(list(walk(Path(root).resolve())), ENTRIES)
 
 
@@ -62,31 +65,39 @@ def looks_binary(content: Column, marker: bytes = b"\x00") -> Column:
     return F.contains(F.substring(content, 1, SNIFFED), F.lit(marker))
 
 
+def classified(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """rows: relative_path, length, error (of the listing) and content (null if not read).
+
+    Gives relative_path, content, stage and reason: candidates have neither stage nor reason;
+    what could not be read has both; what is passed over, too long or binary, has a reason only."""
+    unread = F.col("error").isNotNull() | F.col("length").isNull()
+    too_long = F.col("length") > max_bytes
+    reason = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(too_long, F.format_string(f"%d bytes; up to {max_bytes} are parsed", "length"))
+        .when(F.col("length").isNull() | F.col("content").isNull(), F.lit("contents unreadable"))
+        .when(looks_binary(F.col("content")), F.lit("a NUL byte near the start: no text"))
+    )
+    stage = F.when(unread | (~too_long & F.col("content").isNull()), F.lit("read"))
+    return rows.select("relative_path", F.when(reason.isNull(), F.col("content")).alias("content"), stage.alias("stage"), reason.alias("reason"))
+
+
 def discovered(spark: SparkSession, root: str | Path, max_bytes: int) -> DataFrame:
-    """relative_path, content, stage, reason: candidates have neither stage nor reason.
+    """relative_path, content, stage, reason of every listed file, as classified() gives them.
 
-    Executors read the contents; links cannot enter since only listed paths survive the
-    join.  Oversized files are pruned before their contents are read."""
+    Sizes come from the listing.  Executors read contents under a filter on the length that
+    the scan takes over, so a longer file is never opened.  Links cannot enter since only
+    listed paths survive the join."""
     base = Path(root).resolve()
-    known = listing(spark, base).where(~F.col("is_dir")).select("relative_path", F.col("error").alias("unlisted"), (F.col("length") == 0).alias("empty"))
+    known = listing(spark, base).where(~F.col("is_dir")).select("relative_path", "length", "error")
     read = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(f"file://{base}")
-        .withColumn("relative_path", F.substring(F.regexp_replace("path", "^file:/*", "/"), len(f"{base}/") + 1, 1 << 20))
+        .where(F.col("length") <= max_bytes)
+        .select(F.substring(F.regexp_replace("path", "^file:/*", "/"), len(f"{base}/") + 1, 1 << 20).alias("relative_path"), "content")
     )
-    sized = read.select("relative_path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
-    both = known.join(sized, "relative_path", "left")
     # a scan passes over files without bytes; they are candidates all the same
-    hollow = F.col("empty") & F.col("length").isNull()
-    both = both.withColumns({"length": F.when(hollow, F.lit(0)).otherwise(F.col("length")), "content": F.when(hollow, F.lit(b"")).otherwise(F.col("content"))})
-    too_long = F.col("length") > max_bytes
-    reason = (
-        F.when(F.col("unlisted").isNotNull(), F.col("unlisted"))
-        .when(F.col("length").isNull(), F.lit("could not read file"))
-        .when(too_long, F.format_string(f"file is %d bytes, exceeding the {max_bytes}-byte limit", "length"))
-        .when(looks_binary(F.col("content")), F.lit("file appears to be binary"))
-    )
-    stage = F.when(F.col("unlisted").isNotNull() | F.col("length").isNull(), F.lit("read"))
-    return both.select("relative_path", F.when(reason.isNull(), F.col("content")).alias("content"), stage.alias("stage"), reason.alias("reason"))
+    content = F.when(F.col("length") == 0, F.coalesce("content", F.lit(b""))).otherwise(F.col("content"))
+    return classified(known.join(read, "relative_path", "left").withColumn("content", content), max_bytes)
 
 
 def metadata(entries: DataFrame, has_git: bool, scanned_at: datetime | None = None) -> DataFrame:

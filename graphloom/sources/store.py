@@ -1,19 +1,31 @@
-"""Parquet tables partitioned by repository; a write replaces whole partitions."""
+"""Parquet tables of repositories with one commit point for each repository.
+
+A write puts new files beside the old ones, below a version of its own; a commit then says
+which version of each table counts.  Readers follow the last commit, so all tables of a save
+change together, and a save that fails changes nothing.  Layout below the root:
+
+    <table>/repository_id=<id>/version=<name>/*.parquet
+    _commits/<id>/<number>.json     {table: version} of all tables of the repository
+    <keyed table>/row=<key>/*.parquet
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import Conflict
 from ..schemas import TABLES
 
 KEYED = {"projects": "id", "repositories": "id"}
 
 
 class Store:
-    """Tables below one root.  Readers of a repository prune to its partition."""
+    """Tables below one root.  Readers of a repository read its files alone."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root if "://" in root else f"file://{Path(root).resolve()}"
@@ -21,30 +33,94 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _exists(self, name: str) -> bool:
+    def _place(self, name: str):
+        """The Hadoop path below the root, and its file system."""
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        place, fs = self._place(name)
+        return fs.exists(place)
+
+    def _names(self, folder: str) -> list[str]:
+        place, fs = self._place(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
     def ensure(self) -> None:
-        """Create every table that is not there yet, empty."""
-        for name, schema in TABLES.items():
-            if not self._exists(name):
-                empty = self.spark.createDataFrame([], schema).write.mode("ignore")
-                (empty if name in KEYED else empty.partitionBy("repository_id")).parquet(self.path(name))
+        """Create the folder of every table that is not there yet."""
+        for name in [*TABLES, "_commits"]:
+            place, fs = self._place(name)
+            fs.mkdirs(place)
+
+    # ---- commits ------------------------------------------------------------------
+
+    def _last(self, repository_id: str) -> tuple[int, dict[str, str]]:
+        """Number of a repository's last commit, and the version of each of its tables."""
+        names = [n for n in self._names(f"_commits/{repository_id}") if n.endswith(".json")]
+        if not names:
+            return 0, {}
+        place, fs = self._place(f"_commits/{repository_id}/{names[-1]}")
+        opened = fs.open(place)
+        try:
+            said = self.spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
+        finally:
+            opened.close()
+        return int(names[-1].removesuffix(".json")), json.loads(said)
+
+    def _commit(self, repository_id: str, number: int, versions: dict[str, str]) -> None:
+        """Write commit `number` whole under another name, then rename it: it is there or not."""
+        target, fs = self._place(f"_commits/{repository_id}/{number:012d}.json")
+        part, _ = self._place(f"_commits/{repository_id}/.{uuid.uuid4().hex}.part")
+        out = fs.create(part, True)
+        out.write(json.dumps(versions).encode())
+        out.close()
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, False)
+            raise Conflict(f"the tables of repository {repository_id} were changed by another writer")
+
+    def replace_all(self, repository_id: str, tables: dict[str, DataFrame]) -> None:
+        """Replace several tables of one repository together: all of them or, on any failure, none.
+
+        The versions before are kept, for readers that still use them, until the next commit."""
+        number, versions = self._last(repository_id)
+        version = f"{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+        try:
+            for name, rows in tables.items():
+                schema = TABLES[name]
+                fitted = rows.where(F.col("repository_id") == repository_id).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name != "repository_id"])
+                fitted.write.parquet(f"{self.path(name)}/repository_id={repository_id}/version={version}")
+            self._commit(repository_id, number + 1, versions | dict.fromkeys(tables, version))
+        except BaseException:
+            self._forget(repository_id, dict.fromkeys(tables, [version]))
+            raise
+        before = {name: [v.removeprefix("version=") for v in self._names(f"{name}/repository_id={repository_id}")] for name in tables}
+        self._forget(repository_id, {name: [v for v in old if v not in (version, versions.get(name))] for name, old in before.items()})
+
+    def _forget(self, repository_id: str, versions: dict[str, list[str]]) -> None:
+        for name, old in versions.items():
+            for version in old:
+                place, fs = self._place(f"{name}/repository_id={repository_id}/version={version}")
+                fs.delete(place, True)
+
+    def replace(self, name: str, repository_id: str, rows: DataFrame) -> None:
+        """Replace one table of one repository, also when there are no rows left for it."""
+        self.replace_all(repository_id, {name: rows})
 
     def table(self, name: str, repository_id: str | None = None) -> DataFrame:
+        """Committed rows of one repository, or of all."""
         schema = TABLES[name]
-        if not self._exists(name):
+        if name in KEYED:
+            paths = [self.path(name)] if self._names(name) else []
+        else:
+            ids = self._names("_commits") if repository_id is None else [repository_id]
+            versions = {r: self._last(r)[1].get(name) for r in ids}  # a small file for each repository
+            paths = [f"{self.path(name)}/repository_id={r}/version={v}" for r, v in versions.items() if v]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(self.path(name)).select(*[c.name for c in schema])
-        return rows if repository_id is None else rows.where(F.col("repository_id") == repository_id)
+        rows = self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*paths)
+        return rows.select(*[F.col(c.name) for c in schema])
 
-    def replace(self, name: str, repository_id: str, rows: DataFrame) -> None:
-        """Overwrite one repository's partition, also when there are no rows left for it."""
-        schema = TABLES[name]
-        fitted = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).where(F.col("repository_id") == repository_id)
-        # one partition value: the folder is named directly, so an empty result clears it too
-        fitted.drop("repository_id").write.mode("overwrite").parquet(f"{self.path(name)}/repository_id={repository_id}")
+    # ---- small keyed tables ---------------------------------------------------------
 
     def upsert(self, name: str, row: dict) -> None:
         """Put one row into a small keyed table, replacing the row with its key."""

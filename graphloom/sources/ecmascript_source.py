@@ -20,6 +20,9 @@ TOKEN = re.compile(
       |(?P<sign>\?\.(?!\d)|\.\.\.|=>|[{}()\[\];,.<>:?!=+\-*/%&|^~@`\\\#"'])""",
     re.X | re.S,
 )
+#: How a JSX element or fragment begins; `<T,` and `<T extends` begin type parameters.
+ELEMENT = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?=[\s/>])(?!\s+extends\b)(?!\s*,))")
+STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
 #: Words after which a slash begins a regular expression and a parenthesis is no call.
 OPERATOR_WORDS = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "do", "else", "instanceof", "yield", "await", "extends", "default"}
@@ -38,16 +41,28 @@ class Token:
     pair: int = -1  # index of the matching bracket
 
 
-def tokenize(text: str) -> tuple[list[Token], bool]:
-    """Tokens with matched brackets, and whether everything fitted."""
+def tokenize(text: str, jsx: bool = False) -> tuple[list[Token], bool]:
+    """Tokens with matched brackets, and whether everything fitted.
+
+    jsx: elements are literals, whose {...} parts count as code."""
     tokens: list[Token] = []
     fine, at = True, 0
     while at < len(text):
+        if jsx and text[at] == "<" and ELEMENT.match(text, at) and starts_regex(tokens):
+            end, parts, closed = element(text, at)
+            fine &= closed
+            tokens.append(Token("string", text[at:end], at, end))
+            for begin, stop in parts:
+                inner, ok = tokenize(text[begin:stop], jsx)
+                fine &= ok
+                tokens += [Token(t.kind if t.kind != "template" else "inner", t.text, t.start + begin, t.end + begin) for t in inner]
+            at = end
+            continue
         if text[at] == "`":
             end, parts = template(text, at)
             tokens.append(Token("template", text[at:end], at, end))
             for begin, stop in parts:  # code inside ${...} counts as code
-                inner, ok = tokenize(text[begin:stop])
+                inner, ok = tokenize(text[begin:stop], jsx)
                 fine &= ok
                 tokens += [Token(t.kind if t.kind != "template" else "inner", t.text, t.start + begin, t.end + begin) for t in inner]
             at = end
@@ -88,6 +103,58 @@ def starts_regex(tokens: list[Token]) -> bool:
     return last.kind == "sign" and last.text not in (")", "]", "}")
 
 
+def braced(text: str, at: int) -> int:
+    """Index behind the {...} that opens at `at`, or the text's length."""
+    depth, i = 0, at
+    while i < len(text):
+        if text[i] == "`":
+            i, _ = template(text, i)
+            continue
+        if text[i] in "\"'":
+            quoted = STRING.match(text, i)
+            i = quoted.end() if quoted else i + 1
+            continue
+        depth += (text[i] == "{") - (text[i] == "}")
+        i += 1
+        if not depth:
+            break
+    return i
+
+
+def element(text: str, at: int) -> tuple[int, list[tuple[int, int]], bool]:
+    """End of the JSX element or fragment at `at`, the code ranges inside it, and whether it is closed.
+
+    Text between tags is no code; tags are counted, with a stack too small to matter."""
+    parts: list[tuple[int, int]] = []
+    depth, i = 0, at
+    while i < len(text):
+        if text[i] == "{":
+            end = braced(text, i)
+            parts.append((i + 1, end - 1))
+            i = end
+        elif text[i] != "<":
+            i += 1
+        else:
+            closing = text.startswith("</", i)
+            i += 1
+            while i < len(text) and text[i] != ">":
+                if text[i] == "{":
+                    end = braced(text, i)
+                    parts.append((i + 1, end - 1))
+                    i = end
+                elif text[i] in "\"'":
+                    end = text.find(text[i], i + 1)
+                    i = len(text) if end < 0 else end + 1
+                else:
+                    i += 1
+            alone = text[i - 1 : i + 1] == "/>"
+            depth += -1 if closing else 0 if alone else 1
+            i += 1
+            if depth <= 0:
+                return min(i, len(text)), parts, i <= len(text)
+    return len(text), parts, False
+
+
 def template(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
     """End of the template literal at `at`, and the code ranges inside it."""
     i, parts = at + 1, []
@@ -112,10 +179,10 @@ def template(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
 
 
 class Reader:
-    def __init__(self, source: bytes, typed: bool):
+    def __init__(self, source: bytes, typed: bool, jsx: bool):
         self.text = source.decode("utf-8", errors="replace")
         self.typed = typed
-        self.tokens, fine = tokenize(self.text)
+        self.tokens, fine = tokenize(self.text, jsx)
         self.record = FileRecord(has_syntax_errors=not fine)
         self.lines = [0] + [m.end() for m in re.finditer("\n", self.text)]
         self.scopes: list[tuple[int, int, int]] = []  # first token, last token, symbol
@@ -561,6 +628,6 @@ class Reader:
         return names
 
 
-def parse_ecmascript(source: bytes, typed: bool = False) -> FileRecord:
-    """typed: TypeScript, with or without JSX."""
-    return Reader(source, typed).read()
+def parse_ecmascript(source: bytes, typed: bool = False, jsx: bool = False) -> FileRecord:
+    """typed: TypeScript.  jsx: elements may stand where an expression begins."""
+    return Reader(source, typed, jsx).read()

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,19 @@ from ..functions.ids import PARSE_NAMESPACE, uuid5
 from .files import is_tsx, language_of
 from .records import FileRecord
 
-PARSED = """relative_path string, language string, has_syntax_errors boolean, failure string,
+PARAMETER = pa.struct([("name", pa.string()), ("annotation", pa.string()), ("default_value", pa.string())])
+CALL = pa.struct([("callee", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
+SYMBOL = pa.struct([
+    ("kind", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("parent", pa.int32()),
+    ("start_line", pa.int32()), ("end_line", pa.int32()), ("start_column", pa.int32()), ("end_column", pa.int32()),
+    ("bases", pa.list_(pa.string())), ("parameters", pa.list_(PARAMETER)), ("calls", pa.list_(CALL)),
+])
+IMPORT = pa.struct([("module", pa.string()), ("names", pa.list_(pa.string())), ("alias", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
+PARSED = pa.schema([
+    ("relative_path", pa.string()), ("language", pa.string()), ("has_syntax_errors", pa.bool_()), ("failure", pa.string()),
+    ("symbols", pa.list_(SYMBOL)), ("imports", pa.list_(IMPORT)),
+])
+PARSED_DDL = """relative_path string, language string, has_syntax_errors boolean, failure string,
   symbols array<struct<kind:string,name:string,qualified_name:string,parent:int,start_line:int,end_line:int,start_column:int,end_column:int,bases:array<string>,
     parameters:array<struct<name:string,annotation:string,default_value:string>>,
     calls:array<struct<callee:string,start_line:int,end_line:int>>>>,
@@ -22,13 +33,14 @@ PARSED = """relative_path string, language string, has_syntax_errors boolean, fa
 
 
 def parser_for(language: str, tsx: bool):
-    """The function that turns bytes into a FileRecord."""
+    """The function that turns bytes into a FileRecord.  JSX is part of JavaScript and of TSX, not of plain TypeScript."""
     from .ecmascript_source import parse_ecmascript
     from .python_source import parse_python
 
     if language == "python":
         return parse_python
-    return lambda source: parse_ecmascript(source, typed=language == "typescript")
+    typed = language == "typescript"
+    return lambda source: parse_ecmascript(source, typed=typed, jsx=tsx or not typed)
 
 
 def as_row(path: str, language: str, record: FileRecord | None, failure: str | None) -> dict:
@@ -43,33 +55,27 @@ def as_row(path: str, language: str, record: FileRecord | None, failure: str | N
         for s in (record.symbols if record else ())
     ]
     imports = [{"module": i.module, "names": i.names, "alias": i.alias, "start_line": i.start_line, "end_line": i.end_line} for i in (record.imports if record else ())]
-    return {"relative_path": path, "language": language, "has_syntax_errors": bool(record and record.has_syntax_errors), "failure": failure, "symbols": json.dumps(symbols), "imports": json.dumps(imports)}
+    return {"relative_path": path, "language": language, "has_syntax_errors": bool(record and record.has_syntax_errors), "failure": failure, "symbols": symbols, "imports": imports}
 
 
-def parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over (relative_path, language, tsx, content): nested rows, no text in between."""
     for batch in batches:
-        rows = []
-        for path, language, tsx, content in zip(batch["relative_path"], batch["language"], batch["tsx"], batch["content"], strict=True):
-            try:
-                rows.append(as_row(path, language, parser_for(language, tsx)(bytes(content)), None))
-            except Exception as problem:  # one file never stops the others; it becomes a row of parse_errors
-                rows.append(as_row(path, language, None, f"{type(problem).__name__}: {problem}"))
-        yield pd.DataFrame(rows, columns=["relative_path", "language", "has_syntax_errors", "failure", "symbols", "imports"])
+        for at in range(0, batch.num_rows, 16):  # a file at a time, a few files a batch
+            rows = []
+            for path, language, tsx, content in zip(*(c.to_pylist() for c in batch.slice(at, 16).columns), strict=True):
+                try:
+                    rows.append(as_row(path, language, parser_for(language, tsx)(content), None))
+                except Exception as problem:  # one file never stops the others; it becomes a row of parse_errors
+                    rows.append(as_row(path, language, None, f"{type(problem).__name__}: {problem}"))
+            yield pa.RecordBatch.from_pylist(rows, PARSED)
 
 
 def parsed(found: DataFrame) -> DataFrame:
     """One row per supported candidate of discovered(): its symbols and imports, or its failure."""
     candidates = found.where("reason is null").withColumn("language", language_of(F.col("relative_path"))).where("language is not null")
     flat = candidates.select("relative_path", "language", is_tsx(F.col("relative_path")).alias("tsx"), "content")
-    rows = flat.mapInPandas(parse_batches, "relative_path string, language string, has_syntax_errors boolean, failure string, symbols string, imports string")
-    schema = {name: kind for name, kind in _nested().items()}
-    return rows.select("relative_path", "language", "has_syntax_errors", "failure", *[F.from_json(c, schema[c]).alias(c) for c in ("symbols", "imports")])
-
-
-def _nested() -> dict[str, str]:
-    from pyspark.sql.types import StructType
-
-    return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(PARSED) if f.name in ("symbols", "imports")}
+    return flat.mapInArrow(parse_batches, PARSED_DDL)
 
 
 def relational(repository_id: str, found: DataFrame, rows: DataFrame, at: datetime | None = None) -> dict[str, DataFrame]:

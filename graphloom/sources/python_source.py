@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from .records import CallRecord, FileRecord, ImportRecord, ParameterRecord, Span, SymbolRecord
 
 DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-#: Broken lines that are blanked out, one after another, before giving up on a file.
-REPAIRS = 64
 
 
 def parse_python(source: bytes) -> FileRecord:
@@ -21,27 +20,137 @@ def parse_python(source: bytes) -> FileRecord:
     return record
 
 
+#: Lines of one attempt; how far a string or bracket left open is followed before its first line counts as
+#: broken; and how often, on average, a line may be read for that.
+SPAN, OPEN_LINES, REREAD = 80, 4_000, 20
+#: Words that carry on the statement above, and lines that no attempt may begin with.
+CARRIED = re.compile(r"\s*(?:(?:else|elif|except|finally|case)\b|[)\]}])")
+OPENED = ("was never closed", "unterminated triple-quoted")
+#: What a broken header becomes, so that its block stays: the first word decides.
+HEADERS = {"except": "except Exception:", "elif": "elif 1:", "else": "else:", "finally": "finally:"}
+
+
 def repaired(text: str) -> tuple[ast.Module | None, str, bool]:
-    """The tree of the text, with offending lines replaced by `pass` where needed."""
+    """The tree of the text, with offending lines replaced by `pass` or blanked where needed.
+
+    A text that does not parse is taken a stretch of lines at a time.  What stands before a
+    broken line is settled and not read again, whatever the depth of nesting, so the time grows
+    with the text and not with the number of its broken lines, and no text is given up for it."""
+    broken = "\x00" in text
+    text = text.replace("\x00", " ")
+    try:
+        return ast.parse(text), text, broken
+    except (SyntaxError, ValueError):
+        pass
     lines = text.split("\n")
-    for attempt in range(REPAIRS):
+    settle(lines)
+    while True:  # most often the first attempt; else lines are blanked until the whole parses
         try:
-            return ast.parse("\n".join(lines)), "\n".join(lines), attempt > 0
+            return ast.parse("\n".join(lines)), "\n".join(lines), True
         except (SyntaxError, ValueError) as problem:
-            at = min(max((getattr(problem, "lineno", None) or 1) - 1, 0), len(lines) - 1)
-            said = getattr(problem, "msg", "") or ""
-            if "expected an indented block" in said:  # the header above gets a body
-                at = next((k for k in range(at, -1, -1) if lines[k].rstrip().endswith(":")), at)
-                lines[at] = f"{lines[at].rstrip()} pass" if lines[at].rstrip().endswith(":") else ""
-            elif "indent" in said or lines[at].strip() == "pass":
-                lines[at] = ""
-            else:
-                while at > 0 and not lines[at].strip():
-                    at -= 1
-                lines[at] = lines[at][: len(lines[at]) - len(lines[at].lstrip())] + "pass"
-        except RecursionError:
-            break
-    return None, text, True
+            if not mend(lines, 0, len(lines), problem, 0):
+                return None, text, True
+
+
+def margin(line: str) -> str:
+    return line[: len(line) - len(line.lstrip())]
+
+
+def attempt(lines: list[str], at: int, to: int, levels: list[str]) -> tuple[ast.Module | None, Exception | None]:
+    """The tree of lines[at:to] below headers that stand for the blocks around them."""
+    try:
+        return ast.parse("\n".join([f"{w}if 1:" for w in levels] + lines[at:to])), None
+    except (SyntaxError, ValueError) as problem:
+        return None, problem
+
+
+def levels_after(tree: ast.Module, lines: list[str], first: int, levels: list[str]) -> list[str]:
+    """Margins of the blocks that are open behind the last statement of a tree of lines from `first` on."""
+    out, node = [], tree
+    while node is not None:
+        last = None
+        for name in ("finalbody", "orelse", "handlers", "cases", "body"):
+            if block := getattr(node, name, None):
+                if isinstance(block, list) and isinstance(block[-1], (ast.stmt, ast.ExceptHandler, ast.match_case)):
+                    last = block[-1]
+                    break
+        if isinstance(last, ast.stmt):
+            row = last.lineno - 1 - len(levels)
+            out.append(levels[last.lineno - 1] if row < 0 else margin(lines[first + row]))
+        node = last
+    return [w for k, w in enumerate(out) if not k or len(w) > len(out[k - 1])]
+
+
+def settle(lines: list[str]) -> None:
+    """Replace offending lines until every stretch of lines parses."""
+    at, span, levels, budget = 0, SPAN, [], REREAD * len(lines)
+    while at < len(lines):
+        to = min(at + span, len(lines))
+        while to < len(lines) and (not lines[to].strip() or lines[to].lstrip().startswith("#") or CARRIED.match(lines[to])):
+            to += 1
+        mine = [w for w in levels if len(w) < len(margin(next((x for x in lines[at:to] if x.strip() and not x.lstrip().startswith("#")), "")))]
+        tree, problem = attempt(lines, at, to, mine)
+        if tree is not None:
+            levels = levels_after(tree, lines, at, mine)
+            at, span = to, SPAN
+            continue
+        row = at + (getattr(problem, "lineno", None) or 1) - 1 - len(mine)
+        said = getattr(problem, "msg", "") or ""
+        if to < len(lines) and to - at < OPEN_LINES and budget > 0 and (row >= to - 2 or any(u in said for u in OPENED)):
+            span = 2 * (to - at)
+            budget -= span
+            continue
+        if not mend(lines, at, to, problem, len(mine)):
+            at, span = to, SPAN  # nothing is left to blank in this stretch
+            continue
+        span = SPAN
+        # settle what stands before the broken line, if that is whole by itself
+        for cut in cuts(lines, at, min(row, to)):
+            tree, _ = attempt(lines, at, cut, mine)
+            if tree is not None:
+                levels = levels_after(tree, lines, at, mine)
+                at = cut
+                break
+
+
+def cuts(lines: list[str], at: int, row: int) -> list[int]:
+    """Lines at or before a broken one, and behind `at`, where a new attempt may begin: the nearest, and the nearest further left."""
+    out: list[int] = []
+    width = None
+    for k in range(row, at, -1):
+        line = lines[k] if k < len(lines) else ""
+        if line.strip() and not CARRIED.match(line) and (width is None or len(margin(line)) < width):
+            out.append(k)
+            width = len(margin(line))
+            if not width or len(out) > 3:
+                break
+    return out
+
+
+def mend(lines: list[str], at: int, to: int, problem: Exception, shift: int) -> bool:
+    """Change one line of lines[at:to] so that a parse can get further; whether there was one to change.
+
+    A line becomes a plain header if it has a block, else `pass`; then `pass`; then empty."""
+    row = min(max(at + (getattr(problem, "lineno", None) or 1) - 1 - shift, at), to - 1)
+    said = getattr(problem, "msg", "") or ""
+    if "expected an indented block" in said:  # the header above gets a body
+        row = next((k for k in range(row, at - 1, -1) if lines[k].rstrip().endswith(":")), row)
+        if lines[row].rstrip().endswith(":") and not lines[row].lstrip().startswith("#"):
+            lines[row] = f"{lines[row].rstrip()} pass"
+            return True
+    row = next((k for k in (*range(row, at - 1, -1), *range(row + 1, to)) if lines[k].strip()), -1)
+    if row < 0:
+        return False
+    line, left = lines[row].strip(), margin(lines[row])
+    below = next((x for x in lines[row + 1 : to] if x.strip()), "")
+    header = HEADERS.get((re.match(r"\w*", line) or [""])[0], "if 1:")
+    if "indent" in said or line == "pass" or line.endswith(": pass"):
+        lines[row] = ""
+    elif line.endswith(":") and line not in (*HEADERS.values(), "if 1:") and len(margin(below)) > len(left):
+        lines[row] = left + header
+    else:
+        lines[row] = left + "pass"
+    return True
 
 
 class Collector:

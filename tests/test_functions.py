@@ -54,6 +54,15 @@ def test_property_bag_leaves_out_nulls(spark):
     assert df.select(shaping.properties(["x", "y"])).first()[0] == {"x": "a"}
 
 
+def test_iso_times(spark):
+    from datetime import UTC, datetime
+
+    for time in (datetime(2024, 1, 8, 3, 4, 5, tzinfo=UTC), datetime(2024, 7, 8, 3, 4, 5, 67, tzinfo=UTC)):
+        df = spark.createDataFrame([(time,)], "t timestamp")
+        assert df.select(shaping.iso_time(F.col("t"))).first()[0] == time.isoformat()
+        assert df.select(shaping.properties(["t"], ("t",))).first()[0] == {"t": time.isoformat()}
+
+
 def test_labels_and_depths(spark):
     row = spark.range(1).select(
         shaping.shares_label(F.create_map(F.lit("B"), F.lit(12.5), F.lit("A"), F.lit(87.5))).alias("two"),

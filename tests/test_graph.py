@@ -1,7 +1,9 @@
 """Hand-built graphs."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.errors import Conflict
 from graphloom.operators import graph, listings
 from graphloom.plans.project import attached, fitted, graph_edges, layout
 from graphloom.schemas import DEPENDENCY_EDGES, GRAPH_EDGES, GRAPH_NODES, PARSED_FILES, SYMBOLS
@@ -122,6 +124,67 @@ def test_store_replaces_one_partition(spark, tmp_path):
     assert store.table("graph_edges").columns == [f.name for f in GRAPH_EDGES]
 
 
+def test_store_changes_tables_together(spark, tmp_path):
+    """A save that fails half way, or that another writer overtook, leaves everything as it was."""
+    store = Store(spark, str(tmp_path))
+    nodes, edges = made(spark, CHAIN, repository="a")
+    store.replace_all("a", {"graph_nodes": nodes, "graph_edges": edges})
+    held = store.table("graph_edges", "a")
+    broken = edges.limit(1).withColumn("kind", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        store.replace_all("a", {"graph_nodes": nodes.limit(1), "graph_edges": broken})
+    assert store.table("graph_nodes", "a").count() == 4 and store.table("graph_edges", "a").count() == 3
+    last = store._last
+    store._last = lambda r: (0, {})
+    with pytest.raises(Conflict):
+        store.replace_all("a", {"graph_nodes": nodes.limit(1)})
+    store._last = last
+    assert store.table("graph_nodes", "a").count() == 4
+    store.replace_all("a", {"graph_nodes": nodes.limit(2), "graph_edges": edges.limit(1)})
+    assert held.count() == 3, "a reader keeps the version that it has"
+    assert store.table("graph_nodes").count() == 2 and store.table("graph_edges").count() == 1
+    for n in (1, 2, 3):
+        store.replace("graph_edges", "a", edges.limit(n))
+    assert len(list((tmp_path / "graph_edges" / "repository_id=a").glob("version=*"))) == 2
+
+
+def test_scratch_tables_go_with_their_work(spark):
+    from pathlib import Path
+
+    from graphloom.scratch import release, stored, temporary
+
+    with temporary(spark):
+        a = stored(spark.range(3), "inner")
+        with temporary(spark):
+            b = stored(spark.range(4), "inside")
+            c = stored(spark.range(5), "kept", outlives=True)
+        assert c.count() == 5 and a.count() == 3 and not Path(b.inputFiles()[0].removeprefix("file://") if b.inputFiles() else "/nowhere").exists()
+        d = stored(a, "result", outlives=True)
+    places = [Path(f.removeprefix("file://")) for f in d.inputFiles()]
+    assert places and all(p.exists() for p in places) and d.count() == 3
+    release(spark)
+    assert not any(p.exists() for p in places)
+
+
+def test_frontiers_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_IDS", 0)
+    assert reached(spark, CHAIN, "A", "downstream", 3) == [("B", 1), ("C", 2), ("D", 3)]
+    nodes, edges = made(spark, CHAIN)
+    assert graph.shortest_path(nodes, edges, "A", "D").first().node_ids == ["A", "B", "C", "D"]
+
+
+def test_numbering_over_ranges(spark, monkeypatch):
+    from graphloom.plans import project
+
+    monkeypatch.setattr(project, "RANGE_ROWS", 40)
+    rows = spark.createDataFrame([("a" if i % 3 else "b", (i * 7919) % 1000, i) for i in range(500)], "g string, o int, i int")
+    got = project.numbered(rows, "g", ["o", "i"], "place").collect()
+    for group in ("a", "b"):
+        want = sorted((r.o, r.i) for r in got if r.g == group)
+        assert [(r.o, r.i) for r in sorted((r for r in got if r.g == group), key=lambda r: r.place)] == want
+        assert sorted(r.place for r in got if r.g == group) == list(range(len(want)))
+
+
 def test_stream_projection(spark, tmp_path):
     rows = fitted(spark.createDataFrame([("1", "r", "imports", "resolved", "f", "g"), ("2", "r", "imports", "unresolved", "f", None)], "id string, repository_id string, kind string, resolution_status string, source_file_id string, target_file_id string"), DEPENDENCY_EDGES)
     rows.write.parquet(f"{tmp_path}/in")

@@ -1,4 +1,7 @@
+import textwrap
+
 from graphloom.sources.ecmascript_source import parse_ecmascript
+from graphloom.sources.parsing import parser_for
 from graphloom.sources.python_source import parse_python
 
 
@@ -48,6 +51,38 @@ def test_python_errors_keep_the_rest():
     assert not parse_python(b"").has_syntax_errors
 
 
+def test_python_errors_have_no_limit():
+    """However many lines are broken, the rest stays."""
+    bad = "".join(f"x{i} = = (\n" for i in range(70))
+    assert symbols(parse_python(f"def good():\n    a()\n{bad}".encode())) == [("function", "good")]
+    record = parse_python(f"class A:\n    def m(self):\n        one()\n{textwrap.indent(bad * 20, ' ' * 8)}        two()\n    def n(self): pass\n{bad * 20}def last(): pass\n".encode())
+    assert symbols(record) == [("class", "A"), ("method", "A.m"), ("method", "A.n"), ("function", "last")] and calls(record, "A.m") == ["one", "two"]
+    old = "".join(f"def f{i}(a):\n    print 'x', a\n    try:\n        g(a)\n    except E, e:\n        raise E, 'x'\n" for i in range(400))
+    record = parse_python(old.encode())
+    assert [s.name for s in record.symbols] == [f"f{i}" for i in range(400)] and calls(record, "f399") == ["g"]
+
+
+def test_python_strings_stay_whole_beside_errors():
+    record = parse_python(b'def a():\n    """doc\nx = = 1\n  more\n"""\n    b()\n\ndef bad(:\n   pass\nclass C:\n    """\ncol0\n    """\n    def m(self): q()\n')
+    assert symbols(record) == [("function", "a"), ("class", "C"), ("method", "C.m")] and calls(record, "a") == ["b"] and calls(record, "C.m") == ["q"]
+    assert symbols(parse_python(b"def bad(:\n  pass\nclass Also: pass\n\x00")) == [("class", "Also")]
+
+
+def test_jsx_is_no_plain_typescript():
+    source = b"""const A = () => <div className='x' on={() => f(1)}>it's {g(2)} <b/> </div>;
+export function B(p) { return <><A x={h(p)}>don't</A></>; }
+function less(a, b) { return a < b && b > c(a); }
+"""
+    record = parse_ecmascript(source, jsx=True)
+    assert not record.has_syntax_errors and calls(record, "B") == ["h"] and calls(record, "less") == ["c"]
+    assert parse_ecmascript(source).has_syntax_errors
+    typed = b"function id() { const f = <T,>(x: T) => g<T>(x); return h(f); }\nfunction V(p: P): E { return <p>{k(p)}'</p> }\n"
+    tsx = parser_for("typescript", True)(typed)
+    assert not tsx.has_syntax_errors and calls(tsx, "id") == ["g", "h"] and calls(tsx, "V") == ["k"]
+    assert parser_for("typescript", False)(typed).has_syntax_errors
+    assert calls(parser_for("typescript", False)(b"function c() { return <any>h(f); }"), "c") == ["h"]
+
+
 def test_javascript_symbols():
     source = b"""import def, { a, b as c } from './m'; import * as ns from "n"; import 'side';
 export default function main(x, y = 1, ...rest) { helper(x); ns.run(`t ${inner(y)}`); const arrow = (q) => later(q); }

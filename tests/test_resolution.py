@@ -1,13 +1,17 @@
 """Parsing and resolution of small repositories, end to end through the service."""
 
+import re
 import zipfile
 
 import pytest
 
-from graphloom.errors import Invalid, NotFound, QueryTimeout, WrongState
+from graphloom.errors import ImportFailed, Invalid, NotFound, QueryTimeout, UnsafeArchive, WrongState
+from graphloom.operators.edges import import_edges
 from graphloom.operators.imports import resolve_imports
 from graphloom.operators.symbols import Scope, bare_names, resolve_calls
+from graphloom.plans.api import Api
 from graphloom.plans.service import Engine, status_of
+from graphloom.schemas import SYMBOLS
 from graphloom.settings import Settings
 
 FILES = {
@@ -122,10 +126,112 @@ def test_graph(engine, repository, edges, names):
 
 
 def test_time_limit(spark):
+    import time
+
     from graphloom.plans.service import time_limit
 
     with pytest.raises(QueryTimeout), time_limit(spark, 0.5):
         spark.range(1 << 40).selectExpr("sum(hash(id))").collect()
+    # the time runs out between two jobs: the second never runs
+    with pytest.raises(QueryTimeout), time_limit(spark, 0.3):
+        spark.range(3).count()
+        time.sleep(1)
+        spark.range(1 << 40).selectExpr("sum(hash(id))").collect()
+    # ... or after the last
+    with pytest.raises(QueryTimeout), time_limit(spark, 0.3):
+        time.sleep(1)
+    with time_limit(spark, 60):
+        assert spark.range(3).count() == 3
+    assert spark.range(3).count() == 3
+
+
+def test_status_codes(engine, repository, names):
+    """A ceiling is a rule of the service (400); a floor is part of the request's form (422)."""
+    codes = {}
+    for name, ask in {
+        "depth above": lambda: engine.impact(repository, names["Cat"], depth=11), "limit above": lambda: engine.impact(repository, names["Cat"], limit=501),
+        "depth below": lambda: engine.impact(repository, names["Cat"], depth=0), "limit below": lambda: engine.statistics(repository, 0),
+        "name": lambda: engine.create_project(""), "nobody": lambda: engine.list_files("nowhere"), "scheme": lambda: engine.import_git(engine.create_project("p")["id"], "http://host/x"),
+    }.items():
+        with pytest.raises(Exception) as problem:
+            ask()
+        codes[name] = status_of(problem.value)
+    assert codes == {"depth above": 400, "limit above": 400, "depth below": 422, "limit below": 422, "name": 422, "nobody": 404, "scheme": 400}
+    assert status_of(ImportFailed()) == 422 and status_of(UnsafeArchive()) == 400 and status_of(WrongState()) == 409 and status_of(QueryTimeout()) == 503
+
+
+def test_bindings_on_one_line_are_one_edge_each(spark):
+    """Imports of one module on one line share their id; from . import a; from . import b name two files."""
+    files = table(spark, [(p, "r", p, "python") for p in ("b.py", "x.py", "pkg/u.py", "pkg/a.py", "pkg/c.py")], "id string, repository_id string, path string, language string")
+    rows = [("i", "r", "x.py", "b", [], "x"), ("i", "r", "x.py", "b", [], "y"), ("j", "r", "pkg/u.py", ".", ["a"], None), ("j", "r", "pkg/u.py", ".", ["c"], None)]
+    imports = table(spark, [(*r, 1, 1) for r in rows], "id string, repository_id string, file_id string, module string, imported_names array<string>, alias string, start_line int, end_line int")
+    resolved = resolve_imports(files, imports)
+    edges = import_edges(resolved).collect()
+    assert sorted((e.source_file_id, e.target_file_id, e.resolution_status) for e in edges) == [("pkg/u.py", "pkg/a.py", "resolved"), ("pkg/u.py", "pkg/c.py", "resolved"), ("x.py", "b.py", "resolved"), ("x.py", "b.py", "resolved")]
+    assert len({e.id for e in edges}) == 4
+    bound = {(r.file_id, r.bound, r.target_file_id) for r in Scope(spark.createDataFrame([], SYMBOLS), resolved).bindings.collect()}
+    assert bound == {("x.py", "x", "b.py"), ("x.py", "y", "b.py"), ("pkg/u.py", "a", "pkg/a.py"), ("pkg/u.py", "c", "pkg/c.py")}
+
+
+def test_whole_files(engine, repository):
+    whole = {r.path: r for r in engine.load_files(repository).collect()}
+    assert set(whole) == {n for n in FILES if n != "notes.md"} and whole["zoo/__init__.py"].symbols == []
+    cat = whole["zoo/cat.py"]
+    assert [s.name for s in cat.symbols] == ["Cat", "purr", "nap"] and sorted(i.module for i in cat.imports) == [".base", ".base", "os"]
+    assert [c.callee_expression for c in cat.symbols[1].calls] == ["self.noise", "self.nap", "feed", "feed"] and cat.symbols[1].parameters[0].name == "self"
+
+
+def test_upload(engine, tmp_path):
+    body = tmp_path / "up.zip"
+    with zipfile.ZipFile(body, "w") as z:
+        z.writestr("a.py", "x = 1")
+    project = engine.create_project("uploads")
+    with body.open("rb") as stream:
+        row = engine.upload_zip(project["id"], "mine.zip", stream)
+    assert (row["status"], row["display_name"], row["meta_file_count"]) == ("ready", "mine", 1)
+    small = Engine(engine.spark, Settings(workspace_root=str(tmp_path / "w"), table_root=engine.settings.table_root, max_upload_bytes=10))
+    with body.open("rb") as stream, pytest.raises(UnsafeArchive):
+        small.upload_zip(project["id"], "mine.zip", stream)
+
+
+def test_answers(engine, repository, edges, names):
+    """The shapes of the answers: no bases or calls in symbols, property maps in nodes and relationships."""
+    api = Api(engine)
+    parsed = api.parse(repository)
+    assert (parsed["file_count"], parsed["symbol_count"], parsed["import_count"], parsed["error_count"]) == (10, 17, 10, 0) and parsed["parsed_at"]
+    assert api.analyze(repository)["edge_count"] == 28
+    projected = api.project(repository)
+    assert projected["node_count"] == 28 and projected["projected_at"]
+    files = api.files(repository)
+    assert set(files[0]) == {"id", "repository_id", "path", "language", "has_syntax_errors", "symbol_count", "import_count"} and len(files) == 10
+    symbol = next(s for s in api.symbols(repository) if s["qualified_name"] == "Cat.purr")
+    assert set(symbol) == {"id", "kind", "name", "qualified_name", "start_line", "end_line", "start_column", "end_column", "parameters", "parent_symbol_id"}
+    assert symbol == api.symbol(symbol["id"]) and symbol["parameters"] == [{"name": "self", "position": 0, "annotation": None, "default_value": None}]
+    edge = api.dependencies(repository, kind="inherits")[0]
+    assert list(edge) == ["id", "repository_id", "kind", "resolution_status", "source_file_id", "source_symbol_id", "target_file_id", "target_symbol_id", "raw_target_expression", "start_line", "end_line", "start_column", "end_column", "detail"]
+    assert api.dependency(edge["id"]) == edge and api.parse_errors(repository) == []
+    node = api.nodes(repository, "repository")[0]
+    assert set(node) == {"id", "kind", "repository_id", "properties"} and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{6})?\+00:00", node["properties"]["projected_at"])
+    relationship = api.relationships(repository, "inherits")[0]
+    assert set(relationship) == {"source_id", "target_id", "kind", "repository_id", "dependency_edge_id", "properties"} and relationship["properties"]["raw_target_expression"] in ("Beast", "Shape")
+    near = api.neighbors(repository, names["Cat"], "outgoing", "inherits")
+    assert [(n["node"]["properties"]["name"], n["relationship_kind"], n["direction"]) for n in near] == [("Beast", "inherits", "outgoing")]
+    impact = api.impact(repository, names["Beast"])
+    assert (impact["starting_node_id"], impact["direction"], impact["max_depth"]) == (names["Beast"], "upstream", 3)
+    assert sorted((n["node"]["properties"]["qualified_name"], n["depth"], n["relationship_kind"]) for n in impact["impacted_nodes"]) == [("Cat", 1, "inherits"), ("Cat.nap", 1, "calls"), ("Cat.purr", 2, "calls")]
+    path = api.path(repository, names["Cat.purr"], names["Beast"])
+    assert [n["properties"]["qualified_name"] for n in path["nodes"]] == ["Cat.purr", "Cat.nap", "Beast"] and path["length"] == 2 and path["found"]
+    assert [(r["kind"], r["properties"]["raw_target_expression"]) for r in path["relationships"]] == [("calls", "self.nap"), ("calls", "Beast")]
+    none = api.path(repository, names["Beast"], names["Cat"])
+    assert (none["found"], none["nodes"], none["relationships"], none["length"]) == (False, [], [], None)
+    stats = api.statistics(repository)
+    assert (stats["total_nodes"], stats["total_files"], stats["total_symbols"], stats["freshness"]) == (28, 10, 17, "fresh")
+    assert [k["kind"] for k in stats["relationships_by_kind"]] == ["contains", "defines", "imports", "calls", "inherits"] and stats["highest_in_degree"][0]["degree"] >= stats["highest_in_degree"][-1]["degree"]
+    insights = api.insights(repository)
+    assert [sorted((p["file_a"]["properties"]["path"], p["file_b"]["properties"]["path"])) for p in insights["mutual_import_pairs"]] == [["web/loop_a.js", "web/loop_b.js"]]
+    assert insights["unresolved_dependency_count"] == 8 and {n["kind"] for n in insights["isolated_nodes"]} == {"file", "symbol"}
+    with pytest.raises(NotFound):
+        api.symbol("nobody")
 
 
 def test_failed_import_leaves_nothing(engine, tmp_path):
@@ -176,9 +282,8 @@ def test_import_rules(spark, paths, source, module, names, status, target):
 
 def scope(spark, symbols, imports=()):
     s = table(spark, [(f"{f}:{n}:{k}:{i}", f, p, k, n) for i, (f, n, k, p) in enumerate(symbols)], "id string, file_id string, parent_symbol_id string, kind string, name string")
-    i = table(spark, [(str(k), f, a, n) for k, (f, a, n, _) in enumerate(imports)], "id string, file_id string, alias string, imported_names array<string>")
-    r = table(spark, [(str(k), f, "resolved", t) for k, (f, _, _, t) in enumerate(imports)], "import_id string, file_id string, resolution_status string, target_file_id string")
-    return Scope(s, i, r)
+    i = table(spark, [(str(k), f, a, n, "resolved", t) for k, (f, a, n, t) in enumerate(imports)], "id string, file_id string, alias string, imported_names array<string>, resolution_status string, target_file_id string")
+    return Scope(s, i)
 
 
 def call(spark, found, name, parent=None):

@@ -88,10 +88,26 @@ def workspace(tmp_path):
 def test_discovery(spark, tmp_path):
     found = {r.relative_path: r for r in files.discovered(spark, workspace(tmp_path), 200).collect()}
     assert set(found) == {"a.py", "b.py", "c.py", "d.ts", "README.md", "bin.py", "big.py", "sub/e.JS"}
-    assert "binary" in found["bin.py"].reason and "exceeding" in found["big.py"].reason and found["big.py"].stage is None
+    assert "NUL" in found["bin.py"].reason and found["big.py"].reason == "300 bytes; up to 200 are parsed" and found["big.py"].stage is None
     assert bytes(found["a.py"].content) == b"x = 1\n" and found["a.py"].reason is None and bytes(found["b.py"].content) == b"" and found["b.py"].reason is None
 
 
+def test_long_files_are_never_read(spark, tmp_path):
+    """A file beyond what the scan itself can read is passed over, not a failure of the job."""
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "250")
+    try:
+        found = {r.relative_path: r for r in files.discovered(spark, workspace(tmp_path), 200).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found["big.py"].reason == "300 bytes; up to 200 are parsed" and bytes(found["c.py"].content) == b"y"
+
+
+def test_files_that_cannot_be_read(spark):
+    rows = spark.createDataFrame([("a", 3, None, bytearray(b"abc")), ("b", None, "size unknown: x", None), ("c", 5, None, None), ("d", 900, None, None)], "relative_path string, length long, error string, content binary")
+    got = {r.relative_path: (r.stage, r.reason) for r in files.classified(rows, 200).collect()}
+    assert got == {"a": (None, None), "b": ("read", "size unknown: x"), "c": ("read", "contents unreadable"), "d": (None, "900 bytes; up to 200 are parsed")}
+
+
 def test_metadata(spark, tmp_path):
     row = files.scan(spark, workspace(tmp_path)).first()
     assert (row.file_count, row.directory_count, row.has_readme, row.has_git) == (8, 2, True, True)

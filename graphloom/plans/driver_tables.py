@@ -7,7 +7,6 @@ supplier; parts inherit from the first part of their brand.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,11 +16,13 @@ from pyspark.sql import functions as F
 from ..functions import ids, paths, shaping
 from ..operators import edges as edge_ops
 from ..operators import graph, listings, views
-from ..operators.imports import resolve_imports
+from ..operators.imports import ECMASCRIPT_ENDINGS, resolve_imports
 from ..operators.symbols import Scope, bare_names, call_names, instance_names, qualified_names, resolve_bases
 from ..schemas import GRAPH_EDGES, GRAPH_NODES
+from ..scratch import scratch, stored
 from ..settings import Settings
 from ..sources import archives, clones, files
+from ..sources.store import Store
 from .project import attached, derived, fitted, layout, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,9 +43,8 @@ def query(sql: str):
 class Tables:
     """The driver's tables as the model's tables.  Columns are pruned by what is used."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, least: float = 45):
-        """Calls whose first line has a quantity below least are left out of edges."""
-        self.spark, self.dir, self.least = spark, sf_dir, least
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -59,13 +59,13 @@ class Tables:
     @property
     def successions(self) -> DataFrame:
         """Lines of an order and the lines numbered one higher."""
-        now = self.lineitem.select("l_orderkey", "l_partkey", (F.col("l_linenumber") + 1).alias("next"), "l_quantity")
+        now = self.lineitem.select("l_orderkey", "l_partkey", (F.col("l_linenumber") + 1).alias("next"))
         then = self.lineitem.select("l_orderkey", F.col("l_partkey").alias("next_part"), F.col("l_linenumber").alias("next"))
         return now.join(then, ["l_orderkey", "next"])
 
-    def calls(self, least: float = 0) -> DataFrame:
-        rows = self.successions.where(F.col("l_quantity") >= least) if least else self.successions
-        return fitted(rows.select(part_id("l_partkey").alias("source_id"), part_id("next_part").alias("target_id"), F.lit("calls").alias("kind"), F.lit("R0").alias("repository_id")), GRAPH_EDGES)
+    @property
+    def calls(self) -> DataFrame:
+        return fitted(self.successions.select(part_id("l_partkey").alias("source_id"), part_id("next_part").alias("target_id"), F.lit("calls").alias("kind"), F.lit("R0").alias("repository_id")), GRAPH_EDGES)
 
     @property
     def imports(self) -> DataFrame:
@@ -86,7 +86,12 @@ class Tables:
 
     @property
     def edges(self) -> DataFrame:
-        return self.contains.unionByName(self.imports).unionByName(self.calls(self.least)).unionByName(self.inherits)
+        return self.contains.unionByName(self.imports).unionByName(self.calls).unionByName(self.inherits)
+
+    @property
+    def stored_edges(self) -> DataFrame:
+        """edges as a stored table, for walks, which read it once a level."""
+        return stored(self.edges, "edges")
 
     @property
     def dependency_edges(self) -> DataFrame:
@@ -112,9 +117,8 @@ NODES = """nodes AS (
   UNION ALL SELECT 'N' || n_nationkey, 'file', 'R' || n_regionkey, n_name FROM nation
   UNION ALL SELECT 'P' || p_partkey, 'symbol', 'R0', p_name FROM part)"""
 SUCCESSIONS = """successions AS (
-  SELECT a.l_partkey, b.l_partkey AS next_part, a.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
+  SELECT a.l_partkey, b.l_partkey AS next_part FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 CALLS = SUCCESSIONS + """, calls AS (SELECT 'P' || l_partkey AS source_id, 'P' || next_part AS target_id, 'calls' AS kind, 'R0' AS repository_id FROM successions)"""
-SPARSE = SUCCESSIONS + """, calls AS (SELECT 'P' || l_partkey AS source_id, 'P' || next_part AS target_id, 'calls' AS kind, 'R0' AS repository_id FROM successions WHERE l_quantity >= 45)"""
 IMPORTS = """imports AS (
   SELECT 'N' || c_nationkey AS source_id, 'N' || s_nationkey AS target_id, 'imports' AS kind, 'R' || n_regionkey AS repository_id
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = c_nationkey)"""
@@ -122,7 +126,7 @@ INHERITS = """inherits AS (
   SELECT 'P' || p_partkey AS source_id, 'P' || base AS target_id, 'inherits' AS kind, 'R0' AS repository_id
   FROM part JOIN (SELECT p_brand, min(p_partkey) AS base FROM part GROUP BY p_brand) USING (p_brand) WHERE p_partkey <> base)"""
 CONTAINS = """contains_ AS (SELECT 'R' || n_regionkey AS source_id, 'N' || n_nationkey AS target_id, 'contains' AS kind, 'R' || n_regionkey AS repository_id FROM nation)"""
-EDGES = ", ".join([SPARSE, IMPORTS, INHERITS, CONTAINS]) + """, edges AS (
+EDGES = ", ".join([CALLS, IMPORTS, INHERITS, CONTAINS]) + """, edges AS (
   SELECT * FROM contains_ UNION ALL SELECT * FROM imports UNION ALL SELECT * FROM calls UNION ALL SELECT * FROM inherits)"""
 DEPENDENCIES = """deps AS (
   SELECT 'O' || o_orderkey AS id, 'R0' AS repository_id,
@@ -169,8 +173,8 @@ def nodes_page(spark, sf_dir):
 
 
 @query(f"WITH {EDGES} SELECT source_id, target_id, kind FROM edges WHERE repository_id = 'R0' AND kind = 'inherits' ORDER BY 1, 2, 3 LIMIT 100 OFFSET 30")
-def relationships_page(spark, sf_dir, least=45):
-    return listings.relationships_page(Tables(spark, sf_dir, least).edges, "R0", kind="inherits", offset=30).select("source_id", "target_id", "kind")
+def relationships_page(spark, sf_dir):
+    return listings.relationships_page(Tables(spark, sf_dir).edges, "R0", kind="inherits", offset=30).select("source_id", "target_id", "kind")
 
 
 @query("""SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id""")
@@ -234,8 +238,8 @@ def dangling_dropped(spark, sf_dir):
 
 
 @query(f"""WITH {EDGES} SELECT source_id, target_id, kind, count(*) AS n FROM edges WHERE source_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size <= 10) AND target_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size <= 10) GROUP BY 1, 2, 3""")
-def renderable(spark, sf_dir, least=45):
-    t = Tables(spark, sf_dir, least)
+def renderable(spark, sf_dir):
+    t = Tables(spark, sf_dir)
     shown = t.part.where("p_size <= 10").select(part_id("p_partkey").alias("id"))
     return graph.renderable(shown, t.edges).groupBy("source_id", "target_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -243,8 +247,8 @@ def renderable(spark, sf_dir, least=45):
 @query(f"""WITH {EDGES}, few AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_size <= 10),
   s AS (SELECT count(*) AS shown FROM edges WHERE source_id IN (SELECT id FROM few) AND target_id IN (SELECT id FROM few))
   SELECT shown, (SELECT count(*) FROM edges) - shown AS omitted FROM s""")
-def omitted_edges(spark, sf_dir, least=45):
-    t = Tables(spark, sf_dir, least)
+def omitted_edges(spark, sf_dir):
+    t = Tables(spark, sf_dir)
     return graph.omitted(t.part.where("p_size <= 10").select(part_id("p_partkey").alias("id")), t.edges)
 
 
@@ -258,34 +262,34 @@ def neighbours_sql(where: str, kind: str = "", limit: str = "") -> str:
       SELECT id, nodes.kind AS node_kind, name, relationship_kind, direction FROM met JOIN nodes USING (id) WHERE {where} {limit}"""
 
 
-def neighbours(spark, sf_dir, direction, kind=None, limit=None, least=45):
-    t = Tables(spark, sf_dir, least)
+def neighbours(spark, sf_dir, direction, kind=None, limit=None):
+    t = Tables(spark, sf_dir)
     return graph.neighbors(t.nodes, t.edges, "P1", direction, kind, limit).select("id", "node_kind", "name", "relationship_kind", "direction")
 
 
 @query(neighbours_sql("direction = 'outgoing'"))
-def neighbors_out(spark, sf_dir, least=45):
-    return neighbours(spark, sf_dir, "outgoing", least=least)
+def neighbors_out(spark, sf_dir):
+    return neighbours(spark, sf_dir, "outgoing")
 
 
 @query(neighbours_sql("direction = 'incoming'"))
-def neighbors_in(spark, sf_dir, least=45):
-    return neighbours(spark, sf_dir, "incoming", least=least)
+def neighbors_in(spark, sf_dir):
+    return neighbours(spark, sf_dir, "incoming")
 
 
 @query(neighbours_sql("NOT (direction = 'incoming' AND id = 'P1')"))
-def neighbors_both(spark, sf_dir, least=45):
-    return neighbours(spark, sf_dir, "both", least=least)
+def neighbors_both(spark, sf_dir):
+    return neighbours(spark, sf_dir, "both")
 
 
 @query(neighbours_sql("direction = 'outgoing'", "AND kind = 'calls'", "ORDER BY id, relationship_kind LIMIT 5"))
-def dependencies(spark, sf_dir, least=45):
-    return neighbours(spark, sf_dir, "outgoing", "calls", 5, least=least)
+def dependencies(spark, sf_dir):
+    return neighbours(spark, sf_dir, "outgoing", "calls", 5)
 
 
 @query(neighbours_sql("direction = 'incoming'", "AND kind = 'calls'", "ORDER BY id, relationship_kind LIMIT 5"))
-def dependents(spark, sf_dir, least=45):
-    return neighbours(spark, sf_dir, "incoming", "calls", 5, least=least)
+def dependents(spark, sf_dir):
+    return neighbours(spark, sf_dir, "incoming", "calls", 5)
 
 
 # ---- traversal ------------------------------------------------------------------------
@@ -300,47 +304,55 @@ def impact_sql(near: str, far: str, depth: int, kinds: str, limit: str) -> str:
 
 
 @query(impact_sql("target_id", "source_id", 3, "'calls', 'imports', 'inherits'", "LIMIT 100"))
-def impact_upstream(spark, sf_dir, least=45):
-    t = Tables(spark, sf_dir, least)
-    return graph.impact(t.nodes, t.edges, "P1", "upstream", 3)
+def impact_upstream(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.impact(t.nodes, t.stored_edges, "P1", "upstream", 3)
 
 
 @query(impact_sql("source_id", "target_id", 3, "'calls', 'imports', 'inherits'", ""))
-def impact_downstream(spark, sf_dir, least=45):
-    t = Tables(spark, sf_dir, least)
-    return graph.impact(t.nodes, t.edges, "P1", "downstream", 3, limit=None)
+def impact_downstream(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.impact(t.nodes, t.stored_edges, "P1", "downstream", 3, limit=None)
 
 
 @query(impact_sql("source_id", "target_id", 2, "'calls'", ""))
-def impact_kind(spark, sf_dir, least=45):
-    t = Tables(spark, sf_dir, least)
-    return graph.impact(t.nodes, t.edges, "P1", "downstream", 2, "calls", None)
+def impact_kind(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.impact(t.nodes, t.stored_edges, "P1", "downstream", 2, "calls", None)
 
 
 def path_sql(target: str, depth: int) -> str:
-    return f"""WITH RECURSIVE {EDGES}, walk AS (SELECT DISTINCT source_id, target_id FROM edges WHERE kind IN ('calls', 'imports', 'inherits')),
-      bfs(id, depth) AS (SELECT 'P1', 0 UNION SELECT target_id, depth + 1 FROM bfs JOIN walk ON source_id = id WHERE depth < {depth})
-      SELECT count(*) > 0 AS found, CAST(min(depth) AS INTEGER) AS length FROM bfs WHERE id = '{target}'"""
-
-
-def path(spark, sf_dir, target, depth, least=45):
-    t = Tables(spark, sf_dir, least)
-    return graph.shortest_path(t.nodes, t.edges, "P1", target, depth).select("found", "length")
+    """found, length and the path with the smallest predecessors, as text."""
+    return f"""WITH RECURSIVE {EDGES}, walk AS (SELECT DISTINCT source_id, target_id, kind FROM edges WHERE kind IN ('calls', 'imports', 'inherits') AND source_id <> target_id),
+      bfs(id, depth) AS (SELECT 'P1', 0 UNION SELECT target_id, depth + 1 FROM bfs JOIN walk ON source_id = id WHERE depth < {depth}),
+      levels AS (SELECT id, min(depth) AS depth FROM bfs GROUP BY id),
+      via AS (SELECT l.id, w.source_id, w.kind, row_number() OVER (PARTITION BY l.id ORDER BY w.source_id, w.kind) AS r
+        FROM levels l JOIN walk w ON w.target_id = l.id JOIN levels p ON p.id = w.source_id AND p.depth = l.depth - 1),
+      back(id, nodes, kinds, n) AS (SELECT id, id, '', 0 FROM levels WHERE id = '{target}'
+        UNION ALL SELECT via.source_id, via.source_id || '>' || nodes, via.kind || CASE WHEN n > 0 THEN '>' || kinds ELSE '' END, n + 1 FROM back JOIN via ON via.id = back.id AND r = 1)
+      SELECT count(*) > 0 AS found, CAST(max(n) AS INTEGER) AS length, max(nodes) AS nodes, max(kinds) AS kinds, CAST(max(n) AS INTEGER) AS edges FROM back WHERE id = 'P1'"""
+
+
+def path(spark, sf_dir, target, depth):
+    t = Tables(spark, sf_dir)
+    found = graph.shortest_path(t.nodes, t.stored_edges, "P1", target, depth)
+    edges = F.when(F.col("found"), F.size("dependency_edge_ids"))
+    return found.select("found", "length", F.array_join("node_ids", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"), edges.alias("edges"))
 
 
 @query(path_sql("P77", 4))
-def path_found(spark, sf_dir, least=45):
-    return path(spark, sf_dir, "P77", 4, least=least)
+def path_found(spark, sf_dir):
+    return path(spark, sf_dir, "P77", 4)
 
 
 @query(path_sql("N3", 3))
-def path_not_found(spark, sf_dir, least=45):
-    return path(spark, sf_dir, "N3", 3, least=least)
+def path_not_found(spark, sf_dir):
+    return path(spark, sf_dir, "N3", 3)
 
 
-@query("SELECT true AS found, 0 AS length")
-def path_self(spark, sf_dir, least=45):
-    return path(spark, sf_dir, "P1", 6, least=least)
+@query("SELECT true AS found, 0 AS length, 'P1' AS nodes, '' AS kinds, 0 AS edges")
+def path_self(spark, sf_dir):
+    return path(spark, sf_dir, "P1", 6)
 
 
 @query(f"WITH {NODES} SELECT count(DISTINCT id) = 3 AS all_found FROM nodes WHERE id IN ('P1', 'N3', 'nowhere')")
@@ -357,8 +369,8 @@ def stats_nodes_by_kind(spark, sf_dir):
 
 
 @query(f"WITH {EDGES} SELECT k.kind, count(source_id) AS n FROM (VALUES ('contains'), ('defines'), ('imports'), ('calls'), ('inherits')) k(kind) LEFT JOIN edges USING (kind) GROUP BY 1")
-def stats_rels_by_kind(spark, sf_dir, least=45):
-    return graph.relationships_by_kind(Tables(spark, sf_dir, least).edges)
+def stats_rels_by_kind(spark, sf_dir):
+    return graph.relationships_by_kind(Tables(spark, sf_dir).edges)
 
 
 def degree_sql(column: str) -> str:
@@ -366,14 +378,14 @@ def degree_sql(column: str) -> str:
 
 
 @query(degree_sql("target_id"))
-def in_degree_topk(spark, sf_dir, least=45):
-    t = Tables(spark, sf_dir, least)
+def in_degree_topk(spark, sf_dir):
+    t = Tables(spark, sf_dir)
     return graph.in_degrees(t.nodes, t.edges)
 
 
 @query(degree_sql("source_id"))
-def out_degree_topk(spark, sf_dir, least=45):
-    t = Tables(spark, sf_dir, least)
+def out_degree_topk(spark, sf_dir):
+    t = Tables(spark, sf_dir)
     return graph.out_degrees(t.nodes, t.edges)
 
 
@@ -392,27 +404,38 @@ def most_connected(spark, sf_dir):
 def hotspots(spark, sf_dir):
     """Parts in most successions: the flagship query."""
     t = Tables(spark, sf_dir)
-    return graph.hotspots(t.nodes, t.calls())
+    return graph.hotspots(t.nodes, t.calls)
 
 
-@query(f"""WITH {NODES}, {SPARSE}, touched AS (SELECT source_id AS id FROM calls UNION SELECT target_id FROM calls)
-  SELECT id, kind FROM nodes WHERE kind = 'symbol' AND id NOT IN (SELECT id FROM touched) ORDER BY id LIMIT 200""")
+@query("""WITH b AS (SELECT p_brand, p_size, min(p_partkey) AS base FROM part GROUP BY 1, 2),
+    touched AS (SELECT 'D' || doc_id AS id FROM labels UNION SELECT 'D' || min(doc_id) FROM labels
+      UNION SELECT 'P' || p_partkey FROM part JOIN b USING (p_brand, p_size) WHERE p_partkey <> base UNION SELECT 'P' || base FROM part JOIN b USING (p_brand, p_size) WHERE p_partkey <> base),
+    nodes AS (SELECT 'D' || doc_id AS id, 'file' AS kind FROM documents UNION ALL SELECT 'P' || p_partkey, 'symbol' FROM part)
+  SELECT id, kind FROM nodes WHERE id NOT IN (SELECT id FROM touched) ORDER BY kind, id LIMIT 700""")
 def isolated(spark, sf_dir):
-    """Nations all have imports; parts without a heavy succession are isolated."""
+    """Documents are files, those with a label import the first such; parts inherit from the first of their brand and size."""
     t = Tables(spark, sf_dir)
-    return graph.isolated(t.nodes, t.calls(45).unionByName(t.imports), 200)
+    doc = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    documents = t.documents.select(doc.alias("id"), F.lit("file").alias("kind"))
+    nodes = documents.unionByName(t.part.select(part_id("p_partkey").alias("id"), F.lit("symbol").alias("kind")))
+    first_doc = t.labels.agg(F.concat(F.lit("D"), F.min("doc_id").cast("string"))).first()[0]
+    imports = t.labels.select(doc.alias("source_id"), F.lit("imports").alias("kind"), F.lit(first_doc).alias("target_id"))
+    first = t.part.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("base"))
+    bases = t.part.join(first, ["p_brand", "p_size"]).where("p_partkey <> base").select(part_id("p_partkey").alias("source_id"), F.lit("inherits").alias("kind"), part_id("base").alias("target_id"))
+    return graph.isolated(nodes, imports.unionByName(bases), 700)
 
 
 @query(f"""WITH {CALLS} SELECT DISTINCT a.source_id AS first_id, a.target_id AS second_id FROM calls a JOIN calls b ON a.source_id = b.target_id AND a.target_id = b.source_id
   WHERE a.source_id < a.target_id""")
 def mutual_pairs(spark, sf_dir):
-    return graph.mutual_pairs(Tables(spark, sf_dir).calls(), "calls", None)
+    return graph.mutual_pairs(Tables(spark, sf_dir).calls, "calls", None)
 
 
-@query("""SELECT user_id, CASE WHEN max(ts) > TIMESTAMP '2024-01-08 00:00:00' THEN 'stale' ELSE 'fresh' END AS freshness FROM events GROUP BY 1""")
+@query("""SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'not_projected' WHEN max(ts) > TIMESTAMP '2024-01-08 00:00:00' THEN 'stale' ELSE 'fresh' END AS freshness FROM events GROUP BY 1""")
 def freshness(spark, sf_dir):
     last = Tables(spark, sf_dir).events.groupBy("user_id").agg(F.max("ts").alias("last"))
-    return last.select("user_id", graph.freshness(F.lit(datetime(2024, 1, 8)).cast("timestamp"), F.col("last")).alias("freshness"))
+    projected = F.when(F.pmod("user_id", F.lit(5)) != 0, F.lit(datetime(2024, 1, 8)).cast("timestamp"))
+    return last.select("user_id", graph.freshness(projected, F.col("last")).alias("freshness"))
 
 
 @query("""SELECT lang, round_even(100.0 * count(*) / (SELECT count(*) FROM documents), 1) AS percent FROM documents WHERE lang IS NOT NULL GROUP BY 1""")
@@ -443,18 +466,21 @@ def brand_scope(t: Tables) -> Scope:
     """Each brand is a file that imports all names of the brand numbered one higher, and binds it as `next`."""
     brands = t.part.select("p_brand").distinct()
     following = F.concat(F.lit("Brand#"), (F.substring("p_brand", 7, 9).cast("int") + 1).cast("string"))
-    imports = brands.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file_id"), F.lit("next").alias("alias"), F.array(F.lit("*")).alias("imported_names"))
-    resolved = brands.select(F.col("p_brand").alias("import_id"), F.col("p_brand").alias("file_id"), F.lit("resolved").alias("resolution_status"), following.alias("target_file_id"))
-    return Scope(brand_symbols(t), imports, resolved)
+    imports = brands.select(F.col("p_brand").alias("file_id"), F.lit("next").alias("alias"), F.array(F.lit("*")).alias("imported_names"), F.lit("resolved").alias("resolution_status"), following.alias("target_file_id"))
+    return Scope(brand_symbols(t), imports)
 
 
-def every_name(t: Tables) -> DataFrame:
-    brands, names = t.part.select(F.col("p_brand").alias("file_id")).distinct(), t.part.select(F.translate("p_name", " ", "_").alias("name")).distinct()
-    return brands.join(F.broadcast(names))  # a few dozen names beside a few dozen brands
+def asked_names(t: Tables) -> DataFrame:
+    """Distinct (file_id, name): each part asks in its brand for its own name and for that of the part numbered one higher."""
+    own = t.part.select(F.col("p_brand").alias("file_id"), F.translate("p_name", " ", "_").alias("name"))
+    following = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.translate("p_name", " ", "_").alias("name"))
+    return own.unionByName(t.part.select(F.col("p_brand").alias("file_id"), "p_partkey").join(following, "p_partkey").select("file_id", "name")).distinct()
 
 
-RESOLUTION = """s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name, count(*) AS n, min('P' || p_partkey) AS id FROM part GROUP BY 1, 2),
-  refs AS (SELECT file_id, name FROM (SELECT DISTINCT p_brand AS file_id FROM part), (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)),
+ASKED = """refs AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name FROM part
+    UNION SELECT a.p_brand, replace(b.p_name, ' ', '_') FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
+RESOLUTION = f"""s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name, count(*) AS n, min('P' || p_partkey) AS id FROM part GROUP BY 1, 2),
+  {ASKED},
   nextof AS (SELECT file_id, name, 'Brand#' || (CAST(substr(file_id, 7) AS INTEGER) + 1) AS target FROM refs),
   found AS (SELECT r.file_id, r.name, l.n AS n_local, l.id AS local_id, w.id AS wild_id, w.file_id AS wild_file FROM nextof r
     LEFT JOIN s l ON l.file_id = r.file_id AND l.name = r.name LEFT JOIN s w ON w.file_id = r.target AND w.name = r.name AND w.n = 1)"""
@@ -463,30 +489,27 @@ RESOLUTION = """s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS na
 @query(f"""WITH {RESOLUTION} SELECT file_id, name,
   CASE WHEN n_local = 1 THEN 'resolved' WHEN n_local > 1 THEN 'ambiguous' WHEN wild_id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
   CASE WHEN n_local = 1 THEN local_id WHEN n_local > 1 THEN NULL ELSE wild_id END AS target_symbol_id,
-  CASE WHEN n_local >= 1 THEN file_id ELSE wild_file END AS target_file_id FROM found""")
+  CASE WHEN n_local >= 1 THEN file_id ELSE wild_file END AS target_file_id,
+  CASE WHEN n_local > 1 THEN 'this file defines ''' || name || ''' more than once' WHEN n_local IS NULL AND wild_id IS NULL THEN 'nothing in reach is called ''' || name || '''' END AS detail FROM found""")
 def resolve_precedence(spark, sf_dir):
     """Bare names: the file's own top level before what its imports bring."""
     t = Tables(spark, sf_dir)
-    return bare_names(brand_scope(t), every_name(t), "function").select("file_id", "name", "result.status", "result.target_symbol_id", "result.target_file_id")
+    return bare_names(brand_scope(t), asked_names(t), "function").select("file_id", "name", "result.*")
 
 
 @query(f"""WITH {RESOLUTION} SELECT file_id, 'next.' || name AS name, CASE WHEN wild_id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status, wild_id AS target_symbol_id FROM found""")
 def resolve_qualified(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    refs = every_name(t).select("file_id", F.concat(F.lit("next."), F.col("name")).alias("name"))
+    refs = asked_names(t).select("file_id", F.concat(F.lit("next."), F.col("name")).alias("name"))
     return qualified_names(brand_scope(t), refs, "function").select("file_id", "name", "result.status", "result.target_symbol_id")
 
 
-@query("""WITH s AS (SELECT p_brand, p_name, count(*) AS n, min('P' || p_partkey) AS id FROM part GROUP BY 1, 2),
-  refs AS (SELECT * FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_name FROM part))
-  SELECT CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, count(*) AS n FROM refs LEFT JOIN s USING (p_brand, p_name) GROUP BY 1""")
+@query(f"""WITH s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name, count(*) AS n FROM part GROUP BY 1, 2), {ASKED}
+  SELECT CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, count(*) AS n FROM refs LEFT JOIN s USING (file_id, name) GROUP BY 1""")
 def resolve_by_name(spark, sf_dir):
     """Candidates decide the state: none, one, several."""
     t = Tables(spark, sf_dir)
-    none = t.part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file_id"), F.lit(None).cast("string").alias("alias"), F.expr("cast(array() as array<string>)").alias("imported_names")).limit(0)
-    targets = none.select(F.col("id").alias("import_id"), "file_id", F.lit("resolved").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"))
-    scope = Scope(brand_symbols(t), none, targets)
-    return bare_names(scope, every_name(t), "function").groupBy("result.status").agg(F.count(F.lit(1)).alias("n"))
+    return bare_names(without_imports(t, brand_symbols(t)), asked_names(t), "function").groupBy("result.status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def module_files(t: Tables) -> DataFrame:
@@ -494,22 +517,27 @@ def module_files(t: Tables) -> DataFrame:
     return t.part.select(part_id("p_partkey").alias("id"), F.lit("R0").alias("repository_id"), F.concat(F.lit("src/"), brand, F.lit("/"), F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"))
 
 
-@query(f"""WITH {SUCCESSIONS}, pairs AS (SELECT DISTINCT l_partkey AS a, next_part AS b FROM successions WHERE l_quantity >= 48),
-  refs AS (SELECT a, b, (a + b) % 4 AS how, x.p_brand AS mine, y.p_brand AS its,
-      lower(replace(y.p_brand, '#', '_')) AS brand, lower(y.p_type) || '_' || b AS module FROM pairs JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b)
-  SELECT 'P' || a AS file_id, CASE how WHEN 0 THEN brand || '.' || module WHEN 1 THEN '.' || module WHEN 2 THEN '..' || brand || '.' || module ELSE 'external.' || module END AS module,
-    CASE WHEN how IN (0, 2) OR how = 1 AND mine = its THEN 'resolved' ELSE 'unresolved' END AS resolution_status,
-    CASE WHEN how IN (0, 2) OR how = 1 AND mine = its THEN 'P' || b END AS target_file_id FROM refs""")
-def suffix_match(spark, sf_dir, least=48):
-    """Python imports between parts: below a source root, relative, climbing, and external."""
+@query(f"""WITH {SUCCESSIONS}, pairs AS (SELECT DISTINCT l_partkey AS a, next_part AS b FROM successions),
+  refs AS (SELECT a, b, (a + b) % 6 AS how, x.p_brand = y.p_brand AS same, b % 50 = 0 AS twice,
+      lower(replace(y.p_brand, '#', '_')) AS brand, lower(y.p_type) || '_' || b AS m FROM pairs JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b),
+  said AS (SELECT *, CASE how WHEN 0 THEN brand || '.' || m WHEN 1 THEN '.' || m WHEN 2 THEN '..' || brand || '.' || m WHEN 3 THEN 'external.' || m ELSE '.' END AS module,
+      CASE WHEN how = 5 OR how = 0 AND twice THEN 'ambiguous' WHEN how IN (0, 2) OR how IN (1, 4) AND same THEN 'resolved' ELSE 'unresolved' END AS resolution_status FROM refs)
+  SELECT 'P' || a AS file_id, module, CASE how WHEN 4 THEN m WHEN 5 THEN m || ',other' ELSE '' END AS names, resolution_status,
+    CASE WHEN how = 5 THEN NULL WHEN resolution_status = 'ambiguous' THEN 'L' || b WHEN resolution_status = 'resolved' THEN 'P' || b END AS target_file_id,
+    CASE WHEN how = 5 THEN '''.'' stands for as many files as it has names: 2' WHEN resolution_status = 'ambiguous' THEN '2 files here fit ''' || module || ''''
+      WHEN resolution_status = 'unresolved' THEN 'no file here fits ''' || module || CASE how WHEN 4 THEN m ELSE '' END || '''; it may come from elsewhere' END AS detail FROM said""")
+def suffix_match(spark, sf_dir):
+    """Python imports between parts: below a source root (of which some have two), relative, climbing, external, and bare relative."""
     t = Tables(spark, sf_dir)
-    pairs = t.successions.where(F.col("l_quantity") >= least).select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
+    copies = module_files(t).where("cast(substring(id, 2) as bigint) % 50 = 0").withColumns({"id": F.regexp_replace("id", "^P", "L"), "path": F.regexp_replace("path", "^src", "lib")})
+    pairs = t.successions.select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
     its = t.part.select(F.col("p_partkey").alias("b"), F.lower(F.translate("p_brand", "#", "_")).alias("brand"), F.concat(F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string")).alias("m"))
-    how = (F.col("a") + F.col("b")) % 4
-    module = F.when(how == 0, F.concat("brand", F.lit("."), "m")).when(how == 1, F.concat(F.lit("."), "m")).when(how == 2, F.concat(F.lit(".."), "brand", F.lit("."), "m")).otherwise(F.concat(F.lit("external."), "m"))
-    imports = pairs.join(its, "b").select(F.concat_ws("-", "a", "b").alias("id"), F.lit("R0").alias("repository_id"), part_id("a").alias("file_id"), module.alias("module"), F.expr("cast(array() as array<string>)").alias("imported_names"))
-    found = resolve_imports(module_files(t), imports).select("import_id", "resolution_status", "target_file_id")
-    return found.join(imports.select(F.col("id").alias("import_id"), "file_id", "module"), "import_id").select("file_id", "module", "resolution_status", "target_file_id")
+    how = (F.col("a") + F.col("b")) % 6
+    module = F.when(how == 0, F.concat("brand", F.lit("."), "m")).when(how == 1, F.concat(F.lit("."), "m")).when(how == 2, F.concat(F.lit(".."), "brand", F.lit("."), "m")).when(how == 3, F.concat(F.lit("external."), "m")).otherwise(F.lit("."))
+    names = F.when(how == 4, F.array("m")).when(how == 5, F.array("m", F.lit("other")))
+    imports = pairs.join(its, "b").select(F.lit("R0").alias("repository_id"), part_id("a").alias("file_id"), module.alias("module"), names.alias("imported_names"))
+    found = resolve_imports(module_files(t).unionByName(copies), imports)
+    return found.select("file_id", "module", F.array_join(F.coalesce("imported_names", F.array()), ",").alias("names"), "resolution_status", "target_file_id", "detail")
 
 
 # ---- scalar operators -----------------------------------------------------------------------
@@ -531,10 +559,18 @@ def path_climb(spark, sf_dir):
     return nations.select(path.alias("path"), paths.collapsed(path).alias("collapsed"), paths.climb(F.lit("x/y"), F.pmod("n_nationkey", F.lit(3))).alias("climbed"))
 
 
-@query(r"""SELECT url, CASE WHEN NOT starts_with(url, 'https:') THEN 'Only HTTPS git URLs are supported'
-  WHEN regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN 'Git URL is missing a repository path' END AS problem FROM (SELECT DISTINCT url FROM pages)""")
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN replace(url, 'http:', 'https:') WHEN 2 THEN replace(url, 'http://', 'https://user:pw@')
+    WHEN 3 THEN 'https:///' || page_id WHEN 4 THEN 'https://host' || page_id WHEN 5 THEN 'https://h_' || page_id || '/a' ELSE 'https://:@host/' || page_id END AS url FROM pages)
+  SELECT page_id, CASE WHEN NOT starts_with(url, 'https:') THEN 'the scheme must be https' WHEN page_id % 7 IN (3, 5) THEN 'the host is missing or malformed'
+    WHEN contains(url, 'user:pw@') THEN 'the URL carries a user or a password' WHEN page_id % 7 = 4 OR regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN 'the URL names no repository' END AS problem FROM u""")
 def url_validate(spark, sf_dir):
-    return Tables(spark, sf_dir).pages.select("url").distinct().select("url", clones.url_problem(F.col("url")).alias("problem"))
+    """URLs of pages, some with another scheme, with credentials, or without a good host or a path."""
+    k, number = F.pmod("page_id", F.lit(7)), F.col("page_id").cast("string")
+    url = (
+        F.when(k == 0, F.col("url")).when(k == 1, F.replace("url", F.lit("http:"), F.lit("https:"))).when(k == 2, F.replace("url", F.lit("http://"), F.lit("https://user:pw@")))
+        .when(k == 3, F.concat(F.lit("https:///"), number)).when(k == 4, F.concat(F.lit("https://host"), number)).when(k == 5, F.concat(F.lit("https://h_"), number, F.lit("/a"))).otherwise(F.concat(F.lit("https://:@host/"), number))
+    )
+    return Tables(spark, sf_dir).pages.select("page_id", clones.url_problem(url).alias("problem"))
 
 
 @query("""WITH h AS (SELECT p_partkey, sha1(unhex('6f6b6bd06b8e4e7a9e3b9a6f7f6e0b3f') || encode(concat_ws(chr(31), 'R0', p_name, p_brand, p_partkey))) AS d FROM part)
@@ -545,8 +581,8 @@ def deterministic_id(spark, sf_dir):
 
 
 @query(r"""WITH e AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'a/b' WHEN 1 THEN '/etc/' || o_orderkey WHEN 2 THEN 'x/../' || o_orderkey WHEN 3 THEN 'C:/' || o_orderkey ELSE 'd\..\' || o_orderkey END AS name FROM orders)
-  SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'Archive entry has an absolute path: ''' || name || '''' WHEN 3 THEN 'Archive entry has an unsafe path: ''' || name || ''''
-    WHEN 0 THEN NULL ELSE 'Archive entry escapes the archive root: ''' || name || '''' END AS problem FROM e""")
+  SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'member path begins at the root: ''' || name || '''' WHEN 3 THEN 'member path begins with a drive or scheme: ''' || name || ''''
+    WHEN 0 THEN NULL ELSE 'member path climbs above its folder: ''' || name || '''' END AS problem FROM e""")
 def entry_names(spark, sf_dir):
     k = F.pmod("o_orderkey", F.lit(5))
     key = F.col("o_orderkey").cast("string")
@@ -566,16 +602,23 @@ def language_detect(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", files.language_of(path).alias("language"))
 
 
-@query("""SELECT doc_id, strpos(left(text, 8192), 'Th') > 0 AS sniffed FROM documents WHERE text IS NOT NULL AND doc_id % 2 = doc_id % 2 AND length(text) = strlen(text)""")
+@query("""SELECT doc_id, coalesce(contains(text, 'Th') AND strlen(split_part(text, 'Th', 1)) + 2 <= 8192, false) AS sniffed FROM documents""")
 def sniff_prefix(spark, sf_dir):
-    """The binary sniff's shape, over ASCII texts: a marker within the first 8192 bytes."""
-    docs = Tables(spark, sf_dir).documents.where("text is not null and length(text) = octet_length(text)")
-    return docs.select("doc_id", F.contains(F.substring(F.col("text").cast("binary"), 1, files.SNIFFED), F.lit(b"Th")).alias("sniffed"))
+    """The binary sniff itself over every document, with another marker; null texts are empty."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return Tables(spark, sf_dir).documents.select("doc_id", files.looks_binary(content, b"Th").alias("sniffed"))
+
+
+def scaled_sql(power: int, unit: str) -> str:
+    return f"regexp_replace(CAST(round(CAST(size / {1024**power} AS DECIMAL(20, 6)), 1) AS VARCHAR), '\\.0$', '') || ' {unit}'"
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN printf('%.0f B', o_totalprice) ELSE regexp_replace(CAST(round(CAST(o_totalprice / 1024 AS DECIMAL(20, 6)), 1) AS VARCHAR), '\\.0$', '') || ' KB' END AS label FROM orders""")
+@query(f"""WITH o AS (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 0.0009765625 WHEN 1 THEN 1 WHEN 2 THEN 1024 ELSE 1048576 END AS size FROM orders)
+  SELECT o_orderkey, CASE WHEN size < 1024 THEN printf('%.0f B', size) WHEN size < {1024**2} THEN {scaled_sql(1, "KB")} WHEN size < {1024**3} THEN {scaled_sql(2, "MB")} ELSE {scaled_sql(3, "GB")} END AS label FROM o""")
 def size_labels(spark, sf_dir):
-    return Tables(spark, sf_dir).orders.select("o_orderkey", shaping.size_label(F.col("o_totalprice")).alias("label"))
+    k = F.pmod("o_orderkey", F.lit(4))
+    size = F.col("o_totalprice") * F.when(k == 0, 0.0009765625).when(k == 1, 1.0).when(k == 2, 1024.0).otherwise(1048576.0)
+    return Tables(spark, sf_dir).orders.select("o_orderkey", shaping.size_label(size).alias("label"))
 
 
 @query("""SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '([^.])\\.[^.]+$', '\\1') AS stem FROM pages""".replace("\\\\", "\\"))
@@ -602,15 +645,15 @@ def workspace_metadata(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT p_brand, p_size, replace(p_name, ' ', '_') AS name, count(*) AS n, min('P' || p_partkey) AS id FROM part GROUP BY 1, 2, 3)
-  SELECT p_brand AS file_id, CAST(p_size AS VARCHAR) AS parent, 'self.' || name AS name, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS target_symbol_id FROM m""")
+  SELECT p_brand AS file_id, CAST(p_size AS VARCHAR) AS parent, 'self.' || name AS name, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS target_symbol_id FROM m
+  UNION ALL SELECT DISTINCT p_brand, CAST(p_size AS VARCHAR), 'self.nowhere', 'unresolved', NULL FROM part""")
 def resolve_instance(spark, sf_dir):
     """Methods of one class: brand is the file, size the class, name the method."""
     t = Tables(spark, sf_dir)
     methods = t.part.select(part_id("p_partkey").alias("id"), F.col("p_brand").alias("file_id"), F.col("p_size").cast("string").alias("parent_symbol_id"), F.lit("method").alias("kind"), F.translate("p_name", " ", "_").alias("name"))
-    none = t.part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file_id"), F.lit(None).cast("string").alias("alias"), F.expr("cast(array() as array<string>)").alias("imported_names")).limit(0)
-    scope = Scope(methods, none, none.select(F.col("id").alias("import_id"), "file_id", F.lit("resolved").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id")))
-    refs = methods.select("file_id", "parent_symbol_id", F.concat(F.lit("self."), "name").alias("name")).distinct()
-    return instance_names(scope, refs).select("file_id", F.col("parent_symbol_id").alias("parent"), "name", "result.status", "result.target_symbol_id")
+    asked = F.explode(F.array(F.col("name"), F.lit("nowhere")))
+    refs = methods.select("file_id", "parent_symbol_id", asked.alias("name")).select("file_id", "parent_symbol_id", F.concat(F.lit("self."), "name").alias("name")).distinct()
+    return instance_names(without_imports(t, methods), refs).select("file_id", F.col("parent_symbol_id").alias("parent"), "name", "result.status", "result.target_symbol_id")
 
 
 def two_kinds(t: Tables) -> DataFrame:
@@ -620,13 +663,13 @@ def two_kinds(t: Tables) -> DataFrame:
 
 
 def without_imports(t: Tables, symbols: DataFrame) -> Scope:
-    none = t.part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file_id"), F.lit(None).cast("string").alias("alias"), F.expr("cast(array() as array<string>)").alias("imported_names")).limit(0)
-    return Scope(symbols, none, none.select(F.col("id").alias("import_id"), "file_id", F.lit("resolved").alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id")))
+    none = t.spark.createDataFrame([], "file_id string, alias string, imported_names array<string>, resolution_status string, target_file_id string")
+    return Scope(symbols, none)
 
 
-KINDS = """s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name, count(*) FILTER (p_size % 2 = 0) AS nf, count(*) FILTER (p_size % 2 = 1) AS nc,
+KINDS = f"""s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name, count(*) FILTER (p_size % 2 = 0) AS nf, count(*) FILTER (p_size % 2 = 1) AS nc,
     min('P' || p_partkey) FILTER (p_size % 2 = 0) AS f, min('P' || p_partkey) FILTER (p_size % 2 = 1) AS c FROM part GROUP BY 1, 2),
-  refs AS (SELECT file_id, name FROM (SELECT DISTINCT p_brand AS file_id FROM part), (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)),
+  {ASKED},
   found AS (SELECT refs.file_id, refs.name, coalesce(nf, 0) AS nf, coalesce(nc, 0) AS nc, f, c FROM refs LEFT JOIN s USING (file_id, name))"""
 
 
@@ -635,30 +678,50 @@ KINDS = """s AS (SELECT p_brand AS file_id, replace(p_name, ' ', '_') AS name, c
 def resolve_call_order(spark, sf_dir):
     """A bare call is a function, else a class, else ambiguous if either is."""
     t = Tables(spark, sf_dir)
-    return call_names(without_imports(t, two_kinds(t)), every_name(t)).select("file_id", "name", "result.status", "result.target_symbol_id")
+    return call_names(without_imports(t, two_kinds(t)), asked_names(t)).select("file_id", "name", "result.status", "result.target_symbol_id")
 
 
 @query(f"""WITH {KINDS} SELECT file_id, name, CASE WHEN nc = 1 THEN 'resolved' WHEN nc > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN nc = 1 THEN c END AS target_symbol_id FROM found""")
 def resolve_inheritance(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return resolve_bases(without_imports(t, two_kinds(t)), every_name(t)).select("file_id", "name", "result.status", "result.target_symbol_id")
+    return resolve_bases(without_imports(t, two_kinds(t)), asked_names(t)).select("file_id", "name", "result.status", "result.target_symbol_id")
 
 
-@query(f"""WITH {SUCCESSIONS}, pairs AS (SELECT DISTINCT l_partkey AS a, next_part AS b FROM successions WHERE l_quantity >= 49)
-  SELECT 'P' || a AS file_id, './' || lower(y.p_type) || '_' || b AS module, CASE WHEN x.p_brand = y.p_brand THEN 'resolved' ELSE 'unresolved' END AS resolution_status,
+@query(f"""WITH {SUCCESSIONS}, pairs AS (SELECT DISTINCT l_partkey AS a, next_part AS b FROM successions)
+  SELECT 'P' || a AS file_id, CASE WHEN a % 2 = 1 THEN '../' ELSE './' END || lower(y.p_type) || '_' || b AS module,
+    CASE WHEN x.p_brand <> y.p_brand THEN 'unresolved' WHEN b % 40 = 0 THEN 'ambiguous' ELSE 'resolved' END AS resolution_status,
     CASE WHEN x.p_brand = y.p_brand THEN 'P' || b END AS target_file_id FROM pairs JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b
-  UNION ALL SELECT 'P' || p_partkey, 'react', 'unresolved', NULL FROM part WHERE p_size = 1""")
-def ecmascript_imports(spark, sf_dir, least=49, bare_where="p_size = 1"):
-    """Relative specifiers resolve beside the importing file; bare ones never do."""
+  UNION ALL SELECT 'P' || p_partkey, 'react', 'unresolved', NULL FROM part""")
+def ecmascript_imports(spark, sf_dir):
+    """Relative specifiers resolve beside the importing file, by all endings in order; bare ones never do.
+
+    A part's file has the ending of its number modulo 8, so odd ones are index files in a folder
+    of their own; every fortieth part has a second file with a later ending."""
+    t = Tables(spark, sf_dir)
+    number = F.substring("id", 2, 20).cast("bigint")
+    ending = F.element_at(F.array(*[F.lit(e) for e in ECMASCRIPT_ENDINGS]), (F.pmod(number, F.lit(8)) + 1).cast("int"))
+    stem = F.regexp_replace("path", r"\.py$", "")
+    scripts = module_files(t).withColumns({"path": F.concat(stem, ending), "language": F.when(F.contains(ending, F.lit("ts")), "typescript").otherwise("javascript")})
+    second = module_files(t).where(F.pmod(number, F.lit(40)) == 0).withColumns({"id": F.regexp_replace("id", "^P", "X"), "path": F.concat(stem, F.lit(".jsx")), "language": F.lit("javascript")})
+    pairs = t.successions.select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
+    its = t.part.select(F.col("p_partkey").alias("b"), F.concat(F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string")).alias("m"))
+    relative = pairs.join(its, "b").select(part_id("a").alias("file_id"), F.concat(F.when(F.pmod("a", F.lit(2)) == 1, "../").otherwise("./"), "m").alias("module"))
+    bare = t.part.select(part_id("p_partkey").alias("file_id"), F.lit("react").alias("module"))
+    imports = relative.unionByName(bare).select(F.lit("R0").alias("repository_id"), "file_id", "module", F.expr("cast(array() as array<string>)").alias("imported_names"))
+    return resolve_imports(scripts.unionByName(second), imports).select("file_id", "module", "resolution_status", "target_file_id")
+
+
+@query("""SELECT 'P' || p_partkey AS source_file_id, 'lib.' || lower(p_type) AS raw_target_expression, 'resolved' AS resolution_status, 'T' || p_type AS target_file_id, 2 AS edges, 2 AS ids FROM part""")
+def import_edges(spark, sf_dir):
+    """Two bindings of one module on one line share their import id: one edge each all the same."""
     t = Tables(spark, sf_dir)
-    scripts = module_files(t).withColumns({"path": F.regexp_replace("path", "py$", "tsx"), "language": F.lit("typescript")})
-    pairs = t.successions.where(F.col("l_quantity") >= least).select(F.col("l_partkey").alias("a"), F.col("next_part").alias("b")).distinct()
-    its = t.part.select(F.col("p_partkey").alias("b"), F.concat(F.lit("./"), F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string")).alias("module"))
-    relative = pairs.join(its, "b").select(F.concat_ws("-", "a", "b").alias("id"), part_id("a").alias("file_id"), "module")
-    bare = t.part.where(bare_where).select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("id"), part_id("p_partkey").alias("file_id"), F.lit("react").alias("module"))
-    imports = relative.unionByName(bare).select("id", F.lit("R0").alias("repository_id"), "file_id", "module", F.expr("cast(array() as array<string>)").alias("imported_names"))
-    found = resolve_imports(scripts, imports).select("import_id", "resolution_status", "target_file_id")
-    return found.join(imports.select(F.col("id").alias("import_id"), "file_id", "module"), "import_id").select("file_id", "module", "resolution_status", "target_file_id")
+    types = t.part.select("p_type").distinct().select(F.concat(F.lit("T"), "p_type").alias("id"), F.lit("R0").alias("repository_id"), F.concat(F.lit("src/lib/"), F.lower("p_type"), F.lit(".py")).alias("path"), F.lit("python").alias("language"))
+    imports = t.part.select(
+        F.concat(F.lit("I"), F.col("p_partkey").cast("string")).alias("id"), F.lit("R0").alias("repository_id"), part_id("p_partkey").alias("file_id"), F.concat(F.lit("lib."), F.lower("p_type")).alias("module"),
+        F.expr("cast(array() as array<string>)").alias("imported_names"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("alias"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+    )
+    found = edge_ops.import_edges(resolve_imports(module_files(t).unionByName(types), imports))
+    return found.groupBy("source_file_id", "raw_target_expression", "resolution_status", "target_file_id").agg(F.count(F.lit(1)).cast("int").alias("edges"), F.count_distinct("id").cast("int").alias("ids"))
 
 
 @query("""WITH b AS (SELECT p_brand, min(p_partkey) AS base FROM part GROUP BY 1)
@@ -679,13 +742,14 @@ def inheritance_edges(spark, sf_dir):
 # ---- projection, properties, client-side values -------------------------------------------------
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT 'contains' AS kind FROM nation UNION ALL SELECT 'defines' FROM part UNION ALL SELECT 'contains' FROM part WHERE p_size > 25) GROUP BY 1""")
+@query("""SELECT 'R' || n_regionkey AS source_id, 'N' || n_nationkey AS target_id, 'contains' AS kind FROM nation
+  UNION ALL SELECT 'N' || (p_partkey % 25), 'P' || p_partkey, 'defines' FROM part UNION ALL SELECT 'P' || (p_partkey - 1), 'P' || p_partkey, 'contains' FROM part WHERE p_size > 25""")
 def structure_edges(spark, sf_dir):
     """contains and defines of files and (nested) symbols."""
     t = Tables(spark, sf_dir)
-    nations = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("R0").alias("repository_id"))
-    parts = t.part.select(part_id("p_partkey").alias("id"), F.lit("N0").alias("file_id"), F.lit("R0").alias("repository_id"), F.when(F.col("p_size") > 25, F.lit("P0")).alias("parent_symbol_id"))
-    return structure(nations, parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    nations = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("repository_id"))
+    parts = t.part.select(part_id("p_partkey").alias("id"), F.concat(F.lit("N"), F.pmod("p_partkey", F.lit(25)).cast("string")).alias("file_id"), F.lit("R0").alias("repository_id"), F.when(F.col("p_size") > 25, F.concat(F.lit("P"), (F.col("p_partkey") - 1).cast("string"))).alias("parent_symbol_id"))
+    return structure(nations, parts).select("source_id", "target_id", "kind")
 
 
 @query(f"WITH {NODES} SELECT id, kind, CASE WHEN kind = 'symbol' THEN name END AS name, CASE WHEN kind = 'file' THEN name END AS path, CASE WHEN kind = 'repository' THEN name END AS display_name FROM nodes")
@@ -720,41 +784,39 @@ def pipeline_states(spark, sf_dir):
 def archive_limits(spark, sf_dir):
     """Totals of an archive's entries, and entries over a limit of their own."""
     entries = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("size"), (1 + F.pmod("o_orderkey", F.lit(30))).alias("packed"), F.lit(0).cast("long").alias("attributes"))
-    found = archives.problems(entries, Settings(max_archive_entry_bytes=1000, max_archive_ratio=50)).agg(F.count_if(F.col("problem").contains("per-file")).alias("oversize"), F.count_if(F.col("problem").contains("ratio")).alias("suspicious"))
+    found = archives.problems(entries, Settings(max_archive_entry_bytes=1000, max_archive_ratio=50)).agg(F.count_if(F.col("problem").startswith("member too large")).alias("oversize"), F.count_if(F.col("problem").startswith("member packed too tightly")).alias("suspicious"))
     whole = entries.agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes")).withColumn("one", F.lit(1))
     return whole.join(found.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-@query("""SELECT lang AS key, count(*) > 0 AS shown FROM documents WHERE lang IS NOT NULL GROUP BY 1""")
+@query(r"""WITH n AS (SELECT coalesce(source, 'none') AS source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT source, lang, round_even(100.0 * n / sum(n) OVER (PARTITION BY source), 1) AS share FROM n)
+  SELECT source, string_agg(lang || ' ' || regexp_replace(printf('%.1f', share), '\.0$', '') || '%', ', ' ORDER BY share DESC, lang) AS label FROM p GROUP BY 1""")
 def shares_labels(spark, sf_dir):
+    """The languages of each source as text, the most frequent first, ties by name."""
     docs = Tables(spark, sf_dir).documents.where("lang is not null")
-    stats = docs.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("stats"))
-    return stats.select(F.explode(F.map_keys("stats")).alias("key"), shaping.shares_label(F.col("stats")).alias("text")).select("key", F.contains(F.col("text"), F.col("key")).alias("shown"))
-
+    counts = docs.groupBy(F.coalesce("source", F.lit("none")).alias("source"), "lang").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.withColumn("share", shaping.percent(F.col("n"), F.sum("n").over(Window.partitionBy("source"))))  # a row for each language of a source
+    stats = shares.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("stats"))
+    return stats.select("source", shaping.shares_label(F.col("stats")).alias("label"))
 
-# ---- the same over whole tables ------------------------------------------------------------------
 
-ON_EDGES = [
-    relationships_page, renderable, omitted_edges, neighbors_out, neighbors_in, neighbors_both, dependencies, dependents, impact_upstream, impact_downstream, impact_kind,
-    path_found, path_not_found, path_self, stats_rels_by_kind, in_degree_topk, out_degree_topk,
-]
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS at FROM events""")
+def iso_times(spark, sf_dir):
+    """Times as the property bag shows them."""
+    return Tables(spark, sf_dir).events.select("event_id", shaping.iso_time(F.col("ts").cast("timestamp")).alias("at"))
 
 
-def whole(make: Callable[..., DataFrame], sql: str, **options) -> None:
-    """Register a query under its name and `_all`, with options that leave nothing out."""
-    QUERIES[f"{make.__name__}_all"] = functools.partial(make, **options)
-    SQL[f"{make.__name__}_all"] = sql
-
-
-for _make in ON_EDGES:
-    whole(_make, SQL[_make.__name__].replace(SPARSE, CALLS), least=0)
-
-whole(suffix_match, SQL["suffix_match"].replace(" WHERE l_quantity >= 48", ""), least=0)
-whole(ecmascript_imports, SQL["ecmascript_imports"].replace(" WHERE l_quantity >= 49", "").replace(" WHERE p_size = 1", ""), least=0, bare_where="true")
+@query(f"WITH {INHERITS}, {CONTAINS} SELECT source_id, target_id, kind, repository_id FROM inherits UNION ALL SELECT * FROM contains_")
+def store_versions(spark, sf_dir):
+    """Edges of five repositories written to the store, replaced as a whole, and read from their last commits."""
+    t = Tables(spark, sf_dir)
+    store = Store(spark, scratch(spark, "store"))
+    rows = stored(t.inherits.unionByName(t.contains), "rows")
+    for name in [f"R{k}" for k in range(5)]:
+        store.replace_all(name, {"graph_edges": rows.limit(1), "graph_nodes": t.nodes.where("kind = 'repository'")})
+        store.replace("graph_edges", name, rows)
+    return store.table("graph_edges").select("source_id", "target_id", "kind", "repository_id")
 
 
-@query("""SELECT doc_id, coalesce(contains(text, 'Th') AND strlen(split_part(text, 'Th', 1)) + 2 <= 8192, false) AS sniffed FROM documents""")
-def sniff_prefix_all(spark, sf_dir):
-    """The binary sniff itself over every document, with another marker; null texts are empty."""
-    content = F.coalesce("text", F.lit("")).cast("binary")
-    return Tables(spark, sf_dir).documents.select("doc_id", files.looks_binary(content, b"Th").alias("sniffed"))
+from . import driver_sources  # noqa: E402, F401  (registers its queries)

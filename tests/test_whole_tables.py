@@ -7,17 +7,17 @@ from .conftest import DATA
 
 def test_all_calls_are_edges(spark, duck):
     want = duck.sql("SELECT count(*) FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1").fetchall()[0][0]
-    assert {r.kind: r.n for r in QUERIES["stats_rels_by_kind_all"](spark, str(DATA)).collect()}["calls"] == want
+    assert {r.kind: r.n for r in QUERIES["stats_rels_by_kind"](spark, str(DATA)).collect()}["calls"] == want
 
 
 def test_all_successions_are_imports(spark, duck):
     pairs = duck.sql("SELECT DISTINCT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1").fetchall()
     parts = duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
-    assert QUERIES["suffix_match_all"](spark, str(DATA)).count() == len(pairs)
-    assert QUERIES["ecmascript_imports_all"](spark, str(DATA)).count() == len(pairs) + parts
+    assert QUERIES["suffix_match"](spark, str(DATA)).count() == len(pairs)
+    assert QUERIES["ecmascript_imports"](spark, str(DATA)).count() == len(pairs) + parts
 
 
 def test_every_document_is_sniffed(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: b"Th" in (r.text or "").encode()[:8192] for r in docs}
-    assert {r.doc_id: r.sniffed for r in QUERIES["sniff_prefix_all"](spark, str(DATA)).collect()} == want
+    assert {r.doc_id: r.sniffed for r in QUERIES["sniff_prefix"](spark, str(DATA)).collect()} == want

@@ -203,7 +203,7 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "ups
         found = whole.where("depth > 0").join(here(nodes, repository_id).select("id"), "id", "left_semi")
         if limit is not None:
             found = found.orderBy("depth", "id").limit(limit)
-        return stored(found, "impact", outlives=True).orderBy("depth", "id")
+        return stored(found, "impact", outlives=1).orderBy("depth", "id")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_depth: int = 6, kind: str | None = None, repository_id: str | None = None) -> DataFrame:

@@ -37,10 +37,10 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_roots[application]
 
 
-def scratch(spark: SparkSession, tag: str, outlives: bool = False) -> str:
+def scratch(spark: SparkSession, tag: str, outlives: int = 0) -> str:
     """A new path below the shared folder, deleted with the temporary() it is made in.
 
-    outlives: it belongs to the temporary() around that one."""
+    outlives: how many of them it outlives, from the innermost."""
     path = f"{scratch_root(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     open_ = getattr(_scopes, "open", [])
@@ -49,12 +49,12 @@ def scratch(spark: SparkSession, tag: str, outlives: bool = False) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str, files: int | None = None, outlives: bool = False) -> DataFrame:
+def stored(df: DataFrame, tag: str, files: int | None = None, outlives: int = 0) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends
     there, and a lost executor costs nothing that was finished before.
 
     files: most files to write, for tables whose size is known to be small.
-    outlives: the table is not deleted with the temporary() that it is stored in."""
+    outlives: how many temporary() it outlives, from the innermost."""
     path = scratch(df.sparkSession, tag, outlives)
     (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -69,7 +69,7 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside are deleted at the end, but those stored with outlives=True.
+    """Tables stored inside are deleted at the end, but those that outlive it.
 
     Only for work that is finished inside: nothing that is read later may depend on them."""
     if not hasattr(_scopes, "open"):

@@ -157,9 +157,9 @@ def test_scratch_tables_go_with_their_work(spark):
         a = stored(spark.range(3), "inner")
         with temporary(spark):
             b = stored(spark.range(4), "inside")
-            c = stored(spark.range(5), "kept", outlives=True)
+            c = stored(spark.range(5), "kept", outlives=1)
         assert c.count() == 5 and a.count() == 3 and not Path(b.inputFiles()[0].removeprefix("file://") if b.inputFiles() else "/nowhere").exists()
-        d = stored(a, "result", outlives=True)
+        d = stored(a, "result", outlives=1)
     places = [Path(f.removeprefix("file://")) for f in d.inputFiles()]
     assert places and all(p.exists() for p in places) and d.count() == 3
     release(spark)

@@ -154,7 +154,7 @@ class PairIndexBpe:
         distinct: dict[bytes, int] = {}
         plans: list[tuple[str, list[int]]] = []
         for word in words:
-            if word.isascii() and word.isalpha():
+            if self.lowers and word.isascii() and word.isalpha():
                 pieces = [word.lower().encode()]
             else:
                 pieces = []
@@ -212,8 +212,13 @@ class PairIndexBpe:
 
 def splits_at_spaces(library) -> bool:
     """Whether a file's ids of a text are those of its words, and of a full stop or comma by itself."""
-    probe = [list(library.encode(t, add_special_tokens=False).ids) for t in ("ab, Cd e.", "ab", ",", "Cd", "e", ".")]
-    return probe[0] == sum(probe[1:], [])
+
+    def ids(text: str) -> list[int]:
+        return list(library.encode(text, add_special_tokens=False).ids)
+
+    probes = [["ab", ",", "Cd", "e", "."], ["the", "Don't", "x1y2", "#-#", "ÀÉ", "ß", ","], ["a", "a", "1", "1", "2024", "."], ["日本", "語", "😀", "e\u0301", "..", "?!"]]
+    joined = (" ", "\n", "\t", "  ", " \n ")
+    return all(ids(space.join(parts)) == sum(map(ids, parts), []) for parts in probes for space in joined) and ids("ab, Cd e.") == sum(map(ids, probes[0]), [])
 
 
 def drops_case(library) -> bool:

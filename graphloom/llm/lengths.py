@@ -19,8 +19,8 @@ from .tokenfile import encoder
 SPAN = 256
 
 
-def encoded_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, the number of ids of the whole text; 0 for null and empty texts.
+def encoded_lengths(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with n_tokens, the number of ids of the whole text; 0 for null and empty texts.
 
     A column of docs called n_tokens is replaced."""
 
@@ -32,7 +32,7 @@ def encoded_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataF
 
         return measured
 
-    return attach(docs, text_col, [T.StructField("n_tokens", T.LongType())], measure)
+    return attach(docs, text_col, [T.StructField("n_tokens", T.LongType())], measure, keep=keep)
 
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
@@ -59,19 +59,25 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: documents and tokens in all, tokens kept when every document is
-    cut to the limit, and documents cut.  Any limit may be asked, whether it occurs or not."""
-    asked = F.explode(F.array(*[F.lit(int(x)) for x in limits]).cast("array<long>")).alias("context")
-    each = histogram.select("n_tokens", "documents", "tokens", asked)
-    return each.groupBy("context").agg(
-        F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"),
-        F.sum(F.least("n_tokens", "context") * F.col("documents")).alias("kept_tokens"),
-        F.sum(F.when(F.col("n_tokens") > F.col("context"), F.col("documents")).otherwise(0)).alias("cut_documents"),
-    )
+    cut to the limit, and documents cut.  Any limit may be asked, whether it occurs or not.
+
+    The suffix sums of the next longer length answer a limit: what is shorter is kept whole, the
+    rest gives `limit` tokens each.  An empty histogram gives zeros for every limit."""
+    sums = F.struct("documents_at_least", "tokens_at_least")
+    longer = [F.min_by(sums, F.when(F.col("n_tokens") > x, F.col("n_tokens"))).alias(f"after{i}") for i, x in enumerate(limits)]
+    whole = histogram.agg(F.coalesce(F.max("documents_at_least"), F.lit(0)).alias("documents"), F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("tokens"), *longer)
+    each = F.inline(F.array(*[F.struct(F.lit(int(x)).cast("long").alias("context"), F.col(f"after{i}").alias("after")) for i, x in enumerate(limits)]))
+    cut = F.coalesce(F.col("after.documents_at_least"), F.lit(0))
+    kept = F.col("tokens") - F.coalesce(F.col("after.tokens_at_least"), F.lit(0)) + F.col("context") * cut
+    return whole.select("documents", "tokens", each).select("context", "documents", "tokens", kept.alias("kept_tokens"), cut.alias("cut_documents"))
 
 
 def length_quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
-    """For each share q: the least length that at least a share q of the documents do not exceed."""
-    total = F.lit(histogram.agg(F.sum("documents")).first()[0] or 0)
-    at_most = histogram.withColumn("at_most", total - F.col("documents_at_least") + F.col("documents"))
-    asked = at_most.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
-    return asked.where(F.col("at_most") >= F.ceil(F.col("share") * total)).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    """For each share q: the least length that at least a share q of the documents do not exceed.
+
+    An empty histogram gives no rows."""
+    total = F.lit(histogram.agg(F.max("documents_at_least")).first()[0] or 0)
+    at_most = total - F.col("documents_at_least") + F.col("documents")
+    least = [F.min(F.when(at_most >= F.ceil(F.lit(float(q)) * total), F.col("n_tokens"))).alias(f"q{i}") for i, q in enumerate(shares)]
+    each = F.inline(F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"q{i}").alias("n_tokens")) for i, q in enumerate(shares)]))
+    return histogram.agg(*least).select(each).where("n_tokens is not null")

@@ -80,14 +80,27 @@ class LatentModel:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def vote(self, terms: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors.
+
+        Texts without a place in the latent space get the share of label 1 among all of them.
+        Of equally near vectors at the edge of the circle the first in order are taken."""
         if not len(self.labels):
             return np.full(len(terms), 0.5)
-        cosines = self.project(terms) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        latent = self.project(terms)
+        cosines = latent @ self.vectors.T
+        best = nearest(cosines, min(NEIGHBOURS, len(self.labels)))
         weight = np.maximum(np.take_along_axis(cosines, best, 1), 1e-6).astype(np.float64) ** SHARPNESS
-        return (weight * self.labels[best]).sum(1) / weight.sum(1)
+        return np.where(latent.any(1), (weight * self.labels[best]).sum(1) / weight.sum(1), self.labels.mean())
+
+
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row; ties at the k-th go to the first columns."""
+    best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(cosines, best, 1).min(1, keepdims=True)
+    for row in np.flatnonzero((cosines >= edge).sum(1) > k):
+        above = np.flatnonzero(cosines[row] > edge[row])
+        best[row] = np.concatenate([above, np.flatnonzero(cosines[row] == edge[row])[: k - len(above)]])
+    return best
 
 
 def fit(terms: np.ndarray, labels: np.ndarray, latent: int = LATENT) -> LatentModel:
@@ -125,9 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
         return measured
 
-    coded = attach(sample, TEXT, [T.StructField("terms", T.BinaryType())], measure)
-    coded = stored(coded.select(F.xxhash64(ID, TEXT).alias("place"), "terms", "label"), "terms")
-    ordered = coded.coalesce(1).sortWithinPartitions("place").select("terms", "label")
+    placed = sample.withColumn("place", F.xxhash64(ID, TEXT))
+    coded = stored(attach(placed, TEXT, [T.StructField("terms", T.BinaryType())], measure, keep=["place", "label"]), "terms")
+    ordered = coded.coalesce(1).sortWithinPartitions("place", "label").select("terms", "label")
     fitted = ordered.mapInArrow(fit_batches, "idf binary, basis binary, vectors binary, labels binary").first()
     width = SHAPES + WORDS
     if fitted is None:
@@ -136,9 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     return LatentModel(idf, basis.reshape(width, -1), vectors.reshape(len(known), -1), known)
 
 
-def score_quality(docs: DataFrame, model: LatentModel, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1), row by row.  Null and empty texts have no terms: their
-    similarities are all zero and any labelled vectors vote.  A column called score is replaced."""
+def score_quality(docs: DataFrame, model: LatentModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with score (0 to 1), row by row.
+
+    Null and empty texts have no terms: they get the share of label 1 among the labelled rows.
+    Labelled vectors are in an order of their own (a hash of id and text, then label), which
+    decides between equally near ones.  A column called score is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure():
@@ -150,4 +166,4 @@ def score_quality(docs: DataFrame, model: LatentModel, text_col: str = "text") -
 
         return measured
 
-    return attach(docs, text_col, [T.StructField("score", T.DoubleType())], measure)
+    return attach(docs, text_col, [T.StructField("score", T.DoubleType())], measure, keep=keep)

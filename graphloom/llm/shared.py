@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import scratch, stored
+from ..scratch import scratch, stored, temporary
 
-__all__ = ["CHUNK_BYTES", "ID", "TEXT", "attach", "crc_bucket", "id_text", "scratch", "slices", "small_arrow_batches", "stored", "text_buffers"]
+__all__ = ["CHUNK_BYTES", "ID", "TEXT", "attach", "crc_bucket", "id_text", "scratch", "slices", "small_arrow_batches", "stored", "temporary", "text_buffers"]
 
 ID, TEXT = "__id", "__text"
 #: Text handled at once inside a Python worker, so that memory is bounded.
@@ -28,9 +28,14 @@ def id_text(docs: DataFrame, id_col: str, text_col: str, null_as: str | None = "
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    """Batches sent to Python are bounded in bytes, not only in rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Batches sent to Python are bounded in bytes, not only in rows.
+
+    These settings hold for the session from then on, since plans are made when results are
+    read; a value that the session has been given before stays."""
+    given = spark.conf.getAll
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1024"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        if key not in given:
+            spark.conf.set(key, value)
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, text_at: int = 1) -> Iterator[pa.RecordBatch]:
@@ -67,32 +72,36 @@ def text_buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def attach(docs: DataFrame, text_col: str, fields: list[T.StructField], measure: Callable[[], Callable[[pa.Array], list[pa.Array]]], limit: int = CHUNK_BYTES) -> DataFrame:
+def attach(docs: DataFrame, text_col: str, fields: list[T.StructField], measure: Callable[[], Callable[[pa.Array], list[pa.Array]]], limit: int = CHUNK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """docs with new columns computed from the text column in Arrow batches, without a shuffle.
 
     measure() runs once in each worker and gives a function from a string array to the
-    new columns.  A column of docs that has the name of a new one is replaced."""
+    new columns.  A column of docs that has the name of a new one is replaced.
+    keep: the columns of docs that come back; texts that nobody asks for stay in the worker."""
     small_arrow_batches(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    docs = docs.select(*[F.col(c) for c in docs.columns if c in keep or c == text_col])
     names = docs.columns
+    back = [i for i, c in enumerate(names) if c in keep]
     inner = [f"c{i}" for i in range(len(names))]
     text_at = names.index(text_col)
     new = [f.name for f in fields]
     types = [docs.schema[i].dataType for i in range(len(names))]
     types[text_at] = T.StringType()
     renamed = docs.toDF(*inner).withColumn(inner[text_at], F.col(inner[text_at]).cast("string"))
-    schema = T.StructType([T.StructField(c, t) for c, t in zip(inner, types, strict=True)] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)])
+    schema = T.StructType([T.StructField(inner[i], types[i]) for i in back] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)])
     outer = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measured = measure()
         for batch in slices(batches, limit, text_at):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *measured(batch.column(text_at))], outer)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in back], *measured(batch.column(text_at))], outer)
 
     wide = renamed.mapInArrow(run, schema)
-    kept = [F.col(c).alias(n) for c, n in zip(inner, names, strict=True) if n not in new]
+    kept = [F.col(inner[i]).alias(names[i]) for i in back if names[i] not in new]
     return wide.select(*kept, *[F.col(f"n{i}").alias(n) for i, n in enumerate(new)])
 
 
 def crc_bucket(column: Column, modulo: int) -> Column:
-    """crc32 of a value as text, modulo a number."""
-    return F.crc32(column.cast("string").cast("binary")) % F.lit(modulo)
+    """crc32 of a value as text, modulo a number; -1 for null, which is in no bucket."""
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(modulo), F.lit(-1))

@@ -107,11 +107,14 @@ def train_batches(epochs: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int, seed: int) -> DataFrame:
-    """(text, label) of a bounded hash sample of labelled rows, in a fixed order, as a stored table."""
+    """(id, text, label) of a bounded hash sample of labelled rows, as a stored table.
+
+    An id that repeats in docs counts once, with its smallest text; an id that has both labels
+    counts once with each; ids without a document, and null ids, do not count."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias(ID), F.col(label_col).cast("int").alias("label")).distinct()
     chosen = F.broadcast(bounded_sample(known, ID, max_rows, seed))  # about max_rows rows of two numbers
     rows = docs.select(F.col(id_col).alias(ID), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT)).join(chosen, ID)
-    rows = rows.groupBy(ID, "label").agg(F.min(TEXT).alias(TEXT)).select(ID, TEXT, "label")  # an id that repeats counts once
+    rows = rows.groupBy(ID, "label").agg(F.min(TEXT).alias(TEXT)).select(ID, TEXT, "label")
     return stored(rows, "labelled")
 
 
@@ -129,17 +132,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
         return measured
 
-    coded = attach(sample, TEXT, [T.StructField("slots", T.ArrayType(T.IntegerType()))], measure)
-    coded = stored(coded.select(F.xxhash64(ID, TEXT).alias("place"), "slots", "label"), "features")
-    ordered = coded.coalesce(1).sortWithinPartitions("place", "slots").select("slots", "label")
+    placed = sample.withColumn("place", F.xxhash64(ID, TEXT))
+    coded = stored(attach(placed, TEXT, [T.StructField("slots", T.ArrayType(T.IntegerType()))], measure, keep=["place", "label"]), "features")
+    ordered = coded.coalesce(1).sortWithinPartitions("place", "label", "slots").select("slots", "label")
     fitted = ordered.mapInArrow(train_batches(epochs), "slots array<int>, weights array<float>, bias double").first()
     if fitted is None:
         return SparseModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     return SparseModel(np.array(fitted["slots"], np.int32), np.array(fitted["weights"], np.float32), fitted["bias"])
 
 
-def score_toxicity(docs: DataFrame, model: SparseModel, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1), row by row: every distinct feature of the whole text counts once.
+def score_toxicity(docs: DataFrame, model: SparseModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with score (0 to 1), row by row: every distinct feature of the whole text counts once.
 
     Null and empty texts are scored by the bias alone.  A column called score is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -156,4 +159,4 @@ def score_toxicity(docs: DataFrame, model: SparseModel, text_col: str = "text")
 
         return measured
 
-    return attach(docs, text_col, [T.StructField("score", T.DoubleType())], measure)
+    return attach(docs, text_col, [T.StructField("score", T.DoubleType())], measure, keep=keep)

@@ -47,16 +47,17 @@ def misra_gries(counters: int):
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, n_keep.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, n_keep, text_xxh64.
 
     Texts are equal when identical after normalised(); null counts as empty.  The
     smallest id of equal texts stays (kept).  group_size counts rows.  Ids that are
     null come after all others; if a whole group has null ids, keep_id is null and
     its rows are all kept.  Rows that repeat both id and text are all marked kept;
-    n_keep says how many rows share keep_id, so a caller can thin them.  An empty
-    table gives an empty result.
+    n_keep says how many rows share keep_id, so a caller can thin them.  text_xxh64 is a
+    hash of the text as it stands (null as empty): with the id it names a row, also where
+    ids repeat or are null.  An empty table gives an empty result.
     """
-    rows = id_text(docs, id_col, text_col).select(ID, F.unhex(F.sha2(normalised(F.col(TEXT)), 256)).alias("digest"))
+    rows = id_text(docs, id_col, text_col).select(ID, F.unhex(F.sha2(normalised(F.col(TEXT)), 256)).alias("digest"), F.xxhash64(TEXT).alias("text_xxh64"))
     rows = stored(rows, "digests")
     frequent = (
         rows.select("digest").mapInArrow(misra_gries(counters), "digest binary, n long")
@@ -75,6 +76,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(ID).eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "n_keep",
+        "text_xxh64",
     )
 
 

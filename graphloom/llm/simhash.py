@@ -4,10 +4,10 @@ Fingerprints: 64-bit majority vote over XXH64 of word shingles, in Arrow batches
 
 Links (at most `bits` differing bits) are found without comparing all pairs:
   * equal fingerprints are one node (grouped with partial aggregation);
-  * each node is routed by the pairs of bit blocks that two linked fingerprints
-    must share (pigeonhole: `bits` differences spoil at most `bits` of the
-    bits + 2 blocks, or of more blocks for very many nodes), so each task holds
-    nodes that agree on some two blocks;
+  * each node is routed by the bit blocks that two linked fingerprints must share
+    (pigeonhole: `bits` differences spoil at most `bits` of bits + k blocks, so k
+    agree), so each task holds nodes that agree on some k blocks; k is 1 for up to
+    some 2 million nodes and grows with their number;
   * in a task the nodes of a key are sorted by Gray rank and put under a tree.  A
     tree node stores only the bits that all its fingerprints share and its parent
     does not (the factored pattern); a search adds up differences on the way down
@@ -29,11 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ID, TEXT, id_text, slices, small_arrow_batches, stored, text_buffers
+from .shared import ID, TEXT, id_text, slices, small_arrow_batches, stored, temporary, text_buffers
 
 SHINGLE, BITS, SEED = 4, 4, 42
-#: Nodes of one key that a task takes together; larger keys are dealt out in pairs of chunks.
-KEY_ROWS = 8192
+#: Nodes that share a key on average, at most; and nodes of one key that a task takes together.
+GROUP, KEY_ROWS = 256, 8192
+#: Most blocks that a key joins.
+MOST_SHARED = 4
+#: Rows that a task looks at together, rows of a task on average, and large keys that are broadcast at most (8 bytes each).
+STEP_ROWS, TASK_ROWS, BROADCAST_KEYS = 1 << 16, 2_000_000, 1_000_000
 FANOUT = 8
 #: Short rows in a file of a stored table.
 FILE_ROWS = 100_000
@@ -83,16 +87,17 @@ def fingerprint_batches(size: int):
             per_doc = [shingle_hashes(raw[a:b], size) for a, b in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True)]
             counts = np.fromiter(map(len, per_doc), np.int64, len(per_doc))
             flat = np.fromiter((h for hs in per_doc for h in hs), np.uint64, int(counts.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(flat, counts).view(np.int64))], [ID, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(majority(flat, counts).view(np.int64))], [ID, "text_xxh64", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Columns __id and fp (the 64 bits as a signed long); null texts have no words, fingerprint 0."""
+    """Columns __id, text_xxh64 (of the text as it stands) and fp (the 64 bits as a signed long);
+    null texts have no words, fingerprint 0."""
     small_arrow_batches(docs.sparkSession)
-    rows = id_text(docs, id_col, text_col)
-    schema = T.StructType([rows.schema[0], T.StructField("fp", T.LongType())])
+    rows = id_text(docs, id_col, text_col).withColumn("text_xxh64", F.xxhash64(TEXT))
+    schema = T.StructType([rows.schema[0], T.StructField("text_xxh64", T.LongType()), T.StructField("fp", T.LongType())])
     return rows.mapInArrow(fingerprint_batches(size), schema)
 
 
@@ -218,9 +223,9 @@ def connect(keys: np.ndarray, codes: np.ndarray, bits: int = BITS, block: int =
     return distinct[moved], distinct[parent[moved]]
 
 
-def shared_blocks(nodes: int) -> int:
-    """Blocks that a key joins, so that keys have about as many bits as there are nodes."""
-    return 2 if nodes < 1 << 24 else 3 if nodes < 1 << 30 else 4
+def shared_blocks(nodes: int, bits: int = BITS) -> int:
+    """Blocks that a key joins: the fewest with which no more than GROUP nodes share a key on average."""
+    return next((k for k in range(1, MOST_SHARED) if nodes <= GROUP * 2 ** (64 * k / (bits + k))), MOST_SHARED)
 
 
 def block_keys(fp: Column, bits: int, shared: int) -> Column:
@@ -233,13 +238,26 @@ def block_keys(fp: Column, bits: int, shared: int) -> Column:
 
 
 def connect_partition(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if not parts:
-            return
-        keys, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """mapInArrow body over (key, fp) rows sorted by key: whole keys are taken STEP_ROWS rows at a time."""
+
+    def connected(keys: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         code, pointer = connect(keys, codes.view(np.uint64), bits)
-        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(pointer.view(np.int64))], ["x", "p"])
+        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(pointer.view(np.int64))], ["x", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            rows += batch.num_rows
+            if rows >= STEP_ROWS:
+                keys, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield connected(keys[:cut], codes[:cut])
+                held, rows = [(keys[cut:], codes[cut:])], len(keys) - cut
+        if rows:
+            yield connected(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -249,33 +267,50 @@ def files_for(rows: int) -> int:
     return 1 + rows // FILE_ROWS
 
 
-def pointers(nodes: DataFrame, bits: int = BITS, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(x, p) pointers that connect exactly the fingerprints linked through steps of at most `bits`."""
+def pointers(nodes: DataFrame, bits: int = BITS, key_rows: int = KEY_ROWS, shared: int | None = None) -> DataFrame:
+    """(x, p) pointers that connect exactly the fingerprints linked through steps of at most `bits`.
+
+    Keys are counted first.  Those of up to key_rows nodes are shuffled to their tasks, once, and
+    taken key by key.  The nodes of larger keys are routed again, by keys that join one more block
+    (two linked nodes share those as well); what is still large with MOST_SHARED blocks is cut into
+    chunks, and a chunk meets each other chunk of its key in a key of its own."""
     spark = nodes.sparkSession
-    count = nodes.count()
-    keys = block_keys(F.col("fp"), bits, shared_blocks(count))
-    routed = stored(nodes.select("fp", F.explode(keys).alias("key")), "routed")
-    sizes = stored(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes", files_for(8 * count))
-    # a key beyond key_rows is cut into chunks; a chunk meets each other chunk in a key of its own
-    routed = routed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / F.lit(key_rows)).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    hot = routed.where("chunks > 1").select("key", "fp", mine.alias("c"), other.alias("d"))
-    hot = hot.select(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("key"), "fp")
-    dealt = routed.where("chunks = 1").select("key", "fp").unionByName(hot)
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(width, "key").mapInArrow(connect_partition(bits), "x long, p long")
-
-
-def roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, count = nodes.select("fp"), nodes.count()
+    shared = shared or shared_blocks(count, bits)
+    dealt = None
+    while True:
+        routed = stored(rows.select("fp", F.explode(block_keys(F.col("fp"), bits, shared)).alias("key")), "routed")
+        large = stored(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > key_rows), "large", files_for(count))
+        n_large = large.count()  # at most 1 / key_rows of the rows routed
+        mark = (lambda t: F.broadcast(t)) if n_large <= BROADCAST_KEYS else (lambda t: t)
+        small = routed.join(mark(large.select("key")), "key", "left_anti") if n_large else routed
+        dealt = small.select("key", "fp") if dealt is None else dealt.unionByName(small.select("key", "fp"))
+        if not n_large:
+            break
+        hot = routed.join(mark(large), "key")
+        if shared >= MOST_SHARED:
+            chunked = hot.withColumn("chunks", F.ceil(F.col("n") / F.lit(key_rows)).cast("int"))
+            mine, other = F.pmod(F.xxhash64("fp"), F.col("chunks")), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+            pairs = chunked.select("key", "fp", mine.alias("c"), other.alias("d"))
+            dealt = dealt.unionByName(pairs.select(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("key"), "fp"))
+            break
+        rows, shared = stored(hot.select("fp").distinct(), "hot"), shared + 1
+        count = rows.count()
+    width = max(least, 1, routed.count() // TASK_ROWS)
+    return dealt.repartition(width, "key").sortWithinPartitions("key").mapInArrow(connect_partition(bits), "x long, p long")
+
+
+def roots(edges: DataFrame) -> DataFrame:
     """(x, root) with the smallest unsigned fingerprint of x's component, for every x that is not a root.
 
     Each round: x keeps its least pointer and its other pointers are linked to that
     one; then pointers jump one level.  Every step is a join or a grouped minimum
-    over a stored table, and stops when each x has one pointer, to a root."""
+    over a stored table.  Rounds go on until each x has one pointer, to a root: pointers
+    only ever fall, so they end."""
     flip = F.lit(-(1 << 63))
     edges = stored(edges.select(F.col("x").bitwiseXOR(flip).alias("x"), F.col("p").bitwiseXOR(flip).alias("p")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         files = files_for(edges.count())
         least = stored(edges.groupBy("x").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n")), "least", files)
         many = least.where("n > 1").select("x", "m")
@@ -286,22 +321,26 @@ def roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if step.where("moved").isEmpty():
             return step.select(F.col("x").bitwiseXOR(flip).alias("x"), F.col("p").bitwiseXOR(flip).alias("root"))
         edges = stored(step.select("x", "p").distinct(), "edges", files)
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id.
+    """One row per input row: id, fingerprint (16 hex digits), component_id, kept, text_xxh64.
 
     component_id is the smallest id reachable over links of at most `bits` differing
     bits, the row's own included; null ids are never chosen unless a component has no
-    other.  Null, empty and word-free texts have fingerprint zero and are linked like
-    any other.  Repeated rows share a component.  An empty table gives an empty result.
+    other.  kept marks the component's row with the smallest id and, of several with that
+    id, the smallest text_xxh64 (a hash of the text as it stands, null as empty): one row,
+    but for rows that repeat both id and text, which are all marked.  Null, empty and
+    word-free texts have fingerprint zero and are linked like any other.  Repeated rows
+    share a component.  An empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    files = files_for(rows.count())
-    nodes = stored(rows.groupBy("fp").agg(F.min(ID).alias("rep")), "nodes", files)
-    root = roots(pointers(nodes.select("fp"), bits))
-    rooted = nodes.join(root, nodes.fp == root.x, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named", files)
-    return rows.join(named, "fp").select(F.col(ID).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with temporary(docs.sparkSession):
+        rows = stored(fingerprints(docs, id_col, text_col, size), "fingerprints", outlives=1)
+        files = files_for(rows.count())
+        nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col(ID).isNull().alias("none"), F.col(ID).alias("id"), F.col("text_xxh64").alias("text"))).alias("rep")), "nodes", files)
+        root = roots(pointers(nodes.select("fp"), bits))
+        rooted = nodes.join(root, nodes.fp == root.x, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+        names = rooted.groupBy("root").agg(F.min("rep").alias("rep"))
+        named = stored(rooted.select("fp", "root").join(names, "root").select("fp", F.col("rep.id").alias("component_id"), F.col("rep.text").alias("its_text")), "named", files, outlives=1)
+    kept = F.col(ID).eqNullSafe(F.col("component_id")) & (F.col("text_xxh64") == F.col("its_text"))
+    return rows.join(named, "fp").select(F.col(ID).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"), "text_xxh64")

@@ -15,8 +15,12 @@ generalised, those at or over `remove_at` removed, wherever they stand in a docu
 holds an entity with that key.  Terms need `support` documents with the key, so that one chance
 meeting is no evidence.  Parts and kinds meet many terms by chance, so theirs must also be
 significant: with p = n_et / n_t and q = n_e / N the chance of so many meetings is at most
-exp(-n_t KL(p || q)) (Chernoff), and this, times the number of pairs that were tested
-(Bonferroni), may not exceed `ALPHA`.
+exp(-n_t KL(p || q)) (Chernoff), and this, times a bound on the number of pairs tested
+(Bonferroni: all meetings of keys and terms, by `support`), may not exceed `ALPHA`.
+
+Few terms can reach the threshold with any key: at least (support / N) ** (1 - generalise_at)
+of a term's documents must hold an entity of one kind.  Others are set aside, without loss,
+before keys and terms are paired.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ TERM = r"\p{L}{3,}"
 #: Array items handled before their output is set aside.
 CHUNK = 256
 SUPPORT, GENERALISE_AT, REMOVE_AT = 2, 0.9, 0.999
+#: Rows of a table of terms that is broadcast at most (8 to 24 bytes each); longer ones are shuffled with what they meet.
+BROADCAST_TERMS = 1_000_000
 #: The chance that any term of a part or kind is marked by coincidence.
 ALPHA = 0.01
 EMPTY = "cast(array() as array<struct<start:int,end:int,value:string>>)"
@@ -173,6 +179,18 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w))))
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """A stored table of terms, marked for broadcasting if it is short enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
+def meetings(holders: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, body, entity, whole, term) wherever an entity's key and one of the terms are in a document."""
+    some = terms if terms.columns == ["term"] else terms.select("term").distinct()
+    met = holders.select(ID, "body", "keys", F.explode("terms").alias("term")).join(checked(some), "term", "left_semi")
+    return met.select(ID, "body", "term", F.explode("keys").alias("k")).select(ID, "body", F.col("k.key").alias("entity"), F.col("k.whole").alias("whole"), "term")
+
+
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """One row per input row: id, spans = array of (start, rank, kind, end, action) by start, then kind.
 
@@ -186,26 +204,42 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = rows.withColumns({f"__{kind}": parts_of(F.col(TEXT), kind) for kind in PATTERNS})
     marked = cut.withColumn("spans", entities({kind: F.col(f"__{kind}") for kind in PATTERNS})).withColumn("holds", F.size("spans") > 0)
     left = marked.withColumn("left", F.when(F.col("holds"), left_of(F.col(TEXT), F.col("spans"))))
-    words = F.transform(matches(fenced(F.col("left"), TERM)), lambda w: F.struct(F.xxhash64(F.lower(w["value"])).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
-    base = left.select(ID, F.xxhash64(TEXT).alias("body"), "spans", "holds", F.when(F.col("holds"), words).alias("words"), F.when(F.col("holds"), terms_of(F.col(TEXT))).alias("all_terms"))
+    fields = left.withColumn("fenced", F.when(F.col("holds"), fenced(F.col("left"), TERM)))  # a column of its own: it is read many times
+    found = fields.withColumn("words", F.when(F.col("holds"), F.transform(matches(F.col("fenced")), lambda w: F.struct(F.xxhash64(F.lower(w["value"])).alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
+    named = found.withColumn("terms", F.array_distinct(F.col("words")["term"])).withColumn("whole", F.when(F.col("holds"), terms_of(F.col(TEXT))))
+    # words that stand only inside entities, and words that only their blanking makes
+    base = named.select(ID, F.xxhash64(TEXT).alias("body"), "spans", "holds", "words", "terms", F.array_except("whole", "terms").alias("gone"), F.array_except("terms", "whole").alias("come"))
     base = stored(base, "entities")
     total = base.count()
-    holders = base.where("holds").select(ID, "body", "words", "all_terms", keys_of(F.col("spans")).alias("keys"), F.array_distinct(F.col("words")["term"]).alias("terms"))
+    holders = base.where("holds").select(ID, "body", "words", "terms", "gone", "come", keys_of(F.col("spans")).alias("keys"), *[F.array_contains(F.col("spans")["kind"], kind).cast("int").alias(f"h_{kind}") for kind in PATTERNS])
+    # a term is met by an entity's keys in no more documents than hold an entity of that kind
+    kinds = [f"h_{kind}" for kind in PATTERNS]
+    beside = holders.select(F.explode("terms").alias("term"), *kinds).groupBy("term").agg(*[F.sum(k).alias(k) for k in kinds])
+    beside = stored(beside.withColumn("most", F.greatest(*kinds)).where(F.col("most") >= support).select("term", "most"), "beside")
+    # words of whole texts, put right for the rows whose entities are blanked; only those that may matter are counted
+    counted = [rows.select(F.explode(terms_of(F.col(TEXT))).alias("term"), F.lit(1).alias("n")), holders.select(F.explode("gone").alias("term"), F.lit(-1).alias("n")), holders.select(F.explode("come").alias("term"), F.lit(1).alias("n"))]
+    some = checked(beside.select("term"))
+    n_t = None
+    for part in counted:
+        part = part.join(some, "term", "left_semi")
+        n_t = part if n_t is None else n_t.unionAll(part)
+    n_t = n_t.groupBy("term").agg(F.sum("n").alias("n_t"))
+    # disclosure >= g means n_et / n_t >= (n_e / N) ** (1 - g), and n_e >= support: other terms reveal nothing
+    floor = (support / max(total, support)) ** max(0.0, 1 - generalise_at) * (1 - 1e-9)
+    able = stored(beside.join(n_t, "term").where(F.col("most") >= F.col("n_t") * floor).select("term", "n_t"), "able")
     n_e = holders.select(F.explode(F.col("keys")["key"]).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = holders.select(ID, "body", "terms", F.explode("keys").alias("k")).select(ID, "body", F.col("k.key").alias("entity"), F.col("k.whole").alias("whole"), F.explode("terms").alias("term"))
+    pairs = meetings(holders, able)
     n_et = pairs.groupBy("entity", "whole", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    met = stored(n_et.join(n_e, "entity"), "together")
-    # words of whole texts, put right for the rows whose entities are blanked
-    counted = [rows.select(F.explode(terms_of(F.col(TEXT))).alias("term"), F.lit(1).alias("n")), holders.select(F.explode("all_terms").alias("term"), F.lit(-1).alias("n")), holders.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))]
-    n_t = counted[0].unionAll(counted[1]).unionAll(counted[2]).groupBy("term").agg(F.sum("n").alias("n_t"))
+    # every tested pair takes `support` meetings at least, so there are no more tests than this
+    tests = (holders.agg(F.sum(F.size("keys").cast("long") * F.size("terms"))).first()[0] or 0) // support
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     shared = F.log2(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    evident = F.col("whole") | significant(F.col("n_et"), F.col("n_t"), F.col("n_e"), float(max(total, 1)), met.count())
-    revealing = met.join(n_t, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where((F.col("disclosure") >= generalise_at) & evident)
+    evident = F.col("whole") | significant(F.col("n_et"), F.col("n_t"), F.col("n_e"), float(max(total, 1)), tests)
+    revealing = n_et.join(n_e, "entity").join(able, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where((F.col("disclosure") >= generalise_at) & evident)
     revealing = stored(revealing.select("entity", "term", "disclosure"), "revealing")
     # back to the places: every occurrence in the rows that hold an entity with the key
     action = F.when(F.max("disclosure") >= remove_at, "remove").otherwise("generalise")
-    hits = pairs.join(revealing, ["entity", "term"]).groupBy(F.col(ID).alias("its"), F.col("body").alias("its_body"), F.col("term").alias("its_term")).agg(action.alias("action"))
+    hits = meetings(holders, revealing).join(checked(revealing), ["entity", "term"]).groupBy(F.col(ID).alias("its"), F.col("body").alias("its_body"), F.col("term").alias("its_term")).agg(action.alias("action"))
     places = holders.select(ID, "body", F.explode("words").alias("c")).select(ID, "body", "c.*").distinct()
     terms = places.join(hits, F.col(ID).eqNullSafe(F.col("its")) & (F.col("body") == F.col("its_body")) & (F.col("term") == F.col("its_term"))).select(ID, "body", "start", "end", "action")
     struct = F.struct("start", F.lit(len(PATTERNS)).alias("rank"), F.lit("term").alias("kind"), "end", "action")

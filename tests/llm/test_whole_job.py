@@ -71,6 +71,8 @@ def test_op4_terms_are_brute_force(spark):
         n_e.update(mine)
         n_et.update((k, w) for k in mine for w in held)
     tested = {pair: n for pair, n in n_et.items() if n >= pii.SUPPORT}
+    bound = sum(n_et.values()) // pii.SUPPORT
+    assert bound >= len(tested), "no fewer tests are allowed for than were made"
     disclosure = {}
     for (k, w), n in tested.items():
         if n_e[k] == len(texts):
@@ -78,7 +80,7 @@ def test_op4_terms_are_brute_force(spark):
         d = math.log2(len(texts) * n / (n_e[k] * n_t[w])) / math.log2(len(texts) / n_e[k])
         p, q = n / n_t[w], n_e[k] / len(texts)
         kl = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
-        if d >= pii.GENERALISE_AT and (k[1] == "whole" or n_t[w] * kl >= math.log(len(tested) / pii.ALPHA)):
+        if d >= pii.GENERALISE_AT and (k[1] == "whole" or n_t[w] * kl >= math.log(bound / pii.ALPHA)):
             disclosure[k, w] = d
     assert {k[1] for k, _ in disclosure} >= {"whole", "part"}
     for i in range(len(texts)):

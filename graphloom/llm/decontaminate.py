@@ -3,28 +3,34 @@
 Each task turns its documents, a shard at a time, into word numbers of the
 benchmark's vocabulary and builds a suffix array over the stretches of known words
 that are long enough to hold a window (no other suffix can match).  Every benchmark
-suffix is binary-searched in each shard; matches give hit words, items, and each
-item's longest verbatim match with its place.  Documents are never shuffled.
+window is binary-searched in each shard; matches give hit words and items, and each
+match is followed as far as it goes: the longest of a document, or of an item, with its
+place.  Documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import ID, TEXT, attach, id_text, slices, small_arrow_batches, text_buffers
+from .shared import ID, TEXT, attach, id_text, scratch, slices, small_arrow_batches, text_buffers
 from .wordhash import LOWER, WORD_BYTES, word_hashes
 
 WINDOW = 13
 #: Benchmark text that is broadcast at once; a larger benchmark is taken in several blocks.
 BLOCK_BYTES = 32 << 20
+#: Text of one shard: the benchmark is searched once in each, so larger shards mean less work.
+SHARD_BYTES = 8 << 20
 SLOTS = 18
 
 
@@ -39,7 +45,9 @@ class Tests:
     length: np.ndarray  # words of each item
     window_at: np.ndarray  # a place of each distinct window in words
     window_len: np.ndarray
-    window_items: list  # item indices of each distinct window
+    window_places: np.ndarray  # all places of the windows, those of one after another
+    window_first: np.ndarray  # where each window's places begin; one more at the end
+    owner: np.ndarray  # item of each entry of words
     slots: np.ndarray
 
     @classmethod
@@ -53,24 +61,32 @@ class Tests:
         words = np.zeros(int((length + 1).sum()), np.int64)
         words[np.repeat(start, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = np.searchsorted(vocabulary, hashes) + 1
         distinct: dict[bytes, int] = {}
-        at, size, members = [], [], []
-        for i, (s, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
+        place, number, size = [], [], []
+        for s, n in zip(start.tolist(), length.tolist(), strict=True):
             width = min(window, n)
             for w in range(s, s + n - width + 1) if n else ():
-                key = words[w : w + width].tobytes()
-                k = distinct.setdefault(key, len(distinct))
-                if k == len(at):
-                    at.append(w)
+                k = distinct.setdefault(words[w : w + width].tobytes(), len(distinct))
+                place.append(w)
+                number.append(k)
+                if k == len(size):
                     size.append(width)
-                    members.append([])
-                if not members[k] or members[k][-1] != i:
-                    members[k].append(i)
+        order = np.argsort(np.array(number, np.int64), kind="stable")
+        first = np.searchsorted(np.array(number, np.int64)[order], np.arange(len(size) + 1))
         slots = np.zeros(1 << SLOTS, np.int32)
-        place = (vocabulary >> np.uint64(64 - SLOTS)).astype(np.int64)
-        times = np.bincount(place, minlength=1 << SLOTS)
-        slots[place] = np.arange(1, len(vocabulary) + 1)
+        slot = (vocabulary >> np.uint64(64 - SLOTS)).astype(np.int64)
+        times = np.bincount(slot, minlength=1 << SLOTS)
+        slots[slot] = np.arange(1, len(vocabulary) + 1)
         slots[times > 1] = -1
-        return cls(ids, vocabulary, words, start, length, np.array(at, np.int64), np.array(size, np.int64), [np.array(m) for m in members], slots)
+        place = np.array(place, np.int64)[order]
+        owner = np.repeat(np.arange(len(ids)), length + 1) if len(ids) else np.zeros(0, np.int64)
+        return cls(ids, vocabulary, words, start, length, place[first[:-1]], np.array(size, np.int64), place, first, owner, slots)
+
+    @property
+    def index(self) -> Shard:
+        """Suffix array over the items themselves, made when first asked for."""
+        if not hasattr(self, "_index"):
+            self._index = Shard(self.words, self.owner, 1, int(self.length.max(initial=1)))
+        return self._index
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word, 0 if unknown."""
@@ -155,154 +171,236 @@ def spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-def search(text: pa.Array, tests: Tests) -> dict:
-    """What one shard holds of the tests."""
-    data, ends = text_buffers(text)
-    hashes, owner = word_hashes(data, ends, WORD_BYTES, LOWER)
-    n_docs = len(text)
-    first = np.searchsorted(owner, np.arange(n_docs + 1))
-    hit = np.zeros(len(hashes) + 1, np.int64)
-    doc_items: list[list] = [[] for _ in range(n_docs)]
-    longest = []
-    if len(tests.window_at) and len(hashes):
-        shard = Shard(tests.numbers(hashes), owner, int(tests.window_len.min()), int(tests.length.max()))
-        if len(shard.suffixes):
-            low = shard.bound(tests.words, tests.window_at, tests.window_len, False)
-            high = shard.bound(tests.words, tests.window_at, tests.window_len, True)
-            found = np.flatnonzero(high > low)
-            count = (high - low)[found]
-            place = shard.origin[shard.suffixes[spans(count, low[found])]]
-            width = np.repeat(tests.window_len[found], count)
-            np.add.at(hit, place, 1)
-            np.add.at(hit, place + width, -1)
-            pairs = np.unique(owner[place] * len(tests.window_at) + np.repeat(found, count))
-            seen: list[set] = [set() for _ in range(n_docs)]
-            for doc, window in zip(*np.divmod(pairs, len(tests.window_at)), strict=True):
-                seen[doc].update(tests.window_items[window].tolist())
-            doc_items = [[tests.items[i] for i in sorted(s)] for s in seen]
-            longest = longest_of(shard, tests, owner, first)
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-    return {"n_words": np.diff(first), "n_hit": covered[first[1:]] - covered[first[:-1]], "items": doc_items, "longest": longest, "hit": hit, "first": first}
-
-
-def longest_of(shard: Shard, tests: Tests, owner: np.ndarray, first: np.ndarray) -> list[tuple]:
+@dataclass
+class Text:
+    """The words of some documents, as hashes."""
+
+    hashes: np.ndarray
+    owner: np.ndarray
+    first: np.ndarray  # where each document's words begin; one more at the end
+
+    @classmethod
+    def of(cls, text: pa.Array) -> Text:
+        data, ends = text_buffers(text)
+        hashes, owner = word_hashes(data, ends, WORD_BYTES, LOWER)
+        return cls(hashes, owner, np.searchsorted(owner, np.arange(len(text) + 1)))
+
+
+@dataclass
+class Found:
+    """What one shard holds of one block of tests."""
+
+    hit: np.ndarray  # whether each word lies in a window's occurrence
+    items: dict[int, list]  # documents with occurrences: ids of the items
+    longest: dict[int, tuple]  # the same documents: (words, document word, item) of the longest match
+
+
+def search(text: Text, tests: Tests) -> Found:
+    """Find every window of the tests that can occur: all its words must be in the shard."""
+    nothing = Found(np.zeros(len(text.hashes), bool), {}, {})
+    if not len(tests.window_at) or not len(text.hashes):
+        return nothing
+    shard = Shard(tests.numbers(text.hashes), text.owner, int(tests.window_len.min()), int(tests.window_len.max()))
+    if not len(shard.suffixes):
+        return nothing
+    lacks = np.ones(len(tests.vocabulary) + 1, np.int64)
+    lacks[shard.words] = 0
+    missing = np.concatenate([[0], np.cumsum(lacks[tests.words])])
+    asked = np.flatnonzero(missing[tests.window_at + tests.window_len] == missing[tests.window_at])
+    at, length = tests.window_at[asked], tests.window_len[asked]
+    low, high = (shard.bound(tests.words, at, length, upper) for upper in (False, True))
+    some = np.flatnonzero(high > low)
+    if not len(some):
+        return nothing
+    count, window = (high - low)[some], asked[some]
+    entry = shard.suffixes[spans(count, low[some])]
+    place = shard.origin[entry]
+    width = np.repeat(tests.window_len[window], count)
+    change = np.zeros(len(text.hashes) + 1, np.int64)
+    np.add.at(change, place, 1)
+    np.add.at(change, place + width, -1)
+    pairs = np.unique(text.owner[place] * len(tests.window_at) + np.repeat(window, count))
+    seen: dict[int, set] = {}
+    for doc, w in zip(*(x.tolist() for x in np.divmod(pairs, len(tests.window_at))), strict=True):
+        seen.setdefault(doc, set()).update(tests.owner[tests.window_places[tests.window_first[w] : tests.window_first[w + 1]]].tolist())
+    items = {doc: [tests.items[i] for i in sorted(s)] for doc, s in seen.items()}
+    return Found(np.cumsum(change[:-1]) > 0, items, longest_by_document(shard, tests, text, np.unique(entry)))
+
+
+def longest_by_document(shard: Shard, tests: Tests, text: Text, entry: np.ndarray) -> dict[int, tuple]:
+    """(words, document word, item) of each document's longest match among those that begin at the given entries.
+
+    Ties go to the earliest place in the document, then to the first item."""
+    stops = np.flatnonzero(shard.words == 0)
+    rest = stops[np.searchsorted(stops, entry)] - entry
+    index = tests.index
+    at = index.bound(shard.words, entry, rest, False)
+    size = np.maximum(index.common(shard.words, entry, at - 1), index.common(shard.words, entry, at))
+    place = shard.origin[entry]
+    doc = text.owner[place]
+    best = np.lexsort((place, -size, doc))
+    best = best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])]
+    doc, size, place, entry = doc[best], size[best], place[best], entry[best]
+    low, high = (index.bound(shard.words, entry, size, upper) for upper in (False, True))
+    # the first of all places where the items have these words
+    first = np.minimum.reduceat(np.append(index.suffixes, len(tests.words)), np.stack([low, high], 1).reshape(-1))[::2]
+    item = tests.owner[index.origin[first]]
+    return {d: (n, p, tests.items[i]) for d, n, p, i in zip(doc.tolist(), size.tolist(), (place - text.first[doc]).tolist(), item.tolist(), strict=True)}
+
+
+def longest_by_item(shard: Shard, tests: Tests, text: Text, rank: np.ndarray) -> list[tuple]:
     """(item, words, item word, row, document word) of each item's longest match here.
 
-    Ties go to the earliest place in the item."""
+    Ties go to the earliest word of the item, then to the document of the least rank, then to its earliest word."""
     inside = np.flatnonzero(tests.words > 0)
-    item = np.searchsorted(tests.start, inside, side="right") - 1
+    item = tests.owner[inside]
     rest = tests.start[item] + tests.length[item] - inside
     at = shard.bound(tests.words, inside, rest, False)
     before, here = shard.common(tests.words, inside, at - 1), shard.common(tests.words, inside, at)
     size = np.maximum(before, here)
-    entry = np.where(before > here, at - 1, at)
     best = np.lexsort((inside, -size, item))
     best = best[np.concatenate([[True], item[best][1:] != item[best][:-1]])]
     best = best[size[best] > 0]
-    place = shard.origin[shard.suffixes[entry[best]]]
-    return list(zip(item[best].tolist(), size[best].tolist(), (inside - tests.start[item])[best].tolist(), owner[place].tolist(), (place - first[owner[place]]).tolist(), strict=True))
-
-
-def longest_batches(shared: Broadcast, item_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = shared.value
-        for batch in slices(batches):
-            rows = search(batch.column(1), tests)["longest"]
-            if rows:
-                item, size, item_word, row, word = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([tests.items[i] for i in item], item_type), pa.array(size, pa.int64()), pa.array(item_word, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(word, pa.int64())],
-                    ["item_id", "words", "item_word", ID, "doc_word"],
-                )
-
-    return run
-
-
-def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Tests]:
-    """The benchmark in blocks of about block_bytes, dealt by a hash of the item id."""
-    items = id_text(benchmark, item_col, text_col)
-    size = items.agg(F.sum(F.octet_length(TEXT) + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64(ID), F.lit(blocks)) == k)
-        rows = block.orderBy(ID).collect()
-        yield Tests.of([r[0] for r in rows], [r[1] for r in rows], window)
-
-
-def hit_spans(found: dict) -> list[list[dict]]:
-    """The hit words of each document as spans."""
-    covered = np.cumsum(found["hit"][:-1]) > 0
-    out = []
-    for i, n in enumerate(found["n_hit"].tolist()):
-        mine = covered[found["first"][i] : found["first"][i + 1]].astype(np.int8) if n else ()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mine, [0]]))) if n else np.zeros(0, np.int64)
-        out.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, spans, item_ids and contaminated, row by row, without a shuffle.
+    if not len(best):
+        return []
+    # of all places in the documents that have these words, the first by rank and word
+    low, high = (shard.bound(tests.words, inside[best], size[best], upper) for upper in (False, True))
+    place = shard.origin[shard.suffixes]
+    doc, wide = text.owner[place], len(text.hashes) + 1
+    order = rank[doc] * wide + place - text.first[doc]
+    chosen, word = np.divmod(np.minimum.reduceat(np.append(order, 0), np.stack([low, high], 1).reshape(-1))[::2], wide)
+    row = np.zeros(int(rank.max()) + 1, np.int64)
+    row[rank] = np.arange(len(rank))
+    return list(zip(item[best].tolist(), size[best].tolist(), (inside - tests.start[item])[best].tolist(), row[chosen].tolist(), word.tolist(), strict=True))
+
+
+# ---- the benchmark in blocks -------------------------------------------------------
+
+
+class Blocks:
+    """The benchmark in blocks of about block_bytes, dealt by a hash of the item id.
+
+    A single block is broadcast.  Of several, each is gathered, written to the shared folder
+    and forgotten; a worker reads one at a time for each shard, so no process ever holds more
+    than one block."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
+        spark = benchmark.sparkSession
+        items = id_text(benchmark, item_col, text_col)
+        size = items.agg(F.sum(F.octet_length(TEXT) + 64)).first()[0] or 0
+        count = max(1, -(-size // block_bytes))
+        self.shared, self.paths = None, []
+        folder = scratch(spark, "benchmark") if count > 1 else ""
+        for k in range(count):
+            block = items if count == 1 else items.where(F.pmod(F.xxhash64(ID), F.lit(count)) == k)
+            rows = block.orderBy(ID, TEXT).collect()
+            tests = Tests.of([r[0] for r in rows], [r[1] for r in rows], window)
+            if count == 1:
+                self.shared = spark.sparkContext.broadcast(tests)
+            else:
+                self.paths.append(f"{folder}/{k}")
+                fs, path = pafs.FileSystem.from_uri(self.paths[-1])
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write(pickle.dumps(tests))
+
+    def __iter__(self) -> Iterator[Tests]:
+        if self.shared is not None:
+            yield self.shared.value
+        for uri in self.paths:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_stream(path) as source:
+                yield pickle.loads(source.read())
+
+
+def hit_spans(hit: np.ndarray) -> list[dict]:
+    """Runs of hit words as spans."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with n_words, n_hit, spans, item_ids, longest_words, longest_at,
+    longest_item and contaminated, row by row, without a shuffle.
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z.
     A window is `window` consecutive words of an item, or a whole shorter item; spans
     are the document words (start, end exclusive) inside any window's occurrence.
+    longest_words is the length of the longest verbatim match that holds a window's occurrence,
+    longest_at the document word where it begins and longest_item its item (0, null and null
+    without any; ties go to the earliest word, then to the smallest item id).
     A document is contaminated if n_hit > 0 and share * n_hit >= n_words.  Null and
     empty texts and items have no words and never match.  Items that repeat an id are
-    listed once.  Either table may be empty.  Words are compared by 64-bit hashes.
-    A benchmark larger than block_bytes is searched in several blocks, one after another.
+    listed once.  Ids may have any type.  Either table may be empty.  Words are compared by
+    64-bit hashes.  A benchmark larger than block_bytes is searched a block at a time.
     Columns of docs that have the name of a new one are replaced.
     """
-    spark = docs.sparkSession
     item_type = benchmark.schema[item_col].dataType
+    arrow = to_arrow_type(item_type)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names: list[tuple[str, str]] = []
-    out = docs.drop("n_words", "n_hit", "spans", "item_ids", "contaminated")
-    for k, tests in enumerate(test_blocks(benchmark, item_col, item_text_col, window, block_bytes)):
-        names.append((f"__spans{k}", f"__items{k}"))
-        fields = [T.StructField("n_words", T.LongType()), T.StructField(names[k][0], span), T.StructField(names[k][1], T.ArrayType(item_type))]
-
-        def measure(shared=spark.sparkContext.broadcast(tests)):
-            def measured(text: pa.Array) -> list[pa.Array]:
-                found = search(text, shared.value)
-                return [pa.array(found["n_words"], pa.int64()), pa.array(hit_spans(found), arrow_span), pa.array(found["items"], pa.list_(arrow_type(item_type)))]
-
-            return measured
-
-        out = attach(out, text_col, fields, measure)
-    spans = F.concat(*[a for a, _ in names]) if len(names) > 1 else F.col(names[0][0])
-    out = out.withColumn("spans", spans).withColumn("item_ids", F.array_distinct(F.concat(*[b for _, b in names])))
-    if len(names) > 1:
-        out = out.withColumn("spans", F.array_sort("spans")).withColumn("spans", F.expr(MERGED))
-    out = out.drop(*[x for pair in names for x in pair])
-    out = out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    fields = [
+        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", span), T.StructField("item_ids", T.ArrayType(item_type)),
+        T.StructField("longest_words", T.LongType()), T.StructField("longest_at", T.LongType()), T.StructField("longest_item", item_type),
+    ]
+
+    def measure():
+        def measured(texts: pa.Array) -> list[pa.Array]:
+            text = Text.of(texts)
+            hit = np.zeros(len(text.hashes), bool)
+            items: dict[int, list] = {}
+            longest: dict[int, tuple] = {}
+            for number, tests in enumerate(blocks):
+                found = search(text, tests)
+                hit |= found.hit
+                for doc, ids in found.items.items():
+                    have = items.setdefault(doc, [])
+                    have += [i for i in dict.fromkeys(ids) if i not in have]
+                for doc, best in found.longest.items():
+                    longest[doc] = min((longest.get(doc, best), best), key=lambda b: (-b[0], b[1], b[2] is not None, b[2] if b[2] is not None else 0))
+            covered = np.concatenate([[0], np.cumsum(hit)])
+            n = range(len(texts))
+            spans = [hit_spans(hit[text.first[i] : text.first[i + 1]]) if i in items else [] for i in n]
+            none = (0, None, None)
+            return [
+                pa.array(np.diff(text.first), pa.int64()), pa.array(covered[text.first[1:]] - covered[text.first[:-1]], pa.int64()), pa.array(spans, arrow_span),
+                pa.array([items.get(i, []) for i in n], pa.list_(arrow)), *[pa.array([longest.get(i, none)[k] for i in n], t) for k, t in enumerate((pa.int64(), pa.int64(), arrow))],
+            ]
+
+        return measured
+
+    out = attach(docs.drop("contaminated"), text_col, fields, measure, SHARD_BYTES, keep)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    return {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}.get(kind, pa.string())
-
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each item its longest verbatim match in any document, of `window` words or more:
+    item_id, words, item_word, id and doc_word where both begin.
 
-#: Sorted spans joined where they touch or overlap.
-MERGED = """aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (kept, s) ->
-  if(size(kept) > 0 and s.start <= element_at(kept, -1).end,
-     concat(slice(kept, 1, size(kept) - 1), array(named_struct('start', element_at(kept, -1).start, 'end', greatest(element_at(kept, -1).end, s.end)))),
-     concat(kept, array(s))))"""
-
-
-def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """For each item its longest verbatim match of at least a window's vocabulary stretch:
-    item_id, words, item_word, id and doc_word where both begin.  Ties go to the smallest id,
-    then the earliest word.  Items without any match have no row."""
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
+    Ties go to the earliest word of the item, then to the smallest id (null first), then to the
+    earliest word of the document.  Items without any match, without words or with a null text have no row, as have
+    all of them if either table is empty; items that repeat an id have one row."""
+    small_arrow_batches(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
     item_type = benchmark.schema[item_col].dataType
-    arrow = arrow_type(item_type)
+    arrow = to_arrow_type(item_type)
     schema = T.StructType([T.StructField("item_id", item_type), T.StructField("words", T.LongType()), T.StructField("item_word", T.LongType()), rows.schema[ID], T.StructField("doc_word", T.LongType())])
-    every = None
-    for tests in test_blocks(benchmark, item_col, item_text_col, window):
-        part = rows.mapInArrow(longest_batches(spark.sparkContext.broadcast(tests), arrow), schema)
-        every = part if every is None else every.unionByName(part)
-    best = F.min(F.struct(-F.col("words"), F.col(ID), F.col("doc_word"), F.col("item_word"), F.col("words"))).alias("b")
-    return every.groupBy("item_id").agg(best).select("item_id", "b.words", "b.item_word", F.col(f"b.{ID}").alias(id_col), "b.doc_word").where(F.col("words") > 0)
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SHARD_BYTES):
+            text = Text.of(batch.column(1))
+            rank = pc.rank(batch.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+            for tests in blocks:
+                shard = Shard(tests.numbers(text.hashes), text.owner, window, int(tests.length.max(initial=1)))
+                found = [f for f in longest_by_item(shard, tests, text, rank) if f[1] >= window] if len(shard.suffixes) else []
+                if found:
+                    item, size, item_word, row, word = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([tests.items[i] for i in item], arrow), pa.array(size, pa.int64()), pa.array(item_word, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(word, pa.int64())],
+                        ["item_id", "words", "item_word", ID, "doc_word"],
+                    )
+
+    best = F.min(F.struct(-F.col("words"), F.col("item_word"), F.col(ID), F.col("doc_word"), F.col("words"))).alias("b")
+    return rows.mapInArrow(run, schema).groupBy("item_id").agg(best).select("item_id", "b.words", "b.item_word", F.col(f"b.{ID}").alias(id_col), "b.doc_word")

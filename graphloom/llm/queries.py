@@ -33,7 +33,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 3) == 1
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out), "toxic")
-    scored = toxicity.score_toxicity(docs, model)
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -57,19 +57,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 5) == 0
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out), "quality")
-    scored = quality.score_quality(docs, model)
+    scored = quality.score_quality(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER))
+    return lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents").select("text"), TOKENIZER, keep=[]))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     held_out = crc_bucket(F.col("doc_id"), 5) == 0
     model = train(docs.where(~held_out), "lang")
-    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify_language(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +79,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     items = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated", "longest_words", "longest_at", "longest_item")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -122,11 +122,14 @@ SQL: dict[str, str] = {
         ix AS (
           SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p
           FROM iw WHERE len(w) > 0),
-        windows AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM ix),
+        windows AS (SELECT item_id, k, p AS q, array_to_string(w[p : p + k - 1], ' ') AS g FROM ix),
         sizes AS (SELECT DISTINCT k FROM windows),
         dp AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, sizes WHERE len(w) >= k),
         dg AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS g FROM dp),
-        found AS (SELECT doc_id, item_id, k, p FROM dg JOIN windows USING (k, g)),
+        found AS (SELECT doc_id, item_id, k, p, q FROM dg JOIN windows USING (k, g)),
+        runs AS (SELECT doc_id, item_id, k, p, p - row_number() OVER (PARTITION BY doc_id, item_id, k, p - q ORDER BY p) AS run, p - q AS diagonal FROM found),
+        matches AS (SELECT doc_id, item_id, min(p) - 1 AS place, count(*) + k - 1 AS size FROM runs GROUP BY doc_id, item_id, k, diagonal, run),
+        longest AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, place, item_id) = 1),
         hits AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS spot FROM found) GROUP BY doc_id),
         items AS (
           SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed
@@ -135,6 +138,7 @@ SQL: dict[str, str] = {
                coalesce(n_hit, 0) AS n_hit,
                coalesce(n_items, 0) AS n_items,
                sha256(coalesce(listed, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+               coalesce(size, 0) AS longest_words, place AS longest_at, longest.item_id AS longest_item
+        FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
 }

@@ -7,14 +7,14 @@ DataFrame, which is written as Parquet and read again as the next stage's docs.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_round_trip
 from graphloom.llm.decontaminate import contamination
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.langid import UNDETERMINED, identify_language, train
-from graphloom.llm.shared import stored
+from graphloom.llm.shared import stored, temporary
 from graphloom.llm.simhash import near_duplicates
 
 #: A document whose best language is less likely than this is rejected.
@@ -22,34 +22,74 @@ LEAST_LANGUAGE_SCORE = 0.5
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def packed(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs as its text and one value of all other columns, whose names then clash with nothing; and docs' columns in those terms."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*others).alias("__others"))
+    return rows, [F.col(c) if c == "text" else F.col("__others")[c].alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without letters or a likely language go."""
-    found = identify_language(docs, train(docs, "lang"))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    """Documents with a language; those without letters or a likely language go.
+
+    Null and empty texts go.  Nothing but the text decides; columns with any name stay as they are."""
+    rows, columns = packed(docs)
+    found = identify_language(rows, train(docs, "lang"))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*columns)
+
+
+#: Rows to drop whose keys are broadcast at most (16 bytes each); more are shuffled with the documents.
+BROADCAST_KEYS = 1_000_000
 
 
-def thinned(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in decisions (ids only), null ids included."""
-    ids = decisions.select(F.col("doc_id").alias("__keep")).hint("shuffle_hash")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+def keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join docs to keys (doc_id, text_xxh64, ...) by id and text; a null id is a value, a null text is empty."""
+    keys = keys.withColumnsRenamed({c: f"__{c}" for c in keys.columns})
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text_xxh64"))
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash"), same, how)
+
+
+def thinned(docs: DataFrame, found: DataFrame, group: str) -> DataFrame:
+    """The rows of docs that found (doc_id, text_xxh64, kept, n_keep) keeps, one of those that share doc_id and group.
+
+    Only the keys of what goes, and of rows that repeat, meet the documents.  Of rows that repeat
+    the one with the smallest text stays, then that with the smallest JSON text."""
+    found = found.select("doc_id", "text_xxh64", "kept", "n_keep", F.col(group).alias("alike"))
+    rest = keyed(docs, found.where("not kept or n_keep > 1").select("doc_id", "text_xxh64").distinct(), "left_anti")
+    repeated = found.where("kept and n_keep > 1").select("doc_id", "text_xxh64", "alike").distinct()
+    if repeated.isEmpty():
+        return rest
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    rows = keyed(docs, repeated, "inner").select("__doc_id", "__alike", whole.alias("__row"), F.struct(F.col("text"), F.to_json(whole)).alias("__order"))
+    return rest.unionByName(rows.groupBy("__doc_id", "__alike").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest doc_id."""
-    found = stored(exact_duplicates(docs).where("kept").select("doc_id", "n_keep", "text_sha256"), "kept")
-    kept = thinned(docs, found.where("n_keep = 1"))
-    repeated = thinned(docs, found.where("n_keep > 1")).dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(repeated)
+    """One document of each group of equal texts, the one with the smallest doc_id (null last).
+
+    Rows are told apart by id and text, so repeated or null ids do no harm."""
+    with temporary(spark):
+        found = stored(exact_duplicates(docs).select("doc_id", "text_xxh64", "kept", "n_keep", "text_sha256"), "kept", outlives=1)
+    return thinned(docs, found, "text_sha256")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest doc_id."""
-    return thinned(docs, near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    """One document of each SimHash component, the one with the smallest doc_id (null last), then the smallest text hash."""
+    with temporary(spark):
+        found = stored(near_duplicates(docs).select("doc_id", "text_xxh64", "kept"), "kept", outlives=1)
+    times = found.where("kept").groupBy("doc_id", "text_xxh64").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    times = stored(times, "repeated", 1)
+    # few or no kept rows repeat both id and text
+    again = times.select(F.col("doc_id").alias("i"), F.col("text_xxh64").alias("h"), "n")
+    both = found.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_xxh64") == F.col("h")), "left").withColumn("n_keep", F.coalesce("n", F.lit(1)))
+    return thinned(docs, both.select("doc_id", "text_xxh64", "kept", "n_keep"), "text_xxh64")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too little of the benchmark to count as contaminated."""
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(docs.columns)
+    """Documents that hold too little of the benchmark to count as contaminated; null and empty texts stay."""
+    rows, columns = packed(docs)
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +110,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through all stages; what a stage stored for itself goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    with temporary(spark):
+        for number, (name, stage) in enumerate(STAGES, 1):
+            with temporary(spark):
+                docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", outlives=2 if number == len(STAGES) else 1)
     return docs

@@ -97,9 +97,11 @@ def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest values of each row; ties at the k-th go to the first columns."""
     best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
     edge = np.take_along_axis(cosines, best, 1).min(1, keepdims=True)
-    for row in np.flatnonzero((cosines >= edge).sum(1) > k):
-        above = np.flatnonzero(cosines[row] > edge[row])
-        best[row] = np.concatenate([above, np.flatnonzero(cosines[row] == edge[row])[: k - len(above)]])
+    tied = np.flatnonzero(np.count_nonzero(cosines >= edge, axis=1) > k)
+    if len(tied):
+        above, ties = cosines[tied] > edge[tied], cosines[tied] == edge[tied]
+        left = k - np.count_nonzero(above, axis=1)[:, None]
+        best[tied] = np.nonzero(above | ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= left))[1].reshape(len(tied), k)
     return best
 
 

@@ -17,30 +17,32 @@ from ..scratch import stored
 #: In order of preference.
 PYTHON_ENDINGS = (".py", "/__init__.py")
 ECMASCRIPT_ENDINGS = (".ts", "/index.ts", ".tsx", "/index.tsx", ".js", "/index.js", ".jsx", "/index.jsx")
-#: What an import's target depends on.  Ids of imports may repeat; these are resolved once each.
-KEY = ["repository_id", "file_id", "module", "names"]
 NO_NAMES = "cast(array() as array<string>)"
 
 
 def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     """imports with resolution_status, target_file_id and detail, row by row, by the rule of each file's language.
 
-    Distinct (file, module, names) are resolved once and joined back, so rows that share an
-    id stay apart.  Unknown languages stay unresolved; imports of unknown files are left out."""
-    named = imports.withColumn("names", F.coalesce("imported_names", F.expr(NO_NAMES)))
+    Rows are numbered and stored first, with the path that each names, and joined back by their
+    number: ids of imports may repeat.  Unknown languages stay unresolved; imports of unknown
+    files are left out."""
     source = files.select(F.col("id").alias("file_id"), F.col("path").alias("source_path"), "language")
-    refs = stored(named.select(KEY).distinct().join(source, "file_id"), "references")
+    named = imports.join(source, "file_id").withColumn("names", F.coalesce("imported_names", F.expr(NO_NAMES)))
+    python, path, module = F.col("language") == "python", F.col("source_path"), F.col("module")
+    relative = F.col("language").isin("javascript", "typescript") & F.startswith(module, F.lit("."))
+    target = F.when(python, python_target(path, module, F.col("names"))).when(relative, collapsed(join(parent(slashed(path)), module)))
+    refs = stored(named.withColumn("target", target).withColumn("ref", F.monotonically_increasing_id()), "references")
     python = refs.where("language = 'python'")
     ecmascript = refs.where("language in ('javascript', 'typescript')")
     other = refs.where("language not in ('python', 'javascript', 'typescript') or language is null")
     none = outcome(other, F.concat(F.lit("there is no rule for files of language "), quoted(F.coalesce("language", F.lit("None")))))
     results = resolve_python(files, python).unionByName(resolve_ecmascript(files, ecmascript)).unionByName(none)
-    return named.join(results, KEY).drop("names")
+    return refs.join(results, "ref").select(*imports.columns, "resolution_status", "target_file_id", "detail")
 
 
 def outcome(refs: DataFrame, detail: Column, status: str = "unresolved") -> DataFrame:
     """refs that have no target, with the reason."""
-    return refs.select(*KEY, F.lit(status).alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"), detail.alias("detail"))
+    return refs.select("ref", F.lit(status).alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"), detail.alias("detail"))
 
 
 def endings(kinds: tuple[str, ...]) -> Column:
@@ -60,25 +62,24 @@ def python_target(source_path: Column, module: Column, names: Column) -> Column:
 
 
 def resolve_python(files: DataFrame, refs: DataFrame) -> DataFrame:
-    target = python_target(F.col("source_path"), F.col("module"), F.col("names"))
     bare = F.rlike(F.col("module"), F.lit(r"^\.+$"))
     shown = F.when(bare, F.concat("module", F.get("names", F.lit(0)))).otherwise(F.col("module"))
-    aimed = refs.withColumn("target", target).withColumn("shown", shown)
+    aimed = refs.withColumn("shown", shown)
     many = outcome(aimed.where("target is null"), F.concat(quoted(F.col("module")), F.lit(" stands for as many files as it has names: "), F.size("names").cast("string")), "ambiguous")
-    one = aimed.where("target is not null").select(*KEY, "shown", F.regexp_replace("target", r"^[./]+", "").alias("target"), (segments(F.col("target")) > 1).alias("deep"))
-    wanted = one.withColumn("ending", endings(PYTHON_ENDINGS)).select(*KEY, "deep", F.concat("target", "ending.text").alias("path"), F.col("ending.rank").cast("string").alias("rank"))
+    one = aimed.where("target is not null").select("ref", "repository_id", "shown", F.regexp_replace("target", r"^[./]+", "").alias("target"), (segments(F.col("target")) > 1).alias("deep"))
+    wanted = one.withColumn("ending", endings(PYTHON_ENDINGS)).select("ref", "repository_id", "deep", F.concat("target", "ending.text").alias("path"), F.col("ending.rank").cast("string").alias("rank"))
     # a file can be named by its whole path or, for targets of several parts, by a tail of it that begins below some source root
     known = files.where("language = 'python'").select("repository_id", F.col("id").alias("hit"), normalized(F.col("path")).alias("whole"))
     tails = F.filter(proper_suffixes(F.col("whole")), lambda t: F.contains(t, F.lit("/")))
     places = known.withColumn("path", F.explode(F.concat(F.array("whole"), tails)))
     hits = wanted.join(places, ["repository_id", "path"]).withColumn("exact", F.col("path") == F.col("whole")).where("exact or deep")
     # tails count only where there is no exact hit; a file meets a reference once at most
-    some = hits.groupBy(KEY).agg(
+    some = hits.groupBy("ref").agg(
         F.count_if("exact").alias("n_exact"), F.min_by("hit", F.when(F.col("exact"), F.col("rank"))).alias("exact_hit"),
         F.count_if(~F.col("exact")).alias("n_tail"), F.min_by("hit", F.when(~F.col("exact"), F.col("whole"))).alias("tail_hit"),
     )
     exact = F.col("n_exact") > 0
-    found = some.select(*KEY, F.when(exact, F.col("n_exact")).otherwise(F.col("n_tail")).alias("n"), F.when(exact, F.col("exact_hit")).otherwise(F.col("tail_hit")).alias("target_file_id"))
+    found = some.select("ref", F.when(exact, F.col("n_exact")).otherwise(F.col("n_tail")).alias("n"), F.when(exact, F.col("exact_hit")).otherwise(F.col("tail_hit")).alias("target_file_id"))
     return counted(one, found, F.concat(F.lit("no file here fits "), quoted(F.col("shown")), F.lit("; it may come from elsewhere"))).unionByName(many)
 
 
@@ -88,11 +89,10 @@ def resolve_python(files: DataFrame, refs: DataFrame) -> DataFrame:
 def resolve_ecmascript(files: DataFrame, refs: DataFrame) -> DataFrame:
     relative = F.startswith("module", F.lit("."))
     bare = outcome(refs.where(~relative), F.concat(quoted(F.col("module")), F.lit(" names a package, and packages lie outside")))
-    target = collapsed(join(parent(slashed(F.col("source_path"))), F.col("module")))
-    one = refs.where(relative).select(*KEY, F.col("module").alias("shown"), target.alias("target"))
+    one = refs.where(relative).select("ref", "repository_id", F.col("module").alias("shown"), "target")
     known = files.where("language in ('javascript', 'typescript')").select("repository_id", F.col("id").alias("hit"), "path")
     wanted = one.withColumn("ending", endings(ECMASCRIPT_ENDINGS)).withColumn("path", F.concat("target", "ending.text"))
-    hits = wanted.join(known, ["repository_id", "path"]).groupBy(KEY).agg(F.count_distinct("hit").alias("n"), F.min_by("hit", "ending.rank").alias("target_file_id"))
+    hits = wanted.join(known, ["repository_id", "path"]).groupBy("ref").agg(F.count_distinct("hit").alias("n"), F.min_by("hit", "ending.rank").alias("target_file_id"))
     return counted(one, hits, F.concat(F.lit("no file here fits "), quoted(F.col("shown")))).unionByName(bare)
 
 
@@ -101,5 +101,5 @@ def counted(refs: DataFrame, found: DataFrame, nothing: Column) -> DataFrame:
     n = F.coalesce("n", F.lit(0))
     status = F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
     several = F.concat(n.cast("string"), F.lit(" files here fit "), quoted(F.col("shown")))
-    joined = refs.join(found, KEY, "left")
-    return joined.select(*KEY, status.alias("resolution_status"), "target_file_id", F.when(n == 0, nothing).when(n > 1, several).alias("detail"))
+    joined = refs.join(found, "ref", "left")
+    return joined.select("ref", status.alias("resolution_status"), "target_file_id", F.when(n == 0, nothing).when(n > 1, several).alias("detail"))

@@ -18,13 +18,18 @@ ENTRY = "name string, size bigint, packed bigint, attributes bigint"
 TYPE_BITS, LINK = 0o170000, 0o120000
 
 
-def entries(spark: SparkSession, archive: str | Path) -> DataFrame:
+def entries(spark: SparkSession, archive: str | Path, most: int) -> DataFrame:
+    """The members of an archive that has 1 to `most` of them, as a table."""
     try:
         with zipfile.ZipFile(archive) as opened:
-            rows = [(i.filename, i.file_size, i.compress_size, i.external_attr) for i in opened.infolist()]
+            members = opened.infolist()
     except zipfile.BadZipFile as problem:
         raise UnsafeArchive("this is no ZIP file") from problem
-    return spark.createDataFrame(rows, ENTRY)
+    if not members:
+        raise UnsafeArchive("the ZIP has no members")
+    if len(members) > most:
+        raise UnsafeArchive(f"the ZIP has {len(members)} members; {most} are allowed")
+    return spark.createDataFrame([(i.filename, i.file_size, i.compress_size, i.external_attr) for i in members], ENTRY)
 
 
 def name_problem(name: Column) -> Column:
@@ -57,17 +62,13 @@ def problems(table: DataFrame, limits: Settings) -> DataFrame:
 
 def validate(spark: SparkSession, archive: str | Path, limits: Settings) -> None:
     """Raise UnsafeArchive unless every check passes; nothing is written."""
-    table = entries(spark, archive)
-    totals = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    if totals["n"] == 0:
-        raise UnsafeArchive("the ZIP has no members")
-    if totals["n"] > limits.max_archive_entries:
-        raise UnsafeArchive(f"the ZIP has {totals['n']} members; {limits.max_archive_entries} are allowed")
+    table = entries(spark, archive, limits.max_archive_entries)
+    total = table.agg(F.sum("size")).first()[0]
     first = problems(table, limits).first()
     if first:
         raise UnsafeArchive(first["problem"])
-    if totals["bytes"] > limits.max_archive_bytes:
-        raise UnsafeArchive(f"unpacked, the ZIP would take {totals['bytes']} bytes; {limits.max_archive_bytes} are allowed")
+    if total > limits.max_archive_bytes:
+        raise UnsafeArchive(f"unpacked, the ZIP would take {total} bytes; {limits.max_archive_bytes} are allowed")
 
 
 def inside(workspace: Path, name: str) -> Path:

@@ -400,11 +400,11 @@ def most_connected(spark, sf_dir):
     return graph.most_connected_files(t.nodes, t.imports)
 
 
-@query(undirected_sql(CALLS, "calls", "symbol"))
+@query(undirected_sql(CALLS + ", " + INHERITS + ", both_ AS (SELECT * FROM calls UNION ALL SELECT * FROM inherits)", "both_", "symbol"))
 def hotspots(spark, sf_dir):
-    """Parts in most successions: the flagship query."""
+    """Parts in most successions and most inherited from: the flagship query."""
     t = Tables(spark, sf_dir)
-    return graph.hotspots(t.nodes, t.calls)
+    return graph.hotspots(t.nodes, t.calls.unionByName(t.inherits))
 
 
 @query("""WITH b AS (SELECT p_brand, p_size, min(p_partkey) AS base FROM part GROUP BY 1, 2),
@@ -446,13 +446,16 @@ def language_percent(spark, sf_dir):
     return counts.select("lang", shaping.percent(F.col("n"), total).alias("percent")).where("lang is not null")
 
 
-@query("""WITH parts AS (SELECT 'P' || p_partkey AS id, row_number() OVER (ORDER BY p_brand, p_size, p_name, 'P' || p_partkey) - 1 AS place, count(*) OVER () AS n FROM part),
-    nations AS (SELECT 'N' || n_nationkey AS id, row_number() OVER (ORDER BY n_name, 'N' || n_nationkey) - 1 AS place, count(*) OVER () AS n FROM nation),
-    wide AS (SELECT CAST(ceil(count(*) / 14.0) * 250 + 90 AS BIGINT) AS w FROM nation)
-  SELECT id, CAST(w + place // 14 * 250 AS BIGINT) AS x, CAST(place % 14 * 58 AS DOUBLE) AS y FROM parts, wide
-  UNION ALL SELECT id, CAST(place // 14 * 250 AS BIGINT), CAST(place % 14 * 58 AS DOUBLE) FROM nations""")
+@query("""WITH n AS (
+    SELECT 'R' || r_regionkey AS id, 0 AS kind, '' AS f, 0 AS l, r_name AS label FROM region
+    UNION ALL SELECT 'N' || n_nationkey, 1, '', 0, n_name FROM nation UNION ALL SELECT 'P' || p_partkey, 2, p_brand, p_size, p_name FROM part),
+    placed AS (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY f, l, label, id) - 1 AS place FROM n),
+    sizes AS (SELECT kind, count(*) AS n, least(count(*), 14) AS tall FROM n GROUP BY 1),
+    bands AS (SELECT kind, coalesce(sum(ceil(n / 14.0) * 250 + 90) OVER (ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS side, (max(tall) OVER () - tall) * 29 AS top FROM sizes)
+  SELECT id, CAST(side + place // 14 * 250 AS BIGINT) AS x, CAST(top + place % 14 * 58 AS DOUBLE) AS y FROM placed JOIN bands USING (kind)""")
 def layout_places(spark, sf_dir):
-    return layout(Tables(spark, sf_dir).nodes.where("kind <> 'repository'")).select("id", "x", "y")
+    """Nodes of all kinds side by side, the shorter kinds centred."""
+    return layout(Tables(spark, sf_dir).nodes).select("id", "x", "y")
 
 
 # ---- resolution ---------------------------------------------------------------------------
@@ -631,6 +634,12 @@ def depth_clamp(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", shaping.clamped(F.col("p_size"), 1, 10).alias("depth"))
 
 
+@query("""SELECT event_id, CAST(least(greatest(CASE WHEN value < 0 THEN ceil(value) ELSE floor(value) END, 1), 10) AS INTEGER) AS depth FROM events""")
+def depth_within(spark, sf_dir):
+    """A requested depth, cut to whole numbers in range."""
+    return Tables(spark, sf_dir).events.select("event_id", shaping.depth_within(F.col("value"), 10).alias("depth"))
+
+
 @query("""SELECT count(*) AS file_count, 0 AS directory_count, CAST(sum(strlen(html)) AS BIGINT) AS total_size_bytes, false AS has_readme, false AS has_git,
   CAST(count(*) FILTER (page_id % 3 = 0) AS BIGINT) AS html_files FROM pages""")
 def workspace_metadata(spark, sf_dir):

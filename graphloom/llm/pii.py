@@ -16,7 +16,8 @@ holds an entity with that key.  Terms need `support` documents with the key, so
 meeting is no evidence.  Parts and kinds meet many terms by chance, so theirs must also be
 significant: with p = n_et / n_t and q = n_e / N the chance of so many meetings is at most
 exp(-n_t KL(p || q)) (Chernoff), and this, times a bound on the number of pairs tested
-(Bonferroni: all meetings of keys and terms, by `support`), may not exceed `ALPHA`.
+(Bonferroni: for each part or kind its meetings with terms by `support`, or all terms if
+they are fewer), may not exceed `ALPHA`.
 
 Few terms can reach the threshold with any key: at least (support / N) ** (1 - generalise_at)
 of a term's documents must hold an entity of one kind.  Others are set aside, without loss,
@@ -227,15 +228,17 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # disclosure >= g means n_et / n_t >= (n_e / N) ** (1 - g), and n_e >= support: other terms reveal nothing
     floor = (support / max(total, support)) ** max(0.0, 1 - generalise_at) * (1 - 1e-9)
     able = stored(beside.join(n_t, "term").where(F.col("most") >= F.col("n_t") * floor).select("term", "n_t"), "able")
-    n_e = holders.select(F.explode(F.col("keys")["key"]).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    each_key = holders.select(F.explode("keys").alias("k"), F.size("terms").alias("m")).groupBy(F.col("k.key").alias("entity"), F.col("k.whole").alias("whole"))
+    n_e = stored(each_key.agg(F.count(F.lit(1)).alias("n_e"), F.sum("m").alias("met")).where(F.col("n_e") >= support), "keys")
     pairs = meetings(holders, able)
     n_et = pairs.groupBy("entity", "whole", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    # every tested pair takes `support` meetings at least, so there are no more tests than this
-    tests = (holders.agg(F.sum(F.size("keys").cast("long") * F.size("terms"))).first()[0] or 0) // support
+    # a part or kind is tested against no more terms than there are, nor more than its meetings by `support`
+    most_terms = F.lit(beside.count())
+    tests = n_e.where("not whole").agg(F.sum(F.least(F.floor(F.col("met") / support), most_terms))).first()[0] or 0
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     shared = F.log2(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     evident = F.col("whole") | significant(F.col("n_et"), F.col("n_t"), F.col("n_e"), float(max(total, 1)), tests)
-    revealing = n_et.join(n_e, "entity").join(able, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where((F.col("disclosure") >= generalise_at) & evident)
+    revealing = n_et.join(n_e.select("entity", "n_e"), "entity").join(able, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0)).where((F.col("disclosure") >= generalise_at) & evident)
     revealing = stored(revealing.select("entity", "term", "disclosure"), "revealing")
     # back to the places: every occurrence in the rows that hold an entity with the key
     action = F.when(F.max("disclosure") >= remove_at, "remove").otherwise("generalise")

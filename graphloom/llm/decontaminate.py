@@ -30,7 +30,7 @@ WINDOW = 13
 #: Benchmark text that is broadcast at once; a larger benchmark is taken in several blocks.
 BLOCK_BYTES = 32 << 20
 #: Text of one shard: the benchmark is searched once in each, so larger shards mean less work.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SLOTS = 18
 
 

@@ -27,8 +27,8 @@ from .shared import ID, TEXT, id_text, slices, small_arrow_batches
 #: Words that a worker remembers.
 CACHED_WORDS = 200_000
 FINAL_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?= |$)")
-#: Text that shares one pair index.
-SLICE_BYTES = 8 << 20
+#: Text that shares one pair index; what a worker holds beside its words is many times that.
+SLICE_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:

@@ -14,7 +14,7 @@ from graphloom.llm.bpe import bpe_round_trip
 from graphloom.llm.decontaminate import contamination
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.langid import UNDETERMINED, identify_language, train
-from graphloom.llm.shared import stored, temporary
+from graphloom.llm.shared import files_for, stored, temporary
 from graphloom.llm.simhash import near_duplicates
 
 #: A document whose best language is less likely than this is rejected.
@@ -69,14 +69,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by id and text, so repeated or null ids do no harm."""
     with temporary(spark):
-        found = stored(exact_duplicates(docs).select("doc_id", "text_xxh64", "kept", "n_keep", "text_sha256"), "kept", outlives=1)
+        found = stored(exact_duplicates(docs).select("doc_id", "text_xxh64", "kept", "n_keep", "text_sha256"), "kept", files_for(docs.count()), outlives=1)
     return thinned(docs, found, "text_sha256")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest doc_id (null last), then the smallest text hash."""
     with temporary(spark):
-        found = stored(near_duplicates(docs).select("doc_id", "text_xxh64", "kept"), "kept", outlives=1)
+        found = stored(near_duplicates(docs).select("doc_id", "text_xxh64", "kept"), "kept", files_for(docs.count()), outlives=1)
     times = found.where("kept").groupBy("doc_id", "text_xxh64").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     times = stored(times, "repeated", 1)
     # few or no kept rows repeat both id and text

@@ -28,6 +28,8 @@ from .wordhash import BASE, MIX1, mix, run_hashes
 
 #: Training rows (a bounded hash sample of the labelled rows) and the longest n-gram.
 MAX_ROWS, LONGEST = 8_000, 4
+#: Files of the sample's word counts, at most.
+MODEL_FILES = 16
 #: Weight of an unseen word's evidence for each n-gram length given up, the word itself being the first.
 BACKOFF = 0.4
 #: Added to every count, so that what a language lacks is unlikely and not impossible.
@@ -246,7 +248,7 @@ def train(docs: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str
     small_arrow_batches(docs.sparkSession)
     sample = bounded_sample(labelled, F.concat_ws(":", F.col(ID).cast("string"), F.xxhash64(TEXT).cast("string")), max_rows, 7)
     words = sample.select("label", TEXT).mapInArrow(count_batches, "label string, word string, n long")
-    counts = stored(words.groupBy("label", "word").agg(F.sum("n").alias("n")), "word-counts").toArrow()
+    counts = stored(words.groupBy("label", "word").agg(F.sum("n").alias("n")), "word-counts", MODEL_FILES).toArrow()
     return BackoffModel(counts, longest)
 
 

@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 from ..scratch import scratch, stored, temporary
 
-__all__ = ["CHUNK_BYTES", "ID", "TEXT", "attach", "crc_bucket", "id_text", "scratch", "slices", "small_arrow_batches", "stored", "temporary", "text_buffers"]
+__all__ = ["CHUNK_BYTES", "ID", "TEXT", "attach", "crc_bucket", "files_for", "id_text", "scratch", "slices", "small_arrow_batches", "stored", "temporary", "text_buffers"]
 
 ID, TEXT = "__id", "__text"
 #: Text handled at once inside a Python worker, so that memory is bounded.
 CHUNK_BYTES = 2 << 20
+#: Short rows in a file of a stored table.
+FILE_ROWS = 100_000
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str, null_as: str | None = "") -> DataFrame:
@@ -102,6 +104,11 @@ def attach(docs: DataFrame, text_col: str, fields: list[T.StructField], measure:
     return wide.select(*kept, *[F.col(f"n{i}").alias(n) for i, n in enumerate(new)])
 
 
+def files_for(rows: int) -> int:
+    """Files for a table of so many short rows, so that a shuffle of many partitions leaves no small files."""
+    return 1 + rows // FILE_ROWS
+
+
 def crc_bucket(column: Column, modulo: int) -> Column:
     """crc32 of a value as text, modulo a number; -1 for null, which is in no bucket."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(modulo), F.lit(-1))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ID, TEXT, id_text, slices, small_arrow_batches, stored, temporary, text_buffers
+from .shared import ID, TEXT, files_for, id_text, slices, small_arrow_batches, stored, temporary, text_buffers
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Nodes that share a key on average, at most; and nodes of one key that a task takes together.
@@ -39,8 +39,6 @@ MOST_SHARED = 4
 #: Rows that a task looks at together, rows of a task on average, and large keys that are broadcast at most (8 bytes each).
 STEP_ROWS, TASK_ROWS, BROADCAST_KEYS = 1 << 16, 2_000_000, 1_000_000
 FANOUT = 8
-#: Short rows in a file of a stored table.
-FILE_ROWS = 100_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Byte value to eight lanes of a 64-bit word, lane i holding bit i.
 LANES = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) @ (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8)))
@@ -262,11 +260,6 @@ def connect_partition(bits: int):
     return run
 
 
-def files_for(rows: int) -> int:
-    """Files for a table of so many short rows."""
-    return 1 + rows // FILE_ROWS
-
-
 def pointers(nodes: DataFrame, bits: int = BITS, key_rows: int = KEY_ROWS, shared: int | None = None) -> DataFrame:
     """(x, p) pointers that connect exactly the fingerprints linked through steps of at most `bits`.
 
@@ -301,15 +294,15 @@ def pointers(nodes: DataFrame, bits: int = BITS, key_rows: int = KEY_ROWS, share
     return dealt.repartition(width, "key").sortWithinPartitions("key").mapInArrow(connect_partition(bits), "x long, p long")
 
 
-def roots(edges: DataFrame) -> DataFrame:
+def roots(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(x, root) with the smallest unsigned fingerprint of x's component, for every x that is not a root.
 
     Each round: x keeps its least pointer and its other pointers are linked to that
     one; then pointers jump one level.  Every step is a join or a grouped minimum
     over a stored table.  Rounds go on until each x has one pointer, to a root: pointers
-    only ever fall, so they end."""
+    only ever fall, so they end.  files: most files of the first table of edges."""
     flip = F.lit(-(1 << 63))
-    edges = stored(edges.select(F.col("x").bitwiseXOR(flip).alias("x"), F.col("p").bitwiseXOR(flip).alias("p")).distinct(), "edges")
+    edges = stored(edges.select(F.col("x").bitwiseXOR(flip).alias("x"), F.col("p").bitwiseXOR(flip).alias("p")).distinct(), "edges", files)
     while True:
         files = files_for(edges.count())
         least = stored(edges.groupBy("x").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n")), "least", files)
@@ -338,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = stored(fingerprints(docs, id_col, text_col, size), "fingerprints", outlives=1)
         files = files_for(rows.count())
         nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col(ID).isNull().alias("none"), F.col(ID).alias("id"), F.col("text_xxh64").alias("text"))).alias("rep")), "nodes", files)
-        root = roots(pointers(nodes.select("fp"), bits))
+        root = roots(pointers(nodes.select("fp"), bits), files)
         rooted = nodes.join(root, nodes.fp == root.x, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
         names = rooted.groupBy("root").agg(F.min("rep").alias("rep"))
         named = stored(rooted.select("fp", "root").join(names, "root").select("fp", F.col("rep.id").alias("component_id"), F.col("rep.text").alias("its_text")), "named", files, outlives=1)

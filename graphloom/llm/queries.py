@@ -13,6 +13,7 @@ from .bpe import bpe_round_trip
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .langid import identify_language, train
+from .prefix_trie import conversation_trie
 from .shared import crc_bucket
 from .simhash import near_duplicates
 
@@ -93,6 +94,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), BYTES, PIECES)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), block=20, most=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_toxicity": op2_toxicity,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -147,4 +153,37 @@ SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
                coalesce(size, 0) AS longest_words, place AS longest_at, longest.item_id AS longest_item
         FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
+    "op13_prefix_trie": r"""
+        WITH raw AS (
+          SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        turns AS (
+          SELECT c, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS t, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                 row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS place
+          FROM raw),
+        convs AS (
+          SELECT c, c - c % 20 AS base,
+                 xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                   lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1))))) % 4 AS h
+          FROM (SELECT DISTINCT c FROM turns)),
+        joined AS (
+          SELECT convs.c, 0 AS own, place, t, words FROM convs JOIN turns ON turns.c = base AND place <= h
+          UNION ALL SELECT convs.c, 1, place, t, words FROM convs JOIN turns ON turns.c = convs.c AND place > h),
+        rebuilt AS (SELECT c, t, words, row_number() OVER (PARTITION BY c ORDER BY own, place) AS d FROM joined),
+        prefixes AS (
+          SELECT c, d, string_agg(t, ',') OVER (PARTITION BY c ORDER BY d) AS name, words FROM rebuilt
+          UNION ALL SELECT c, 0, '', 0 FROM convs),
+        members AS (SELECT c, d, words, min(c) OVER (PARTITION BY d, name) AS owner, count(*) OVER (PARTITION BY d, name) AS n_convs FROM prefixes),
+        nodes AS (
+          SELECT n.c AS conv_id, n.d AS depth, n.words, n.n_convs, p.owner AS parent_conv_id
+          FROM members n LEFT JOIN members p ON p.c = n.c AND p.d = n.d - 1 WHERE n.c = n.owner),
+        children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (conv_id, depth)),
+        sums AS (
+          SELECT m.owner AS conv_id, m.d AS depth, sum(CAST(below.n_children = 0 AS BIGINT)) AS n_leaves, sum((below.n_convs - 1) * below.words) AS saved
+          FROM whole below JOIN members m ON m.c = below.conv_id AND m.d <= below.depth GROUP BY ALL),
+        lengths AS (SELECT c, max(d) AS d FROM prefixes GROUP BY c),
+        ends AS (SELECT owner AS conv_id, d AS depth, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM members JOIN lengths USING (c, d) GROUP BY ALL)
+        SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM whole JOIN sums USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)""",
 }

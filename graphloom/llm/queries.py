@@ -12,6 +12,7 @@ from . import alignment, lengths, pii, quality, tokenfile, toxicity
 from .bpe import bpe_round_trip
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .html_text import main_text
 from .langid import identify_language, train
 from .prefix_trie import conversation_trie
 from .shared import crc_bucket
@@ -94,6 +95,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), BYTES, PIECES)
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"), block=20, most=4)
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_html_text": op12_html_text,
     "op13_prefix_trie": op13_prefix_trie,
 }
 

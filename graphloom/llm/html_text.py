@@ -61,7 +61,7 @@ COMMENT_HEADING = re.compile(r"(\d+ )?(reader |user )?(comments?|commentaires?|k
 class Node:
     """An open element: what it says of itself, and what its ancestors said."""
 
-    __slots__ = ("parent", "tag", "goes", "may_go", "content", "main", "out", "link", "depth", "block", "inside", "barred", "mass", "outer", "branch")
+    __slots__ = ("parent", "tag", "goes", "may_go", "content", "main", "out", "link", "depth", "block", "inside", "barred", "doubted", "mass", "outer", "branch")
 
     def __init__(self, parent: Node | None, tag: str):
         self.parent, self.tag = parent, tag
@@ -69,9 +69,10 @@ class Node:
         self.link = tag == "a" or parent is not None and parent.link
         self.depth = parent.depth + 1 if parent else 0
         self.block: Node = self if parent is None or tag in BLOCKS else parent.block
-        #: Inside a main element; inside something that never holds content.
+        #: Inside a main element; something that never holds content; something that may go.
         self.inside = parent is not None and (parent.inside or parent.main)
         self.barred = parent is not None and (parent.barred or parent.goes or parent.content is None)
+        self.doubted = parent is not None and (parent.doubted or parent.may_go)
 
 
 class Line:
@@ -93,6 +94,7 @@ class Events(HTMLParser):
         self.line: Line | None = None
         self.tags, self.ending = 0, False
         self.open: Counter[str] = Counter()
+        self.clear = False  # whether a main element stands in nothing that may go
 
     # the page may end inside a comment or a tag: what is left is part of it
     def parse_comment(self, i, report=1):
@@ -207,6 +209,7 @@ class Events(HTMLParser):
         if node.barred:
             node.main = False
             return
+        self.clear |= node.main and not node.doubted
         above = node.parent if node.main else None
         while above is not None and above.content is False:
             above.content = True
@@ -215,11 +218,13 @@ class Events(HTMLParser):
             node.content = None  # never taken for content, whatever is inside
 
 
-def settle(lines: list[Line], nodes: list[Node], trusting: bool) -> None:
-    """Mark what is out, with all that is inside it, and give the lines their text and ratio."""
+def settle(lines: list[Line], nodes: list[Node], trusting: bool, clear: bool) -> None:
+    """Mark what is out, with all that is inside it, and give the lines their text and ratio.
+
+    trusting: what may go goes, but for what holds the only main elements (clear: there are others)."""
     for node in nodes:  # parents come first
         above = node.parent
-        node.out = above is not None and (above.out or node.goes or trusting and node.may_go and node.content is not True)
+        node.out = above is not None and (above.out or node.goes or trusting and node.may_go and (clear or node.content is not True))
     for line in lines:
         line.text = " ".join("".join(data for node, data in line.parts if not node.out).split())
         linked = sum(len(data.strip()) for node, data in line.parts if node.link and not node.out)
@@ -230,7 +235,7 @@ def settle(lines: list[Line], nodes: list[Node], trusting: bool) -> None:
         if line.text and node.tag in HEADINGS and above.tag in ("section", "div") and not above.goes and above.content is not True and COMMENT_HEADING.fullmatch(line.text):
             above.goes = commented = True  # a part of the page under the heading "Comments"
     if commented:
-        settle(lines, nodes, trusting)
+        settle(lines, nodes, trusting, clear)
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -297,7 +302,7 @@ def main_blocks(html: str) -> list[str]:
     events = Events()
     every = events.read(html)
     for trusting in (True, False):  # a page that calls all of itself a menu is taken by its ratios
-        settle(every, events.nodes, trusting)
+        settle(every, events.nodes, trusting, events.clear)
         if any(line.text for line in every):
             break
     if not any(line.text for line in every):

@@ -57,7 +57,8 @@ def rejoined(turns: DataFrame, block: int = 20, most: int = 4) -> tuple[DataFram
 
     Conversation c takes the first h turns of conversation c - c % block, h being the unsigned
     crc32 of c in decimal, modulo `most`, and goes on with its own turns after its first h.  Fewer or
-    no turns there are fewer or no turns here; a conversation may be left with none."""
+    no turns there are fewer or no turns here; a conversation may be left with none.  The remainder of a
+    negative c is negative, as in SQL."""
     h = (F.crc32(F.col("c").cast("string").cast("binary")) % F.lit(most)).cast("long")
     base = F.col("c") - F.col("c") % F.lit(block)
     sizes = stored(turns.groupBy("c").agg(F.max("place").alias("n")), "sizes")

@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,13 @@ from .bpe import byte_letters
 from .shared import ID, TEXT, id_text, slices, small_arrow_batches, stored
 
 #: Text of a slice, which shares one dictionary.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Words that a worker remembers, and the longest of them.
 CACHED_WORDS, CACHED_LENGTH = 200_000, 48
+#: Words that are encoded at once.
+LEARNED = 32_768
+#: Links of a group above which equal tokens are taken together first.
+WIDE = 256
 #: States and transitions that a transducer remembers.
 REMEMBERED = 500_000
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -57,7 +62,9 @@ class DanglingSuffix:
         self.numbers: dict[tuple[bool, bytes], int] = {(False, b""): 0}
         #: Whether A leads, and by which bytes, by number of state; in state 0 nothing dangles.
         self.states: list[tuple[bool, bytes]] = [(False, b"")]
-        self.moves: dict[int, int] = {}
+        self.a_leads = np.zeros(1, bool)
+        #: Known transitions: state * width + token, ascending, and the state that follows.
+        self.keys, self.after = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def move(self, state: int, token: int) -> int:
         """The state after the next token of the side behind; -1 where bytes differ."""
@@ -76,33 +83,50 @@ class DanglingSuffix:
             self.states.append(after)
         return self.numbers[after]
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The groups in order; None if the sides do not spell the same bytes."""
-        if len(self.moves) > REMEMBERED:
+    def moves(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """move() of many, remembered."""
+        wanted = state * self.width + token
+        at = np.searchsorted(self.keys, wanted)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == wanted[known]
+        if not known.all():
+            new = np.unique(wanted[~known])
+            made = np.array([self.move(*divmod(k, self.width)) for k in new.tolist()], np.int64)
+            where = np.searchsorted(self.keys, new)
+            self.keys, self.after = np.insert(self.keys, where, new), np.insert(self.after, where, made)
+            self.a_leads = np.fromiter((a for a, _ in self.states), bool, len(self.states)) if len(self.states) > len(self.a_leads) else self.a_leads
+            at = np.searchsorted(self.keys, wanted)
+        return self.after[at]
+
+    def groups(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of many words on both sides, read in step: the group of each token of A and of B
+        inside its word, and the number of groups of each word, 0 if its sides differ."""
+        if len(self.keys) > REMEMBERED:
             self.forget()
-        moves, states, width = self.moves, self.states, self.width
-        found, state, i, j, i0, j0 = [], 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if states[state][0]:
-                if j == len(b):
-                    return None
-                token = b[j]
-                j += 1
-            else:
-                if i == len(a):
-                    return None
-                token = a[i]
-                i += 1
-            key = state * width + token
-            state = moves.get(key, -2)
-            if state == -2:
-                state = moves[key] = self.move(key // width, token)
-            if state < 0:
-                return None
-            if not state:
-                found.append((a[i0:i], b[j0:j]))
-                i0, j0 = i, j
-        return None if state else found
+        n = len(a_ends)
+        i, j = np.concatenate([[0], a_ends[:-1]]), np.concatenate([[0], b_ends[:-1]])
+        state, closed = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        of_a, of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        live = np.arange(n)
+        while len(live):
+            from_b = self.a_leads[state[live]]
+            lacking = np.where(from_b, j[live] == b_ends[live], i[live] == a_ends[live])
+            if lacking.any():  # a word ends here, well if nothing dangles and nothing is left
+                ended = live[lacking]
+                closed[ended[(state[ended] != 0) | (j[ended] < b_ends[ended]) | (i[ended] < a_ends[ended])]] = 0
+                live, from_b = live[~lacking], from_b[~lacking]
+            token = np.empty(len(live), np.int64)
+            side_b, side_a = live[from_b], live[~from_b]
+            token[from_b], token[~from_b] = b[j[side_b]], a[i[side_a]]
+            of_b[j[side_b]], of_a[i[side_a]] = closed[side_b], closed[side_a]
+            j[side_b] += 1
+            i[side_a] += 1
+            after = self.moves(state[live], token)
+            closed[live[after < 0]] = 0
+            live, after = live[after >= 0], after[after >= 0]
+            state[live] = after
+            closed[live] += after == 0
+        return of_a, of_b, closed
 
 
 class Pair:
@@ -125,6 +149,8 @@ class Pair:
         self.transducer = DanglingSuffix(a_bytes, b_bytes)
         self.a_bytes, self.width = a_bytes, len(pieces)
         self.shown = [str(i) for i in range(self.transducer.width)]
+        #: Without a normalizer, byte-level tokens spell the text as it is.
+        self.faithful = self.a.normalizer is None and letter.keys() <= set(names)
         self.cuts = not any(WHITE in p.lstrip(WHITE) for p in pieces) and self.probed()
         self.forget()
 
@@ -143,50 +169,66 @@ class Pair:
     def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.spelled: list[str] = []  # groups as text, empty for words whose bytes differ
-        #: tokens of A, of B, groups, links, distinct linked pairs of each word
+        #: tokens of A, of B, groups, links, entries in pairs of each word
         self.sizes = np.zeros((0, 5), np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Encode and align words that are not known yet."""
-        sizes, pairs, times = [], [], []
-        spelled_of, known_as, width, shown = self.a_bytes.__getitem__, self.shown.__getitem__, self.width, self.spelled
-        for word, (a, b) in zip(words, self.ids(words), strict=True):
-            self.places[word] = len(shown)
-            groups = self.transducer.groups(a, b) if b"".join(map(spelled_of, a)) == f" {word}".encode() else None
-            if not groups:
-                shown.append("")
-                sizes.append((0, 0, 0, 0, 0))
-                continue
-            linked: dict[int, int] = {}
-            parts, links = [], 0
-            for left, right in groups:
-                if len(left) == len(right) == 1:
-                    x, y = left[0], right[0]
-                    parts.append(f"{x}|{y}")
-                    key = x * width + y
-                    linked[key] = linked.get(key, 0) + 1
-                    links += 1
-                    continue
-                parts.append(f"{','.join(map(known_as, left))}|{','.join(map(known_as, right))}")
-                links += len(left) * len(right)
-                if len(left) * len(right) <= 16:
-                    for x in left:
-                        for y in right:
-                            key = x * width + y
-                            linked[key] = linked.get(key, 0) + 1
-                    continue
-                many = Counter(right)
-                for x, n in Counter(left).items():
-                    for y, m in many.items():
-                        key = x * width + y
-                        linked[key] = linked.get(key, 0) + n * m
-            shown.append(";".join(parts))
-            sizes.append((len(a), len(b), len(groups), links, len(linked)))
-            pairs += linked.keys()
-            times += linked.values()
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 5)])
-        self.pairs, self.times = (np.concatenate([x, np.array(y, np.int64)]) for x, y in ((self.pairs, pairs), (self.times, times)))
+        ids = self.ids(words)
+        sides = []
+        for k in (0, 1):
+            ends = np.cumsum(np.fromiter((len(x[k]) for x in ids), np.int64, len(ids)))
+            sides.append((np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64, int(ends[-1])), ends))
+        (a, a_ends), (b, b_ends) = sides
+        of_a, of_b, closed = self.transducer.groups(a, a_ends, b, b_ends)
+        if not self.faithful:
+            closed[[b"".join(map(self.a_bytes.__getitem__, x)) != f" {word}".encode() for word, (x, _) in zip(words, ids, strict=True)]] = 0
+        # tokens of words that are spelled alike, numbered by group through all words
+        base = np.cumsum(closed) - closed
+        long_a, long_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+        good = closed > 0
+        in_a, in_b = np.repeat(good, long_a), np.repeat(good, long_b)
+        group_a, group_b = (of_a + np.repeat(base, long_a))[in_a], (of_b + np.repeat(base, long_b))[in_b]
+        a, b = a[in_a], b[in_b]
+        total = int(closed.sum())
+        size_a, size_b = np.bincount(group_a, minlength=total), np.bincount(group_b, minlength=total)
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        word = np.repeat(np.arange(len(words)), closed)
+        single = (size_a == 1) & (size_b == 1)
+        pair = a[first_a[single]] * self.width + b[first_b[single]]
+        texts = np.empty(total, object)
+        distinct, place = np.unique(pair, return_inverse=True)
+        texts[single] = np.array([f"{x}|{y}" for x, y in zip(*(v.tolist() for v in np.divmod(distinct, self.width)), strict=True)] or [""], object)[place]
+        owners, pairs, times = [word[single]], [pair], [np.ones(len(pair), np.int64)]
+        several = np.flatnonzero(~single)
+        a_shown, b_shown = (list(map(self.shown.__getitem__, v.tolist())) for v in (a, b))
+        for g, i, n, j, m in zip(*(v.tolist() for v in (several, first_a[several], size_a[several], first_b[several], size_b[several])), strict=True):
+            texts[g] = f"{','.join(a_shown[i : i + n])}|{','.join(b_shown[j : j + m])}"
+        wide_ones = size_a[several] * size_b[several] > WIDE
+        for g in several[wide_ones].tolist():
+            (left, n), (right, m) = (np.unique(v[f[g] : f[g] + k[g]], return_counts=True) for v, f, k in ((a, first_a, size_a), (b, first_b, size_b)))
+            pairs.append((left[:, None] * self.width + right).reshape(-1))
+            times.append(np.outer(n, m).reshape(-1))
+            owners.append(np.full(len(pairs[-1]), word[g]))
+        several = several[~wide_ones]
+        links = size_a[several] * size_b[several]
+        g = np.repeat(several, links)
+        row, column = np.divmod(np.arange(len(g)) - np.repeat(np.cumsum(links) - links, links), size_b[g])
+        pairs.append(a[first_a[g] + row] * self.width + b[first_b[g] + column])
+        times.append(np.ones(len(g), np.int64))
+        owners.append(word[g])
+        owner, pair, often = (np.concatenate(x) for x in (owners, pairs, times))
+        order = np.argsort(owner, kind="stable")
+        known, at = len(self.spelled), 0
+        texts = texts.tolist()
+        for number, (w, n) in enumerate(zip(words, closed.tolist(), strict=True), known):
+            self.places[w] = number
+            self.spelled.append(";".join(texts[at : at + n]))
+            at += n
+        links = np.bincount(owner, often, len(words)).astype(np.int64)
+        self.sizes = np.concatenate([self.sizes, np.stack([long_a * good, long_b * good, closed, links, np.bincount(owner, minlength=len(words))], 1)])
+        self.pairs, self.times = np.concatenate([self.pairs, pair[order]]), np.concatenate([self.times, often[order]])
 
     def words(self, text: str) -> list[str]:
         return [] if not text else BETWEEN_WORDS.split(text) if self.cuts else [text]
@@ -195,11 +237,12 @@ class Pair:
         """Sizes (A, B, groups, links) and groups of each text; then all linked (text, pair, times), ordered."""
         split = [self.words(t) for t in texts]
         new = set().union(*split).difference(self.places) if split else set()
-        kept, known = len(self.spelled), sorted(new, key=lambda w: (len(w) > CACHED_LENGTH, w))
-        room = max(0, CACHED_WORDS - kept)
-        keep = sum(len(w) <= CACHED_LENGTH for w in known[:room])
-        for at in range(0, len(known), 4096):
-            self.learn(known[at : at + 4096])
+        kept = len(self.spelled)
+        again = [w for w, n in Counter(chain.from_iterable(split)).items() if n > 1 and w in new and len(w) <= CACHED_LENGTH] if kept < CACHED_WORDS else []
+        again = again[: CACHED_WORDS - kept]  # words met once may never come again
+        known, keep = again + list(new.difference(again)), len(again)
+        for at in range(0, len(known), LEARNED):
+            self.learn(known[at : at + LEARNED])
         place, spelled = self.places.__getitem__, self.spelled.__getitem__
         at = [np.fromiter(map(place, words), np.int64, len(words)) for words in split]
         bad = self.sizes[:, 2] == 0

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import NODE_KINDS, RELATIONSHIP_KINDS
 from ..scratch import stored, temporary
+from . import adjacency as adjacent
+from .adjacency import Adjacency, Frontier, adjacency
 
 #: Kinds that carry dependencies, as against mere structure.
 DEPENDING = ("calls", "imports", "inherits")
@@ -149,56 +151,41 @@ def omitted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- traversal --------------------------------------------------------------------
 
-#: A frontier of at most so many ids is broadcast to the edges (some MB); a larger one is shuffled with them.
-BROADCAST_IDS = 100_000
-
-
-def oriented(edges: DataFrame, direction: str) -> DataFrame:
-    """Edges as (near, far, kind, dependency_edge_id), walked from near to far, without self-loops."""
-    near, far = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
-    return edges.where("source_id <> target_id").select(F.col(near).alias("near"), F.col(far).alias("far"), "kind", "dependency_edge_id")
-
-
-def stepped(walk: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
-    """The edges that begin in the frontier, which has `size` distinct ids.
-
-    The edges are read as they lie: only a frontier beyond BROADCAST_IDS makes them move."""
-    ids = frontier.select(F.col("id").alias("near"))
-    return walk.join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "near", "left_semi")
-
 
 def unseen(step: DataFrame, levels: list[DataFrame], size: int) -> DataFrame:
     """Rows of step whose id is in none of the levels, which have `size` ids together."""
     known = levels[0].select("id")
     for level in levels[1:]:
         known = known.unionByName(level.select("id"))
-    return step.join(F.broadcast(known) if size <= BROADCAST_IDS else known, "id", "left_anti")
+    return step.join(F.broadcast(known) if size <= adjacent.BROADCAST_IDS else known, "id", "left_anti")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "upstream", max_depth: int = 3, kind: str | None = None, limit: int | None = 100, repository_id: str | None = None) -> DataFrame:
+def walked(kind: str | None) -> list[str]:
+    return list(DEPENDING) if kind is None else [kind]
+
+
+def impact(nodes: DataFrame, edges: DataFrame | Adjacency, start: str, direction: str = "upstream", max_depth: int = 3, kind: str | None = None, limit: int | None = 100, repository_id: str | None = None) -> DataFrame:
     """Nodes reached from start, each once at its least depth: id, depth, kind.
 
     Breadth first, a level at a time: edges that begin in the frontier are picked out, grouped
-    by where they lead, what was seen is taken away, and the new level is stored.  Every level
-    reads the edges, so they should be a stored table (graph_edges, or stored(...)).  kind is the
-    least relationship kind among the edges that first reach the node.  The start is never part
-    of the result."""
-    spark = nodes.sparkSession
-    walk = oriented(of_kind(here(edges, repository_id), kind, DEPENDING), direction)
+    by where they lead, what was seen is taken away, and the new level is stored.  Edges stored by
+    both ends (Adjacency) are read only where the frontier lies; others are read whole at every
+    level, so they should be a stored table.  kind is the least relationship kind among the edges that
+    first reach the node.  The start is never part of the result."""
+    spark, kinds = nodes.sparkSession, walked(kind)
+    side = (edges if isinstance(edges, Adjacency) else adjacency(here(edges, repository_id))).side(direction)
     with temporary(spark):
-        levels = [spark.createDataFrame([(start, 0, None)], "id string, depth int, kind string")]
-        step, seen = walk.where(F.col("near") == start), 1  # pushed down to the scan
+        frontier, seen = Frontier(spark.createDataFrame([(start, 0, None)], "id string, depth int, kind string")), 0
+        levels = []
         for depth in range(1, max_depth + 1):
-            met = step.groupBy(F.col("far").alias("id")).agg(F.min("kind").alias("kind"))
-            fresh = stored(unseen(met, levels, seen).select("id", F.lit(depth).alias("depth"), "kind"), "level")
-            size = fresh.count()
-            if not size:
+            levels.append(frontier.rows)
+            seen += frontier.size
+            met = side.beginning(frontier, kinds).groupBy(F.col("far").alias("id")).agg(F.min("kind").alias("kind"))
+            frontier = Frontier(stored(unseen(met, levels, seen).select("id", F.lit(depth).alias("depth"), "kind"), "level"))
+            if not frontier.size:
                 break
-            levels.append(fresh)
-            seen += size
-            step = stepped(walk, fresh, size)
-        whole = levels[0]
-        for level in levels[1:]:
+        whole = frontier.rows
+        for level in levels:
             whole = whole.unionByName(level)
         found = whole.where("depth > 0").join(here(nodes, repository_id).select("id"), "id", "left_semi")
         if limit is not None:
@@ -206,37 +193,72 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "ups
         return stored(found, "impact", outlives=1).orderBy("depth", "id")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_depth: int = 6, kind: str | None = None, repository_id: str | None = None) -> DataFrame:
+def shortest_path(nodes: DataFrame, edges: DataFrame | Adjacency, source: str, target: str, max_depth: int = 6, kind: str | None = None, repository_id: str | None = None) -> DataFrame:
     """One row: found, length, node_ids, kinds, dependency_edge_ids, along directed edges.
 
     source = target is found with length 0; without a path length and lists are null.  Ties
-    go to the smallest predecessor, then the smallest kind and dependency edge.  Every level
-    reads the edges, as in impact().  At most max_depth rows come to the driver."""
+    go to the smallest predecessor, then the smallest kind and dependency edge.
+
+    Two searches, from the source along the edges and from the target against them; the one with the
+    smaller frontier advances until the two meet.  Of the target's side only what the source
+    reaches through the meeting place counts, so each step back takes the smallest predecessor of
+    all, as a search from the source alone would.  At most max_depth rows come to the driver."""
     schema = "found boolean, length int, node_ids array<string>, kinds array<string>, dependency_edge_ids array<string>"
-    spark = nodes.sparkSession
+    spark, kinds = nodes.sparkSession, walked(kind)
     if source == target:
         return spark.createDataFrame([(True, 0, [source], [], [])], schema)
-    walk = oriented(of_kind(here(edges, repository_id), kind, DEPENDING), "downstream")
-    best = F.min(F.struct("near", "kind", F.coalesce("dependency_edge_id", F.lit("")).alias("edge"))).alias("via")
+    ways = edges if isinstance(edges, Adjacency) else adjacency(here(edges, repository_id))
+    via = F.struct("near", "kind", F.coalesce("dependency_edge_id", F.lit("")).alias("edge"))
     with temporary(spark):
-        levels = [spark.createDataFrame([(source,)], "id string")]
-        step, seen = walk.where(F.col("near") == source), 1
-        for _ in range(max_depth):
-            met = step.groupBy(F.col("far").alias("id")).agg(best)
-            fresh = stored(unseen(met, levels, seen).select("id", "via.*"), "level")
-            levels.append(fresh)
-            size, hits = fresh.agg(F.count(F.lit(1)), F.count_if(F.col("id") == target)).first()
-            if hits:
-                at, ids, kinds, via = target, [target], [], []
-                for level in reversed(levels[1:]):
-                    row = level.where(F.col("id") == at).first()
-                    at = row["near"]
-                    ids.append(at)
-                    kinds.append(row["kind"])
-                    via.append(row["edge"] or None)
-                return spark.createDataFrame([(True, len(kinds), ids[::-1], kinds[::-1], via[::-1])], schema)
-            if not size:
+        first = [Frontier(spark.createDataFrame([(end,)], "id string")) for end in (source, target)]
+        ahead, back = [first[0]], [first[1]]  # levels from the source, from the target
+        steps = []  # edges (near, far, kind, dependency_edge_id) that lead from level i + 1 from the target to level i
+        while len(ahead) + len(back) - 2 < max_depth:
+            if ahead[-1].size <= back[-1].size:
+                met = ways.out.beginning(ahead[-1], kinds).groupBy(F.col("far").alias("id")).agg(F.min(via).alias("via"))
+                level = Frontier(stored(unseen(met, [x.rows for x in ahead], sum(x.size for x in ahead)).select("id", "via.*"), "ahead"))
+                ahead.append(level)
+            else:
+                met = ways.into.beginning(back[-1], kinds).withColumnRenamed("near", "to").withColumnRenamed("far", "id")
+                step = stored(unseen(met, [x.rows for x in back], sum(x.size for x in back)).select("id", F.col("to").alias("far"), "kind", "dependency_edge_id"), "step")
+                level = Frontier(stored(step.select("id").distinct(), "back"))
+                steps.append(step.withColumnRenamed("id", "near"))
+                back.append(level)
+            if not level.size:
                 break
-            seen += size
-            step = stepped(walk, fresh, size)
+            meeting = meet(ahead[-1], back[-1])
+            if not meeting.isEmpty():
+                return spark.createDataFrame([traced(ahead, steps, stored(meeting, "meeting"), target)], schema)
     return spark.createDataFrame([(False, None, None, None, None)], schema)
+
+
+def meet(a: Frontier, b: Frontier) -> DataFrame:
+    """Ids of both frontiers: the larger one is looked through for the smaller one."""
+    small, large = (a, b) if a.size <= b.size else (b, a)
+    ids = small.rows.select("id")
+    return large.rows.select("id").join(F.broadcast(ids) if small.size <= adjacent.BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def traced(ahead: list[Frontier], steps: list[DataFrame], meeting: DataFrame, target: str) -> tuple:
+    """The path as a row of shortest_path(): back from the target to the meeting place, then along the stored predecessors."""
+    reached = [meeting]  # nodes on shortest paths, from the meeting place towards the target
+    for step in reversed(steps[1:]):
+        reached.append(stored(step.join(reached[-1].select(F.col("id").alias("near")), "near", "left_semi").select(F.col("far").alias("id")).distinct(), "reached"))
+    at, ids, kinds, through = target, [target], [], []
+
+    def back_to(row) -> None:
+        ids.append(row["near"])
+        kinds.append(row["kind"])
+        through.append(row["edge"] or None)
+
+    order = ["near", "kind", "edge"]
+    for step, known in zip(steps, reversed(reached), strict=False):
+        before = step.where(F.col("far") == at).join(known.select(F.col("id").alias("near")), "near", "left_semi")
+        row = before.select("near", "kind", F.coalesce("dependency_edge_id", F.lit("")).alias("edge")).orderBy(*order).first()
+        back_to(row)
+        at = row["near"]
+    for level in reversed(ahead[1:]):
+        row = level.rows.where(F.col("id") == at).first()
+        back_to(row)
+        at = row["near"]
+    return True, len(kinds), ids[::-1], kinds[::-1], through[::-1]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import NotFound
 from ..operators import edges as edge_ops
-from ..operators import graph, listings
+from ..operators import graph, listings, summaries
 from . import responses
 from .service import Engine
 
@@ -19,6 +19,11 @@ def rows_of(frame: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in frame.collect()]
 
 
+def streamed(frame: DataFrame) -> Iterator[dict]:
+    """A listing without a limit, never held whole."""
+    return (r.asDict(recursive=True) for r in frame.toLocalIterator())
+
+
 class Api:
     def __init__(self, engine: Engine):
         self.engine = engine
@@ -30,8 +35,9 @@ class Api:
         at = listings.last_parsed_at(self.engine._t("parsed_files", repository_id)).first()["last_parsed_at"]
         return {"repository_id": repository_id, "file_count": counts["files_parsed"], "symbol_count": counts["symbols"], "import_count": counts["imports"], "error_count": counts["errors"], "parsed_at": at}
 
-    def files(self, repository_id: str) -> list[dict]:
-        return rows_of(responses.files(self.engine.list_files(repository_id), repository_id).orderBy("path", "id"))
+    def files(self, repository_id: str) -> Iterator[dict]:
+        """All files, in order, a partition at a time: a repository may have more than fit here at once."""
+        return streamed(responses.files(self.engine.list_files(repository_id), repository_id).orderBy("path", "id"))
 
     def symbols(self, repository_id: str, kind: str | None = None, file_id: str | None = None, limit: int = 100, offset: int = 0) -> list[dict]:
         page = self.engine.list_symbols(repository_id, kind, file_id, limit, offset)
@@ -39,15 +45,10 @@ class Api:
         return rows_of(responses.symbols(whole).orderBy("start_line", "id"))
 
     def symbol(self, symbol_id: str) -> dict:
-        store = self.engine.store
-        one = listings.by_id(store.table("symbols"), symbol_id)
-        found = rows_of(responses.symbols(listings.children(one, store.table("parameters"), store.table("call_sites"))).limit(1))
-        if not found:
-            raise NotFound(f"Symbol {symbol_id} not found")
-        return found[0]
+        return rows_of(responses.symbols(self.engine.nested_symbol(symbol_id)).limit(1))[0]
 
-    def parse_errors(self, repository_id: str) -> list[dict]:
-        return rows_of(self.engine.list_parse_errors(repository_id))
+    def parse_errors(self, repository_id: str) -> Iterator[dict]:
+        return streamed(self.engine.list_parse_errors(repository_id))
 
     # ---- dependencies -----------------------------------------------------------------
 
@@ -85,34 +86,33 @@ class Api:
     def impact(self, repository_id: str, node_id: str, direction: str = "upstream", depth: int = 3, kind: str | None = None, limit: int = 100) -> dict:
         self.engine._checked(limit, depth, self.engine.settings.max_impact_depth)
         nodes, edges = self.engine._with_node(repository_id, node_id)
-        found = self.engine._limited(lambda: responses.impacted(graph.impact(nodes, edges, node_id, direction, depth, kind, limit), nodes))
+        found = self.engine._limited(lambda: responses.impacted(graph.impact(nodes, self.engine._walks(repository_id, edges), node_id, direction, depth, kind, limit), nodes))
         return {"starting_node_id": node_id, "direction": direction, "max_depth": depth, "impacted_nodes": found}
 
     def path(self, repository_id: str, source_id: str, target_id: str, depth: int = 6, kind: str | None = None) -> dict:
         self.engine._checked(None, depth, self.engine.settings.max_path_depth)
         nodes, edges = self.engine._with_node(repository_id, source_id, target_id)
-        return self.engine._limited(lambda: responses.path(graph.shortest_path(nodes, edges, source_id, target_id, depth, kind), nodes, edges, source_id, target_id))[0]
+        return self.engine._limited(lambda: responses.path(graph.shortest_path(nodes, self.engine._walks(repository_id, edges), source_id, target_id, depth, kind), nodes, edges, source_id, target_id))[0]
 
     def statistics(self, repository_id: str, limit: int = 10) -> dict:
-        found = self.engine.statistics(repository_id, limit)
-        nodes, edges = self.engine._graph(repository_id)
-        ranked = {name: self.engine._limited(lambda rank=rank: responses.degrees(rank(nodes, edges, limit), nodes)) for name, rank in (("highest_in_degree", graph.in_degrees), ("highest_out_degree", graph.out_degrees))}
+        found = self.engine.statistics(repository_id, limit, responses.degrees)
         by_kind = found["nodes_by_kind"]
         return {
             "repository_id": repository_id, "total_nodes": found["total_nodes"], "total_files": by_kind["file"], "total_symbols": by_kind["symbol"],
             "total_relationships": found["total_relationships"], "relationships_by_kind": [{"kind": k, "count": n} for k, n in found["relationships_by_kind"].items()],
-            **ranked, "projected_at": found["projected_at"], "freshness": found["freshness"], "computed_at": datetime.now(UTC),
+            "highest_in_degree": found["highest_in_degree"], "highest_out_degree": found["highest_out_degree"], "projected_at": found["projected_at"], "freshness": found["freshness"], "computed_at": datetime.now(UTC),
         }
 
     def insights(self, repository_id: str, limit: int = 20) -> dict:
         self.engine._checked(limit)
         nodes, edges = self.engine._graph(repository_id)
+        _, degrees = self.engine._summaries(repository_id)
         ask = self.engine._limited
         return {
             "repository_id": repository_id,
-            "most_connected_files": ask(lambda: responses.degrees(graph.most_connected_files(nodes, edges, limit), nodes)),
-            "dependency_hotspots": ask(lambda: responses.degrees(graph.hotspots(nodes, edges, limit), nodes)),
-            "isolated_nodes": ask(lambda: graph.isolated(nodes, edges, limit).select("id").join(responses.node_struct(nodes), "id").select("node.*").orderBy(F.col("kind"), "id")),
+            "most_connected_files": ask(lambda: responses.degrees(summaries.top(degrees, "n_imports", limit, "file"), nodes)),
+            "dependency_hotspots": ask(lambda: responses.degrees(summaries.top(degrees, "n_uses", limit, "symbol"), nodes)),
+            "isolated_nodes": ask(lambda: summaries.isolated(degrees, limit).select("id").join(responses.node_struct(nodes), "id").select("node.*").orderBy(F.col("kind"), "id")),
             "mutual_import_pairs": ask(lambda: responses.mutual_pairs(graph.mutual_pairs(edges, limit=limit), nodes)),
             "unresolved_dependency_count": ask(lambda: edge_ops.unresolved_count(self.engine._t("dependency_edges", repository_id)))[0]["unresolved_edges"],
             "computed_at": datetime.now(UTC),

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, shaping
 from ..operators import edges as edge_ops
-from ..operators import graph, listings, views
+from ..operators import graph, listings, summaries, views
+from ..operators.adjacency import Adjacency, stored_side
 from ..operators.imports import ECMASCRIPT_ENDINGS, resolve_imports
 from ..operators.symbols import Scope, bare_names, call_names, instance_names, qualified_names, resolve_bases
 from ..schemas import GRAPH_EDGES, GRAPH_NODES
@@ -88,10 +89,11 @@ class Tables:
     def edges(self) -> DataFrame:
         return self.contains.unionByName(self.imports).unionByName(self.calls).unionByName(self.inherits)
 
-    @property
-    def stored_edges(self) -> DataFrame:
-        """edges as a stored table, for walks, which read it once a level."""
-        return stored(self.edges, "edges")
+    def walks(self, *directions: str) -> Adjacency:
+        """edges stored by the ends from which a query walks."""
+        whole = stored(self.edges.select("source_id", "target_id", "kind", "dependency_edge_id"), "edges")  # ranges are found by a first look
+        sides = [stored_side(whole, d) for d in directions]
+        return Adjacency(sides[0], sides[-1])
 
     @property
     def dependency_edges(self) -> DataFrame:
@@ -306,19 +308,19 @@ def impact_sql(near: str, far: str, depth: int, kinds: str, limit: str) -> str:
 @query(impact_sql("target_id", "source_id", 3, "'calls', 'imports', 'inherits'", "LIMIT 100"))
 def impact_upstream(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return graph.impact(t.nodes, t.stored_edges, "P1", "upstream", 3)
+    return graph.impact(t.nodes, t.walks("upstream"), "P1", "upstream", 3)
 
 
 @query(impact_sql("source_id", "target_id", 3, "'calls', 'imports', 'inherits'", ""))
 def impact_downstream(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return graph.impact(t.nodes, t.stored_edges, "P1", "downstream", 3, limit=None)
+    return graph.impact(t.nodes, t.walks("downstream"), "P1", "downstream", 3, limit=None)
 
 
 @query(impact_sql("source_id", "target_id", 2, "'calls'", ""))
 def impact_kind(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return graph.impact(t.nodes, t.stored_edges, "P1", "downstream", 2, "calls", None)
+    return graph.impact(t.nodes, t.walks("downstream"), "P1", "downstream", 2, "calls", None)
 
 
 def path_sql(target: str, depth: int) -> str:
@@ -335,7 +337,7 @@ def path_sql(target: str, depth: int) -> str:
 
 def path(spark, sf_dir, target, depth):
     t = Tables(spark, sf_dir)
-    found = graph.shortest_path(t.nodes, t.stored_edges, "P1", target, depth)
+    found = graph.shortest_path(t.nodes, t.walks("downstream", "upstream"), "P1", target, depth)
     edges = F.when(F.col("found"), F.size("dependency_edge_ids"))
     return found.select("found", "length", F.array_join("node_ids", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"), edges.alias("edges"))
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import adjacency, summaries
 from ..schemas import GRAPH_EDGES, GRAPH_NODES
 from ..scratch import stored
 
@@ -58,6 +59,16 @@ def attached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.dropDuplicates(EDGE_KEY).select(*[f.name for f in GRAPH_EDGES])
 
 
+def graph_tables(repository_id: str, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a repository's graph, to be saved together: nodes and attached edges, both
+    stored, the edges by both ends, and the summaries."""
+    derived_ones = {
+        **{name: adjacency.oriented(edges, way) for name, way in adjacency.SIDES.items()},
+        "node_degrees": summaries.node_degrees(nodes, edges), "kind_counts": summaries.kind_counts(nodes, edges),
+    }
+    return {"graph_nodes": nodes, "graph_edges": edges} | {name: rows.withColumn("repository_id", F.lit(repository_id)) for name, rows in derived_ones.items()}
+
+
 def merged_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.dropDuplicates(["id"])
 

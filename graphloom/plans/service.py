@@ -11,17 +11,21 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, Invalid, Malformed, NotFound, QueryTimeout, WrongState
 from ..functions.shaping import stem
 from ..operators import edges as edge_ops
-from ..operators import graph, listings
+from ..operators import graph, listings, summaries
+from ..operators.adjacency import Adjacency
+from ..operators.paging import cursor_of
+from ..schemas import NODE_KINDS, RELATIONSHIP_KINDS
 from ..settings import Settings
 from ..sources import archives, clones, files, parsing, workspaces
-from ..sources.store import Store
-from .project import attached, graph_edges, graph_nodes, merged_nodes
+from ..sources.store import CLUSTERED, Store
+from ..scratch import stored, temporary
+from .project import attached, graph_edges, graph_nodes, graph_tables, merged_nodes
 
 
 @contextmanager
@@ -180,11 +184,15 @@ class Engine:
         return listings.symbols_page(self._t("symbols", repository_id), repository_id, kind, file_id, limit, offset)
 
     def get_symbol(self, symbol_id: str) -> dict:
-        one = listings.by_id(self.store.table("symbols"), symbol_id)
-        found = listings.children(one, self.store.table("parameters"), self.store.table("call_sites")).first()
-        if found is None:
+        return self.nested_symbol(symbol_id).first().asDict(recursive=True)
+
+    def nested_symbol(self, symbol_id: str) -> DataFrame:
+        """One row: a symbol with its parameters and calls, looked up by the id index."""
+        one = self.store.lookup("symbols", symbol_id)
+        row = one.first()
+        if row is None:
             raise NotFound(f"Symbol {symbol_id} not found")
-        return found.asDict(recursive=True)
+        return listings.children(one.limit(1), *[self._t(n, row["repository_id"]) for n in ("parameters", "call_sites")])
 
     def list_parse_errors(self, repository_id: str) -> DataFrame:
         self.get_repository(repository_id)
@@ -199,8 +207,9 @@ class Engine:
 
     def analyze_dependencies(self, repository_id: str) -> dict:
         self._parsed(repository_id)
-        found = edge_ops.dependency_edges(*[self._t(n, repository_id) for n in ("parsed_files", "symbols", "call_sites", "imports")])
-        self.store.replace("dependency_edges", repository_id, found)
+        with temporary(self.spark):
+            found = edge_ops.dependency_edges(*[self._t(n, repository_id) for n in ("parsed_files", "symbols", "call_sites", "imports")])
+            self.store.replace("dependency_edges", repository_id, found)
         return edge_ops.status_counts(self._t("dependency_edges", repository_id)).first().asDict()
 
     def list_dependencies(self, repository_id: str, kind: str | None = None, source_symbol_id: str | None = None, target_symbol_id: str | None = None, resolution_status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -208,7 +217,7 @@ class Engine:
         return listings.edges_page(self._t("dependency_edges", repository_id), repository_id, kind, source_symbol_id, target_symbol_id, resolution_status, limit, offset)
 
     def get_dependency(self, dependency_id: str) -> dict:
-        found = listings.by_id(self.store.table("dependency_edges"), dependency_id).first()
+        found = self.store.lookup("dependency_edges", dependency_id).first()
         if found is None:
             raise NotFound(f"Dependency edge {dependency_id} not found")
         return found.asDict()
@@ -223,9 +232,9 @@ class Engine:
         nodes = graph_nodes(repository, parsed, symbols, datetime.now(UTC))
         edges = graph_edges(parsed, symbols, found)
         counts = {"nodes": nodes.count(), "relationships": edges.count()}
-        # walks read the edges again and again: they lie in the order of their sources, so that a lookup skips most of a file
-        ordered = attached(nodes, edges).repartitionByRange("source_id", "target_id").sortWithinPartitions("source_id", "target_id")
-        self.store.replace_all(repository_id, {"graph_nodes": merged_nodes(nodes), "graph_edges": ordered})
+        with temporary(self.spark):
+            merged, joined = stored(merged_nodes(nodes), "nodes"), stored(attached(nodes, edges), "edges")
+            self.store.replace_all(repository_id, graph_tables(repository_id, merged, joined))
         return counts
 
     def list_nodes(self, repository_id: str, kind: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -240,6 +249,17 @@ class Engine:
         self.get_repository(repository_id)
         return self._t("graph_nodes", repository_id), self._t("graph_edges", repository_id)
 
+    def page_after(self, name: str, repository_id: str, cursor: tuple | None = None, limit: int = 100, where: Column | None = None) -> tuple[list[dict], tuple | None]:
+        """A page of symbols, dependency_edges, graph_nodes or graph_edges behind a cursor, and the cursor behind it; None at the end."""
+        self._checked(limit)
+        self.get_repository(repository_id)
+        rows = [r.asDict(recursive=True) for r in self.store.page_after(name, repository_id, cursor, limit, where).collect()]
+        return rows, cursor_of(rows[-1], CLUSTERED[name]) if len(rows) == limit else None
+
+    def _walks(self, repository_id: str, edges: DataFrame) -> DataFrame | Adjacency:
+        """The edges by both ends; as they lie for graphs saved without."""
+        return self.store.adjacency(repository_id) or edges
+
     def _checked(self, limit: int | None = None, depth: int | None = None, most: int | None = None) -> None:
         for name, value, ceiling in (("limit", limit, self.settings.max_limit), ("depth", depth, most)):
             if value is not None and value < 1:
@@ -272,35 +292,45 @@ class Engine:
     def impact(self, repository_id: str, node_id: str, direction: str = "upstream", depth: int = 3, kind: str | None = None, limit: int = 100) -> list[dict]:
         self._checked(limit, depth, self.settings.max_impact_depth)
         nodes, edges = self._with_node(repository_id, node_id)
-        return self._limited(lambda: graph.impact(nodes, edges, node_id, direction, depth, kind, limit))
+        return self._limited(lambda: graph.impact(nodes, self._walks(repository_id, edges), node_id, direction, depth, kind, limit))
 
     def path(self, repository_id: str, source_id: str, target_id: str, depth: int = 6, kind: str | None = None) -> dict:
         self._checked(None, depth, self.settings.max_path_depth)
         nodes, edges = self._with_node(repository_id, source_id, target_id)
-        return self._limited(lambda: graph.shortest_path(nodes, edges, source_id, target_id, depth, kind))[0]
+        return self._limited(lambda: graph.shortest_path(nodes, self._walks(repository_id, edges), source_id, target_id, depth, kind))[0]
 
-    def statistics(self, repository_id: str, limit: int = 10) -> dict:
+    def statistics(self, repository_id: str, limit: int = 10, shown: Callable[[DataFrame, DataFrame], DataFrame] = lambda ranked, nodes: ranked) -> dict:
+        """Totals and the nodes of highest degree.  shown: the form of a ranking, made from it and the nodes."""
         self._checked(limit)
         nodes, edges = self._graph(repository_id)
         parsed = self._t("parsed_files", repository_id).select(F.lit(None).cast("timestamp").alias("p"), F.col("parsed_at").alias("q"))
         times = nodes.where("kind = 'repository'").select(F.col("projected_at").alias("p"), F.lit(None).cast("timestamp").alias("q")).unionByName(parsed)
         latest = times.agg(F.max("p").alias("projected_at"), F.max("q").alias("last_parsed_at"))
         state = latest.withColumn("freshness", graph.freshness(F.col("projected_at"), F.col("last_parsed_at")))
-        by_node = {r["kind"]: r["n"] for r in self._limited(lambda: graph.nodes_by_kind(nodes))}
-        by_edge = {r["kind"]: r["n"] for r in self._limited(lambda: graph.relationships_by_kind(edges))}
+        counts, degrees = self._summaries(repository_id)
+        counted = {(r["counted"], r["kind"]): r["n"] for r in self._limited(lambda: counts)}
+        by_node, by_edge = {k: counted[("node", k)] for k in NODE_KINDS}, {k: counted[("relationship", k)] for k in RELATIONSHIP_KINDS}
         return {
             "total_nodes": sum(by_node.values()), "nodes_by_kind": by_node, "total_relationships": sum(by_edge.values()), "relationships_by_kind": by_edge,
-            "highest_in_degree": self._limited(lambda: graph.in_degrees(nodes, edges, limit)), "highest_out_degree": self._limited(lambda: graph.out_degrees(nodes, edges, limit)),
+            "highest_in_degree": self._limited(lambda: shown(summaries.top(degrees, "n_in", limit), nodes)), "highest_out_degree": self._limited(lambda: shown(summaries.top(degrees, "n_out", limit), nodes)),
             **self._limited(lambda: state)[0],
         }
 
+    def _summaries(self, repository_id: str) -> tuple[DataFrame, DataFrame]:
+        """Kind counts and degrees as saved with the graph; counted anew for graphs saved without."""
+        nodes, edges = self._graph(repository_id)
+        if "kind_counts" in self.store.versions(repository_id):
+            return self._t("kind_counts", repository_id).drop("repository_id"), self._t("node_degrees", repository_id)
+        return summaries.kind_counts(nodes, edges), summaries.node_degrees(nodes, edges)
+
     def insights(self, repository_id: str, limit: int = 20) -> dict:
         self._checked(limit)
-        nodes, edges = self._graph(repository_id)
+        _, edges = self._graph(repository_id)
+        _, degrees = self._summaries(repository_id)
         return {
-            "most_connected_files": self._limited(lambda: graph.most_connected_files(nodes, edges, limit)),
-            "dependency_hotspots": self._limited(lambda: graph.hotspots(nodes, edges, limit)),
-            "isolated_nodes": self._limited(lambda: graph.isolated(nodes, edges, limit)),
+            "most_connected_files": self._limited(lambda: summaries.top(degrees, "n_imports", limit, "file")),
+            "dependency_hotspots": self._limited(lambda: summaries.top(degrees, "n_uses", limit, "symbol")),
+            "isolated_nodes": self._limited(lambda: summaries.isolated(degrees, limit)),
             "mutual_imports": self._limited(lambda: graph.mutual_pairs(edges, limit=limit)),
             **self._limited(lambda: edge_ops.unresolved_count(self._t("dependency_edges", repository_id)))[0],
         }

@@ -43,6 +43,12 @@ GRAPH_NODES = _schema(
     "id string, kind string, repository_id string, project_id string, display_name string, projected_at timestamp, path string, language string, "
     "has_syntax_errors boolean, file_id string, symbol_kind string, name string, qualified_name string, parent_symbol_id string, start_line int, end_line int"
 )
+#: The edges by one end (near), for walks to the other.
+ADJACENT_EDGES = _schema("near string, far string, kind string, dependency_edge_id string, repository_id string")
+#: Edges at each node: of any kind by direction; imports, and calls with bases, either way (a self-loop once).
+NODE_DEGREES = _schema("id string, kind string, n_in bigint, n_out bigint, n_imports bigint, n_uses bigint, repository_id string")
+#: Nodes or relationships of each kind.
+KIND_COUNTS = _schema("counted string, kind string, n bigint, repository_id string")
 GRAPH_EDGES = _schema("source_id string, target_id string, kind string, repository_id string, dependency_edge_id string, raw_target_expression string")
 
 #: Tables that a parse replaces together, per repository.
@@ -61,6 +67,10 @@ TABLES = {
     "dependency_edges": DEPENDENCY_EDGES,
     "graph_nodes": GRAPH_NODES,
     "graph_edges": GRAPH_EDGES,
+    "edges_out": ADJACENT_EDGES,
+    "edges_in": ADJACENT_EDGES,
+    "node_degrees": NODE_DEGREES,
+    "kind_counts": KIND_COUNTS,
 }
 
 LANGUAGES = ("python", "javascript", "typescript")

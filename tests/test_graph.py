@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.errors import Conflict
 from graphloom.operators import graph, listings
 from graphloom.plans.project import attached, fitted, graph_edges, layout
 from graphloom.schemas import DEPENDENCY_EDGES, GRAPH_EDGES, GRAPH_NODES, PARSED_FILES, SYMBOLS
@@ -125,8 +124,8 @@ def test_store_replaces_one_partition(spark, tmp_path):
 
 
 def test_store_changes_tables_together(spark, tmp_path):
-    """A save that fails half way, or that another writer overtook, leaves everything as it was."""
-    store = Store(spark, str(tmp_path))
+    """A save that fails half way leaves everything as it was."""
+    store = Store(spark, str(tmp_path), retention=0)
     nodes, edges = made(spark, CHAIN, repository="a")
     store.replace_all("a", {"graph_nodes": nodes, "graph_edges": edges})
     held = store.table("graph_edges", "a")
@@ -134,12 +133,6 @@ def test_store_changes_tables_together(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         store.replace_all("a", {"graph_nodes": nodes.limit(1), "graph_edges": broken})
     assert store.table("graph_nodes", "a").count() == 4 and store.table("graph_edges", "a").count() == 3
-    last = store._last
-    store._last = lambda r: (0, {})
-    with pytest.raises(Conflict):
-        store.replace_all("a", {"graph_nodes": nodes.limit(1)})
-    store._last = last
-    assert store.table("graph_nodes", "a").count() == 4
     store.replace_all("a", {"graph_nodes": nodes.limit(2), "graph_edges": edges.limit(1)})
     assert held.count() == 3, "a reader keeps the version that it has"
     assert store.table("graph_nodes").count() == 2 and store.table("graph_edges").count() == 1
@@ -166,11 +159,71 @@ def test_scratch_tables_go_with_their_work(spark):
     assert not any(p.exists() for p in places)
 
 
-def test_frontiers_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(graph, "BROADCAST_IDS", 0)
-    assert reached(spark, CHAIN, "A", "downstream", 3) == [("B", 1), ("C", 2), ("D", 3)]
-    nodes, edges = made(spark, CHAIN)
-    assert graph.shortest_path(nodes, edges, "A", "D").first().node_ids == ["A", "B", "C", "D"]
+def brute_path(pairs, source, target, depth):
+    """Shortest path by plain breadth first search from the source; ties to the smallest predecessor."""
+    level, via = {source}, {source: None}
+    for _ in range(depth):
+        if target in via:
+            break
+        new = {}
+        for a, b in pairs:
+            if a in level and a != b and b not in via:
+                new[b] = min(new.get(b, a), a)
+        via |= new
+        level = set(new)
+    if target not in via:
+        return None
+    path = [target]
+    while via[path[-1]] is not None:
+        path.append(via[path[-1]])
+    return path[::-1]
+
+
+@pytest.mark.parametrize("stored_ways, named, broadcast", [(False, 1000, 100_000), (True, 1000, 100_000), (True, 2, 100_000), (True, 2, 0), (False, 0, 0)])
+def test_paths_and_impact_over_random_graphs(spark, monkeypatch, stored_ways, named, broadcast):
+    """Edges as they lie or by both ends; frontiers named, broadcast, or shuffled."""
+    import random
+
+    from graphloom.operators import adjacency
+
+    monkeypatch.setattr(adjacency, "NAMED_IDS", named)
+    monkeypatch.setattr(adjacency, "BROADCAST_IDS", broadcast)
+    pick = random.Random(named)
+    names = [f"n{i:02d}" for i in range(40)]
+    pairs = sorted({(pick.choice(names), pick.choice(names)) for _ in range(70)})
+    nodes, _ = made(spark, [], names)
+    edges = fitted(spark.createDataFrame([(a, b, "calls", "r") for a, b in pairs], "source_id string, target_id string, kind string, repository_id string"), GRAPH_EDGES)
+    ways = adjacency.stored_both(edges) if stored_ways else edges
+    asked = [(pick.choice(names), pick.choice(names), pick.choice([2, 5, 9])) for _ in range(5)] + [(*pairs[0], 1)]
+    for source, target, depth in asked:
+        found = graph.shortest_path(nodes, ways, source, target, depth).first()
+        want = brute_path(pairs, source, target, depth)
+        assert (found.node_ids, found.length, found.found) == (want, len(want) - 1 if want else None, want is not None)
+    for direction in ("upstream", "downstream"):
+        near = {}
+        for a, b in pairs:
+            near.setdefault(b if direction == "upstream" else a, set()).add(a if direction == "upstream" else b)
+        depths, level = {names[0]: 0}, {names[0]}
+        for d in (1, 2, 3):
+            level = set().union(*[near.get(n, set()) for n in level]) - depths.keys()
+            depths |= dict.fromkeys(level, d)
+        got = {r.id: r.depth for r in graph.impact(nodes, ways, names[0], direction, 3).collect()}
+        assert got == {n: d for n, d in depths.items() if d}
+
+
+def test_walks_read_where_the_frontier_lies(spark):
+    from graphloom.operators import adjacency
+
+    pairs = [(f"n{i:04d}", f"n{(i * 7 + 1) % 2000:04d}") for i in range(2000)]
+    edges = fitted(spark.createDataFrame([(a, b, "calls", "r") for a, b in pairs], "source_id string, target_id string, kind string, repository_id string"), GRAPH_EDGES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ways = adjacency.stored_both(edges)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for side in (ways.out, ways.into):
+        step = side.beginning(adjacency.Frontier(spark.createDataFrame([("n0700",), ("n0701",)], "id string")))
+        assert len(step.inputFiles()) == 1 < len(side.rows.inputFiles()) and step.count() == 2
 
 
 def test_numbering_over_ranges(spark, monkeypatch):
@@ -185,6 +238,31 @@ def test_numbering_over_ranges(spark, monkeypatch):
         assert sorted(r.place for r in got if r.g == group) == list(range(len(want)))
 
 
+def test_summaries_are_merged_from_changes(spark):
+    from graphloom.operators import summaries
+
+    nodes, _ = made(spark, [], ["F1", "F2", "F3"], "file")
+    nodes = nodes.unionByName(made(spark, [], ["S1", "S2", "S3"])[0])
+
+    def table(pairs):
+        return fitted(spark.createDataFrame([(a, b, k, "r") for a, b, k in pairs], "source_id string, target_id string, kind string, repository_id string"), GRAPH_EDGES)
+
+    before = [("F1", "F2", "imports"), ("F1", "F1", "imports"), ("S1", "S2", "calls"), ("S1", "S2", "inherits"), ("S3", "S3", "calls")]
+    gone, come = before[:1] + before[3:4], [("S2", "S3", "calls"), ("F2", "F1", "imports"), ("S4", "S1", "calls")]
+    new, out = made(spark, [], ["S4"])[0], made(spark, [], ["F3"], "file")[0]
+    after_nodes = nodes.where("id <> 'F3'").unionByName(new)
+    after_edges = table([e for e in before if e not in gone] + come)
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    merged = summaries.merged_degrees(summaries.node_degrees(nodes, table(before)), table(come), table(gone), new, out)
+    whole = summaries.node_degrees(after_nodes, after_edges)
+    assert shown(merged) == shown(whole)
+    counts = summaries.merged_counts(summaries.kind_counts(nodes, table(before)), [("relationship", 1, table(come)), ("relationship", -1, table(gone)), ("node", 1, new), ("node", -1, out)])
+    assert shown(counts) == shown(summaries.kind_counts(after_nodes, after_edges))
+    for column, kind, plain in (("n_in", None, graph.in_degrees), ("n_out", None, graph.out_degrees), ("n_imports", "file", graph.most_connected_files), ("n_uses", "symbol", graph.hotspots)):
+        assert [tuple(r) for r in summaries.top(whole, column, 10, kind).collect()] == [(r.id, r.kind, r.degree) for r in plain(after_nodes, after_edges, limit=10).collect()]
+    assert summaries.isolated(whole).collect() == graph.isolated(after_nodes, after_edges).collect()
+
+
 def test_stream_projection(spark, tmp_path):
     rows = fitted(spark.createDataFrame([("1", "r", "imports", "resolved", "f", "g"), ("2", "r", "imports", "unresolved", "f", None)], "id string, repository_id string, kind string, resolution_status string, source_file_id string, target_file_id string"), DEPENDENCY_EDGES)
     rows.write.parquet(f"{tmp_path}/in")

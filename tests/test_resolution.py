@@ -202,14 +202,14 @@ def test_answers(engine, repository, edges, names):
     assert api.analyze(repository)["edge_count"] == 28
     projected = api.project(repository)
     assert projected["node_count"] == 28 and projected["projected_at"]
-    files = api.files(repository)
+    files = list(api.files(repository))
     assert set(files[0]) == {"id", "repository_id", "path", "language", "has_syntax_errors", "symbol_count", "import_count"} and len(files) == 10
     symbol = next(s for s in api.symbols(repository) if s["qualified_name"] == "Cat.purr")
     assert set(symbol) == {"id", "kind", "name", "qualified_name", "start_line", "end_line", "start_column", "end_column", "parameters", "parent_symbol_id"}
     assert symbol == api.symbol(symbol["id"]) and symbol["parameters"] == [{"name": "self", "position": 0, "annotation": None, "default_value": None}]
     edge = api.dependencies(repository, kind="inherits")[0]
     assert list(edge) == ["id", "repository_id", "kind", "resolution_status", "source_file_id", "source_symbol_id", "target_file_id", "target_symbol_id", "raw_target_expression", "start_line", "end_line", "start_column", "end_column", "detail"]
-    assert api.dependency(edge["id"]) == edge and api.parse_errors(repository) == []
+    assert api.dependency(edge["id"]) == edge and list(api.parse_errors(repository)) == []
     node = api.nodes(repository, "repository")[0]
     assert set(node) == {"id", "kind", "repository_id", "properties"} and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{6})?\+00:00", node["properties"]["projected_at"])
     relationship = api.relationships(repository, "inherits")[0]

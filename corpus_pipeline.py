@@ -38,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*columns)
 
 
-#: Rows to drop whose keys are broadcast at most (16 bytes each); more are shuffled with the documents.
+#: Rows to drop whose keys are broadcast at most (16 bytes each); more are shuffled with the documents, to a join that can spill.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -46,7 +46,7 @@ def keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Join docs to keys (doc_id, text_xxh64, ...) by id and text; a null id is a value, a null text is empty."""
     keys = keys.withColumnsRenamed({c: f"__{c}" for c in keys.columns})
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text_xxh64"))
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash"), same, how)
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge"), same, how)
 
 
 def thinned(docs: DataFrame, found: DataFrame, group: str) -> DataFrame:

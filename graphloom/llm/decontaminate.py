@@ -192,12 +192,13 @@ class Found:
 
     hit: np.ndarray  # whether each word lies in a window's occurrence
     items: dict[int, list]  # documents with occurrences: ids of the items
-    longest: dict[int, tuple]  # the same documents: (words, document word, item) of the longest match
+    at: np.ndarray  # where occurrences of windows begin, and how many words they have
+    size: np.ndarray
 
 
 def search(text: Text, tests: Tests) -> Found:
     """Find every window of the tests that can occur: all its words must be in the shard."""
-    nothing = Found(np.zeros(len(text.hashes), bool), {}, {})
+    nothing = Found(np.zeros(len(text.hashes), bool), {}, np.zeros(0, np.int64), np.zeros(0, np.int64))
     if not len(tests.window_at) or not len(text.hashes):
         return nothing
     shard = Shard(tests.numbers(text.hashes), text.owner, int(tests.window_len.min()), int(tests.window_len.max()))
@@ -224,28 +225,59 @@ def search(text: Text, tests: Tests) -> Found:
     for doc, w in zip(*(x.tolist() for x in np.divmod(pairs, len(tests.window_at))), strict=True):
         seen.setdefault(doc, set()).update(tests.owner[tests.window_places[tests.window_first[w] : tests.window_first[w + 1]]].tolist())
     items = {doc: [tests.items[i] for i in sorted(s)] for doc, s in seen.items()}
-    return Found(np.cumsum(change[:-1]) > 0, items, longest_by_document(shard, tests, text, np.unique(entry)))
+    return Found(np.cumsum(change[:-1]) > 0, items, place, width)
 
 
-def longest_by_document(shard: Shard, tests: Tests, text: Text, entry: np.ndarray) -> dict[int, tuple]:
-    """(words, document word, item) of each document's longest match among those that begin at the given entries.
+def longest_by_document(tests: Tests, text: Text, at: np.ndarray, size: np.ndarray) -> dict[int, tuple]:
+    """(words, document word, item) of each document's longest match with one of these items that
+    holds a window's occurrence; at, size: the occurrences of the windows of all items.
 
-    Ties go to the earliest place in the document, then to the first item."""
-    stops = np.flatnonzero(shard.words == 0)
-    rest = stops[np.searchsorted(stops, entry)] - entry
+    A match that begins one word earlier and holds the occurrence holds the match from here, so the
+    search goes to the left of each occurrence only while it succeeds.  Ties go to the earliest place
+    in the document, then to the first item."""
     index = tests.index
-    at = index.bound(shard.words, entry, rest, False)
-    size = np.maximum(index.common(shard.words, entry, at - 1), index.common(shard.words, entry, at))
-    place = shard.origin[entry]
-    doc = text.owner[place]
-    best = np.lexsort((place, -size, doc))
-    best = best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])]
-    doc, size, place, entry = doc[best], size[best], place[best], entry[best]
-    low, high = (index.bound(shard.words, entry, size, upper) for upper in (False, True))
+    if not len(at) or not len(index.suffixes):
+        return {}
+    docs = np.unique(text.owner[at])
+    long = text.first[docs + 1] - text.first[docs]
+    begin = np.cumsum(long + 1) - long - 1  # of each document in words, a 0 after each
+    words = np.zeros(int((long + 1).sum()), np.int64)
+    words[spans(long, begin)] = tests.numbers(text.hashes[spans(long, text.first[docs])])
+
+    def moved(place: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(docs, text.owner[place])
+        return place - text.first[docs[k]] + begin[k]
+
+    start = moved(at)
+    need = np.full(len(words), len(words) + 1)  # where the occurrence that ends first, of those from here on, ends
+    np.minimum.at(need, start, start + size)
+    need = np.minimum.accumulate(need[::-1])[::-1]
+    stops = np.flatnonzero(words == 0)
+    tried, places, sizes = np.zeros(len(words), bool), [], []
+    here = np.unique(start)
+    while len(here):
+        tried[here] = True
+        rest = stops[np.searchsorted(stops, here)] - here
+        low = index.bound(words, here, rest, False)
+        found = np.maximum(index.common(words, here, low - 1), index.common(words, here, low))
+        holds = here + found >= need[here]
+        places.append(here[holds])
+        sizes.append(found[holds])
+        here = here[holds] - 1
+        here = here[here >= 0]
+        here = here[(words[here] > 0) & ~tried[here]]
+    place, found = np.concatenate(places), np.concatenate(sizes)
+    k = np.searchsorted(begin, place, side="right") - 1
+    best = np.lexsort((place, -found, k))
+    best = best[np.concatenate([[True], k[best][1:] != k[best][:-1]])[: len(best)]]
+    if not len(best):
+        return {}
+    k, found, place = k[best], found[best], place[best]
+    low, high = (index.bound(words, place, found, upper) for upper in (False, True))
     # the first of all places where the items have these words
     first = np.minimum.reduceat(np.append(index.suffixes, len(tests.words)), np.stack([low, high], 1).reshape(-1))[::2]
     item = tests.owner[index.origin[first]]
-    return {d: (n, p, tests.items[i]) for d, n, p, i in zip(doc.tolist(), size.tolist(), (place - text.first[doc]).tolist(), item.tolist(), strict=True)}
+    return {d: (n, p, tests.items[i]) for d, n, p, i in zip(docs[k].tolist(), found.tolist(), (place - begin[k]).tolist(), item.tolist(), strict=True)}
 
 
 def longest_by_item(shard: Shard, tests: Tests, text: Text, rank: np.ndarray) -> list[tuple]:
@@ -304,6 +336,11 @@ class Blocks:
                 with fs.open_output_stream(path) as out:
                     out.write(pickle.dumps(tests))
 
+    @property
+    def shard_bytes(self) -> int:
+        """Text of one shard; more where each shard has several blocks to read."""
+        return SHARD_BYTES * min(4, max(1, len(self.paths)))
+
     def __iter__(self) -> Iterator[Tests]:
         if self.shared is not None:
             yield self.shared.value
@@ -326,9 +363,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z.
     A window is `window` consecutive words of an item, or a whole shorter item; spans
     are the document words (start, end exclusive) inside any window's occurrence.
-    longest_words is the length of the longest verbatim match that holds a window's occurrence,
-    longest_at the document word where it begins and longest_item its item (0, null and null
-    without any; ties go to the earliest word, then to the smallest item id).
+    longest_words is the length of the longest run of words that the document shares with any item
+    and that holds an occurrence of any item's window, longest_at the document word where it begins
+    and longest_item its item (0, null and null without any; ties go to the earliest word, then to the
+    smallest item id, null first).
     A document is contaminated if n_hit > 0 and share * n_hit >= n_words.  Null and
     empty texts and items have no words and never match.  Items that repeat an id are
     listed once.  Ids may have any type.  Either table may be empty.  Words are compared by
@@ -351,13 +389,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             hit = np.zeros(len(text.hashes), bool)
             items: dict[int, list] = {}
             longest: dict[int, tuple] = {}
-            for number, tests in enumerate(blocks):
+            occurrences = []
+            for tests in blocks:
                 found = search(text, tests)
                 hit |= found.hit
+                occurrences.append((found.at, found.size))
                 for doc, ids in found.items.items():
                     have = items.setdefault(doc, [])
                     have += [i for i in dict.fromkeys(ids) if i not in have]
-                for doc, best in found.longest.items():
+            at, size = (np.concatenate(x) for x in zip(*occurrences, strict=True))
+            for tests in blocks if len(at) else ():  # an item of one block may hold the windows of another
+                for doc, best in longest_by_document(tests, text, at, size).items():
                     longest[doc] = min((longest.get(doc, best), best), key=lambda b: (-b[0], b[1], b[2] is not None, b[2] if b[2] is not None else 0))
             covered = np.concatenate([[0], np.cumsum(hit)])
             n = range(len(texts))
@@ -370,7 +412,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return measured
 
-    out = attach(docs.drop("contaminated"), text_col, fields, measure, SHARD_BYTES, keep)
+    out = attach(docs.drop("contaminated"), text_col, fields, measure, blocks.shard_bytes, keep)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

@@ -145,8 +145,15 @@ SQL: dict[str, str] = {
         dp AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, sizes WHERE len(w) >= k),
         dg AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS g FROM dp),
         found AS (SELECT doc_id, item_id, k, p, q FROM dg JOIN windows USING (k, g)),
-        runs AS (SELECT doc_id, item_id, k, p, p - row_number() OVER (PARTITION BY doc_id, item_id, k, p - q ORDER BY p) AS run, p - q AS diagonal FROM found),
-        matches AS (SELECT doc_id, item_id, min(p) - 1 AS place, count(*) + k - 1 AS size FROM runs GROUP BY doc_id, item_id, k, diagonal, run),
+        spots AS (SELECT DISTINCT doc_id, p, k FROM found),
+        dword AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM dw WHERE doc_id IN (SELECT doc_id FROM spots)),
+        iword AS (SELECT item_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM iw),
+        equal_words AS (SELECT doc_id, item_id, p, p - q AS diagonal FROM dword JOIN iword USING (word)),
+        runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS run FROM equal_words),
+        stretches AS (SELECT doc_id, item_id, min(p) AS p, count(*) AS size FROM runs GROUP BY doc_id, item_id, diagonal, run),
+        matches AS (
+          SELECT doc_id, item_id, s.p - 1 AS place, size FROM stretches s
+          WHERE EXISTS (SELECT 1 FROM spots o WHERE o.doc_id = s.doc_id AND o.p >= s.p AND o.p + o.k <= s.p + s.size)),
         longest AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, place, item_id) = 1),
         hits AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS spot FROM found) GROUP BY doc_id),
         items AS (

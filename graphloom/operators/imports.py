@@ -23,30 +23,34 @@ NO_NAMES = "cast(array() as array<string>)"
 def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     """imports with resolution_status, target_file_id and detail, row by row, by the rule of each file's language.
 
-    Rows are numbered and stored first, with the path that each names, and joined back by their
-    number: ids of imports may repeat.  Unknown languages stay unresolved; imports of unknown
-    files are left out."""
+    The path that each import names is worked out once and stored with it.  Distinct paths meet the
+    files, and what they find is joined back by path: however many imports name a module, it is
+    looked up once.  Ids of imports may repeat.  Unknown languages stay unresolved; imports of
+    unknown files are left out."""
     source = files.select(F.col("id").alias("file_id"), F.col("path").alias("source_path"), "language")
     named = imports.join(source, "file_id").withColumn("names", F.coalesce("imported_names", F.expr(NO_NAMES)))
     python, path, module = F.col("language") == "python", F.col("source_path"), F.col("module")
     relative = F.col("language").isin("javascript", "typescript") & F.startswith(module, F.lit("."))
-    target = F.when(python, python_target(path, module, F.col("names"))).when(relative, collapsed(join(parent(slashed(path)), module)))
-    refs = stored(named.withColumn("target", target).withColumn("ref", F.monotonically_increasing_id()), "references")
-    python = refs.where("language = 'python'")
-    ecmascript = refs.where("language in ('javascript', 'typescript')")
-    other = refs.where("language not in ('python', 'javascript', 'typescript') or language is null")
-    none = outcome(other, F.concat(F.lit("there is no rule for files of language "), quoted(F.coalesce("language", F.lit("None")))))
+    aimed = F.when(python, python_target(path, module, F.col("names"))).when(relative, collapsed(join(parent(slashed(path)), module)))
+    refs = stored(named.select(*[F.col(c) for c in imports.columns], F.col("language").alias("__language"), F.col("names").alias("__names"), aimed.alias("__target")), "references")
+    python = refs.where("__language = 'python'")
+    ecmascript = refs.where("__language in ('javascript', 'typescript')")
+    other = refs.where("__language not in ('python', 'javascript', 'typescript') or __language is null")
+    none = outcome(other, F.concat(F.lit("there is no rule for files of language "), quoted(F.coalesce("__language", F.lit("None")))))
     results = resolve_python(files, python).unionByName(resolve_ecmascript(files, ecmascript)).unionByName(none)
-    return refs.join(results, "ref").select(*imports.columns, "resolution_status", "target_file_id", "detail")
+    return results.drop("__language", "__names", "__target")
 
 
 def outcome(refs: DataFrame, detail: Column, status: str = "unresolved") -> DataFrame:
     """refs that have no target, with the reason."""
-    return refs.select("ref", F.lit(status).alias("resolution_status"), F.lit(None).cast("string").alias("target_file_id"), detail.alias("detail"))
+    return refs.withColumns({"resolution_status": F.lit(status), "target_file_id": F.lit(None).cast("string"), "detail": detail})
 
 
-def endings(kinds: tuple[str, ...]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("text")) for i, e in enumerate(kinds)]))
+def stems(paths: DataFrame, endings: tuple[str, ...]) -> DataFrame:
+    """paths with (stem, rank) for each ending that `path` has, the ending taken off."""
+    path = F.col("path")
+    each = [F.when(F.endswith(path, F.lit(e)), F.struct(F.expr(f"left(path, length(path) - {len(e)})").alias("stem"), F.lit(i).alias("rank"))) for i, e in enumerate(endings)]
+    return paths.withColumn("of", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull()))).select(*paths.columns, "of.stem", "of.rank")
 
 
 # ---- Python ---------------------------------------------------------------------
@@ -63,24 +67,25 @@ def python_target(source_path: Column, module: Column, names: Column) -> Column:
 
 def resolve_python(files: DataFrame, refs: DataFrame) -> DataFrame:
     bare = F.rlike(F.col("module"), F.lit(r"^\.+$"))
-    shown = F.when(bare, F.concat("module", F.get("names", F.lit(0)))).otherwise(F.col("module"))
-    aimed = refs.withColumn("shown", shown)
-    many = outcome(aimed.where("target is null"), F.concat(quoted(F.col("module")), F.lit(" stands for as many files as it has names: "), F.size("names").cast("string")), "ambiguous")
-    one = aimed.where("target is not null").select("ref", "repository_id", "shown", F.regexp_replace("target", r"^[./]+", "").alias("target"), (segments(F.col("target")) > 1).alias("deep"))
-    wanted = one.withColumn("ending", endings(PYTHON_ENDINGS)).select("ref", "repository_id", "deep", F.concat("target", "ending.text").alias("path"), F.col("ending.rank").cast("string").alias("rank"))
+    shown = F.when(bare, F.concat("module", F.get("__names", F.lit(0)))).otherwise(F.col("module"))
+    many = outcome(refs.where("__target is null"), F.concat(quoted(F.col("module")), F.lit(" stands for as many files as it has names: "), F.size("__names").cast("string")), "ambiguous")
+    one = refs.where("__target is not null").withColumns({"__deep": segments(F.col("__target")) > 1, "__target": F.regexp_replace("__target", r"^[./]+", "")})
+    wanted = one.select("repository_id", "__target", "__deep").distinct()
     # a file can be named by its whole path or, for targets of several parts, by a tail of it that begins below some source root
     known = files.where("language = 'python'").select("repository_id", F.col("id").alias("hit"), normalized(F.col("path")).alias("whole"))
     tails = F.filter(proper_suffixes(F.col("whole")), lambda t: F.contains(t, F.lit("/")))
-    places = known.withColumn("path", F.explode(F.concat(F.array("whole"), tails)))
-    hits = wanted.join(places, ["repository_id", "path"]).withColumn("exact", F.col("path") == F.col("whole")).where("exact or deep")
-    # tails count only where there is no exact hit; a file meets a reference once at most
-    some = hits.groupBy("ref").agg(
+    places = stems(known.withColumn("path", F.explode(F.concat(F.array("whole"), tails))), PYTHON_ENDINGS)
+    marked = places.select("repository_id", F.col("stem").alias("__target"), "hit", "whole", F.col("rank").cast("string").alias("rank"), (F.col("path") == F.col("whole")).alias("exact"))
+    hits = wanted.join(marked, ["repository_id", "__target"]).where("exact or __deep")
+    # tails count only where there is no exact hit; a file meets a target once at most
+    some = hits.groupBy("repository_id", "__target", "__deep").agg(
         F.count_if("exact").alias("n_exact"), F.min_by("hit", F.when(F.col("exact"), F.col("rank"))).alias("exact_hit"),
         F.count_if(~F.col("exact")).alias("n_tail"), F.min_by("hit", F.when(~F.col("exact"), F.col("whole"))).alias("tail_hit"),
     )
     exact = F.col("n_exact") > 0
-    found = some.select("ref", F.when(exact, F.col("n_exact")).otherwise(F.col("n_tail")).alias("n"), F.when(exact, F.col("exact_hit")).otherwise(F.col("tail_hit")).alias("target_file_id"))
-    return counted(one, found, F.concat(F.lit("no file here fits "), quoted(F.col("shown")), F.lit("; it may come from elsewhere"))).unionByName(many)
+    found = some.select("repository_id", "__target", "__deep", F.when(exact, F.col("n_exact")).otherwise(F.col("n_tail")).alias("n"), F.when(exact, F.col("exact_hit")).otherwise(F.col("tail_hit")).alias("target_file_id"))
+    nothing = F.concat(F.lit("no file here fits "), quoted(shown), F.lit("; it may come from elsewhere"))
+    return counted(one, found, ["repository_id", "__target", "__deep"], shown, nothing).drop("__deep").unionByName(many)
 
 
 # ---- JavaScript and TypeScript ----------------------------------------------------
@@ -89,17 +94,17 @@ def resolve_python(files: DataFrame, refs: DataFrame) -> DataFrame:
 def resolve_ecmascript(files: DataFrame, refs: DataFrame) -> DataFrame:
     relative = F.startswith("module", F.lit("."))
     bare = outcome(refs.where(~relative), F.concat(quoted(F.col("module")), F.lit(" names a package, and packages lie outside")))
-    one = refs.where(relative).select("ref", "repository_id", F.col("module").alias("shown"), "target")
-    known = files.where("language in ('javascript', 'typescript')").select("repository_id", F.col("id").alias("hit"), "path")
-    wanted = one.withColumn("ending", endings(ECMASCRIPT_ENDINGS)).withColumn("path", F.concat("target", "ending.text"))
-    hits = wanted.join(known, ["repository_id", "path"]).groupBy("ref").agg(F.count_distinct("hit").alias("n"), F.min_by("hit", "ending.rank").alias("target_file_id"))
-    return counted(one, hits, F.concat(F.lit("no file here fits "), quoted(F.col("shown")))).unionByName(bare)
+    one = refs.where(relative)
+    known = stems(files.where("language in ('javascript', 'typescript')").select("repository_id", F.col("id").alias("hit"), "path"), ECMASCRIPT_ENDINGS)
+    hits = one.select("repository_id", "__target").distinct().join(known.withColumnRenamed("stem", "__target"), ["repository_id", "__target"])
+    found = hits.groupBy("repository_id", "__target").agg(F.count_distinct("hit").alias("n"), F.min_by("hit", "rank").alias("target_file_id"))
+    return counted(one, found, ["repository_id", "__target"], F.col("module"), F.concat(F.lit("no file here fits "), quoted(F.col("module")))).unionByName(bare)
 
 
-def counted(refs: DataFrame, found: DataFrame, nothing: Column) -> DataFrame:
-    """No hit: unresolved.  One file: resolved.  Several: ambiguous, the first in order is kept."""
+def counted(refs: DataFrame, found: DataFrame, keys: list[str], shown: Column, nothing: Column) -> DataFrame:
+    """refs with what their targets found.  No hit: unresolved.  One file: resolved.  Several: ambiguous, the first in order is kept."""
     n = F.coalesce("n", F.lit(0))
     status = F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
-    several = F.concat(n.cast("string"), F.lit(" files here fit "), quoted(F.col("shown")))
-    joined = refs.join(found, "ref", "left")
-    return joined.select("ref", status.alias("resolution_status"), "target_file_id", F.when(n == 0, nothing).when(n > 1, several).alias("detail"))
+    several = F.concat(n.cast("string"), F.lit(" files here fit "), quoted(shown))
+    joined = refs.join(found, keys, "left")
+    return joined.withColumns({"resolution_status": status, "detail": F.when(n == 0, nothing).when(n > 1, several)}).select(*refs.columns, "resolution_status", "target_file_id", "detail")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shaping import quoted
+from .skew import dealt_join, maybe_present
 
 
 class Scope:
@@ -41,7 +42,9 @@ def outcome(status: str | Column, file_id: Column | None = None, symbol_id: Colu
 def candidates(scope: Scope, refs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """refs with, for each kind: n_own and own (the file's top level), n_from and from (distinct imported definitions).
 
-    All kinds are looked up in the same joins."""
+    All kinds are looked up in the same joins.  Of names asked through wildcards only those that some
+    wildcard's file may define are joined, by a bitmap; a name that very many files ask of one file is
+    dealt out."""
     some = F.col("kind").isin(*kinds)
     of = {k: F.col("kind") == k for k in kinds}
     own = scope.top.where(some).groupBy("file_id", "name").agg(*[c for k in kinds for c in (F.max(F.when(of[k], F.col("n"))).alias(f"n_own_{k}"), F.max(F.when(of[k], F.col("symbol_id"))).alias(f"own_{k}"))])
@@ -49,7 +52,10 @@ def candidates(scope: Scope, refs: DataFrame, kinds: tuple[str, ...]) -> DataFra
     bound = scope.bindings.where("target_file_id is not null").withColumnRenamed("bound", "name")
     columns = ["file_id", "name", "kind", "symbol_id", "target_file_id"]
     explicit = refs.join(bound, ["file_id", "name"]).join(unique, ["target_file_id", "name"]).select(columns)
-    wild = refs.join(scope.wildcards, "file_id").join(unique, ["target_file_id", "name"]).select(columns)
+    offered = unique.join(scope.wildcards.select("target_file_id").distinct(), "target_file_id", "left_semi")
+    asked = maybe_present(refs.select("file_id", "name"), ["name"], offered).join(scope.wildcards, "file_id")
+    asked = maybe_present(asked, ["target_file_id", "name"], offered)
+    wild = dealt_join(asked, offered, ["target_file_id", "name"], "file_id").select(columns)
     first = F.struct("symbol_id", "target_file_id")
     brought = explicit.unionByName(wild).distinct().groupBy("file_id", "name").agg(*[c for k in kinds for c in (F.count_if(of[k]).alias(f"n_from_{k}"), F.min(F.when(of[k], first)).alias(f"from_{k}"))])
     return refs.join(own, ["file_id", "name"], "left").join(brought, ["file_id", "name"], "left")

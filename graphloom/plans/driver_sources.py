@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import listings
+from ..schemas import DEPENDENCY_EDGES
 from ..scratch import stored
 from ..sources import files, parsing
 from . import responses
 from .driver_tables import Tables, query
-from .project import graph_edges, graph_nodes
+from .project import fitted, graph_edges, graph_nodes
 
 PYTHON = """import {n} as t
 from .{b} import a, z as c
@@ -212,13 +213,16 @@ def repository(spark) -> DataFrame:
 
 
 @query(f"""WITH {SOURCES} SELECT 'contains' AS kind, 'R0' AS source, path AS target FROM good
-  UNION ALL SELECT 'defines', path, qualified_name FROM s UNION ALL SELECT 'contains', split_part(qualified_name, '.', 1), qualified_name FROM s WHERE contains(qualified_name, '.')""")
+  UNION ALL SELECT 'defines', path, qualified_name FROM s UNION ALL SELECT 'contains', split_part(qualified_name, '.', 1), qualified_name FROM s WHERE contains(qualified_name, '.')
+  UNION ALL SELECT 'calls', qualified_name, split_part(qualified_name, '.', 1) FROM s WHERE contains(qualified_name, '.')""")
 def answer_relationships(spark, sf_dir):
-    """Structure of the projected graph, with both ends named."""
+    """The projected graph with both ends named: its structure, and a resolved call of each nested symbol to its parent; the ambiguous ones vanish."""
     parse = tables(Tables(spark, sf_dir))
-    none = spark.createDataFrame([], "id string, repository_id string, kind string, resolution_status string, source_file_id string, source_symbol_id string, target_file_id string, target_symbol_id string, raw_target_expression string")
+    state = F.explode(F.array(F.lit("resolved"), F.lit("ambiguous")))
+    calls = parse["symbols"].where("parent_symbol_id is not null").withColumn("resolution_status", state)
+    calls = fitted(calls.select(F.concat(F.lit("E"), "id").alias("id"), F.lit("R0").alias("repository_id"), F.lit("calls").alias("kind"), "resolution_status", F.col("id").alias("source_symbol_id"), F.col("parent_symbol_id").alias("target_symbol_id"), F.col("qualified_name").alias("raw_target_expression")), DEPENDENCY_EDGES)
     nodes = graph_nodes(repository(spark), parse["parsed_files"], parse["symbols"], None)
     labels = nodes.select("id", F.coalesce("display_name", "path", "qualified_name").alias("label"))
-    rows = responses.relationships(graph_edges(parse["parsed_files"], parse["symbols"], none))
+    rows = responses.relationships(graph_edges(parse["parsed_files"], parse["symbols"], calls))
     ends = rows.join(labels.select(F.col("id").alias("source_id"), F.col("label").alias("source")), "source_id").join(labels.select(F.col("id").alias("target_id"), F.col("label").alias("target")), "target_id")
     return ends.select("kind", "source", "target")

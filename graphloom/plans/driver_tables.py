@@ -19,7 +19,7 @@ from ..operators import graph, listings, summaries, views
 from ..operators.adjacency import Adjacency, stored_side
 from ..operators.imports import ECMASCRIPT_ENDINGS, resolve_imports
 from ..operators.symbols import Scope, bare_names, call_names, instance_names, qualified_names, resolve_bases
-from ..schemas import GRAPH_EDGES, GRAPH_NODES
+from ..schemas import DEPENDENCY_EDGES, GRAPH_EDGES, GRAPH_NODES
 from ..scratch import scratch, stored
 from ..settings import Settings
 from ..sources import archives, clones, files
@@ -517,6 +517,28 @@ def resolve_by_name(spark, sf_dir):
     return bare_names(without_imports(t, brand_symbols(t)), asked_names(t), "function").groupBy("result.status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH c AS (SELECT 'C' || c_custkey AS file_id, c_custkey % 3 = 0 AS third, c_nationkey AS n, c_mktsegment AS segment FROM customer)
+  SELECT file_id, segment AS name, 'resolved' AS status, 'S0_' || segment AS target_symbol_id FROM c
+  UNION ALL SELECT file_id, 'n_' || n, 'resolved', 'S' || n || '_n' FROM c
+  UNION ALL SELECT file_id, 'shared', CASE WHEN third AND n <> 0 THEN 'ambiguous' ELSE 'resolved' END, CASE WHEN NOT third OR n = 0 THEN 'S0_shared' END FROM c
+  UNION ALL SELECT file_id, 'nowhere', 'unresolved', NULL FROM c""")
+def resolve_hot_names(spark, sf_dir):
+    """Every customer is a file with a wildcard import of the first nation's file, which defines all segments and a shared name,
+    and an import by name of a function of its own nation; every third also imports the shared name by name."""
+    t = Tables(spark, sf_dir)
+    number = F.col("n_nationkey").cast("string")
+    own = F.explode(F.array(F.struct(F.concat(F.lit("n_"), number).alias("name"), F.lit("_n").alias("tail")), F.struct(F.lit("shared").alias("name"), F.lit("_shared").alias("tail"))))
+    nations = t.nation.withColumn("of", own).select(F.concat(F.lit("S"), number, "of.tail").alias("id"), F.concat(F.lit("N"), number).alias("file_id"), "of.name")
+    segments = t.customer.select("c_mktsegment").distinct().select(F.concat(F.lit("S0_"), "c_mktsegment").alias("id"), F.lit("N0").alias("file_id"), F.col("c_mktsegment").alias("name"))
+    symbols = nations.unionByName(segments).withColumns({"parent_symbol_id": F.lit(None).cast("string"), "kind": F.lit("function")})
+    file, nation = F.concat(F.lit("C"), F.col("c_custkey").cast("string")), F.col("c_nationkey").cast("string")
+    names = F.when(F.col("c_custkey") % 3 == 0, F.array(F.concat(F.lit("n_"), nation), F.lit("shared"))).otherwise(F.array(F.concat(F.lit("n_"), nation)))
+    said = F.explode(F.array(F.struct(F.array(F.lit("*")).alias("names"), F.lit("N0").alias("target")), F.struct(names.alias("names"), F.concat(F.lit("N"), nation).alias("target"))))
+    imports = t.customer.withColumn("said", said).select(file.alias("file_id"), F.lit(None).cast("string").alias("alias"), F.col("said.names").alias("imported_names"), F.lit("resolved").alias("resolution_status"), F.col("said.target").alias("target_file_id"))
+    refs = t.customer.select(file.alias("file_id"), F.explode(F.array(F.col("c_mktsegment"), F.concat(F.lit("n_"), nation), F.lit("shared"), F.lit("nowhere"))).alias("name"))
+    return bare_names(Scope(symbols, imports), refs, "function").select("file_id", "name", "result.status", "result.target_symbol_id")
+
+
 def module_files(t: Tables) -> DataFrame:
     brand = F.lower(F.translate("p_brand", "#", "_"))
     return t.part.select(part_id("p_partkey").alias("id"), F.lit("R0").alias("repository_id"), F.concat(F.lit("src/"), brand, F.lit("/"), F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"))
@@ -830,4 +852,58 @@ def store_versions(spark, sf_dir):
     return store.table("graph_edges").select("source_id", "target_id", "kind", "repository_id")
 
 
+@query(f"""WITH {EDGES}, {NODES}, kept AS (SELECT * FROM edges WHERE kind <> 'calls' OR source_id < target_id),
+    ends AS (SELECT source_id AS id, 0 AS n_in, 1 AS n_out, kind, false AS loop FROM kept UNION ALL SELECT target_id, 1, 0, kind, source_id = target_id FROM kept),
+    sums AS (SELECT id, sum(n_in) AS n_in, sum(n_out) AS n_out, count(*) FILTER (kind = 'imports' AND NOT loop) AS n_imports, count(*) FILTER (kind IN ('calls', 'inherits') AND NOT loop) AS n_uses FROM ends GROUP BY 1)
+  SELECT id, nodes.kind AS kind, CAST(coalesce(n_in, 0) AS BIGINT) AS n_in, CAST(coalesce(n_out, 0) AS BIGINT) AS n_out, coalesce(n_imports, 0) AS n_imports, coalesce(n_uses, 0) AS n_uses FROM nodes LEFT JOIN sums USING (id)""")
+def summaries_after_replace(spark, sf_dir):
+    """Degrees saved with the calls of one direction alone, then merged with those that come; the SQL recounts all that is there at the end."""
+    t = Tables(spark, sf_dir)
+    store = Store(spark, scratch(spark, "summaries"))
+    edges, nodes = stored(t.edges, "edges"), t.nodes
+    backward, forward = (edges.where(f"kind = 'calls' and {which}") for which in ("source_id >= target_id", "source_id < target_id"))
+    rest = edges.where("kind <> 'calls'")
+    store.replace("node_degrees", "R0", summaries.node_degrees(nodes, rest.unionByName(backward)).withColumn("repository_id", F.lit("R0")))
+    merged = summaries.merged_degrees(store.table("node_degrees", "R0"), forward, backward)
+    store.replace("node_degrees", "R0", merged.withColumn("repository_id", F.lit("R0")))
+    return store.table("node_degrees", "R0").drop("repository_id")
+
+
+@query(f"""WITH {DEPENDENCIES} SELECT id, repository_id, kind, start_line FROM deps WHERE id IN ('O1', 'O2', 'O3', 'O4', 'O5', 'O6', 'O7', 'O17', 'O33')""")
+def lookups_by_id(spark, sf_dir):
+    """Orders saved as the edges of nine repositories; some looked up by id, through the index alone."""
+    t = Tables(spark, sf_dir)
+    store = Store(spark, scratch(spark, "lookups"))
+    edges = fitted(t.dependency_edges, DEPENDENCY_EDGES)
+    number = F.pmod(F.substring("id", 2, 20).cast("bigint"), F.lit(9))
+    for k in range(9):
+        store.replace("dependency_edges", f"R{k}", edges.where(number == k).withColumn("repository_id", F.lit(f"R{k}")))
+    found = None
+    for key in ("O1", "O2", "O3", "O4", "O5", "O6", "O7", "O17", "O33"):
+        one = store.lookup("dependency_edges", key)
+        found = one if found is None else found.unionByName(one)
+    return found.select("id", F.lit("R0").alias("repository_id"), "kind", "start_line")
+
+
+@query(f"WITH {DEPENDENCIES} SELECT id, start_line FROM deps WHERE kind = 'calls' ORDER BY start_line, id")
+def pages_by_cursor(spark, sf_dir):
+    """All calls, a page at a time, each page sought behind the last key of the one before."""
+    t = Tables(spark, sf_dir)
+    store = Store(spark, scratch(spark, "pages"))
+    store.replace("dependency_edges", "R0", fitted(t.dependency_edges, DEPENDENCY_EDGES))
+    keys, cursor, pages = ["start_line", "id"], None, []
+    size = 1 + store.table("dependency_edges", "R0").count() // 20  # twenty pages, whatever the size
+    while True:
+        page = stored(store.page_after("dependency_edges", "R0", cursor, size, F.col("kind") == "calls").select(*keys), "page", 1)
+        pages.append(page)
+        last = page.orderBy(*[F.desc(k) for k in keys]).first()
+        if last is None or page.count() < size:
+            break
+        cursor = tuple(last)
+    whole = pages[0]
+    for page in pages[1:]:
+        whole = whole.unionByName(page)
+    return whole.select("id", "start_line")
+
+
 from . import driver_sources  # noqa: E402, F401  (registers its queries)

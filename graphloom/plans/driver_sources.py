@@ -79,7 +79,7 @@ def found(t: Tables) -> DataFrame:
 def tables(t: Tables) -> dict[str, DataFrame]:
     """The six tables of one parse of all files."""
     seen = stored(found(t), "found")
-    return parsing.relational("R0", seen, stored(parsing.parsed(seen), "parsed"))
+    return parsing.relational("R0", stored(parsing.parsed(seen), "parsed"))
 
 
 # the same files in SQL: p has the readable ones, whole has those with text

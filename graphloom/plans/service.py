@@ -137,7 +137,8 @@ class Engine:
         self.store.upsert("repositories", row)
         try:
             fetch(workspace)
-            facts = files.scan(self.spark, workspace).first().asDict(recursive=True)
+            with temporary(self.spark):
+                facts = files.scan(self.spark, workspace).first().asDict(recursive=True)
             row |= {f"meta_{k}": v for k, v in facts.items()} | {"status": "ready"}
         except Exception as problem:
             workspaces.delete_workspace(self.settings.workspace_root, workspace)
@@ -161,12 +162,10 @@ class Engine:
     def parse(self, repository_id: str) -> dict:
         """Parse a ready repository's workspace and replace its six tables."""
         row = self._ready(repository_id)
-        found = files.discovered(self.spark, row["workspace_path"], self.settings.max_source_bytes)
-        rows = parsing.parsed(found).persist()
-        try:
-            self.store.replace_all(repository_id, parsing.relational(repository_id, found, rows))
-        finally:
-            rows.unpersist()
+        with temporary(self.spark):
+            found = files.discovered(self.spark, row["workspace_path"], self.settings.max_source_bytes)
+            rows = stored(parsing.parsed(found, seconds=self.settings.parse_seconds), "parsed")
+            self.store.replace_all(repository_id, parsing.relational(repository_id, rows))
         t = lambda name: self._t(name, repository_id)
         return listings.parse_summary(t("parsed_files"), t("parse_errors"), t("symbols"), t("imports")).first().asDict()
 

@@ -22,3 +22,4 @@ class Settings:
     max_path_depth: int = 15
     max_limit: int = 500
     query_timeout_seconds: float = 10.0
+    parse_seconds: float = 60.0

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import suffix
 from ..functions.shaping import percent
+from ..scratch import stored
 
 # fixed values: folders and files passed over, bytes sniffed for NUL, and the suffix tables
 IGNORED = (".git", "node_modules", "__pycache__", ".venv", "dist", "build")
@@ -25,18 +27,21 @@ COUNTED_SUFFIXES = {
 }
 
 ENTRIES = "relative_path string, is_dir boolean, length bigint, error string"
+#: Bytes of contents in one batch.
+READ_AT_ONCE = 8 << 20
+#: Entries that a task lists before it hands folders on to the next round.
+LISTED = 20_000
 
 
-def walk(root: Path, below: str = "") -> Iterator[tuple[str, bool, int | None, str | None]]:
-    """(relative path, is folder, size, error) of everything not ignored; links are never followed."""
-    with os.scandir(root / below if below else root) as entries:
+def entries_of(root: str, folder: str) -> Iterator[tuple[str, bool, int | None, str | None]]:
+    """(relative path, is folder, size, error) of what lies in one folder, but for what is ignored; links are passed over."""
+    with os.scandir(os.path.join(root, folder) if folder else root) as entries:
         for entry in sorted(entries, key=lambda e: e.name):
             if entry.name in IGNORED or entry.is_symlink():
                 continue
-            path = f"{below}/{entry.name}" if below else entry.name
+            path = f"{folder}/{entry.name}" if folder else entry.name
             if entry.is_dir(follow_symlinks=False):
                 yield path, True, None, None
-                yield from walk(root, path)
                 continue
             try:
                 yield path, False, entry.stat(follow_symlinks=False).st_size, None
@@ -44,12 +49,80 @@ def walk(root: Path, below: str = "") -> Iterator[tuple[str, bool, int | None, s
                 yield path, False, None, f"size unknown: {problem}"
 
 
-def listing(spark: SparkSession, root: str | Path) -> DataFrame:
-    """The driver's listing of a workspace (names and sizes only, no contents).
+def lister(root: str, most: int):
+    """mapInArrow body: folders to what lies below them; folders that are left when `most` entries are listed come out as pending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folders, rows, listed = batch.column(0).to_pylist()[::-1], [], 0
+            while folders:
+                if listed >= most:
+                    rows += [(folder, True, None, None, True) for folder in folders]
+                    break
+                for entry in entries_of(root, folders.pop()):
+                    rows.append((*entry, False))
+                    listed += 1
+                    if entry[1]:
+                        folders.append(entry[0])
+            for at in range(0, len(rows), 10_000):
+                columns = zip(*rows[at : at + 10_000], strict=True)
+                kinds = (pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["relative_path", "is_dir", "length", "error", "pending"])
+
+    return run
 
-    A workspace is one repository: an archive's entries are limited before it is unpacked
-    (max_archive_entries), a clone's bytes after it was made (max_clone_bytes)."""
-    return spark.createDataFrame(list(walk(Path(root).resolve())), ENTRIES)
+
+def listing(spark: SparkSession, root: str | Path) -> DataFrame:
+    """Names and sizes of everything in a workspace, listed by executors.
+
+    A task lists folders and what lies below them; when it has listed LISTED entries, the folders it
+    has left are dealt out anew, so a large tree is spread over tasks round by round.  No path comes
+    to the driver."""
+    base = str(Path(root).resolve())
+    folders, whole = spark.createDataFrame([("",)], "relative_path string"), None
+    while True:
+        found = stored(folders.mapInArrow(lister(base, LISTED), f"{ENTRIES}, pending boolean"), "listing")
+        rows = found.where("not pending").drop("pending")
+        whole = rows if whole is None else whole.unionByName(rows)
+        folders = found.where("pending").select("relative_path").repartition("relative_path")
+        if folders.isEmpty():
+            return whole
+
+
+def contents(root: str, path: str, most: int) -> tuple[bytes | None, str | None]:
+    """A file's bytes, or why not: links that took its place are not followed, files that grew beyond `most` are not read."""
+    try:
+        with open(os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW), "rb") as file:
+            read = file.read(most + 1)
+    except OSError as problem:
+        return None, f"contents unreadable: {problem.strerror}"
+    return (read, None) if len(read) <= most else (None, "it grew while it was read")
+
+
+def reader(root: str, most: int):
+    """mapInArrow body over (relative_path, length, error): with content, a few files a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["relative_path", "length", "error", "content"])
+
+            for path, length, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = None
+                if error is None and length is not None and length <= most:
+                    content, error = contents(root, path, most)
+                rows.append((path, length, error, content))
+                held += len(content or b"")
+                if held > READ_AT_ONCE:
+                    yield out()
+                    rows, held = [], 0
+            if rows:
+                yield out()
+
+    return run
 
 
 def language_of(path: Column) -> Column:
@@ -85,19 +158,12 @@ def classified(rows: DataFrame, max_bytes: int) -> DataFrame:
 def discovered(spark: SparkSession, root: str | Path, max_bytes: int) -> DataFrame:
     """relative_path, content, stage, reason of every listed file, as classified() gives them.
 
-    Sizes come from the listing.  Executors read contents under a filter on the length that
-    the scan takes over, so a longer file is never opened.  Links cannot enter since only
-    listed paths survive the join."""
-    base = Path(root).resolve()
+    Listing and reading are done by executors, which must see the workspace at the same path; files
+    that are too long by the listing are never opened, and links are never followed."""
+    base = str(Path(root).resolve())
     known = listing(spark, base).where(~F.col("is_dir")).select("relative_path", "length", "error")
-    read = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(f"file://{base}")
-        .where(F.col("length") <= max_bytes)
-        .select(F.substring(F.regexp_replace("path", "^file:/*", "/"), len(f"{base}/") + 1, 1 << 20).alias("relative_path"), "content")
-    )
-    # a scan passes over files without bytes; they are candidates all the same
-    content = F.when(F.col("length") == 0, F.coalesce("content", F.lit(b""))).otherwise(F.col("content"))
-    return classified(known.join(read, "relative_path", "left").withColumn("content", content), max_bytes)
+    small_batches = known.repartition("relative_path").mapInArrow(reader(base, max_bytes), "relative_path string, length bigint, error string, content binary")
+    return classified(small_batches, max_bytes)
 
 
 def metadata(entries: DataFrame, has_git: bool, scanned_at: datetime | None = None) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import signal
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -13,6 +16,9 @@ from ..functions.ids import PARSE_NAMESPACE, uuid5
 from .files import is_tsx, language_of
 from .records import FileRecord
 
+#: Time that one file may take.
+PARSE_SECONDS = 60.0
+
 PARAMETER = pa.struct([("name", pa.string()), ("annotation", pa.string()), ("default_value", pa.string())])
 CALL = pa.struct([("callee", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
 SYMBOL = pa.struct([
@@ -22,10 +28,10 @@ SYMBOL = pa.struct([
 ])
 IMPORT = pa.struct([("module", pa.string()), ("names", pa.list_(pa.string())), ("alias", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
 PARSED = pa.schema([
-    ("relative_path", pa.string()), ("language", pa.string()), ("has_syntax_errors", pa.bool_()), ("failure", pa.string()),
+    ("relative_path", pa.string()), ("language", pa.string()), ("has_syntax_errors", pa.bool_()), ("stage", pa.string()), ("failure", pa.string()),
     ("symbols", pa.list_(SYMBOL)), ("imports", pa.list_(IMPORT)),
 ])
-PARSED_DDL = """relative_path string, language string, has_syntax_errors boolean, failure string,
+PARSED_DDL = """relative_path string, language string, has_syntax_errors boolean, stage string, failure string,
   symbols array<struct<kind:string,name:string,qualified_name:string,parent:int,start_line:int,end_line:int,start_column:int,end_column:int,bases:array<string>,
     parameters:array<struct<name:string,annotation:string,default_value:string>>,
     calls:array<struct<callee:string,start_line:int,end_line:int>>>>,
@@ -43,7 +49,7 @@ def parser_for(language: str, tsx: bool):
     return lambda source: parse_ecmascript(source, typed=typed, jsx=tsx or not typed)
 
 
-def as_row(path: str, language: str, record: FileRecord | None, failure: str | None) -> dict:
+def as_row(path: str, language: str | None, record: FileRecord | None, failure: str | None, stage: str = "parse") -> dict:
     symbols = [
         {
             "kind": s.kind, "name": s.name, "qualified_name": s.qualified_name, "parent": s.parent,
@@ -55,31 +61,66 @@ def as_row(path: str, language: str, record: FileRecord | None, failure: str | N
         for s in (record.symbols if record else ())
     ]
     imports = [{"module": i.module, "names": i.names, "alias": i.alias, "start_line": i.start_line, "end_line": i.end_line} for i in (record.imports if record else ())]
-    return {"relative_path": path, "language": language, "has_syntax_errors": bool(record and record.has_syntax_errors), "failure": failure, "symbols": symbols, "imports": imports}
+    return {"relative_path": path, "language": language, "has_syntax_errors": bool(record and record.has_syntax_errors), "stage": stage, "failure": failure, "symbols": symbols, "imports": imports}
+
+
+class TooSlow(Exception):
+    """A file's time is up."""
+
+
+@contextmanager
+def deadline(seconds: float) -> Iterator[None]:
+    """Raise TooSlow inside the block once the time is up; a worker's main thread alone can be stopped so."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise TooSlow(f"not parsed within {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parse_batches(parser: Callable[[str, bool], Callable[[bytes], FileRecord]], seconds: float):
+    """mapInArrow body over (relative_path, language, tsx, content, stage, reason): nested rows, no text in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):  # a file at a time, a few files a batch
+                rows = []
+                for path, language, tsx, content, stage, reason in zip(*(c.to_pylist() for c in batch.slice(at, 16).columns), strict=True):
+                    if stage is not None:
+                        rows.append(as_row(path, language, None, reason, stage))
+                        continue
+                    try:
+                        with deadline(seconds):
+                            record = parser(language, tsx)(content)
+                        rows.append(as_row(path, language, record, None))
+                    except Exception as problem:  # one file never stops the others; it becomes a row of parse_errors
+                        rows.append(as_row(path, language, None, f"{type(problem).__name__}: {problem}"))
+                yield pa.RecordBatch.from_pylist(rows, PARSED)
 
+    return run
 
-def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body over (relative_path, language, tsx, content): nested rows, no text in between."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 16):  # a file at a time, a few files a batch
-            rows = []
-            for path, language, tsx, content in zip(*(c.to_pylist() for c in batch.slice(at, 16).columns), strict=True):
-                try:
-                    rows.append(as_row(path, language, parser_for(language, tsx)(content), None))
-                except Exception as problem:  # one file never stops the others; it becomes a row of parse_errors
-                    rows.append(as_row(path, language, None, f"{type(problem).__name__}: {problem}"))
-            yield pa.RecordBatch.from_pylist(rows, PARSED)
 
+def parsed(found: DataFrame, parser: Callable[[str, bool], Callable[[bytes], FileRecord]] = parser_for, seconds: float = PARSE_SECONDS) -> DataFrame:
+    """One row per supported candidate of discovered(): its symbols and imports, or its failure; and one
+    per file that could not be read, with the stage and the reason.
 
-def parsed(found: DataFrame) -> DataFrame:
-    """One row per supported candidate of discovered(): its symbols and imports, or its failure."""
-    candidates = found.where("reason is null").withColumn("language", language_of(F.col("relative_path"))).where("language is not null")
-    flat = candidates.select("relative_path", "language", is_tsx(F.col("relative_path")).alias("tsx"), "content")
-    return flat.mapInArrow(parse_batches, PARSED_DDL)
+    A file that takes more than `seconds` fails; those beside it do not."""
+    candidates = found.withColumn("language", language_of(F.col("relative_path"))).where("stage is not null or reason is null and language is not null")
+    flat = candidates.select("relative_path", "language", is_tsx(F.col("relative_path")).alias("tsx"), "content", "stage", "reason")
+    return flat.mapInArrow(parse_batches(parser, seconds), PARSED_DDL)
 
 
-def relational(repository_id: str, found: DataFrame, rows: DataFrame, at: datetime | None = None) -> dict[str, DataFrame]:
-    """The six tables of one parse, with deterministic identifiers."""
+def relational(repository_id: str, rows: DataFrame, at: datetime | None = None) -> dict[str, DataFrame]:
+    """The six tables of one parse, from the stored rows of parsed(), with deterministic identifiers."""
     now, repo = F.lit(at or datetime.now(UTC)), F.lit(repository_id)
     good = rows.where("failure is null").withColumn("file_id", uuid5(PARSE_NAMESPACE, repo, F.col("relative_path")))
     files = good.select(F.col("file_id").alias("id"), repo.alias("repository_id"), F.col("relative_path").alias("path"), "language", "has_syntax_errors", now.alias("parsed_at"))
@@ -105,9 +146,8 @@ def relational(repository_id: str, found: DataFrame, rows: DataFrame, at: dateti
         uuid5(PARSE_NAMESPACE, repo, F.col("relative_path"), F.col("i.module"), F.col("i.start_line")).alias("id"), "file_id", repo.alias("repository_id"),
         "i.module", F.col("i.names").alias("imported_names"), "i.alias", "i.start_line", "i.end_line",
     )
-    failed = rows.where("failure is not null").select("relative_path", F.lit("parse").alias("stage"), F.col("failure").alias("message"))
-    unread = found.where("stage is not null").select("relative_path", "stage", F.col("reason").alias("message"))
-    errors = failed.unionByName(unread).select(
+    failed = rows.where("failure is not null").select("relative_path", "stage", F.col("failure").alias("message"))
+    errors = failed.select(
         uuid5(PARSE_NAMESPACE, repo, F.col("relative_path"), F.col("stage"), F.lit("error")).alias("id"), repo.alias("repository_id"), F.col("relative_path").alias("file_path"), "stage", "message", now.alias("occurred_at")
     )
     return {"parsed_files": files, "symbols": flat.drop("parameters", "calls"), "parameters": parameters, "call_sites": calls, "imports": imports, "parse_errors": errors}

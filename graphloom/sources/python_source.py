@@ -20,12 +20,10 @@ def parse_python(source: bytes) -> FileRecord:
     return record
 
 
-#: Lines of one attempt; how far a string or bracket left open is followed before its first line counts as
-#: broken; and how often, on average, a line may be read for that.
-SPAN, OPEN_LINES, REREAD = 80, 4_000, 20
+#: Lines of one attempt, and the most that one grows to where its end looks broken.
+SPAN, WIDEST = 80, 320
 #: Words that carry on the statement above, and lines that no attempt may begin with.
 CARRIED = re.compile(r"\s*(?:(?:else|elif|except|finally|case)\b|[)\]}])")
-OPENED = ("was never closed", "unterminated triple-quoted")
 #: What a broken header becomes, so that its block stays: the first word decides.
 HEADERS = {"except": "except Exception:", "elif": "elif 1:", "else": "else:", "finally": "finally:"}
 
@@ -81,13 +79,60 @@ def levels_after(tree: ast.Module, lines: list[str], first: int, levels: list[st
     return [w for k, w in enumerate(out) if not k or len(w) > len(out[k - 1])]
 
 
+#: What the scan for brackets and strings has to tell apart.  Triple quotes are closed by a search of their own.
+PIECE = re.compile(r"""\#[^\n]*|\"{3}|'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[()\[\]{}]|^[ \t]*(?:def|class|return|import|raise|pass|break|continue|while|try|with|del|global|nonlocal|assert)\b""", re.MULTILINE | re.DOTALL)
+OPENED = ("was never closed", "unterminated triple-quoted")
+PARTNER = {")": "(", "]": "[", "}": "{"}
+
+
+def whole_stretches(text: str) -> dict[int, int]:
+    """First line to last line of each bracket or triple-quoted string that is closed again, the outermost ones, from 0.
+
+    One pass: a bracket that is never closed, or whose inside begins a line with a word that only
+    statements begin with, is passed over, and so is a quote without its partner."""
+    found: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    line = at = seen = 0
+    while True:
+        piece = PIECE.search(text, at)
+        if piece is None:
+            break
+        line += text.count("\n", seen, piece.start())
+        seen, at, said = piece.start(), piece.end(), piece[0]
+        if said in ('"""', "'''"):
+            end = at
+            while (end := text.find(said, end)) >= 0 and text[end - 1] == "\\":
+                end += 1
+            if end >= 0:
+                found.append((line, line + text.count("\n", at, end)))
+                at = end + 3
+        elif said in "([{":
+            stack.append((said, line))
+        elif said in PARTNER:
+            if any(kind == PARTNER[said] for kind, _ in stack[-8:]):
+                while (top := stack.pop())[0] != PARTNER[said]:
+                    pass
+                found.append((top[1], line))
+        elif said.lstrip()[0].isalpha():
+            stack.clear()
+    outer: dict[int, int] = {}
+    last = -1
+    for first, end in sorted(found, key=lambda f: (f[0], -f[1])):
+        if end > first and end > last:
+            outer[first], last = end, end
+    return outer
+
+
 def settle(lines: list[str]) -> None:
     """Replace offending lines until every stretch of lines parses."""
-    at, span, levels, budget = 0, SPAN, [], REREAD * len(lines)
+    at, span, levels = 0, SPAN, []
+    inside = [-1] * len(lines)  # the last line of the closed bracket or string that a line is part of, but for its first
+    for first, end in whole_stretches("\n".join(lines)).items():
+        inside[first + 1 : end + 1] = [end] * (end - first)
     while at < len(lines):
         to = min(at + span, len(lines))
-        while to < len(lines) and (not lines[to].strip() or lines[to].lstrip().startswith("#") or CARRIED.match(lines[to])):
-            to += 1
+        while to < len(lines) and (inside[to] >= 0 or not lines[to].strip() or lines[to].lstrip().startswith("#") or CARRIED.match(lines[to])):
+            to = max(to, inside[to]) + 1
         mine = [w for w in levels if len(w) < len(margin(next((x for x in lines[at:to] if x.strip() and not x.lstrip().startswith("#")), "")))]
         tree, problem = attempt(lines, at, to, mine)
         if tree is not None:
@@ -95,10 +140,9 @@ def settle(lines: list[str]) -> None:
             at, span = to, SPAN
             continue
         row = at + (getattr(problem, "lineno", None) or 1) - 1 - len(mine)
-        said = getattr(problem, "msg", "") or ""
-        if to < len(lines) and to - at < OPEN_LINES and budget > 0 and (row >= to - 2 or any(u in said for u in OPENED)):
-            span = 2 * (to - at)
-            budget -= span
+        # what is left open here is closed nowhere; else the end of the stretch may have cut a statement
+        if to < len(lines) and span < WIDEST and row >= to - 2 and not any(u in getattr(problem, "msg", "") for u in OPENED):
+            span *= 2
             continue
         if not mend(lines, at, to, problem, len(mine)):
             at, span = to, SPAN  # nothing is left to blank in this stretch

@@ -130,3 +130,23 @@ function over(a: any): void { deep(a as string) }
 def test_broken_javascript():
     assert parse_ecmascript(b"function ok() {} function bad( {").has_syntax_errors
     assert parse_ecmascript(b"").symbols == []
+
+
+def test_a_long_literal_beside_a_broken_line_keeps_its_calls():
+    """In time that grows with the text, wherever the broken line stands; brackets that never close cost only themselves."""
+    import time
+
+    took = {}
+    for n in (5_000, 20_000):
+        literal = "def f():\n    return {\n" + "".join(f"        'k{i}': g{i}(x),\n" for i in range(n)) + "    }\n"
+        began = time.perf_counter()
+        for source in (literal + "x = = 1\n", "x = = 1\n" + literal, literal + "def h():\n    y = = 2\n    z(1)\n"):
+            record = parse_python(source.encode())
+            assert record.has_syntax_errors and len(calls(record, "f")) == n
+        assert calls(record, "h") == ["z"]
+        took[n] = time.perf_counter() - began
+    assert took[20_000] < 12 * took[5_000]
+    text = "S = '''\n" + "open ( [ {\n" * 9_000 + "'''\ndef f():\n    g()\nx = = 1\n"
+    assert calls(parse_python(text.encode()), "f") == ["g"]
+    for opener in ("a = (\n", "b = ['''\n"):
+        assert symbols(parse_python((opener * 30 + "def f():\n    g()\n").encode())) == [("function", "f")]

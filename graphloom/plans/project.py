@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adjacency, summaries
 from ..schemas import GRAPH_EDGES, GRAPH_NODES
-from ..scratch import stored
+from ..scratch import stored, temporary
 
 EDGE_KEY = ["source_id", "target_id", "kind", "dependency_edge_id"]
 
@@ -93,27 +93,28 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     inside = F.row_number().over(Window.partitionBy("range", group).orderBy(*order))
     before = F.sum("n").over(Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = split.groupBy("range", group).agg(F.count(F.lit(1)).alias("n")).select("range", group, F.coalesce(before, F.lit(0)).alias("offset"))
-    return split.withColumn("inside", inside).join(F.broadcast(offsets), ["range", group]).withColumn(name, F.col("inside") - 1 + F.col("offset")).drop("range", "inside", "offset")
+    return split.withColumn("inside", inside).join(offsets, ["range", group]).withColumn(name, F.col("inside") - 1 + F.col("offset")).drop("range", "inside", "offset")
 
 
 def layout(nodes: DataFrame) -> DataFrame:
     """(id, kind, x, y) for drawing: kinds left to right, each in columns of ROWS nodes, centred.
 
-    Symbols are ordered by file, line, label and id, other nodes by label and id.  Unknown
+    The result is a stored table of its own; what it was made from is freed.  Symbols are ordered by file, line, label and id, other nodes by label and id.  Unknown
     kinds come last.  The same nodes always get the same places."""
-    known = F.when(F.col("kind").isin(*KIND_ORDER[:-1]), F.col("kind")).otherwise(F.lit("unknown"))
-    symbol = known == "symbol"
-    label = F.coalesce(F.when(symbol, F.coalesce("qualified_name", "name")), F.col("path"), F.col("display_name"), F.col("name"), F.col("id"))
-    keyed = nodes.select("id", known.alias("kind"), F.when(symbol, F.coalesce("file_id", F.lit(""))).alias("f"), F.when(symbol, F.coalesce("start_line", F.lit(0))).alias("l"), label.alias("label"))
-    placed = numbered(keyed, "kind", ["f", "l", "label", "id"], "place")
-    # at most one row for each of the four kinds
-    sizes = keyed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
-    width = F.ceil(F.col("n") / ROWS) * COLUMN_WIDTH + KIND_GAP
-    before = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    everywhere = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = F.least("n", F.lit(ROWS))
-    bands = sizes.withColumn("order", order).select("kind", F.coalesce(F.sum(width).over(before), F.lit(0)).alias("left"), ((F.max(rows).over(everywhere) - rows) * ROW_HEIGHT / 2).alias("top"))
-    x = F.col("left") + F.floor(F.col("place") / ROWS) * COLUMN_WIDTH
-    y = F.col("top") + F.pmod("place", F.lit(ROWS)) * ROW_HEIGHT
-    return placed.join(F.broadcast(bands), "kind").select("id", "kind", x.cast("long").alias("x"), y.cast("double").alias("y"))
+    with temporary(nodes.sparkSession):
+        known = F.when(F.col("kind").isin(*KIND_ORDER[:-1]), F.col("kind")).otherwise(F.lit("unknown"))
+        symbol = known == "symbol"
+        label = F.coalesce(F.when(symbol, F.coalesce("qualified_name", "name")), F.col("path"), F.col("display_name"), F.col("name"), F.col("id"))
+        keyed = nodes.select("id", known.alias("kind"), F.when(symbol, F.coalesce("file_id", F.lit(""))).alias("f"), F.when(symbol, F.coalesce("start_line", F.lit(0))).alias("l"), label.alias("label"))
+        placed = numbered(keyed, "kind", ["f", "l", "label", "id"], "place")
+        # at most one row for each of the four kinds
+        sizes = keyed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+        order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
+        width = F.ceil(F.col("n") / ROWS) * COLUMN_WIDTH + KIND_GAP
+        before = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+        everywhere = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = F.least("n", F.lit(ROWS))
+        bands = sizes.withColumn("order", order).select("kind", F.coalesce(F.sum(width).over(before), F.lit(0)).alias("left"), ((F.max(rows).over(everywhere) - rows) * ROW_HEIGHT / 2).alias("top"))
+        x = F.col("left") + F.floor(F.col("place") / ROWS) * COLUMN_WIDTH
+        y = F.col("top") + F.pmod("place", F.lit(ROWS)) * ROW_HEIGHT
+        return stored(placed.join(F.broadcast(bands), "kind").select("id", "kind", x.cast("long").alias("x"), y.cast("double").alias("y")), "layout", outlives=1)

@@ -141,6 +141,38 @@ def test_store_changes_tables_together(spark, tmp_path):
     assert len(list((tmp_path / "graph_edges" / "repository_id=a").glob("version=*"))) == 2
 
 
+def test_the_service_leaves_no_scratch_tables(spark, tmp_path):
+    """After parsing, analysis, projection and walks, nothing is left of what they stored for themselves."""
+    from pathlib import Path
+
+    from graphloom.plans.service import Engine
+    from graphloom.scratch import scratch_root
+    from graphloom.settings import Settings
+
+    root = Path(scratch_root(spark).removeprefix("file://")) / "graphloom"
+    before = {p.name for p in root.glob("*")} if root.exists() else set()
+    engine = Engine(spark, Settings(workspace_root=str(tmp_path / "ws"), table_root=str(tmp_path / "tables"), query_timeout_seconds=60))
+    (tmp_path / "a.py").write_text("def f():\n    return g()\ndef g(): pass\n")
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.write(tmp_path / "a.py", "a.py")
+    row = engine.import_zip(engine.create_project("p")["id"], tmp_path / "a.zip")
+    engine.parse(row["id"])
+    engine.analyze_dependencies(row["id"])
+    engine.project_graph(row["id"])
+    ids = {r.name: r.id for r in engine.store.table("symbols", row["id"]).collect()}
+    assert engine.path(row["id"], ids["f"], ids["g"])["length"] == 1 and engine.get_symbol(ids["f"])["calls"][0]["callee_expression"] == "g"
+    assert engine.statistics(row["id"])["highest_in_degree"] and engine.insights(row["id"])["dependency_hotspots"]
+    left = {p.name.rpartition("-")[0] for p in root.glob("*") if p.name not in before}
+    assert not left & {"references", "resolved-imports", "listing", "parsed", "nodes", "edges", "level", "ahead", "back", "step", "ranges"}, left
+    rows, cursor = engine.page_after("symbols", row["id"], None, 1)
+    more, end = engine.page_after("symbols", row["id"], cursor, 5)
+    assert [r["name"] for r in rows + more] == ["f", "g"] and end is None
+    placed = layout(engine.list_nodes(row["id"]))
+    assert placed.count() == 4
+
+
 def test_scratch_tables_go_with_their_work(spark):
     from pathlib import Path
 

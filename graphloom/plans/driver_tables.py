@@ -337,7 +337,10 @@ def path_sql(target: str, depth: int) -> str:
 
 def path(spark, sf_dir, target, depth):
     t = Tables(spark, sf_dir)
-    found = graph.shortest_path(t.nodes, t.walks("downstream", "upstream"), "P1", target, depth)
+    return as_text(graph.shortest_path(t.nodes, t.walks("downstream", "upstream"), "P1", target, depth))
+
+
+def as_text(found: DataFrame) -> DataFrame:
     edges = F.when(F.col("found"), F.size("dependency_edge_ids"))
     return found.select("found", "length", F.array_join("node_ids", ">").alias("nodes"), F.array_join("kinds", ">").alias("kinds"), edges.alias("edges"))
 
@@ -354,7 +357,9 @@ def path_not_found(spark, sf_dir):
 
 @query("SELECT true AS found, 0 AS length, 'P1' AS nodes, '' AS kinds, 0 AS edges")
 def path_self(spark, sf_dir):
-    return path(spark, sf_dir, "P1", 6)
+    """From a node to itself: known without reading an edge."""
+    t = Tables(spark, sf_dir)
+    return as_text(graph.shortest_path(t.nodes, t.edges, "P1", "P1", 6))
 
 
 @query(f"WITH {NODES} SELECT count(DISTINCT id) = 3 AS all_found FROM nodes WHERE id IN ('P1', 'N3', 'nowhere')")

@@ -17,14 +17,20 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes with the largest fitting unit up to GB, one decimal, without a trailing zero."""
+    """Bytes with the largest fitting unit up to GB, one decimal, without a trailing zero.
+
+    Plain bytes go to the even number at a half.  Of larger units the double is taken in whole millionths
+    first, halves up, then in tenths, halves up: as the cast of SQL does it, and not by the shortest text of the double."""
     size = size.cast("double")
 
     def scaled(power: int, unit: str) -> Column:
-        value = F.round((size / 1024**power).cast("decimal(20,6)"), 1).cast("string")
+        millionths = size / 1024**power * 1e6
+        whole = F.floor(millionths)
+        whole += F.when(millionths - whole >= 0.5, 1).otherwise(0)
+        value = F.round(whole.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"), 1).cast("string")
         return F.concat(F.regexp_replace(value, r"\.0$", ""), F.lit(f" {unit}"))
 
-    return F.when(size < 1024, F.format_string("%.0f B", size)).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
+    return F.when(size < 1024, F.format_string("%.0f B", F.rint(size))).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
 def shares_label(stats: Column) -> Column:

@@ -49,6 +49,19 @@ def test_shares_and_sizes(spark):
     assert (row.tie, row.none, row.b, row.k, row.g) == (6.2, None, "512 B", "1.5 KB", "5 GB")
 
 
+def test_sizes_at_the_half(spark, duck):
+    """Halves of a byte go to the even number, and sixth decimals are rounded as SQL casts a double."""
+    from graphloom.plans.driver_tables import SQL
+
+    sizes = [0.5, 1.5, 74.5, 75.5, 1023.5] + [1024.0**p * (k + 0.05 * m) + d for p in (1, 2, 3) for k in (1, 17, 323) for m in (1, 3, 7, 19) for d in (-0.0005, -0.0001, 0.0, 0.0005)]
+    sizes += [1024.0**p * (k + 0.0499995 + e * 1e-12) for p in (1, 2, 3) for k in range(1, 60) for e in (-1, 0, 1)]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "k long, size double")
+    label = SQL["size_labels"].split("SELECT o_orderkey, ")[2]
+    duck.execute("create or replace temp table o as select unnest(?::bigint[]) as k, unnest(?::double[]) as size", [list(range(len(sizes))), sizes])
+    want = dict(duck.sql(f"select k, {label}").fetchall())
+    assert {r.k: r.label for r in rows.select("k", shaping.size_label(F.col("size")).alias("label")).collect()} == want
+
+
 def test_property_bag_leaves_out_nulls(spark):
     df = spark.createDataFrame([("a", None)], "x string, y string")
     assert df.select(shaping.properties(["x", "y"])).first()[0] == {"x": "a"}

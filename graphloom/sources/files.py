@@ -167,7 +167,9 @@ def discovered(spark: SparkSession, root: str | Path, max_bytes: int) -> DataFra
 
 
 def metadata(entries: DataFrame, has_git: bool, scanned_at: datetime | None = None) -> DataFrame:
-    """One row: counts, bytes, language shares over all files, readme and git flags."""
+    """One row: counts, bytes, language shares over all files, readme and git flags, and the files of each language.
+
+    A share has one decimal, so the number of files cannot be told from it."""
     counted = F.create_map(*[F.lit(x) for pair in COUNTED_SUFFIXES.items() for x in pair])
     name = F.regexp_extract("relative_path", "[^/]*$", 0)
     language = F.when(~F.col("is_dir"), counted[suffix(F.col("relative_path"))])
@@ -185,8 +187,9 @@ def metadata(entries: DataFrame, has_git: bool, scanned_at: datetime | None = No
     return whole.select(
         "file_count", "directory_count", "total_size_bytes", stats.alias("language_stats"), "has_readme",
         F.lit(has_git).alias("has_git"), F.lit(scanned_at or datetime.now(UTC)).alias("scanned_at"),
+        F.map_from_entries(F.transform("by_count", lambda e: F.struct(e["language"], e["files"]))).alias("language_counts"),
     )
 
 
 def scan(spark: SparkSession, root: str | Path, scanned_at: datetime | None = None) -> DataFrame:
-    return metadata(listing(spark, root), (Path(root) / ".git").exists(), scanned_at)
+    return metadata(listing(spark, root), (Path(root) / ".git").exists(), scanned_at).drop("language_counts")

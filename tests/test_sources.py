@@ -114,6 +114,13 @@ def test_metadata(spark, tmp_path):
     assert row.language_stats == {"Python": 62.5, "TypeScript": 12.5, "JavaScript": 12.5, "Markdown": 12.5}
 
 
+def test_metadata_counts_every_file(spark):
+    """A share of one decimal does not tell how many of 9,001 files there are; the counts do."""
+    entries = spark.range(9001).selectExpr("concat('f', id, if(id % 3 = 0, '.html', '.txt')) as relative_path", "false as is_dir", "1L as length")
+    row = files.metadata(entries, False).first()
+    assert row.language_counts == {"HTML": 3001} and row.language_stats == {"HTML": 33.3}
+
+
 def test_metadata_of_nothing(spark, tmp_path):
     row = files.scan(spark, tmp_path).first()
     assert (row.file_count, row.total_size_bytes, row.language_stats) == (0, 0, {})

@@ -68,7 +68,7 @@ def found(t: Tables) -> DataFrame:
     ending = F.when(language == 0, ".py").when(language == 1, F.when(every(2), ".tsx").otherwise(".ts")).otherwise(F.when(every(2), ".jsx").otherwise(".js"))
     text = F.when(language == 0, filled(PYTHON, PYTHON_BROKEN)).when(language == 1, filled(TYPESCRIPT, BRACES_BROKEN)).otherwise(filled(JAVASCRIPT, BRACES_BROKEN))
     content = F.when(every(29), F.lit("")).when(every(17), F.concat(F.lit("\x00"), text)).otherwise(text).cast("binary")
-    rows = t.part.select(
+    rows = files.dealt(t.part.select("p_partkey", "p_size", "p_type", "p_brand"), "p_partkey").select(
         F.concat(F.lit("src/p"), k.cast("string"), ending).alias("relative_path"), F.when(every(23), F.lit("size unknown: no")).alias("error"),
         F.when(~every(23), F.when(every(19), F.lit(LONGEST + 1)).otherwise(F.octet_length(content)).cast("long")).alias("length"),
         F.when(~(every(23) | every(19)), content).alias("content"),

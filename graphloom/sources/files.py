@@ -29,6 +29,8 @@ COUNTED_SUFFIXES = {
 ENTRIES = "relative_path string, is_dir boolean, length bigint, error string"
 #: Bytes of contents in one batch.
 READ_AT_ONCE = 8 << 20
+#: Files that a task reads, or builds, and parses.
+FILES_A_TASK = 1_000
 #: Entries that a task lists before it hands folders on to the next round.
 LISTED = 20_000
 
@@ -125,6 +127,14 @@ def reader(root: str, most: int):
     return run
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """One row per file, dealt to tasks of about FILES_A_TASK by their number: what a file costs is not
+    seen from the few bytes of its row, by which Spark would join them into one task.
+
+    rows are counted first, so they should be a table as it lies."""
+    return rows.repartition(1 + rows.count() // FILES_A_TASK, key)
+
+
 def language_of(path: Column) -> Column:
     """Language that is parsed, by suffix; null for any other file."""
     return F.create_map(*[F.lit(x) for pair in PARSED_SUFFIXES.items() for x in pair])[suffix(path)]
@@ -162,7 +172,7 @@ def discovered(spark: SparkSession, root: str | Path, max_bytes: int) -> DataFra
     that are too long by the listing are never opened, and links are never followed."""
     base = str(Path(root).resolve())
     known = listing(spark, base).where(~F.col("is_dir")).select("relative_path", "length", "error")
-    small_batches = known.repartition("relative_path").mapInArrow(reader(base, max_bytes), "relative_path string, length bigint, error string, content binary")
+    small_batches = dealt(known, "relative_path").mapInArrow(reader(base, max_bytes), "relative_path string, length bigint, error string, content binary")
     return classified(small_batches, max_bytes)
 
 

@@ -92,6 +92,21 @@ def test_discovery(spark, tmp_path):
     assert bytes(found["a.py"].content) == b"x = 1\n" and found["a.py"].reason is None and bytes(found["b.py"].content) == b"" and found["b.py"].reason is None
 
 
+def test_files_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    """Names are a few bytes each; what is read and parsed behind them is not."""
+    from graphloom.plans.driver_sources import found
+    from graphloom.plans.driver_tables import Tables
+
+    from .conftest import DATA
+
+    monkeypatch.setattr(files, "FILES_A_TASK", 20)
+    for i in range(200):
+        (tmp_path / f"f{i}.py").write_text("x = 1")
+    for rows, most in ((files.discovered(spark, tmp_path, 99), 200), (found(Tables(spark, str(DATA))), 200)):
+        tasks = rows.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+        assert len(tasks) >= 8 and sum(t["count"] for t in tasks) == most
+
+
 def test_long_files_are_never_read(spark, tmp_path):
     """A file beyond what the scan itself can read is passed over, not a failure of the job."""
     spark.conf.set("spark.sql.sources.binaryFile.maxLength", "250")

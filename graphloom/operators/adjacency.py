@@ -13,6 +13,8 @@ from ..scratch import scratch, stored
 NAMED_IDS = 1_000
 #: One of at most so many is broadcast to the edges (some MB); a larger one is shuffled with them.
 BROADCAST_IDS = 100_000
+#: Rows that a task sorts into one range; few distinct ids pack so well that bytes say nothing about their number.
+RANGE_ROWS = 500_000
 COLUMNS = ["near", "far", "kind", "dependency_edge_id"]
 #: Stored tables of edges by one end, and the direction in which they are walked.
 SIDES = {"edges_out": "downstream", "edges_in": "upstream"}
@@ -26,9 +28,15 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def zones_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """First and last key and number of rows of each file that rows is read from."""
-    key = F.struct(*keys)
-    return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"))
+    """First and last key and number of rows of each file that rows is read from; each file is sorted by the keys.
+
+    The rows of each file are counted, then its first and last row are picked out as they pass: no task
+    sorts or keeps what it reads, however many rows fit into the bytes of one split."""
+    file, place, key = F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index"), F.struct(*keys)
+    sizes = rows.groupBy(file).agg(F.count(F.lit(1)).alias("n"))  # a row for each file
+    marked = rows.select(file, place.alias("place"), key.alias("key"))
+    ends = marked.join(F.broadcast(sizes), "file").where("place = 0 or place = n - 1")
+    return ends.groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("n").alias("n"))
 
 
 class Frontier:
@@ -82,8 +90,13 @@ def adjacency(edges: DataFrame | Adjacency) -> Adjacency:
 
 
 def in_ranges(edges: DataFrame, direction: str) -> DataFrame:
-    """Oriented edges in ranges of (near, far), so that an end with many edges is spread over files."""
-    return oriented(edges, direction).repartitionByRange("near", "far").sortWithinPartitions("near", "far")
+    """Oriented edges in ranges of (near, far), so that an end with many edges is spread over files.
+
+    edges is a stored table: it is counted first, for ranges of about RANGE_ROWS."""
+    ways = oriented(edges, direction)
+    ranges = ways.count() // RANGE_ROWS
+    split = ways.repartitionByRange(ranges, "near", "far") if ranges > 1 else ways.repartitionByRange("near", "far")
+    return split.sortWithinPartitions("near", "far")
 
 
 def stored_side(edges: DataFrame, direction: str) -> Side:

@@ -258,6 +258,40 @@ def test_walks_read_where_the_frontier_lies(spark):
         assert len(step.inputFiles()) == 1 < len(side.rows.inputFiles()) and step.count() == 2
 
 
+def test_ranges_hold_so_many_edges_however_well_they_pack(spark, monkeypatch):
+    from graphloom.operators import adjacency
+
+    monkeypatch.setattr(adjacency, "RANGE_ROWS", 100)
+    edges = fitted(spark.createDataFrame([(f"n{i % 4}", f"m{i % 50:02d}", "calls", "r") for i in range(2000)], "source_id string, target_id string, kind string, repository_id string"), GRAPH_EDGES)
+    for side, near in ((adjacency.stored_side(edges, "downstream"), "source_id"), (adjacency.stored_side(edges, "upstream"), "target_id")):
+        zones = side.zones.collect()
+        assert len(zones) > 10 and sum(z.n for z in zones) == 2000 and max(z.n for z in zones) <= 400
+        rows = side.rows.select("near", F.col("_metadata.file_name").alias("file")).collect()
+        assert {z.file: (z.low.near, z.high.near, z.n) for z in zones} == {f: (min(x := [r.near for r in rows if r.file == f]), max(x), len(x)) for f in {r.file for r in rows}}
+        assert {z.low.near for z in zones} <= {r[0] for r in edges.select(near).distinct().collect()}
+
+
+def test_zones_are_found_without_sorting_rows(spark, tmp_path):
+    """Only the two ends of each file are sorted, so the sort stands above the join that picks them."""
+    from graphloom.operators import adjacency
+
+    spark.range(1000).selectExpr("cast(id as string) as near").sort("near").write.parquet(f"{tmp_path}/rows")
+    zones = adjacency.zones_of(spark.read.parquet(f"{tmp_path}/rows"), ["near"])
+    plan = zones._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" in plan and "SortAggregate" not in plan[plan.index("Join") :]
+    assert [(z.low.near, z.high.near, z.n) for z in zones.collect()] == [("0", "999", 1000)]
+
+
+def test_walks_hold_each_import_once(spark):
+    from graphloom.plans.driver_tables import Tables
+
+    from .conftest import DATA
+
+    t = Tables(spark, str(DATA))
+    imports = t.walks("downstream").out.rows.where("kind = 'imports'").select("near", "far")
+    assert imports.count() == imports.distinct().count() == t.imports.where("source_id <> target_id").select("source_id", "target_id").distinct().count() > 0
+
+
 def test_numbering_over_ranges(spark, monkeypatch):
     from graphloom.plans import project
 

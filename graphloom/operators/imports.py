@@ -27,11 +27,12 @@ def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     files, and what they find is joined back by path: however many imports name a module, it is
     looked up once.  Ids of imports may repeat.  Unknown languages stay unresolved; imports of
     unknown files are left out."""
-    source = files.select(F.col("id").alias("file_id"), F.col("path").alias("source_path"), "language")
+    # folders are worked out once for each file, not for each of its imports
+    source = files.select(F.col("id").alias("file_id"), "language", parent(normalized(F.col("path"))).alias("__folder"), parent(slashed(F.col("path"))).alias("__beside"))
     named = imports.join(source, "file_id").withColumn("names", F.coalesce("imported_names", F.expr(NO_NAMES)))
-    python, path, module = F.col("language") == "python", F.col("source_path"), F.col("module")
+    python, module = F.col("language") == "python", F.col("module")
     relative = F.col("language").isin("javascript", "typescript") & F.startswith(module, F.lit("."))
-    aimed = F.when(python, python_target(path, module, F.col("names"))).when(relative, collapsed(join(parent(slashed(path)), module)))
+    aimed = F.when(python, python_target(F.col("__folder"), module, F.col("names"))).when(relative, beside(F.col("__beside"), module))
     refs = stored(named.select(*[F.col(c) for c in imports.columns], F.col("language").alias("__language"), F.col("names").alias("__names"), aimed.alias("__target")), "references")
     python = refs.where("__language = 'python'")
     ecmascript = refs.where("__language in ('javascript', 'typescript')")
@@ -56,11 +57,11 @@ def stems(paths: DataFrame, endings: tuple[str, ...]) -> DataFrame:
 # ---- Python ---------------------------------------------------------------------
 
 
-def python_target(source_path: Column, module: Column, names: Column) -> Column:
+def python_target(folder: Column, module: Column, names: Column) -> Column:
     """Path, without ending, that a module text names; null where one name cannot be told."""
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
     rest = F.regexp_replace(module, r"^\.*", "")
-    base = climb(parent(normalized(source_path)), dots - 1)
+    base = F.when(dots == 1, folder).otherwise(climb(folder, dots - 1))
     below = F.regexp_replace(F.translate(rest, ".", "/"), "/+", "/")
     return F.when(dots == 0, below).when(rest != "", join(base, below)).when(F.size(names) == 1, join(base, F.get(names, F.lit(0))))
 
@@ -91,6 +92,21 @@ def resolve_python(files: DataFrame, refs: DataFrame) -> DataFrame:
 # ---- JavaScript and TypeScript ----------------------------------------------------
 
 
+#: A part that is empty, '.' or '..'.
+DOTTED = r"(^|/)\.{0,2}(/|$)"
+
+
+def beside(folder: Column, module: Column) -> Column:
+    """collapsed(join(folder, module)); the common ./name and ../name go without taking the path to parts."""
+    plain = (folder != ".") & ~F.rlike(folder, F.lit(DOTTED))
+    near, above = F.substring(module, 3, 1 << 30), F.substring(module, 4, 1 << 30)
+    return (
+        F.when(plain & F.startswith(module, F.lit("./")) & ~F.rlike(near, F.lit(DOTTED)), F.concat(folder, F.lit("/"), near))
+        .when(plain & F.startswith(module, F.lit("../")) & ~F.rlike(above, F.lit(DOTTED)), join(parent(folder), above))
+        .otherwise(collapsed(join(folder, module)))
+    )
+
+
 def resolve_ecmascript(files: DataFrame, refs: DataFrame) -> DataFrame:
     relative = F.startswith("module", F.lit("."))
     bare = outcome(refs.where(~relative), F.concat(quoted(F.col("module")), F.lit(" names a package, and packages lie outside")))

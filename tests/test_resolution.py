@@ -4,6 +4,7 @@ import re
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.errors import ImportFailed, Invalid, NotFound, QueryTimeout, UnsafeArchive, WrongState
 from graphloom.operators.edges import import_edges
@@ -317,3 +318,15 @@ def test_imported_names(spark):
     repeated = scope(spark, symbols, [("f", None, ["y"], "k")])
     assert call(spark, repeated, "y").status == "unresolved"
     assert bare_names(two, table(spark, [("q", "x")], "file_id string, name string"), "function").first().result.status == "unresolved"
+
+
+def test_paths_beside_a_file_are_collapsed_without_parts(spark):
+    """The short way gives what the long one gives, and the folder is worked out on the side of the files."""
+    from graphloom.functions.paths import collapsed, join
+    from graphloom.operators.imports import beside
+
+    folders = [".", "..", "src", "src/a", "a/./b", "../x", "a//b", ".hidden/b", "a/...", "/", "/abs/a", ""]
+    modules = ["./x", "../x", "./", "../", ".", "..", "./../x", ".././x", "../../x", "../../../x", "./a//b", "./a/..", "../a/./b", "./.x", "../..x", "./a/", "./a/...", ".x"]
+    rows = spark.createDataFrame([(f, m) for f in folders for m in modules], "f string, m string")
+    f, m = F.col("f"), F.col("m")
+    assert [tuple(r) for r in rows.select("f", "m", beside(f, m).alias("got"), collapsed(join(f, m)).alias("want")).where("not got <=> want").collect()] == []

@@ -13,10 +13,15 @@ from ..schemas import NODE_KINDS, RELATIONSHIP_KINDS
 SUMS = ["n_in", "n_out", "n_imports", "n_uses"]
 
 
-def shares(edges: DataFrame, sign: int = 1) -> DataFrame:
-    """(id, n_in, n_out, n_imports, n_uses): what each edge adds to each of its ends; sign -1 takes it away."""
+def shares(edges: DataFrame, sign: int = 1, times: str | None = None, keep: str | None = None) -> DataFrame:
+    """(id, n_in, n_out, n_imports, n_uses): what each edge adds to each of its ends; sign -1 takes it away.
+
+    times: a column that says how many equal edges a row stands for, never null; one each without it.
+    keep: a column of edges that goes along."""
     loop = F.col("source_id") == F.col("target_id")
-    one = F.lit(sign).cast("long")
+    none = F.lit(0).cast("long")
+    one = (F.lit(sign) if times is None else sign * F.col(times)).cast("long")
+    more = [] if keep is None else [keep]
 
     def end(column: str, outgoing: bool):
         counts = F.lit(True) if outgoing else ~loop  # a self-loop counts once for the undirected ones
@@ -25,35 +30,51 @@ def shares(edges: DataFrame, sign: int = 1) -> DataFrame:
             return F.when(F.col("kind").isin(*kinds) & counts, one).otherwise(0)
 
         return F.struct(
-            F.col(column).alias("id"), F.lit(0 if outgoing else sign).cast("long").alias("n_in"), F.lit(sign if outgoing else 0).cast("long").alias("n_out"),
+            F.col(column).alias("id"), (none if outgoing else one).alias("n_in"), (one if outgoing else none).alias("n_out"),
             of("imports").cast("long").alias("n_imports"), of("calls", "inherits").cast("long").alias("n_uses"),
         )
 
-    return edges.select(F.explode(F.array(end("source_id", True), end("target_id", False))).alias("share")).select("share.*")
+    return edges.select(F.explode(F.array(end("source_id", True), end("target_id", False))).alias("share"), *more).select("share.*", *more)
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in SUMS])
+def summed(rows: DataFrame, *by: str) -> DataFrame:
+    """Shares of each id added up; by: kept apart by these columns as well."""
+    return rows.groupBy("id", *by).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per node, zeros included: id, kind, n_in, n_out, n_imports, n_uses."""
-    counted = nodes.select("id", "kind").dropDuplicates(["id"]).join(summed(shares(edges)), "id", "left")
+def taken(rows: DataFrame) -> DataFrame:
+    """Shares taken away again."""
+    return rows.select("id", *[(-F.col(c)).alias(c) for c in SUMS])
+
+
+def degrees_of(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """node_degrees() from shares, summed before or not."""
+    counted = nodes.select("id", "kind").dropDuplicates(["id"]).join(summed(parts), "id", "left")
     return counted.select("id", "kind", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in SUMS])
 
 
-def merged_degrees(before: DataFrame, added: DataFrame, removed: DataFrame, new_nodes: DataFrame | None = None, gone_nodes: DataFrame | None = None) -> DataFrame:
-    """node_degrees() after edges and nodes came and went; edges of nodes that go are among the removed.
+def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per node, zeros included: id, kind, n_in, n_out, n_imports, n_uses."""
+    return degrees_of(nodes, shares(edges))
 
-    before: the summary so far; the other tables hold changes alone."""
+
+def merged_shares(before: DataFrame, changes: DataFrame, new_nodes: DataFrame | None = None, gone_nodes: DataFrame | None = None) -> DataFrame:
+    """merged_degrees() from shares, summed before or not; those of edges that went are negative."""
     zeros = [F.lit(0).cast("long").alias(c) for c in SUMS]
     known = before.select("id", "kind", *SUMS)
     if new_nodes is not None:
         known = known.unionByName(new_nodes.select("id", "kind", *zeros))
     if gone_nodes is not None:
         known = known.join(gone_nodes.select("id").distinct(), "id", "left_anti")
-    change = summed(shares(added).unionByName(shares(removed, -1)))
-    return known.join(change.withColumnsRenamed({c: f"d_{c}" for c in SUMS}), "id", "left").select("id", "kind", *[(F.col(c) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in SUMS])
+    change = summed(changes).withColumnsRenamed({c: f"d_{c}" for c in SUMS})
+    return known.join(change, "id", "left").select("id", "kind", *[(F.col(c) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in SUMS])
+
+
+def merged_degrees(before: DataFrame, added: DataFrame, removed: DataFrame, new_nodes: DataFrame | None = None, gone_nodes: DataFrame | None = None) -> DataFrame:
+    """node_degrees() after edges and nodes came and went; edges of nodes that go are among the removed.
+
+    before: the summary so far; the other tables hold changes alone."""
+    return merged_shares(before, shares(added).unionByName(shares(removed, -1)), new_nodes, gone_nodes)
 
 
 def kind_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
